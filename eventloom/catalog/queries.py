@@ -599,4 +599,12 @@ def build_links(spark, sf):
             F.lit("key_prefix"), F.col("key_prefix"), F.lit("aff id"), F.lit("a&b"),
         ),
     )
-    return _params_text(links.build_links(rows, td.tenants(spark, sf), "https://track.example.com//"))
+    built = links.build_links(rows, td.tenants(spark, sf), "https://track.example.com//")
+    # A sealed link differs on every run; what it opens to does not.
+    keys = td.tenants(spark, sf).select("key_prefix", "encryption_key")
+    blob = F.regexp_extract("encrypted_url", "[?]d=([^&]*)", 1)
+    opened = links.decrypt_links(
+        built.withColumn("d", blob).withColumnRenamed("destination", "wanted").join(keys, "key_prefix"),
+        F.col("encryption_key"),
+    )
+    return _params_text(opened).drop("encrypted_url", "d", "encryption_key", "wanted")

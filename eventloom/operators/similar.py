@@ -10,6 +10,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions.columns import canonical_params
 
@@ -30,7 +31,7 @@ def event_text(params: Column | None = None) -> Column:
     )
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _embed(texts: pd.Series) -> pd.Series:
     places = np.arange(EMBEDDING_DIM)
     drift = places.astype(np.float32) * np.float32(POSITION_FACTOR)
