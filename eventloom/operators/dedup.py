@@ -25,6 +25,14 @@ def dedup_latest(events: DataFrame) -> DataFrame:
     return events.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
+def dedup_earliest(events: DataFrame) -> DataFrame:
+    """One row per event id: the first copy, as a table that ignores repeated ids keeps it."""
+    order = Window.partitionBy("event_id").orderBy(
+        "timestamp_ms", "tenant_id", "event_type", "ip", "user_agent", canonical_params(F.col("params"))
+    )
+    return events.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
 def newest_per_key(events: DataFrame, key: str, n: int) -> DataFrame:
     """The newest ``n`` rows of each key."""
     order = Window.partitionBy(key).orderBy(*newest_first())

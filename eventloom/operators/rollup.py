@@ -42,10 +42,8 @@ def warm_reconcile(events: DataFrame, date: str) -> DataFrame:
 
 
 def reconcile_day(spark: SparkSession, archive: str, base: str, date: str) -> None:
-    """Replace one day's rollup files by recomputed ones. Running it again changes nothing."""
-    tiers.write_rollup(
-        warm_reconcile(tiers.cold_scan(spark, archive), date), base, mode="overwrite"
-    )
+    """Replace one day's rollup hours by recomputed ones. Running it again changes nothing."""
+    tiers.write_rollup(warm_reconcile(tiers.cold_scan(spark, archive), date), base)
 
 
 def hour_pivot(hourly: DataFrame, types: tuple[str, ...] = PIVOT_TYPES) -> DataFrame:
@@ -116,13 +114,18 @@ def count_ledger(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("tenant_id", "event_type", "hour").count()
 
 
+def recount(ledger: DataFrame, added: DataFrame, events: DataFrame) -> DataFrame:
+    """Counts of the hours a batch touched, from the ledger with its new rows."""
+    key = ["tenant_id", "event_type", "hour"]
+    touched = ledger_rows(events).select(*key).distinct()
+    rows = ledger.select("event_id", *key).unionByName(added.select("event_id", *key))
+    return count_ledger(rows.join(touched, key, "left_semi"))
+
+
 def apply_batch(ledger: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The ledger rows a batch adds, and recomputed counts of the hours it touched."""
     added = new_ledger_rows(ledger, events)
-    key = ["tenant_id", "event_type", "hour"]
-    touched = ledger_rows(events).select(*key).distinct()
-    held = ledger.select("tenant_id", "event_id", "event_type", "hour")
-    return added, count_ledger(held.unionByName(added).join(touched, key, "left_semi"))
+    return added, recount(ledger, added, events)
 
 
 def merge_stats(stats: DataFrame, recomputed: DataFrame) -> DataFrame:

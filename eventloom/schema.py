@@ -41,6 +41,15 @@ SILVER_COLUMNS = (
     "params", "raw_payload", "date_path", "event_hour",
 )
 
+_SILVER_TYPES = {
+    "timestamp_ms": T.LongType(),
+    "event_time": T.TimestampType(),
+    "params": T.MapType(T.StringType(), T.StringType()),
+}
+SILVER_SCHEMA = T.StructType(
+    [T.StructField(c, _SILVER_TYPES.get(c, T.StringType())) for c in SILVER_COLUMNS]
+)
+
 ARCHIVE_COLUMNS = (
     "event_id", "tenant_id", "tu_id", "event_type", "timestamp_ms", "ip", "user_agent",
     "referer", "request_path", "request_host", "params", "raw_payload", "date_path",

@@ -1,4 +1,8 @@
-"""The stored tiers: full-history archive (cold) and hourly rollup files (warm)."""
+"""The stored tiers: full-history archive (cold) and hourly rollup files (warm).
+
+Both are plain Parquet in Hive layout, written so that a repeated batch replaces or skips
+what its first attempt left behind; no job keeps a log of its own.
+"""
 
 from __future__ import annotations
 
@@ -8,54 +12,70 @@ from pyspark.sql import types as T
 
 from eventloom.schema import ARCHIVE_COLUMNS, archive_rows, params_from_archive
 
-ARCHIVE_PARTITIONS = ("tenant_id", "date_path")
+ARCHIVE_PARTITIONS = ("tenant_id", "date_path", "batch")
 ROLLUP_PARTITIONS = ("tenant_id", "date_path", "hour")
+ROLLUP_KEY = (*ROLLUP_PARTITIONS, "event_type")
+AGGREGATES_PREFIX = "aggregates"
+COMPACTED = "compacted"
 
 ARCHIVE_SCHEMA = T.StructType(
     [
         T.StructField(c, T.LongType() if c == "timestamp_ms" else T.StringType())
-        for c in ARCHIVE_COLUMNS
+        for c in (*ARCHIVE_COLUMNS, "batch")
     ]
 )
+# `batch` is the last batch counted into the row; -1 in rows computed from the archive.
 ROLLUP_SCHEMA = T.StructType(
     [
         T.StructField("event_type", T.StringType()),
         T.StructField("count", T.LongType()),
-        T.StructField("tenant_id", T.StringType()),
-        T.StructField("date_path", T.StringType()),
-        T.StructField("hour", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        *[T.StructField(c, T.StringType()) for c in ROLLUP_PARTITIONS],
     ]
 )
 
-AGGREGATES_PREFIX = "aggregates"
-
 
 def rollup_path(base: str, tenant: str, date: str, hour: str) -> str:
     """Folder of one rollup hour."""
     return f"{base}/{AGGREGATES_PREFIX}/tenant_id={tenant}/date_path={date}/hour={hour}"
 
 
-def _rebalanced(df: DataFrame, *keys: str) -> DataFrame:
-    """Ask adaptive execution for evenly sized output files per key.
+def path_exists(spark: SparkSession, path: str) -> bool:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
 
-    The rebalance hint merges small partitions and splits a hot tenant's day over several
-    tasks, which a plain ``repartition`` on the keys would write from a single one.
-    """
-    return df.hint("rebalance", *keys)
 
+def replace_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
+    """Write ``df``, replacing exactly the partitions it has rows for.
 
-def write_archive(silver: DataFrame, path: str, mode: str = "append") -> None:
+    The rebalance hint merges small partitions and splits a hot one over several tasks,
+    which a plain ``repartition`` on the keys would write from a single task.
+    """
     (
-        _rebalanced(archive_rows(silver), *ARCHIVE_PARTITIONS)
-        .write.mode(mode)
-        .partitionBy(*ARCHIVE_PARTITIONS)
+        df.hint("rebalance", *keys)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "snappy")
+        .partitionBy(*keys)
         .parquet(path)
     )
 
 
+# --- archive ----------------------------------------------------------------------------
+
+
+def write_archive(silver: DataFrame, path: str, batch: str | int) -> None:
+    """Add a batch of events. Writing the same batch again replaces it."""
+    labelled = archive_rows(silver).withColumn("batch", F.lit(str(batch)))
+    replace_partitions(labelled, path, ARCHIVE_PARTITIONS)
+
+
 def cold_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Archive rows. Files written before a column existed yield NULL for it."""
-    return spark.read.schema(ARCHIVE_SCHEMA).parquet(path)
+    """Archive rows. Files written before a column existed yield NULL for it.
+
+    Filters on ``tenant_id`` and ``date_path`` prune folders.
+    """
+    return spark.read.schema(ARCHIVE_SCHEMA).parquet(path).select(*ARCHIVE_COLUMNS)
 
 
 def cold_events(spark: SparkSession, path: str) -> DataFrame:
@@ -63,16 +83,41 @@ def cold_events(spark: SparkSession, path: str) -> DataFrame:
     return params_from_archive(cold_scan(spark, path))
 
 
-def write_rollup(rollup: DataFrame, base: str, mode: str = "append") -> None:
-    """Hourly counts as snappy Parquet in Hive layout. ``overwrite`` replaces whole hours."""
+def compact_day(spark: SparkSession, path: str, staging: str, tenant: str, date: str) -> None:
+    """Merge the small files of one archive day; its rows stay the same.
+
+    The merged files are complete in ``staging`` before anything is replaced. File sizes
+    follow from measured bytes: a small day becomes one file, a hot tenant's day several. A
+    stop between the last two steps leaves rows twice, which every reader deduplicates, and
+    running the job again removes them.
+    """
+    wanted = (F.col("tenant_id") == tenant) & (F.col("date_path") == date)
+    day = spark.read.schema(ARCHIVE_SCHEMA).parquet(path).where(wanted)
+    old = [r["batch"] for r in day.select("batch").distinct().collect()]
+    merged = day.drop("batch")
+    merged.hint("rebalance").write.mode("overwrite").option(
+        "partitionOverwriteMode", "static"
+    ).parquet(staging)
     (
-        _rebalanced(rollup, *ROLLUP_PARTITIONS)
-        .write.mode(mode)
-        .option("compression", "snappy")
+        spark.read.schema(merged.schema)
+        .parquet(staging)
+        .withColumn("batch", F.lit(COMPACTED))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*ROLLUP_PARTITIONS)
-        .parquet(f"{base}/{AGGREGATES_PREFIX}")
+        .partitionBy(*ARCHIVE_PARTITIONS)
+        .parquet(path)
     )
+    jvm = spark.sparkContext._jvm
+    for batch in old:
+        if batch != COMPACTED:
+            folder = jvm.org.apache.hadoop.fs.Path(
+                f"{path}/tenant_id={tenant}/date_path={date}/batch={batch}"
+            )
+            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(folder, True)
+
+
+# --- rollup -----------------------------------------------------------------------------
 
 
 def warm_scan(
@@ -97,25 +142,43 @@ def warm_scan(
     return df
 
 
-def compact_partition(
-    spark: SparkSession, path: str, staging: str, tenant: str, date: str
-) -> None:
-    """Rewrite one archive day into few files of the advisory size, holding the same rows.
+def write_rollup(rollup: DataFrame, base: str) -> None:
+    """Store recomputed hours, replacing what was there."""
+    rows = rollup.withColumn("batch", F.lit(-1).cast("long"))
+    replace_partitions(rows, f"{base}/{AGGREGATES_PREFIX}", ROLLUP_PARTITIONS)
+
+
+def add_to_rollup(spark: SparkSession, counts: DataFrame, base: str, batch: int) -> None:
+    """Add one batch's hourly counts to the stored ones.
 
-    The new files are complete in ``staging`` before the day is replaced, so a lost
-    executor or a failed job leaves the old day readable. The rebalance sizes the files
-    from measured bytes: a small day becomes one file, a hot tenant's day several.
+    Each stored row remembers the last batch counted into it, so a batch that is delivered
+    again, wholly or after a partial write, changes nothing.
     """
-    wanted = (F.col("tenant_id") == tenant) & (F.col("date_path") == date)
-    _rebalanced(cold_scan(spark, path).where(wanted)).write.mode("overwrite").partitionBy(
-        *ARCHIVE_PARTITIONS
-    ).parquet(staging)
-    (
-        spark.read.schema(ARCHIVE_SCHEMA)
-        .parquet(staging)
-        .where(wanted)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*ARCHIVE_PARTITIONS)
-        .parquet(path)
-    )
+    new = counts.withColumn("batch", F.lit(batch).cast("long"))
+    if path_exists(spark, f"{base}/{AGGREGATES_PREFIX}"):
+        hours = counts.select(*ROLLUP_PARTITIONS).distinct()
+        first, last = counts.agg(F.min("date_path"), F.max("date_path")).head()
+        held = warm_scan(spark, base, date_from=first, date_to=last).join(
+            hours, list(ROLLUP_PARTITIONS), "left_semi"
+        )
+        seen = F.max(F.when(F.col("_old"), F.col("batch")))
+        new = (
+            held.withColumn("_old", F.lit(True))
+            .unionByName(new.withColumn("_old", F.lit(False)))
+            .groupBy(*ROLLUP_KEY)
+            .agg(
+                F.sum(F.when(F.col("_old"), F.col("count"))).alias("before"),
+                F.sum(F.when(~F.col("_old"), F.col("count"))).alias("added"),
+                seen.alias("seen"),
+                F.max("batch").alias("batch"),
+            )
+            .withColumn(
+                "count",
+                F.coalesce("before", F.lit(0))
+                + F.when(F.coalesce("seen", F.lit(-2)) >= batch, 0).otherwise(
+                    F.coalesce("added", F.lit(0))
+                ),
+            )
+            .select(*ROLLUP_KEY, "count", "batch")
+        )
+    replace_partitions(new, f"{base}/{AGGREGATES_PREFIX}", ROLLUP_PARTITIONS)
