@@ -1,4 +1,8 @@
-"""Limiters whose verdict depends on what came before: state per key, forgotten when idle."""
+"""Limiters whose verdict depends on what came before: state per key, forgotten when idle.
+
+Rows of a key are taken Arrow batch by Arrow batch as they arrive and are never gathered, so
+the memory a key needs does not grow with its traffic.
+"""
 
 from __future__ import annotations
 
@@ -9,66 +13,68 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventloom.operators.quality import IP_RATE_LIMIT, IP_WINDOW_SECS
 from eventloom.operators.ratelimit import BURST, COST, DEFAULT_RATE
+from eventloom.streaming.source import with_arrival
 
 IDLE_BUCKET_SECS = 300
 
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.sort_values(["timestamp_ms", "event_id"])
 
 
-class IpWindowCounter(StatefulProcessor):
-    """Counts of one IP in the current and the preceding epoch-aligned window.
+def _forget_after(state: GroupState, arrival: pd.Timestamp, idle_ms: int) -> None:
+    """Drop the state some time after nothing has arrived for the key for so long."""
+    state.setTimeoutTimestamp(int(arrival.timestamp() * 1000) + idle_ms)
 
-    Rows are taken batch by batch as they arrive and never gathered. A row of the preceding
-    window that arrives late is counted there; one older still stands alone.
-    """
 
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
+def _arriving(rows: DataFrame) -> DataFrame:
+    return rows if "arrival" in rows.columns else with_arrival(rows)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType(
-            [T.StructField(n, T.LongType()) for n in ("wid", "current", "previous")]
-        )
-        self.state = handle.getValueState("window", schema, ttlDurationMs=2 * self.window_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        wid, current, previous = (int(x) for x in held) if held else (-1, 0, 0)
-        for pdf in _in_order(rows):
+def _ip_window(limit: int, window_ms: int):
+    """Counts of one IP in the current and the preceding epoch-aligned window.
+
+    A row of the preceding window that arrives late is counted there; one older stands alone.
+    """
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        wid, current, previous = state.get if state.exists else (-1, 0, 0)
+        for pdf in _in_order(batches):
+            arrival = pdf["arrival"].iloc[-1]
             cur, prev = [], []
             refused = pdf["drop_reason"].notna().tolist()
-            windows = (pdf["timestamp_ms"] // self.window_ms).tolist()
-            for row_wid, skip in zip(windows, refused):
+            for row_wid, skip in zip((pdf["timestamp_ms"] // window_ms).tolist(), refused):
                 if skip:
-                    cur.append(0)
-                    prev.append(0)
-                    continue
-                if row_wid > wid:
-                    previous = current if row_wid == wid + 1 else 0
-                    wid, current = row_wid, 0
-                if row_wid == wid:
-                    current += 1
-                    cur.append(current)
-                    prev.append(previous)
-                else:
+                    seen = (0, 0)
+                elif row_wid < wid:
                     late = row_wid == wid - 1
                     previous += late
-                    cur.append(previous if late else 1)
-                    prev.append(0)
+                    seen = (previous if late else 1, 0)
+                else:
+                    if row_wid > wid:
+                        previous = current if row_wid == wid + 1 else 0
+                        wid, current = row_wid, 0
+                    current += 1
+                    seen = (current, previous)
+                cur.append(seen[0])
+                prev.append(seen[1])
             out = pdf.assign(cur_count=cur, prev_count=prev)
-            over = (out["cur_count"] + out["prev_count"] > self.limit) & (self.limit > 0)
-            out.loc[over, "drop_reason"] = f"ip_rate_limit:{key[0]}"
+            if limit:
+                over = out["cur_count"] + out["prev_count"] > limit
+                out.loc[over, "drop_reason"] = f"ip_rate_limit:{key[0]}"
             yield out
-        self.state.update((wid, current, previous))
+        state.update((wid, current, previous))
+        _forget_after(state, arrival, 2 * window_ms)
 
-    def close(self) -> None:
-        pass
+    return count
 
 
 def ip_limit(
@@ -78,58 +84,54 @@ def ip_limit(
 
     Rows that have a ``drop_reason`` already pass through uncounted.
     """
+    judged = _arriving(judged)
     counts = [T.StructField(n, T.LongType()) for n in ("cur_count", "prev_count")]
-    return judged.groupBy("ip").transformWithStateInPandas(
-        IpWindowCounter(limit, window_secs * 1000),
+    return judged.groupBy("ip").applyInPandasWithState(
+        _ip_window(limit, window_secs * 1000),
         T.StructType([*judged.schema.fields, *counts]),
-        "Append",
-        "ProcessingTime",
+        "wid long, current long, previous long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-class TokenBucket(StatefulProcessor):
-    """A tenant's bucket in thousandths of a token; an idle bucket is dropped and starts full."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType(
-            [T.StructField("tokens", T.LongType()), T.StructField("at", T.LongType())]
-        )
-        self.state = handle.getValueState("bucket", schema, ttlDurationMs=IDLE_BUCKET_SECS * 1000)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        tokens, at = (int(x) for x in held) if held else (None, 0)
-        for pdf in _in_order(rows):
-            admitted = np.zeros(len(pdf), dtype=bool)
-            for i, (ts, rate) in enumerate(zip(pdf["timestamp_ms"].tolist(), pdf["rate"].tolist())):
-                full = BURST * COST * rate
-                tokens = full if tokens is None else min(tokens + max(ts - at, 0) * rate, full)
-                at = max(ts, at)
-                if tokens >= COST:
-                    tokens -= COST
-                    admitted[i] = True
-            yield pdf[["event_id", "tenant_id", "timestamp_ms"]].assign(admitted=admitted)
-        self.state.update((tokens, at))
-
-    def close(self) -> None:
-        pass
+def _bucket(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
+    """A tenant's bucket in thousandths of a token; an idle one is dropped and starts full."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    tokens, at = state.get if state.exists else (None, 0)
+    for pdf in _in_order(batches):
+        arrival = pdf["arrival"].iloc[-1]
+        admitted = np.zeros(len(pdf), dtype=bool)
+        for i, (ts, rate) in enumerate(zip(pdf["timestamp_ms"].tolist(), pdf["rate"].tolist())):
+            full = BURST * COST * rate
+            tokens = full if tokens is None else min(tokens + max(ts - at, 0) * rate, full)
+            at = max(ts, at)
+            if tokens >= COST:
+                tokens -= COST
+                admitted[i] = True
+        yield pdf[["event_id", "tenant_id", "timestamp_ms"]].assign(admitted=admitted)
+    state.update((tokens, at))
+    _forget_after(state, arrival, IDLE_BUCKET_SECS * 1000)
 
 
 def token_bucket(silver: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """Verdict per event of a stream; ``rates`` holds (tenant_id, rate) and may be replaced
     between batches, a lower rate cutting the bucket at once."""
     rate = F.lit(DEFAULT_RATE).cast("long")
-    rows = silver.select("event_id", "tenant_id", "timestamp_ms")
+    rows = _arriving(silver).select("event_id", "tenant_id", "timestamp_ms", "arrival")
     if rates is not None:
         rows = rows.join(rates.select("tenant_id", F.col("rate").alias("_r")), "tenant_id", "left")
         rate = F.coalesce(F.col("_r").cast("long"), rate)
     return (
-        rows.select("event_id", "tenant_id", "timestamp_ms", rate.alias("rate"))
+        rows.select("event_id", "tenant_id", "timestamp_ms", "arrival", rate.alias("rate"))
         .groupBy("tenant_id")
-        .transformWithStateInPandas(
-            TokenBucket(),
+        .applyInPandasWithState(
+            _bucket,
             "event_id string, tenant_id string, timestamp_ms long, admitted boolean",
-            "Append",
-            "ProcessingTime",
+            "tokens long, at long",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )

@@ -132,8 +132,9 @@ def start_hot(clean: DataFrame, tables: Tables, pace: Pace = Pace()) -> Streamin
 
 
 def start_stats(clean: DataFrame, tables: Tables, pace: Pace = Pace()) -> StreamingQuery:
+    """Hourly counts of the clean table, whose replays the filter job has removed."""
     sink = sinks.stats_sink(tables.path("stats_hourly"))
-    return start(views.stats_hourly(source.dedup(clean)), tables, "stats", sink, pace, "update")
+    return start(views.stats_hourly(clean), tables, "stats", sink, pace, "update")
 
 
 def start_ledger(events: DataFrame, tables: Tables, pace: Pace = Pace()) -> StreamingQuery:

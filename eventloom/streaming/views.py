@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.filters import live_feed
-from eventloom.streaming.source import DEDUP_WINDOW
+from eventloom.streaming.source import dedup
 
 LIVE_SECS = 60
+HOT_RETENTION = "8 days"
 
 
-def stats_hourly(silver: DataFrame, lateness: str = DEDUP_WINDOW) -> DataFrame:
-    """Hourly counts; run in update mode into ``sinks.stats_sink``."""
+def stats_hourly(silver: DataFrame, lateness: str = HOT_RETENTION) -> DataFrame:
+    """Hourly counts; run in update mode into ``sinks.stats_sink``.
+
+    The state reaches back over the whole hot window, so only events older than the hot
+    tier keeps are left to the archive's counts.
+    """
     counted = (
         silver.withWatermark("event_time", lateness)
         .groupBy("tenant_id", "event_type", F.window("event_time", "1 hour").alias("w"))
@@ -43,9 +48,4 @@ def feed(raw: DataFrame, clean: DataFrame | None = None, **filters) -> DataFrame
     if clean is None:
         return live_feed(raw, **filters)
     both = [live_feed(f, **filters) for f in (raw, clean)]
-    return (
-        both[0]
-        .unionByName(both[1])
-        .withWatermark("event_time", DEDUP_WINDOW)
-        .dropDuplicatesWithinWatermark(["tenant_id", "event_id"])
-    )
+    return dedup(both[0].unionByName(both[1]))
