@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.filters import select_events
 from eventloom.operators.skew import ordinal
 
-CLICK_KEY = "ad_click_id"
+KEY = ["tenant_id", "ad_click_id"]
 
 
-def _clicks(events: DataFrame, kind: str) -> DataFrame:
-    return events.where(F.col("event_type") == kind)
-
-
-def _hits(events: DataFrame) -> DataFrame:
-    return events.withColumn(CLICK_KEY, F.col("params")[CLICK_KEY]).where(f"{CLICK_KEY} is not null")
+def _steps(events: DataFrame, click_type: str, *fields: str) -> DataFrame:
+    """Events by the click they belong to, in one scan: a click to itself, a hit to the click
+    it names. ``after`` is 0 for the click's own row."""
+    own = F.when(
+        F.col("event_type") == click_type,
+        F.struct(F.col("event_id").alias("ad_click_id"), F.lit(0).alias("after")),
+    )
+    named = F.col("params")["ad_click_id"]
+    hit = F.when(named.isNotNull(), F.struct(named.alias("ad_click_id"), F.lit(1).alias("after")))
+    return events.select(
+        "tenant_id", *fields, F.explode(F.array_compact(F.array(own, hit))).alias("s")
+    ).select("tenant_id", "s.ad_click_id", "s.after", *fields)
 
 
 def attribution_journey(
@@ -27,21 +34,14 @@ def attribution_journey(
     in none. Steps stay rows and are numbered by time slice, so one click may own any
     share of the hits.
     """
-    if tenant is not None:
-        events = events.where(F.col("tenant_id") == tenant)
-    fields = [
-        "event_id", "event_type", "timestamp_ms",
-        F.col("params")["page"].alias("page"), F.col("params")["href"].alias("href"),
-    ]
-    own = _clicks(events, click_type).select(
-        "tenant_id", F.col("event_id").alias(CLICK_KEY), F.lit(0).alias("_after"), *fields
+    fields = ["event_id", "event_type", "timestamp_ms", "page", "href"]
+    rows = select_events(events, tenant=tenant).withColumns(
+        {"page": F.col("params")["page"], "href": F.col("params")["href"]}
     )
-    known = own.select("tenant_id", CLICK_KEY).distinct()
-    hits = _hits(events).select("tenant_id", CLICK_KEY, F.lit(1).alias("_after"), *fields)
-    steps = own.unionByName(hits.join(known, ["tenant_id", CLICK_KEY], "left_semi"))
     return ordinal(
-        steps, ["tenant_id", CLICK_KEY], "timestamp_ms", ["_after", "event_id"], "step"
-    ).drop("_after")
+        _steps(rows, click_type, *fields), KEY, "timestamp_ms", ["after", "event_id"], "step",
+        require=F.col("after") == 0,
+    ).drop("after")
 
 
 def attribution_funnel(
@@ -49,19 +49,23 @@ def attribution_funnel(
 ) -> DataFrame:
     """Per tenant and hit type: hits, clicks that led to one, and their share of all clicks.
 
-    Hits are counted per click before the join with the clicks.
+    Rows are counted per click and type first; all that follows works on those counts.
     """
-    if tenant is not None:
-        events = events.where(F.col("tenant_id") == tenant)
-    clicks = _clicks(events, click_type).select("tenant_id", F.col("event_id").alias(CLICK_KEY)).distinct()
-    per_click = _hits(events).groupBy("tenant_id", CLICK_KEY, "event_type").agg(F.count("*").alias("n"))
-    reached = (
-        per_click.join(clicks, ["tenant_id", CLICK_KEY], "left_semi")
-        .groupBy("tenant_id", "event_type")
+    steps = _steps(select_events(events, tenant=tenant), click_type, "event_type")
+    per_click = steps.groupBy(*KEY, "event_type", "after").agg(F.count("*").alias("n"))
+    known = F.min("after").over(Window.partitionBy(*KEY)) == 0
+    per_type = (
+        per_click.withColumn("known", known)
+        .where("known")
+        .groupBy("tenant_id", "event_type", "after")
         .agg(F.sum("n").alias("hits"), F.count("*").alias("clicks_with"))
     )
-    totals = clicks.groupBy("tenant_id").agg(F.count("*").alias("clicks"))
-    return reached.join(totals, "tenant_id").select(
-        "tenant_id", "event_type", "hits", "clicks_with", "clicks",
-        (F.col("clicks_with") / F.col("clicks")).alias("rate"),
+    own = F.when(F.col("after") == 0, F.col("clicks_with"))
+    return (
+        per_type.withColumn("clicks", F.sum(own).over(Window.partitionBy("tenant_id")))
+        .where("after = 1")
+        .select(
+            "tenant_id", "event_type", "hits", "clicks_with", "clicks",
+            (F.col("clicks_with") / F.col("clicks")).alias("rate"),
+        )
     )

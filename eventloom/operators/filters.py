@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.columns import DAY_MS, HOUR_MS, clamp, newest_first, param
@@ -42,32 +43,37 @@ def cutoff_hour(as_of_ms: int, hours: int, top: int | None = MAX_HOURS) -> int:
     return hour_floor(as_of_ms) - (hours if top is None else clamp(hours, top)) * 3600
 
 
-def select_events(
-    events: DataFrame,
+def condition(
     tenant: str | None = None,
     event_types: str | list[str] | None = None,
     tu_id: str | None = None,
     since_ms: int | None = None,
     param_key: str | None = None,
     param_value: str | None = None,
-) -> DataFrame:
-    """The filters every event query shares. ``tenant=None`` means all tenants.
+) -> Column | None:
+    """The filters every event query shares, NULL-free where columns are; None for no filter.
 
-    A key without a value asks for rows that have the key.
+    ``tenant=None`` means all tenants. A key without a value asks for rows that have the key.
     """
     types = type_list(event_types)
+    parts = []
     if tenant is not None:
-        events = events.where(F.col("tenant_id") == tenant)
+        parts.append(F.col("tenant_id") == tenant)
     if types:
-        events = events.where(F.col("event_type").isin(types))
+        parts.append(F.col("event_type").isin(types))
     if tu_id is not None:
-        events = events.where(F.col("tu_id") == tu_id)
+        parts.append(F.col("tu_id") == tu_id)
     if since_ms is not None:
-        events = events.where(F.col("timestamp_ms") > since_ms)
+        parts.append(F.col("timestamp_ms") > since_ms)
     if param_key is not None:
         value = param(param_key)
-        events = events.where(value.isNotNull() if param_value is None else value == param_value)
-    return events
+        parts.append(value.isNotNull() if param_value is None else value == param_value)
+    return reduce(lambda a, b: a & b, parts) if parts else None
+
+
+def select_events(events: DataFrame, **filters) -> DataFrame:
+    wanted = condition(**filters)
+    return events if wanted is None else events.where(wanted)
 
 
 def between_dates(events: DataFrame, date_from: str | None, date_to: str | None) -> DataFrame:

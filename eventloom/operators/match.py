@@ -6,24 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.columns import HOUR_MS, canonical_params, clamp, param
-from eventloom.operators.filters import MAX_HOURS, PAGE_LIMIT, PAGE_LIMIT_MAX, select_events
+from eventloom.operators.filters import (
+    MAX_HOURS, PAGE_LIMIT, PAGE_LIMIT_MAX, condition, select_events,
+)
 
 KEY = ["tenant_id", "on_value"]
 MAX_PAGE_ROWS = 10_000
 
 
-def _sides(
-    events: DataFrame, trigger: str, result: str, on: str, as_of_ms: int, hours: int,
-    tenant: str | None, **trigger_filters,
-) -> tuple[DataFrame, DataFrame]:
+def _recent(events: DataFrame, on: str, as_of_ms: int, hours: int, tenant: str | None) -> DataFrame:
+    """Events of the window that carry the shared value, as ``on_value``."""
     since = as_of_ms - clamp(hours, MAX_HOURS) * HOUR_MS
-    window = events.where(F.col("timestamp_ms") >= since)
-    keyed = lambda df: df.withColumn("on_value", param(on)).where("on_value is not null")
-    triggers = keyed(
-        select_events(window, tenant=tenant, **trigger_filters).where(F.col("event_type") == trigger)
-    )
-    results = keyed(select_events(window, tenant=tenant).where(F.col("event_type") == result))
-    return triggers, results
+    rows = select_events(events.where(F.col("timestamp_ms") >= since), tenant=tenant)
+    return rows.withColumn("on_value", param(on)).where("on_value is not null")
 
 
 def match_pairs(
@@ -51,9 +46,9 @@ def match_pairs(
     each trigger's earliest result.
     """
     reach = offset + clamp(limit, PAGE_LIMIT_MAX)
-    triggers, results = _sides(
-        events, trigger, result, on, as_of_ms, hours, tenant, **trigger_filters
-    )
+    recent = _recent(events, on, as_of_ms, hours, tenant)
+    triggers = select_events(recent.where(F.col("event_type") == trigger), **trigger_filters)
+    results = recent.where(F.col("event_type") == result)
     newest = (
         triggers.select(
             *KEY,
@@ -139,24 +134,30 @@ def match_summary(
 ) -> DataFrame:
     """Distinct trigger values, how many have a result, how many have none, and the rate.
 
-    Both sides shrink to one row per value before they meet, so popular values cost nothing
-    and no pair is formed: whether a value matches follows from its first and last times.
+    One pass and one row per value: whether a value matches follows from the first and last
+    times of its two sides, so popular values cost nothing and no pair is formed.
     """
-    triggers, results = _sides(
-        events, trigger, result, on, as_of_ms, hours, tenant, **trigger_filters
-    )
-    values = triggers.groupBy(*KEY).agg(
-        F.min("timestamp_ms").alias("t_first"), F.max("timestamp_ms").alias("t_last")
+    kind, ts = F.col("event_type"), F.col("timestamp_ms")
+    wanted = condition(**trigger_filters)
+    is_trigger = kind == trigger if wanted is None else (kind == trigger) & wanted
+    values = (
+        _recent(events, on, as_of_ms, hours, tenant)
+        .where(kind.isin(trigger, result))
+        .groupBy(*KEY)
+        .agg(
+            F.min(F.when(is_trigger, ts)).alias("t_first"),
+            F.max(F.when(is_trigger, ts)).alias("t_last"),
+            F.max(F.when(kind == result, ts)).alias("r_last"),
+        )
+        .where("t_first is not null")
     )
-    found = results.groupBy(*KEY).agg(F.max("timestamp_ms").alias("r_last"))
-    both = values.join(found, KEY, "left")
     if require_after:
         matched = F.coalesce(F.col("r_last") >= F.col("t_first"), F.lit(False))
         unmatched = F.coalesce(F.col("r_last") < F.col("t_last"), F.lit(True))
     else:
         matched, unmatched = F.col("r_last").isNotNull(), F.col("r_last").isNull()
     total, hits = F.count("*"), F.count_if(matched)
-    return both.agg(
+    return values.agg(
         total.alias("total_triggers"),
         hits.alias("matched"),
         F.count_if(unmatched).alias("unmatched"),

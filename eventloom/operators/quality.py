@@ -292,9 +292,13 @@ def quality_filter(
     rules: DataFrame | None = None,
     ip_limit: int = IP_RATE_LIMIT,
     window_secs: int = IP_WINDOW_SECS,
-    sketch: bool = True,
+    sketch: bool = False,
 ) -> DataFrame:
-    """All checks in order: user agent, IP rate, tenant rules. Adds ``drop_reason`` and ``flags``."""
+    """All checks in order: user agent, IP rate, tenant rules. Adds ``drop_reason`` and ``flags``.
+
+    IPs are counted exactly, in one shuffle. ``sketch`` counts as a fixed-size sketch would,
+    collisions included, which takes a shuffle per sketch row.
+    """
     if rules is None:
         judged = events.withColumns(
             {"drop_reason": F.lit(None).cast("string"), "flags": F.array().cast("array<string>")}

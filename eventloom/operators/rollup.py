@@ -130,8 +130,8 @@ def apply_batch(ledger: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFr
 
 def merge_stats(stats: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Stats with the recomputed keys replaced."""
-    key = ["tenant_id", "event_type", "hour"]
-    return stats.join(recomputed.select(*key), key, "left_anti").unionByName(recomputed)
+    both = stats.withColumn("_new", F.lit(0)).unionByName(recomputed.withColumn("_new", F.lit(1)))
+    return both.groupBy("tenant_id", "event_type", "hour").agg(F.max_by("count", "_new").alias("count"))
 
 
 def prune_ledger(ledger: DataFrame, as_of_ms: int, days: int = LEDGER_DAYS) -> DataFrame:

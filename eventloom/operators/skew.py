@@ -18,21 +18,30 @@ def _slice(ts: str, slice_ms: int) -> Column:
 
 
 def ordinal(
-    df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str, slice_ms: int = SLICE_MS
+    df: DataFrame, keys: list[str], ts: str, ties: list[str], out: str,
+    slice_ms: int = SLICE_MS, require: Column | None = None,
 ) -> DataFrame:
-    """1-based position of each row within its key, by ``ts`` then ``ties``."""
+    """1-based position of each row within its key, by ``ts`` then ``ties``.
+
+    With ``require``, only keys having at least one row for which it holds are kept.
+    """
     sliced = df.withColumn("_slice", _slice(ts, slice_ms))
     inside = sliced.withColumn(
         "_pos", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(ts, *ties))
     )
+    held = F.lit(1) if require is None else F.when(require, 1).otherwise(0)
+    whole_key = Window.partitionBy(*keys)
     before = (
         sliced.groupBy(*keys, "_slice")
-        .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_before",
-            F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice")) - F.col("_n"),
+        .agg(F.count("*").alias("_n"), F.max(held).alias("_held"))
+        .withColumns(
+            {
+                "_before": F.sum("_n").over(whole_key.orderBy("_slice")) - F.col("_n"),
+                "_held": F.max("_held").over(whole_key),
+            }
         )
-        .drop("_n")
+        .where("_held = 1")
+        .drop("_n", "_held")
     )
     return (
         inside.join(before, [*keys, "_slice"])
