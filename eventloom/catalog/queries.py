@@ -419,14 +419,18 @@ def top_types(spark, sf):
 @query
 def merged_stats(spark, sf):
     rows = td.replayed(spark, sf)
-    hot = rollup.stats_hourly(dedup.dedup_latest(rows))
+    hot = rollup.stats_hourly(
+        dedup.dedup_latest(rows.select("event_id", "timestamp_ms", "tenant_id", "event_type"))
+    )
     return tiers.merged_stats(hot, AS_OF, cold=rows, hours=720)
 
 
 @query
 def merged_stats_warm(spark, sf):
     rows = td.replayed(spark, sf)
-    hot = rollup.stats_hourly(dedup.dedup_latest(rows))
+    hot = rollup.stats_hourly(
+        dedup.dedup_latest(rows.select("event_id", "timestamp_ms", "tenant_id", "event_type"))
+    )
     return tiers.merged_stats(
         hot, AS_OF, warm=rollup.warm_rollup(rows), tenant="t0", plan="free",
         date_from="2023-12-20", date_to="2024-01-28",
@@ -436,7 +440,9 @@ def merged_stats_warm(spark, sf):
 @query
 def merged_stats_link(spark, sf):
     rows = td.replayed(spark, sf)
-    hot = rollup.stats_hourly_by_link(dedup.dedup_latest(rows))
+    hot = rollup.stats_hourly_by_link(
+        dedup.dedup_latest(rows.select("event_id", "timestamp_ms", "tenant_id", "tu_id", "event_type"))
+    )
     return tiers.merged_stats(
         hot, AS_OF, warm=rollup.warm_rollup(rows), cold=rows, plan="free", tu_id="tu_1", hours=400
     )
@@ -507,8 +513,8 @@ def payload_sum(spark, sf):
 
 @query
 def dedup_latest(spark, sf):
-    return dedup.dedup_latest(td.replayed(spark, sf)).select(
-        "event_id", "tenant_id", "event_type", "timestamp_ms"
+    return dedup.dedup_latest(
+        td.replayed(spark, sf).select("event_id", "tenant_id", "event_type", "timestamp_ms")
     )
 
 
@@ -563,8 +569,7 @@ def json_functions(spark, sf):
 
 @query
 def report_latest(spark, sf):
-    rows = filters.select_events(td.replayed(spark, sf), tenant="t0")
-    return reports.report(dedup.dedup_latest(rows), "latest")
+    return reports.report(filters.select_events(td.replayed(spark, sf), tenant="t0"), "latest")
 
 
 # --- vectors and links ------------------------------------------------------------------

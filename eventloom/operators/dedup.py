@@ -3,34 +3,40 @@ limit in every map task, so a key holding a third of all rows ships a few rows p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.columns import canonical_params, newest_first
+from eventloom.functions.columns import newest_first
 
 RECENT_PER_TENANT = 1000
 RECENT_PER_LINK = 20
 
 
+def _first_copy(events: DataFrame, time: Column) -> DataFrame:
+    """One row per event id by ``time``; copies of one time are told apart by a hash over
+    all other columns, so that runs repeat."""
+    rest = [
+        F.map_entries(name) if kind.startswith("map") else F.col(name)
+        for name, kind in events.dtypes
+        if name not in ("event_id", "timestamp_ms")
+    ]
+    ties = [F.xxhash64(*rest)] if rest else []
+    order = Window.partitionBy("event_id").orderBy(time, *ties)
+    return events.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
 def dedup_latest(events: DataFrame) -> DataFrame:
-    """One row per event id: the latest, with a total tie-break so that runs repeat.
+    """One row per event id: the latest.
 
-    Push filters into ``events`` first; Spark cannot move them below the rank.
+    Filter and select before calling: Spark cannot move a filter below the rank, and only
+    the columns present are read, shuffled and used to break ties.
     """
-    as_text = dict(events.dtypes)["params"] == "string"
-    params = F.col("params") if as_text else canonical_params(F.col("params"))
-    order = Window.partitionBy("event_id").orderBy(
-        F.desc("timestamp_ms"), "tenant_id", "event_type", "ip", "user_agent", params
-    )
-    return events.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    return _first_copy(events, F.desc("timestamp_ms"))
 
 
 def dedup_earliest(events: DataFrame) -> DataFrame:
     """One row per event id: the first copy, as a table that ignores repeated ids keeps it."""
-    order = Window.partitionBy("event_id").orderBy(
-        "timestamp_ms", "tenant_id", "event_type", "ip", "user_agent", canonical_params(F.col("params"))
-    )
-    return events.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    return _first_copy(events, F.asc("timestamp_ms"))
 
 
 def newest_per_key(events: DataFrame, key: str, n: int) -> DataFrame:

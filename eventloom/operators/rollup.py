@@ -38,7 +38,10 @@ def warm_rollup(events: DataFrame) -> DataFrame:
 
 def warm_reconcile(events: DataFrame, date: str) -> DataFrame:
     """One day's rollup recomputed from deduplicated history."""
-    return warm_rollup(dedup_latest(events.where(F.col("date_path") == date)))
+    day = events.where(F.col("date_path") == date)
+    return warm_rollup(
+        dedup_latest(day.select("event_id", "timestamp_ms", "tenant_id", "event_type", "date_path"))
+    )
 
 
 def reconcile_day(spark: SparkSession, archive: str, base: str, date: str) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -31,20 +30,22 @@ def event_text(params: Column | None = None) -> Column:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _embed(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _embed(texts: pa.Array) -> pa.Array:
+    """A whole Arrow batch at once: a matrix of each text's bytes, repeated to 384 places."""
+    data = [t.encode() if t else b"" for t in texts.to_pylist()]
+    sizes = np.fromiter((len(d) for d in data), dtype=np.int64, count=len(data))
+    starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(data) else sizes
+    kept = np.flatnonzero(sizes)
     places = np.arange(EMBEDDING_DIM)
-    drift = places.astype(np.float32) * np.float32(POSITION_FACTOR)
-
-    def one(text: str | None):
-        if not text:
-            return None
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
-        v = np.sin(data[places % len(data)].astype(np.float32) * np.float32(BYTE_FACTOR) + drift)
-        norm = np.sqrt(np.sum(v * v))
-        return v / norm if norm > 0 else v
-
-    return texts.map(one)
+    letters = np.frombuffer(b"".join(data), dtype=np.uint8)
+    grid = letters[starts[kept, None] + places % sizes[kept, None]].astype(np.float32)
+    v = np.sin(grid * np.float32(BYTE_FACTOR) + places.astype(np.float32) * np.float32(POSITION_FACTOR))
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), np.finfo(np.float32).tiny)[:, None]
+    ends = np.r_[0, np.cumsum(np.where(sizes > 0, EMBEDDING_DIM, 0))].astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(ends), pa.array(v.astype(np.float32).ravel()), mask=pa.array(sizes == 0)
+    )
 
 
 def embedding(text: Column) -> Column:

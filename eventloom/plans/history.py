@@ -16,8 +16,8 @@ EVENT_COLUMNS = (
 )
 
 
-def _deduped(events: DataFrame, date_from, date_to, **filters) -> DataFrame:
-    return dedup_latest(select_events(between_dates(events, date_from, date_to), **filters))
+def _matching(events: DataFrame, date_from, date_to, **filters) -> DataFrame:
+    return select_events(between_dates(events, date_from, date_to), **filters)
 
 
 def events_history(
@@ -26,8 +26,7 @@ def events_history(
 ) -> DataFrame:
     """Newest events of a date range, each once, under the names the hot list uses."""
     return (
-        _deduped(events, date_from, date_to, **filters)
-        .select(*EVENT_COLUMNS)
+        dedup_latest(_matching(events, date_from, date_to, **filters).select(*EVENT_COLUMNS))
         .orderBy(*newest_first())
         .limit(limit)
         .withColumnRenamed("timestamp_ms", "timestamp")
@@ -56,9 +55,14 @@ def history_stats(
     Rows without the params key are left out of its breakdown.
     """
     extra, order, limited = _grouping(group_by)
-    rows = _deduped(events, date_from, date_to, **filters)
-    if "param_value" in extra:
-        rows = rows.where(extra["param_value"].isNotNull())
     groups = [c.alias(n) for n, c in extra.items()]
-    counted = rows.groupBy(*groups, "event_type").count().orderBy(*order)
+    # Only what the counts need travels through the ranking shuffle.
+    rows = dedup_latest(
+        _matching(events, date_from, date_to, **filters).select(
+            "event_id", "timestamp_ms", "event_type", *groups
+        )
+    )
+    if "param_value" in extra:
+        rows = rows.where("param_value is not null")
+    counted = rows.groupBy(*extra, "event_type").count().orderBy(*order)
     return counted.limit(limit) if limited else counted

@@ -1,4 +1,4 @@
-"""Canned reports by name, over deduplicated events of one tenant."""
+"""Canned reports by name, over one tenant's events, each counted once."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.columns import newest_first
+from eventloom.operators.dedup import dedup_latest
 
 
 def _by_type(events: DataFrame, limit: int | None) -> DataFrame:
-    counted = events.groupBy("event_type").count().orderBy(F.desc("count"), "event_type")
+    unique = dedup_latest(events.select("event_id", "timestamp_ms", "event_type"))
+    counted = unique.groupBy("event_type").count().orderBy(F.desc("count"), "event_type")
     return counted if limit is None else counted.limit(limit)
 
 
 def _latest(events: DataFrame) -> DataFrame:
     return (
-        events.select("event_id", "event_type", "timestamp_ms", "ip", "user_agent")
+        dedup_latest(events.select("event_id", "event_type", "timestamp_ms", "ip", "user_agent"))
         .orderBy(*newest_first())
         .limit(20)
     )

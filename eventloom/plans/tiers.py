@@ -126,7 +126,8 @@ def merged_stats(
                 .where(F.col("date_path").between(day_of(first * 1000), day_of(until * 1000)))
                 .where((F.col("timestamp_ms") >= first * 1000) & (F.col("timestamp_ms") < until * 1000))
             )
-            counted = dedup_latest(rows).groupBy("event_type").agg(F.count("*").alias("n"))
+            unique = dedup_latest(rows.select("event_id", "timestamp_ms", "event_type"))
+            counted = unique.groupBy("event_type").agg(F.count("*").alias("n"))
             parts.append(counted)
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return merged.groupBy("event_type").agg(F.sum("n").alias("total"))

@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions import crypto
+from eventloom.functions.columns import date_path, event_hour
 from eventloom.operators.skew import latest_before
-from eventloom.schema import derive_silver
+from eventloom.schema import SILVER_COLUMNS
 from eventloom.session import configure
 
 AS_OF_MS = 1706659200000  # 2024-01-31T00:00:00Z
 GLOBAL_SECRET = "super-secret-key-change-me"
 
-_ENVELOPE = """
-select cast(event_id as string) event_id, event_type,
-  unix_millis(cast(ts as timestamp)) `timestamp`,
+_EVENTS = """
+select cast(event_id as string) event_id, tenant_id, tu_id, event_type, timestamp_ms,
+  timestamp_millis(timestamp_ms) event_time,
   concat('10.0.0.', user_id % 16) ip,
   case event_id % 10 when 0 then 'Googlebot/2.1' when 1 then '' else 'Mozilla/5.0' end user_agent,
   case when event_id % 3 = 0 then null else concat('https://ref', k % 4, '.example.com/') end referer,
@@ -27,17 +28,20 @@ select cast(event_id as string) event_id, event_type,
   case event_type when 'click' then '/t' when 'purchase' then '/p' when 'view' then '/i'
     else '/ingest' end request_path,
   'track.example.com' request_host,
-  map_filter(map(
-    'key_prefix', concat('t', user_id % 4),
-    'tu_id', case when k % 5 = 0 then null else concat('tu_', k % 8) end,
-    'click_id', cast(user_id as string),
-    'sub1', element_at(array('google_search','facebook_ads','tiktok','email_blast','organic'),
-      cast(k % 5 + 1 as int)),
-    'geo', element_at(array('US','UK','DE','FR','JP','BR','AU'), cast(user_id % 7 + 1 as int))),
-    (key, v) -> v is not null) params,
+  if(tu_id is null,
+    map('key_prefix', tenant_id, 'click_id', click_id, 'sub1', sub1, 'geo', geo),
+    map('key_prefix', tenant_id, 'tu_id', tu_id, 'click_id', click_id, 'sub1', sub1, 'geo', geo)
+  ) params,
   to_json(named_struct('amount', event_id % 100,
     'currency', element_at(array('usd','eur','gbp'), cast(user_id % 3 + 1 as int)))) raw_payload
-from (select *, cast(get_json_object(props, '$.k') as int) k from {events})
+from (
+  select *, concat('t', user_id % 4) tenant_id, cast(user_id as string) click_id,
+    case when k % 5 = 0 then null else concat('tu_', k % 8) end tu_id,
+    element_at(array('google_search','facebook_ads','tiktok','email_blast','organic'),
+      cast(k % 5 + 1 as int)) sub1,
+    element_at(array('US','UK','DE','FR','JP','BR','AU'), cast(user_id % 7 + 1 as int)) geo
+  from (select *, cast(get_json_object(props, '$.k') as int) k,
+    unix_millis(cast(ts as timestamp)) timestamp_ms from {events}))
 """
 
 _RULES = """
@@ -77,21 +81,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_ENVELOPE, events=_table(spark, sf_dir, "events"))
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_EVENTS, events=_table(spark, sf_dir, "events"))
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
+        {
+            "event_time": F.timestamp_millis("timestamp_ms"),
+            "date_path": date_path("timestamp_ms"),
+            "event_hour": event_hour("timestamp_ms"),
+        }
+    ).select(*SILVER_COLUMNS)
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive_silver(envelopes(spark, sf_dir))
+    """The events table as a silver table would hold it: tenant and link in columns of their
+    own, so that a query which needs no other parameter never builds the map."""
+    return _dated(_rows(spark, sf_dir))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver rows as a replaying log leaves them: every tenth event again, 5 s later."""
-    rows = envelopes(spark, sf_dir)
+    rows = _rows(spark, sf_dir)
     again = rows.where("cast(event_id as bigint) % 10 = 0").withColumn(
-        "timestamp", F.col("timestamp") + 5000
+        "timestamp_ms", F.col("timestamp_ms") + 5000
     )
-    return derive_silver(rows.unionByName(again))
+    return _dated(rows.unionByName(again))
 
 
 def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,3 +173,13 @@ def test_deduped_is_deduplicated(spark, sf):
     ).head()
     assert got.n == got.d == dedup.dedup_latest(td.replayed(spark, sf)).count()
     assert "event_id:string" in sqlscope.describe_views(spark, {"v": lambda s: td.silver(s, sf)})["v"]
+
+
+def test_test_tables_follow_the_silver_rules(spark, sf):
+    from eventloom.schema import derive_silver
+
+    given = td.silver(spark, sf)
+    envelope = given.drop("tenant_id", "tu_id", "event_time", "date_path", "event_hour")
+    derived = derive_silver(envelope.withColumnRenamed("timestamp_ms", "timestamp"))
+    cols = [c for c in given.columns if c != "params"]
+    assert keys(given, *cols, F.to_json("params")) == keys(derived, *cols, F.to_json("params"))
