@@ -1,9 +1,12 @@
-"""HMAC, AES and sketch hashes as built-in expressions; no Python runs per row."""
+"""HMAC and AES as built-in expressions, sketch hashes by Arrow batch; no Python per row."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 64  # SHA-256 block size in bytes
 
@@ -81,22 +84,28 @@ def aes_open(blob: Column, key_hex: Column) -> Column:
     return F.try_aes_decrypt(data, F.unhex(key_hex), F.lit("GCM")).cast("string")
 
 
-def sketch_slot(text: Column, row: int) -> Column:
-    """Slot of an ASCII string in one sketch row: FNV-1a modulo 65,536.
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _slots(texts: pa.Array) -> pa.Array:
+    """FNV-1a modulo 65,536 of whole Arrow batches, one character position at a time.
 
     The multiply only carries upwards, so the low 16 bits of the 64-bit hash follow from
     the low 16 bits of seed and prime alone.
     """
     mask = CMS_WIDTH - 1
-    seed = F.lit((FNV_OFFSET + row * FNV_ROW_STEP) & mask)
-    prime = F.lit(FNV_PRIME & mask)
-    steps = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(
-        steps,
-        seed,
-        lambda h, i: (h.bitwiseXOR(F.ascii(F.substring(text, i, F.lit(1)))) * prime).bitwiseAND(
-            F.lit(mask)
-        ),
-    )
+    data = [(t or "").encode() for t in texts.to_pylist()]
+    sizes = np.fromiter((len(d) for d in data), dtype=np.int64, count=len(data))
+    starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(data) else sizes
+    letters = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint32)
+    seeds = [(FNV_OFFSET + row * FNV_ROW_STEP) & mask for row in range(CMS_DEPTH)]
+    slots = np.tile(np.array(seeds, dtype=np.uint32), (len(data), 1))
+    for place in range(int(sizes.max(initial=0))):
+        live = np.flatnonzero(sizes > place)
+        mixed = slots[live] ^ letters[starts[live] + place][:, None]
+        slots[live] = mixed * np.uint32(FNV_PRIME & mask) & np.uint32(mask)
+    ends = np.arange(0, slots.size + 1, CMS_DEPTH, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(slots.astype(np.int32).ravel()))
+
+
+def sketch_slots(text: Column) -> Column:
+    """The slots of a string in the four sketch rows, as an array."""
+    return _slots(text)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.crypto import CMS_DEPTH, sketch_slot
+from eventloom.functions.crypto import CMS_DEPTH, sketch_slots
 
 # User-agent substrings that mark a bot, tried in this order.
 BOT_UA_PATTERNS = (
@@ -230,7 +230,11 @@ def ip_rate_sketch(
     """
     rows = _windowed(events, window_secs)
     names = [f"_slot{i}" for i in range(CMS_DEPTH)]
-    out = rows.withColumns({n: sketch_slot(F.col("ip"), i) for i, n in enumerate(names)})
+    out = (
+        rows.withColumn("_slots", sketch_slots(F.col("ip")))
+        .withColumns({n: F.col("_slots")[i] for i, n in enumerate(names)})
+        .drop("_slots")
+    )
     per_ip = out.groupBy("wid", *names).agg(F.count("*").alias("_n"))
     for i, slot in enumerate(names):
         order = Window.partitionBy("wid", slot).orderBy("timestamp_ms", "event_id")
@@ -264,17 +268,8 @@ def cms_ip_counts(events: DataFrame) -> DataFrame:
     distinct IPs are hashed and shuffled again."""
     per_ip = events.groupBy("ip").agg(F.count("*").alias("exact"))
     cells = per_ip.select(
-        "ip",
-        "exact",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("row"), sketch_slot(F.col("ip"), i).alias("slot"))
-                    for i in range(CMS_DEPTH)
-                ]
-            )
-        ).alias("cell"),
-    ).select("ip", "exact", "cell.row", "cell.slot")
+        "ip", "exact", F.posexplode(sketch_slots(F.col("ip"))).alias("row", "slot")
+    )
     # At most 4 x 65,536 rows, whatever the number of IPs: a proven bound to broadcast.
     table = cells.groupBy("row", "slot").agg(F.sum("exact").alias("total"))
     return (

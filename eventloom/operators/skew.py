@@ -68,13 +68,17 @@ def latest_before(
     )
     inside = sliced.withColumn("_in", F.last("_value", ignorenulls=True).over(earlier))
     slices = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # Slices and their last values apart: the first aggregates by hash, and only rows with a
+    # value pay for ordering.
+    ends = (
+        sliced.where("_value is not null")
+        .groupBy(*keys, "_slice")
+        .agg(F.max_by("_value", F.struct(ts, *ties)).alias("_last"))
+    )
     carried = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(
-            F.max(
-                F.when(F.col("_value").isNotNull(), F.struct(ts, *ties, "_value"))
-            )["_value"].alias("_last")
-        )
+        sliced.select(*keys, "_slice")
+        .distinct()
+        .join(ends, [*keys, "_slice"], "left")
         .withColumn("_carry", F.last("_last", ignorenulls=True).over(slices))
         .drop("_last")
     )

@@ -33,7 +33,8 @@ select cast(event_id as string) event_id, tenant_id, tu_id, event_type, timestam
     map('key_prefix', tenant_id, 'tu_id', tu_id, 'click_id', click_id, 'sub1', sub1, 'geo', geo)
   ) params,
   to_json(named_struct('amount', event_id % 100,
-    'currency', element_at(array('usd','eur','gbp'), cast(user_id % 3 + 1 as int)))) raw_payload
+    'currency', element_at(array('usd','eur','gbp'), cast(user_id % 3 + 1 as int)))) raw_payload,
+  ad_click
 from (
   select *, concat('t', user_id % 4) tenant_id, cast(user_id as string) click_id,
     case when k % 5 = 0 then null else concat('tu_', k % 8) end tu_id,
@@ -81,8 +82,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_EVENTS, events=_table(spark, sf_dir, "events"))
+def _rows(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    if events is None:
+        events = _table(spark, sf_dir, "events").withColumn("ad_click", F.lit(None).cast("string"))
+    return spark.sql(_EVENTS, events=events)
 
 
 def _dated(rows: DataFrame) -> DataFrame:
@@ -112,16 +115,20 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver rows whose hits carry the id of the user's latest earlier click."""
-    rows = silver(spark, sf_dir).withColumn("_user", F.col("params")["click_id"])
-    own = F.when(F.col("event_type") == "click", F.col("event_id"))
-    linked = latest_before(rows, ["_user"], "timestamp_ms", ["event_id"], own, "_click", 86_400_000)
-    hit = (F.col("event_type") != "click") & F.col("_click").isNotNull()
+    rows = _table(spark, sf_dir, "events").selectExpr(
+        "*", "unix_millis(cast(ts as timestamp)) at_ms", "cast(event_id as string) id"
+    )
+    own = F.when(F.col("event_type") == "click", F.col("id"))
+    linked = latest_before(rows, ["user_id"], "at_ms", ["id"], own, "ad_click", 86_400_000)
     extra = F.create_map(
-        F.lit("ad_click_id"), F.col("_click"), F.lit("page"), F.col("request_path")
+        F.lit("ad_click_id"), F.col("ad_click"), F.lit("page"), F.col("request_path")
+    )
+    hit = (F.col("event_type") != "click") & F.col("ad_click").isNotNull()
+    return _dated(
+        _rows(spark, sf_dir, linked).withColumn(
+            "params", F.when(hit, F.map_concat("params", extra)).otherwise(F.col("params"))
+        )
     )
-    return linked.withColumn(
-        "params", F.when(hit, F.map_concat("params", extra)).otherwise(F.col("params"))
-    ).drop("_user", "_click")
 
 
 def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
