@@ -353,8 +353,7 @@ def signed_link_audit(spark, sf):
 def page_plus_live(spark, sf):
     rows = td.silver(spark, sf).where("tu_id = 'tu_2'").select("event_id", "event_type", "timestamp_ms")
     fetched = filters.page(rows.where(F.col("timestamp_ms") < AS_OF - 7_200_000), 100)
-    live = rows.orderBy(F.desc("timestamp_ms"), F.desc("event_id")).limit(filters.FEED_BUFFER)
-    return filters.page_plus_live(fetched, live)
+    return filters.page_plus_live(fetched, rows)
 
 
 # --- aggregations -----------------------------------------------------------------------

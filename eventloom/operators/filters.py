@@ -130,7 +130,8 @@ def live_feed(
     return merged.dropDuplicates(["event_id"]) if len(feeds) > 1 else merged
 
 
-def page_plus_live(page_rows: DataFrame, live: DataFrame) -> DataFrame:
-    """A fetched page with the live rows it does not hold yet, newest first."""
-    new = live.dropDuplicates(["event_id"]).join(page_rows.select("event_id"), "event_id", "left_anti")
-    return new.unionByName(page_rows).orderBy(*newest_first())
+def page_plus_live(page_rows: DataFrame, live: DataFrame, buffer: int = FEED_BUFFER) -> DataFrame:
+    """A fetched page with the newest live rows it does not hold yet, newest first."""
+    held = live.orderBy(*newest_first()).limit(buffer).dropDuplicates(["event_id"])
+    new = held.join(page_rows.select("event_id"), "event_id", "left_anti")
+    return new.unionByName(page_rows).orderBy(*newest_first()).limit(PAGE_LIMIT_MAX + buffer)
