@@ -91,7 +91,7 @@ def normalize_requests(
     registry = links.select("tu_id", "key_prefix")
     tracked = (
         rows.where(short)
-        .withColumn("tu_id", F.substring("path", 4, 1_000))
+        .withColumn("tu_id", F.substring(path, F.lit(4), F.length(path)))
         .join(registry, "tu_id")
         .select(
             *_envelope(
