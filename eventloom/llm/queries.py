@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, packing, secrets, simhash
+from . import cover_tree, packing, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs.select("doc_id", "text"), rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -34,4 +42,4 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_secret_scan, op9_simhash, op10_cover_tree)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op9_simhash, op10_cover_tree)}
