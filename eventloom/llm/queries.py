@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, packing, quality_rules, secrets, simhash
+from . import cover_tree, licenses, packing, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, bits=3)
     return found.select(
@@ -42,4 +46,4 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op9_simhash, op10_cover_tree)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op8_license_scan, op9_simhash, op10_cover_tree)}
