@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, licenses, packing, quality_rules, secrets, simhash
+from . import bloom_lm, cover_tree, licenses, packing, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return bloom_lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -46,4 +51,4 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op8_license_scan, op9_simhash, op10_cover_tree)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op6_bloom_lm, op8_license_scan, op9_simhash, op10_cover_tree)}
