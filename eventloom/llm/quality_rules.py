@@ -289,4 +289,8 @@ def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFram
     prefix = spare_name(docs, "rule_")
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
-    return judge(docs, rules, text_col, prefix).where(F.col(f"{prefix}kept")).select(*[f"`{c}`" for c in docs.columns])
+    # The row number keeps the condition above the counts: pushed below them, it would hold a copy
+    # of every nested expression.
+    judged = judge(docs, rules, text_col, prefix).withColumn(f"{prefix}row", F.monotonically_increasing_id())
+    kept = judged.where(F.col(f"{prefix}kept") & (F.col(f"{prefix}row") >= 0))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

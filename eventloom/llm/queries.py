@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, cover_tree, licenses, packing, quality_rules, secrets, simhash
+from . import bloom_lm, cover_tree, kn_classifier, licenses, packing, quality_rules, secrets, sentencepiece_nbest, simhash, token_scan
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kn_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("k1", "k2")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,11 +36,23 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3)
+
+
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return bloom_lm.score(table(spark, sf_dir, "documents"), held_out)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    blocks, order = token_scan.flat_table(docs, tokenizer_path("byte_bpe_50k.json"))
+    return token_scan.scan(blocks).join(order, ["file", "doc_no"], "left").select(
+        "doc_id", "file", "doc_no", "start", "n_tokens", "closed"
+    )
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -51,4 +68,10 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_packing, op4_secret_scan, op6_bloom_lm, op8_license_scan, op9_simhash, op10_cover_tree)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_quality_classifier, op3_packing, op4_secret_scan, op5_sentencepiece,
+        op6_bloom_lm, op7_token_counts, op8_license_scan, op9_simhash, op10_cover_tree,
+    )
+}
