@@ -42,6 +42,7 @@ HASHES = 8
 BITS_PER_ENTRY = 11.6
 LEVEL_BASE = math.sqrt(2)
 FLUSH = 200_000
+CHUNK_TOKENS = 1 << 19
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -207,42 +208,49 @@ def _score(head: dict[bytes, int], log_u: np.ndarray, n_pair: int, n_shards: int
     """
     end = head[END]
 
+    def scored(docs: list[tuple], ids: list[np.ndarray], tools: tuple) -> pa.RecordBatch:
+        """A chunk of texts: (row, id, held out, rare words) each, and their words' ids."""
+        filter_, counts, rest = tools
+        n = len(docs)
+        doc = np.repeat(np.arange(n), [len(x) - 1 for x in ids])
+        v, w = (np.concatenate([x[k : len(x) - 1 + k] for x in ids]) for k in range(2))
+        known, paired = w >= 0, (v >= 0) & (v < n_pair)
+        base, total = np.zeros(n), np.zeros(n)
+        if part == 0:
+            base = np.bincount(doc[known], log_u[w[known]], n)
+            # Every word is U(w), after a frequent word less what its pairs take.
+            total = base + np.bincount(doc[paired], np.log10(rest[v[paired]]), n)
+        both = np.flatnonzero(paired & known & (w < n_pair))
+        level = filter_.levels(v[both].astype(np.uint64) << np.uint64(32) | w[both].astype(np.uint64), v[both] % n_shards)
+        both, level = both[level > 0], level[level > 0]
+        back = rest[v[both]] * 10.0 ** log_u[w[both]]
+        own = (count_of(level) - DISCOUNT) / counts[v[both]]
+        total += np.bincount(doc[both], np.log10(np.minimum(1.0, own + back)) - np.log10(back), n)
+        rare = [(d[0], x, c) for d in docs for x, c in d[3].items()] if part == 0 else []
+        m = len(rare)
+        columns = [
+            [d[0] for d in docs] + [r[0] for r in rare], [d[1] for d in docs] + [None] * m, [d[2] for d in docs] + [None] * m,
+            np.bincount(doc, minlength=n).tolist() + [None] * m, np.bincount(doc[known], minlength=n).tolist() + [None] * m,
+            base.tolist() + [None] * m, total.tolist() + [None] * m, [None] * n + [r[1] for r in rare], [None] * n + [r[2] for r in rare],
+        ]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in ROW.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, counts, rest = shared.value
-        row = TaskContext.get().partitionId() << 40
+        tools, row, docs, held, size = shared.value, TaskContext.get().partitionId() << 40, [], [], 0
         for batch in batches:
-            docs, rare = [], []
             for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = _words(text.as_py())
-                ids = np.fromiter((head.get(w, -1) for w in words), np.int64, len(words))
-                ids = np.concatenate([[end], ids, [end]])
-                v, w = ids[:-1], ids[1:]
-                base, score, known = 0.0, 0.0, w >= 0
-                paired = (v >= 0) & (v < n_pair)
-                if part == 0:
-                    base = log_u[w[known]].sum()
-                    # Every word is U(w), after a frequent word less what its pairs take.
-                    score = base + np.log10(rest[v[paired]]).sum()
-                    unknown = Counter(x for x, i in zip(words, ids[1:-1]) if i < 0)
-                    rare += [(row, x, n) for x, n in unknown.items()]
-                both = np.flatnonzero(paired & (w >= 0) & (w < n_pair))
-                if len(both):
-                    pv, pw = v[both], w[both]
-                    pairs = pv.astype(np.uint64) << np.uint64(32) | pw.astype(np.uint64)
-                    level = filter_.levels(pairs, pv % n_shards)
-                    hit = level > 0
-                    back = rest[pv[hit]] * 10.0 ** log_u[pw[hit]]
-                    own = (count_of(level[hit]) - DISCOUNT) / counts[pv[hit]]
-                    score += (np.log10(np.minimum(1.0, own + back)) - np.log10(back)).sum()
-                docs.append((row, doc_id, held_out, len(words) + 1, int(known.sum()), float(base), float(score)))
-                row += 1
-            columns = [list(c) for c in zip(*docs)] or [[] for _ in range(7)]
-            extra = [list(c) for c in zip(*rare)] or [[], [], []]
-            n, m = len(docs), len(rare)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            arrays = [pa.array(c + (extra[0] if k == 0 else [None] * m), kind) for k, (c, kind) in enumerate(zip(columns, kinds))]
-            arrays += [pa.array([None] * n + extra[1], pa.binary()), pa.array([None] * n + extra[2], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in ROW.split(", ")])
+                ids = np.fromiter((head.get(x, -1) for x in words), np.int64, len(words))
+                rare = Counter(words[i] for i in np.flatnonzero(ids < 0)) if part == 0 else Counter()
+                docs.append((row, doc_id, held_out, rare))
+                held.append(np.concatenate([[end], ids, [end]]))
+                row, size = row + 1, size + len(words) + 1
+                if size >= CHUNK_TOKENS:
+                    yield scored(docs, held, tools)
+                    docs, held, size = [], [], 0
+        if docs:
+            yield scored(docs, held, tools)
 
     return run
 
