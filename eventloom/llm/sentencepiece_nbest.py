@@ -201,7 +201,10 @@ class Model:
         # An unknown character costs more than any piece.
         self.scores = np.array([*scores, min(scores[i] for i in normal.values()) - UNKNOWN_PENALTY])
         self.longest = max(map(len, normal))
-        self.byte_of = {int(i): b for b, i in enumerate(self.byte_ids)}
+        self.lengths = np.array([*map(len, pieces), 1])
+        self.raw = [p.replace(SPACE, " ").encode("utf-8") for p in pieces]
+        for b, i in enumerate(self.byte_ids):
+            self.raw[i] = bytes([b])
         # Hashes of all prefixes by length, with the piece's id where the prefix is a piece.
         whole: list[dict[int, int]] = [{} for _ in range(self.longest)]
         by_length: dict[int, list[str]] = {}
@@ -225,7 +228,7 @@ class Model:
         at = np.flatnonzero(ids == self.unknown)
         if not len(at):
             return ids
-        sizes = np.array([1 if i == self.unknown else len(self.pieces[i]) for i in ids.tolist()])
+        sizes = self.lengths[ids]
         starts = (np.cumsum(sizes) - sizes)[at]
         parts, done = [], 0
         for k, s in zip(at.tolist(), starts.tolist()):
@@ -267,14 +270,7 @@ class Model:
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        out = bytearray()
-        for i in ids:
-            b = self.byte_of.get(int(i))
-            if b is None:
-                out += self.pieces[int(i)].replace(SPACE, " ").encode("utf-8")
-            else:
-                out.append(b)
-        text = out.decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
