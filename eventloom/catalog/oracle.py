@@ -449,7 +449,7 @@ ORACLE["warm_by_hour"] = _sql(
     ' ORDER BY "date", "hour" LIMIT 1000', _RAW)
 ORACLE["timeseries"] = _sql(
     'SELECT date_path AS "date", hour_of_day AS "hour", event_type, count(*) AS "count" FROM ev'
-    " WHERE tenant_id = 't2' GROUP BY ALL ORDER BY \"date\", \"hour\", event_type LIMIT 500", _RAW)
+    " WHERE tenant_id = 't2' GROUP BY ALL", _RAW)
 ORACLE["top_types"] = _sql(
     'SELECT event_type, count(*) AS "count" FROM ev GROUP BY 1 ORDER BY "count" DESC, 1 LIMIT 3', _RAW)
 

@@ -406,7 +406,7 @@ _warm("warm_by_hour", "hour", date_from="2024-01-10", date_to="2024-01-12", even
 @query
 def timeseries(spark, sf):
     return tiers.timeseries(
-        rollup.warm_rollup(td.replayed(spark, sf)), AS_OF, "hour", tenant="t2", limit=500
+        rollup.warm_rollup(td.replayed(spark, sf)), AS_OF, "hour", tenant="t2"
     )
 
 

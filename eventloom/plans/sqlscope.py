@@ -34,6 +34,8 @@ JSON_FUNCTIONS = {
 
 _RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 _ALIAS = re.compile(r"CTE \[([^\]]*)\]")
+# A relation named by an expression, or a statement given as text, is not in the parsed plan.
+_INDIRECT = re.compile(r"\bidentifier\s*\(|\bexecute\s+immediate\b", re.IGNORECASE)
 _REFLECTION = re.compile(r"\b(try_)?(reflect|java_method)\b", re.IGNORECASE)
 
 
@@ -76,9 +78,15 @@ def _check(own: SparkSession, sql: str, allowed: set[str]) -> None:
         pending += [children.apply(i) for i in range(children.size())]
     tree = plan.treeString()
     aliases = {a.strip() for group in _ALIAS.findall(tree) for a in group.split(",")}
+    for alias in aliases - allowed:
+        # A CTE's name holds within its WITH only; elsewhere the same name would be the table.
+        if own.catalog.tableExists(alias):
+            raise RefusedStatement(f"name of a relation that may not be read: {alias}")
     for name in _RELATION.findall(tree):
         if name.strip() not in allowed | aliases:
             raise RefusedStatement(f"unknown relation: {name}")
+    if _INDIRECT.search(re.sub(r"/\*.*?\*/|--[^\n]*", " ", sql, flags=re.DOTALL)):
+        raise RefusedStatement("relations must be named")
     if _REFLECTION.search(sql):
         raise RefusedStatement("function not allowed")
 

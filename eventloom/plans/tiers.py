@@ -11,7 +11,7 @@ from eventloom.operators.filters import cutoff_hour, day_of, day_start_ms
 
 HOT_HOURS = 168
 WARM_DAYS = 30
-TOP_TYPES, SUMMARY_LIMIT, SERIES_LIMIT = 50, 100, 1000
+TOP_TYPES, SUMMARY_LIMIT = 50, 100
 
 
 def warm_range(as_of_ms: int, date_from: str | None, date_to: str | None) -> tuple[str, str]:
@@ -23,9 +23,12 @@ def warm_range(as_of_ms: int, date_from: str | None, date_to: str | None) -> tup
 def warm_stats(
     rollup: DataFrame, as_of_ms: int, group_by: str | None = None, tenant: str | None = None,
     event_type: str | None = None, date_from: str | None = None, date_to: str | None = None,
-    limit: int = SERIES_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Sums over the rollup per type and, by ``group_by``, date or hour."""
+    """Sums over the rollup per type and, by ``group_by``, date or hour.
+
+    The whole series, oldest first; with ``limit`` its first rows only.
+    """
     first, last = warm_range(as_of_ms, date_from, date_to)
     rows = rollup.where(F.col("date_path").between(first, last))
     if tenant is not None:
@@ -40,7 +43,8 @@ def warm_stats(
     )
     if not parts:
         return summed.orderBy(F.desc("count"), "event_type")
-    return summed.orderBy(*parts, "event_type").limit(limit)
+    series = summed.orderBy(*parts, "event_type")
+    return series if limit is None else series.limit(limit)
 
 
 def timeseries(rollup: DataFrame, as_of_ms: int, granularity: str = "date", **filters) -> DataFrame:

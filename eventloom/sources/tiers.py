@@ -126,11 +126,16 @@ def warm_scan(
     tenant: str | None = None,
     date_from: str | None = None,
     date_to: str | None = None,
+    skip_unreadable: bool = True,
 ) -> DataFrame:
-    """Rollup rows; the filters prune folders, and an unreadable file is skipped."""
+    """Rollup rows; the filters prune folders.
+
+    An unreadable file is skipped, or fails the read where ``skip_unreadable`` is false: a read
+    whose rows are written back must not lose any.
+    """
     df = (
         spark.read.schema(ROLLUP_SCHEMA)
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
         .parquet(f"{base}/{AGGREGATES_PREFIX}")
     )
     if tenant is not None:
@@ -158,7 +163,7 @@ def add_to_rollup(spark: SparkSession, counts: DataFrame, base: str, batch: int)
     if path_exists(spark, f"{base}/{AGGREGATES_PREFIX}"):
         hours = counts.select(*ROLLUP_PARTITIONS).distinct()
         first, last = counts.agg(F.min("date_path"), F.max("date_path")).head()
-        held = warm_scan(spark, base, date_from=first, date_to=last).join(
+        held = warm_scan(spark, base, date_from=first, date_to=last, skip_unreadable=False).join(
             hours, list(ROLLUP_PARTITIONS), "left_semi"
         )
         seen = F.max(F.when(F.col("_old"), F.col("batch")))

@@ -49,9 +49,10 @@ def filter_sink(clean: str, dropped: str, load_rules: Callable[..., DataFrame] |
             judged = ruled.withColumn("drop_reason", F.coalesce("_first", "drop_reason")).drop("_first")
         judged.persist()
         try:
-            passed = judged.where("drop_reason is null").select(*SILVER_COLUMNS)
+            marks = [c for c in ("flags",) if c in judged.columns]
+            passed = judged.where("drop_reason is null").select(*SILVER_COLUMNS, *marks)
             rows_sink(clean)(passed, batch_id)
-            refused = judged.where("drop_reason is not null").select(*SILVER_COLUMNS, "drop_reason")
+            refused = judged.where("drop_reason is not null").select(*SILVER_COLUMNS, *marks, "drop_reason")
             rows_sink(dropped)(refused, batch_id)
         finally:
             judged.unpersist()

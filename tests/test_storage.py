@@ -133,6 +133,10 @@ ESCAPES = [
     "SELECT * FROM scoped UNION ALL SELECT * FROM spark_catalog.default.other",
     "SELECT * FROM parquet.`{sf}/events.parquet`",
     "DROP VIEW scoped",
+    "SELECT * FROM IDENTIFIER('owned')",
+    "SELECT * FROM identifier /* x */ ('global_temp.secret')",
+    "EXECUTE IMMEDIATE 'select * from owned'",
+    "SELECT * FROM owned WHERE 1 IN (WITH owned AS (SELECT 1 x) SELECT x FROM owned)",
     "INSERT INTO scoped VALUES (1)",
     "CREATE TABLE x AS SELECT * FROM scoped",
     "WITH a AS (SELECT 1) INSERT INTO scoped SELECT * FROM a",
@@ -144,9 +148,11 @@ ESCAPES = [
 
 
 @pytest.mark.parametrize("sql", ESCAPES)
-def test_scoped_sql_refuses(spark, sf, sql):
+def test_scoped_sql_refuses(spark, sf, sql, tmp_path):
     td.silver(spark, sf).createOrReplaceTempView("other_view")
     td.silver(spark, sf).createOrReplaceGlobalTempView("secret")
+    if not spark.catalog.tableExists("owned"):
+        td.silver(spark, sf).limit(1).write.option("path", str(tmp_path / "owned")).saveAsTable("owned")
     with pytest.raises(sqlscope.RefusedStatement):
         sqlscope.scoped_sql(
             spark, sql.replace("{sf}", sf), lambda s: td.silver(s, sf), td.AS_OF_MS, tenant="t1"
@@ -183,3 +189,15 @@ def test_test_tables_follow_the_silver_rules(spark, sf):
     derived = derive_silver(envelope.withColumnRenamed("timestamp_ms", "timestamp"))
     cols = [c for c in given.columns if c != "params"]
     assert keys(given, *cols, F.to_json("params")) == keys(derived, *cols, F.to_json("params"))
+
+
+def test_adding_to_a_damaged_rollup_fails(spark, tmp_path):
+    from eventloom.sources.tiers import add_to_rollup
+
+    columns = "tenant_id string, date_path string, hour string, event_type string, count long"
+    new = spark.createDataFrame([("t1", "2024-01-01", "07", "click", 10)], columns)
+    add_to_rollup(spark, new, str(tmp_path), 1)
+    for part in tmp_path.rglob("*.parquet"):
+        part.write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|magic|FAILED_READ"):
+        add_to_rollup(spark, new, str(tmp_path), 2)

@@ -265,3 +265,14 @@ def test_webhook_signature_matches_python(spark, sf):
         secret = "s" + r["webhook_id"][-1]
         assert hmac.new(secret.encode(), r["payload"].encode(), hashlib.sha256).hexdigest() == r["signature"]
         assert json.loads(r["payload"])["params"]["key_prefix"] == r["tenant_id"]
+
+
+def test_order_does_not_hang_on_arrow_batches():
+    import pandas as pd
+
+    from eventloom.streaming.limits import _in_order
+
+    rows = pd.DataFrame({"timestamp_ms": [5, 1, 4, 2, 3, 0], "event_id": list("abcdef")})
+    whole = [x.timestamp_ms.tolist() for x in _in_order(iter([rows]))]
+    cut = [x.timestamp_ms.tolist() for x in _in_order(iter([rows[:2], rows[2:5], rows[5:]]))]
+    assert whole == cut == [[0, 1, 2, 3, 4, 5]] and list(_in_order(iter([]))) == []
