@@ -5,8 +5,8 @@ from __future__ import annotations
 COVER_TREE = """
 with recursive v as (
     select row_number() over () k, vec_id, case when len(embedding) > 0
-        and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))
-        and list_bool_or(list_transform(embedding, x -> x <> 0)) then embedding::double[] end e
+        and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+        and list_bool_or(list_transform(embedding, lambda x: x <> 0)) then embedding::double[] end e
     from embeddings
 ), link as (
     select a.k a, b.k b from v a join v b
