@@ -119,9 +119,12 @@ def scan(blocks: DataFrame, end_id: int = 50256, width: int = 2, segment_blocks:
     block that comes twice counts as twice its tokens only if its number differs.
     """
     kind = blocks.schema["file"].dataType.simpleString()
-    searched = blocks.select("file", "block", "tokens").dropDuplicates(["file", "block"])
+    # The tokens stay where they are; only sizes and places of ends are shuffled.
+    searched = blocks.select("file", "block", "tokens").mapInArrow(
+        _search(end_id, width), f"file {kind}, block int, size long, ends array<long>"
+    )
     found = written(
-        searched.mapInArrow(_search(end_id, width), f"file {kind}, block int, size long, ends array<long>")
+        searched.dropDuplicates(["file", "block"])
         .withColumn("segment", F.floor(F.col("block") / segment_blocks).cast("int")),
         "ends",
     )
