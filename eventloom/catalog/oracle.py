@@ -53,8 +53,11 @@ tenants AS (SELECT 'tenant_' || s_suppkey id, 't' || s_suppkey key_prefix,
 
 _LINKS = """
 links AS (SELECT 'tu_' || page_id id, 't' || (page_id % 4) key_prefix, url destination,
-  1704067200 + page_id // 2 created_at, contains(url, '/en/') moved
-  FROM pages WHERE url LIKE 'https:%')"""
+  1704067200 + page_id // 2 created_at, contains(url, '/en/') moved FROM pages)"""
+
+_CLICKS = """
+clicks AS (SELECT * REPLACE (CASE WHEN tu_id IS NOT NULL AND n % 10 = 3 THEN 'tu_lost_' || n ELSE tu_id END AS tu_id)
+  FROM ev WHERE event_type = 'click' AND tu_id IS NOT NULL)"""
 
 
 def _sql(body: str, *ctes: str, recursive: bool = False) -> str:
@@ -81,7 +84,10 @@ SELECT cast(page_id AS varchar) event_id,
     || CASE WHEN qs LIKE 'page=%' THEN ',"page":"2","ref":"x"' ELSE '' END
     || ',"sub1":"a b c"' || CASE WHEN kind = 1 THEN ',"tu_id":"tu_' || page_id || '"' ELSE '' END
     || CASE WHEN qs LIKE 'utm%' THEN ',"utm_source":"feed"' ELSE '' END || '}' params
-FROM r WHERE kind IN (0, 2, 3) OR (kind = 1 AND url LIKE 'https:%')
+FROM r LEFT JOIN (SELECT DISTINCT 't' || s_suppkey tenant FROM supplier) ON tenant = 't' || (page_id % 4)
+WHERE kind IN (2, 3)
+  OR (kind = 0 AND page_id % 11 <> 7 AND (page_id // 5 % 5 = 3 OR (page_id // 5 % 5 = 0 AND tenant IS NOT NULL)))
+  OR (kind = 1 AND tenant IS NOT NULL AND page_id // 5 % 5 IN (0, 3, 4))
 """
 
 ORACLE["tenant_partition_counts"] = _sql(
@@ -116,7 +122,7 @@ _HOT = "event_id, event_type, timestamp_ms AS \"timestamp\", ip, user_agent, ref
 
 ORACLE["events_list"] = _sql(
     f"SELECT {_HOT} FROM ev WHERE tenant_id = 't1' AND event_type = 'click' AND geo IS NOT NULL"
-    " ORDER BY timestamp_ms DESC, event_id DESC LIMIT 200 OFFSET 10", _EV)
+    " ORDER BY timestamp_ms DESC, event_id DESC LIMIT 500 OFFSET 10", _EV)
 
 ORACLE["events_since"] = _sql(
     f"SELECT {_HOT} FROM ev WHERE timestamp_ms > {AS_OF - 259_200_000}"
@@ -152,7 +158,7 @@ def _series(where: str, hours: int) -> str:
 
 ORACLE["stats_hourly_window"] = _sql(_series("tenant_id = 't2'", 72), _EV)
 ORACLE["stats_summary"] = _sql(
-    f"SELECT event_type, count(*) total FROM ev WHERE tu_id = 'tu_3' AND hour_epoch >= {_cutoff(168)}"
+    f"SELECT event_type, count(*) total FROM ev WHERE tu_id = 'tu_3' AND hour_epoch >= {_cutoff(500)}"
     " GROUP BY 1", _EV)
 ORACLE["stats_param_eq"] = _sql(_series("geo = 'US'", 168), _EV)
 
@@ -340,12 +346,12 @@ ORACLE["link_registry"] = _sql(
 ORACLE["resolve_links"] = _sql(
     """SELECT event_id, e.tu_id, l.key_prefix, CASE WHEN moved THEN destination || '/v3' ELSE destination END
   || CASE WHEN contains(destination, '?') THEN '&' ELSE '?' END || 'ad_click_id=' || event_id redirect
-FROM ev e LEFT JOIN links l ON l.id = e.tu_id WHERE event_type = 'click' AND e.tu_id IS NOT NULL""",
-    _EV, _LINKS)
+FROM clicks e LEFT JOIN links l ON l.id = e.tu_id""",
+    _EV, _LINKS, _CLICKS)
 
 ORACLE["unknown_links"] = _sql(
-    """SELECT tu_id, count(*) clicks, max(timestamp_ms) last_seen_ms FROM ev WHERE event_type = 'click'
-  AND tu_id IS NOT NULL AND tu_id NOT IN (SELECT id FROM links) GROUP BY 1""", _EV, _LINKS)
+    """SELECT tu_id, count(*) clicks, max(timestamp_ms) last_seen_ms FROM clicks
+  WHERE tu_id NOT IN (SELECT id FROM links) GROUP BY 1""", _EV, _LINKS, _CLICKS)
 
 ORACLE["link_counts"] = _sql(
     """SELECT id, destination, count(*) FILTER (e.event_type = 'click') clicks,
@@ -378,7 +384,7 @@ FROM queue WHERE n % 7 = 0 OR n % 11 = 0 GROUP BY 1""", _RAW, _QUEUE)
 ORACLE["tier_route"] = _sql(
     """SELECT tenant_id, coalesce(plan, 'free') plan,
   CASE WHEN coalesce(plan, 'free') = 'free' THEN 'warm' ELSE 'cold' END tier, count(*) events
-FROM ev JOIN tenants ON key_prefix = tenant_id GROUP BY 1, 2, 3""", _EV, _TENANTS)
+FROM ev LEFT JOIN tenants ON key_prefix = tenant_id GROUP BY 1, 2, 3""", _EV, _TENANTS)
 
 ORACLE["token_audit"] = f"""
 WITH a AS (SELECT cast(event_id AS varchar) id, event_id, user_id,
@@ -538,7 +544,7 @@ LIMIT 10"""
 
 ORACLE["build_links"] = f"""
 WITH l AS (SELECT 't' || (page_id % 4) key_prefix, 'secret-' || (page_id % 4) secret, 'tu_' || page_id tu_id,
-  url destination, 'aff+id=a%26b&key_prefix=t' || (page_id % 4) tail FROM pages WHERE url LIKE 'https:%')
+  url destination, 'aff+id=a%26b&key_prefix=t' || (page_id % 4) tail FROM pages)
 SELECT key_prefix, tu_id, destination, '{{"aff id":"a&b","key_prefix":"' || key_prefix || '"}}' params,
   'https://track.example.com/t?url=' || url_encode(destination) || '&sig=' || key_prefix || '_'
     || {_hmac('secret', 'destination')} || '&' || tail signed_url,

@@ -44,7 +44,11 @@ def _params_text(df: DataFrame) -> DataFrame:
 @query
 def normalize_requests(spark, sf):
     registry = links.registry_map(td.links(spark, sf), td.tenants(spark, sf))
-    return _params_text(ingest.normalize_requests(td.requests(spark, sf), registry)).drop("raw_payload")
+    return _params_text(
+        ingest.normalize_requests(
+            td.requests(spark, sf), td.tenants(spark, sf), td.GLOBAL_SECRET, registry
+        )
+    ).drop("raw_payload")
 
 
 @query
@@ -284,7 +288,7 @@ def _registry(spark, sf):
 
 @query
 def resolve_links(spark, sf):
-    clicks = td.silver(spark, sf).where("event_type = 'click'")
+    clicks = td.link_clicks(spark, sf)
     return links.resolve_links(clicks, _registry(spark, sf)).select(
         "event_id", "tu_id", "key_prefix", "redirect"
     )
@@ -292,7 +296,7 @@ def resolve_links(spark, sf):
 
 @query
 def unknown_links(spark, sf):
-    clicks = td.silver(spark, sf).where("event_type = 'click'")
+    clicks = td.link_clicks(spark, sf)
     return links.unknown_links(clicks, _registry(spark, sf))
 
 

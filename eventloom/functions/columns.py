@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
@@ -38,6 +38,7 @@ def newest_first(ts: str = "timestamp_ms", key: str = "event_id") -> list[Column
     return [F.desc(ts), F.desc(key)]
 
 
-def clamp(value: int, top: int) -> int:
-    """A requested limit, never above the documented one."""
-    return min(int(value), top)
+def first_rows(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """``limit`` rows after ``offset``; None for all of them."""
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)

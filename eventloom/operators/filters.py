@@ -8,11 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.columns import DAY_MS, HOUR_MS, clamp, newest_first, param
+from eventloom.functions.columns import DAY_MS, HOUR_MS, first_rows, newest_first, param
 
-MAX_HOURS = 168
-PAGE_LIMIT, PAGE_LIMIT_MAX = 50, 200
-ADHOC_LIMIT, ADHOC_LIMIT_MAX = 100, 1000
+PAGE_LIMIT = 50
 HISTORY_LIMIT = 1000
 FEED_BUFFER = 200
 
@@ -38,9 +36,9 @@ def hour_floor(as_of_ms: int) -> int:
     return as_of_ms // HOUR_MS * 3600
 
 
-def cutoff_hour(as_of_ms: int, hours: int, top: int | None = MAX_HOURS) -> int:
+def cutoff_hour(as_of_ms: int, hours: int) -> int:
     """First hour bucket of a trailing window; both ends count, so N hours are N+1 buckets."""
-    return hour_floor(as_of_ms) - (hours if top is None else clamp(hours, top)) * 3600
+    return hour_floor(as_of_ms) - hours * 3600
 
 
 def condition(
@@ -90,13 +88,12 @@ def between_dates(events: DataFrame, date_from: str | None, date_to: str | None)
     return events
 
 
-def page(events: DataFrame, limit: int = PAGE_LIMIT, offset: int = 0) -> DataFrame:
-    """A newest-first page, at most 200 rows."""
-    rows = events.orderBy(*newest_first())
-    return (rows.offset(offset) if offset else rows).limit(clamp(limit, PAGE_LIMIT_MAX))
+def page(events: DataFrame, limit: int | None = PAGE_LIMIT, offset: int = 0) -> DataFrame:
+    """A newest-first page of ``limit`` rows; None for all of them."""
+    return first_rows(events.orderBy(*newest_first()), limit, offset)
 
 
-def list_events(events: DataFrame, limit: int = PAGE_LIMIT, offset: int = 0, **filters) -> DataFrame:
+def list_events(events: DataFrame, limit: int | None = PAGE_LIMIT, offset: int = 0, **filters) -> DataFrame:
     """The event list: hot columns, newest first."""
     rows = select_events(events, **filters).select(
         "event_id", "event_type", F.col("timestamp_ms"), "ip", "user_agent", "referer",
@@ -130,8 +127,8 @@ def live_feed(
     return merged.dropDuplicates(["event_id"]) if len(feeds) > 1 else merged
 
 
-def page_plus_live(page_rows: DataFrame, live: DataFrame, buffer: int = FEED_BUFFER) -> DataFrame:
-    """A fetched page with the newest live rows it does not hold yet, newest first."""
-    held = live.orderBy(*newest_first()).limit(buffer).dropDuplicates(["event_id"])
+def page_plus_live(page_rows: DataFrame, live: DataFrame, buffer: int | None = FEED_BUFFER) -> DataFrame:
+    """A fetched page with the ``buffer`` newest live rows it does not hold yet (None: all)."""
+    held = first_rows(live.orderBy(*newest_first()), buffer).dropDuplicates(["event_id"])
     new = held.join(page_rows.select("event_id"), "event_id", "left_anti")
-    return new.unionByName(page_rows).orderBy(*newest_first()).limit(PAGE_LIMIT_MAX + buffer)
+    return new.unionByName(page_rows).orderBy(*newest_first())

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import crypto, urls
-from eventloom.functions.columns import clamp
-from eventloom.operators.filters import PAGE_LIMIT, PAGE_LIMIT_MAX
+from eventloom.functions.columns import first_rows
+from eventloom.operators.filters import PAGE_LIMIT
 from eventloom.operators.rollup import PIVOT_TYPES, link_pivot
 
 
@@ -30,15 +30,14 @@ def current_links(links: DataFrame, changes: DataFrame | None = None) -> DataFra
 
 def link_registry(
     links: DataFrame, tenants: DataFrame, tenant_id: str | None = None,
-    limit: int = PAGE_LIMIT, offset: int = 0,
+    limit: int | None = PAGE_LIMIT, offset: int = 0,
 ) -> DataFrame:
     """A page of links with their tenant's prefix, newest first."""
     if tenant_id is not None:
         links = links.where(F.col("tenant_id") == tenant_id)
     ids = tenants.select(F.col("id").alias("tenant_id"), "key_prefix")
     rows = links.join(ids, "tenant_id").select("id", "destination", "created_at", "key_prefix")
-    ordered = rows.orderBy(F.desc("created_at"), F.desc("id"))
-    return (ordered.offset(offset) if offset else ordered).limit(clamp(limit, PAGE_LIMIT_MAX))
+    return first_rows(rows.orderBy(F.desc("created_at"), F.desc("id")), limit, offset)
 
 
 def registry_map(links: DataFrame, tenants: DataFrame) -> DataFrame:

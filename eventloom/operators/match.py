@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.columns import HOUR_MS, canonical_params, clamp, param
-from eventloom.operators.filters import (
-    MAX_HOURS, PAGE_LIMIT, PAGE_LIMIT_MAX, condition, select_events,
-)
+from eventloom.functions.columns import HOUR_MS, canonical_params, param
+from eventloom.operators.filters import PAGE_LIMIT, condition, select_events
 
 KEY = ["tenant_id", "on_value"]
-MAX_PAGE_ROWS = 10_000
 
 
 def _recent(events: DataFrame, on: str, as_of_ms: int, hours: int, tenant: str | None) -> DataFrame:
     """Events of the window that carry the shared value, as ``on_value``."""
-    since = as_of_ms - clamp(hours, MAX_HOURS) * HOUR_MS
+    since = as_of_ms - hours * HOUR_MS
     rows = select_events(events.where(F.col("timestamp_ms") >= since), tenant=tenant)
     return rows.withColumn("on_value", param(on)).where("on_value is not null")
 
@@ -45,7 +42,7 @@ def match_pairs(
     ``require_after`` pairs only results not older than their trigger; ``first_only`` keeps
     each trigger's earliest result.
     """
-    reach = offset + clamp(limit, PAGE_LIMIT_MAX)
+    reach = offset + limit
     recent = _recent(events, on, as_of_ms, hours, tenant)
     triggers = select_events(recent.where(F.col("event_type") == trigger), **trigger_filters)
     results = recent.where(F.col("event_type") == result)
@@ -61,9 +58,6 @@ def match_pairs(
         .orderBy(F.desc("trigger_timestamp"), F.desc("trigger_event_id"))
         .limit(reach)
     )
-    if reach <= MAX_PAGE_ROWS:
-        # A page is a few rows; holding it spares a second scan of the triggers.
-        newest = events.sparkSession.createDataFrame(newest.toArrow(), newest.schema)
     keys = newest.select(*KEY).distinct()
     if require_after:
         # Trigger times cut a key's results into spans, each kept up to the page's reach.

@@ -122,7 +122,9 @@ def _apply_compiled(events: DataFrame, rules: list) -> DataFrame:
         test = _value_matches(value, r["operator"], F.lit(r["value"]))
         if r["tenant_id"] != "*":
             test = (F.col("tenant_id") == r["tenant_id"]) & test
-        hit = F.when(test, F.lit(f"rule:{r['field']}:{r['operator']}:{r['value']}"))
+        # A rule without a value has none in its reason, as in the joined form.
+        named = [x for x in ("rule", r["field"], r["operator"], r["value"]) if x is not None]
+        hit = F.when(test, F.lit(":".join(named)))
         (drops if r["action"] == "drop" else flags).append(hit)
     none = F.lit(None).cast("string")
     return events.withColumns(

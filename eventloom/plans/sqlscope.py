@@ -12,10 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.functions.columns import HOUR_MS, clamp
+from eventloom.functions.columns import HOUR_MS, first_rows
 from eventloom.operators.dedup import dedup_latest
 from eventloom.operators.filters import (
-    ADHOC_LIMIT, ADHOC_LIMIT_MAX, MAX_HOURS, between_dates, select_events,
+    between_dates, select_events,
 )
 from eventloom.schema import archive_rows
 from eventloom.session import configure
@@ -92,26 +92,26 @@ def _check(own: SparkSession, sql: str, allowed: set[str]) -> None:
 
 
 def run_scoped(
-    spark: SparkSession, sql: str, views: dict[str, Loader], limit: int = ADHOC_LIMIT
+    spark: SparkSession, sql: str, views: dict[str, Loader], limit: int | None = None
 ) -> DataFrame:
-    """The statement's rows, at most ``limit`` (1000 at most)."""
+    """The statement's rows, at most ``limit`` of them where one is given."""
     if not sql or not sql.strip():
         raise RefusedStatement("sql is required")
     own = scoped_session(spark, views)
     _check(own, sql, set(views))
-    return own.sql(sql).limit(clamp(limit, ADHOC_LIMIT_MAX))
+    return first_rows(own.sql(sql), limit)
 
 
 def scoped_sql(
     spark: SparkSession, sql: str, load_events: Loader, as_of_ms: int,
-    tenant: str | None = None, hours: int = 24, limit: int = ADHOC_LIMIT,
+    tenant: str | None = None, hours: int = 24, limit: int | None = None,
     extra: dict[str, Loader] | None = None,
 ) -> DataFrame:
     """SQL over ``scoped``: the tenant's events of the trailing hours, params as a map.
 
     ``extra`` adds the tenant's own tables (Parquet, JDBC) as further views.
     """
-    since = as_of_ms - clamp(hours, MAX_HOURS) * HOUR_MS
+    since = as_of_ms - hours * HOUR_MS
 
     def scoped(own: SparkSession) -> DataFrame:
         rows = select_events(load_events(own), tenant=tenant)
@@ -122,7 +122,7 @@ def scoped_sql(
 
 def deduped_sql(
     spark: SparkSession, sql: str, load_events: Loader, tenant: str | None = None,
-    date_from: str | None = None, date_to: str | None = None, limit: int = ADHOC_LIMIT,
+    date_from: str | None = None, date_to: str | None = None, limit: int | None = None,
     extra: dict[str, Loader] | None = None,
 ) -> DataFrame:
     """SQL over ``deduped``: the tenant's archive rows of a date range, each event once."""

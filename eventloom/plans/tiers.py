@@ -61,10 +61,10 @@ def tier_of(plan: Column) -> Column:
 
 
 def tier_route(totals: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Tenants seen in the totals with plan, tier and event count."""
+    """Tenants seen in the totals with plan, tier and event count; an unknown one counts as free."""
     plans = tenants.select(F.col("key_prefix").alias("tenant_id"), "plan")
     per_tenant = totals.groupBy("tenant_id").agg(F.sum("total").alias("events"))
-    return per_tenant.join(plans, "tenant_id").select(
+    return per_tenant.join(plans, "tenant_id", "left").select(
         "tenant_id", F.coalesce("plan", F.lit("free")).alias("plan"), tier_of(F.col("plan")).alias("tier"),
         "events",
     )
@@ -94,7 +94,7 @@ def merged_stats(
     if date_from is not None and date_to is not None:
         first, end = day_start_ms(date_from) // 1000, (day_start_ms(date_to) + DAY_MS) // 1000
     else:
-        first, end = cutoff_hour(as_of_ms, hours, top=None), None
+        first, end = cutoff_hour(as_of_ms, hours), None
 
     def narrowed(df: DataFrame) -> DataFrame:
         if tenant is not None:

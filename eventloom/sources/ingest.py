@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.functions import urls
+from eventloom.functions import crypto, urls
+from eventloom.operators.audit import signed_link_audit
 from eventloom.schema import EVENT_SCHEMA
 
 MAX_BATCH_EVENTS = 10_000
@@ -62,12 +63,16 @@ def _envelope(event_type: Column, path: Column, params: Column, payload: Column
 
 
 def normalize_requests(
-    requests: DataFrame, links: DataFrame | None = None, encrypted: bool = False
+    requests: DataFrame, tenants: DataFrame, global_secret: str, links: DataFrame | None = None,
+    encryption_key: str | None = None,
 ) -> DataFrame:
     """Click, postback and impression requests to events; other paths are not events.
 
-    A short-link click (``/t/<id>``) takes its tenant from the link registry
-    (``tu_id``, ``key_prefix``); one whose link is not registered is no event.
+    A click counts only if its destination is vouched for: ``sig`` over ``url`` by the tenant's
+    secret (``tenants``: key_prefix, hmac_secret) or the global one or, with ``encryption_key``, a
+    blob ``d`` that opens. A short-link click (``/t/<id>``) takes its tenant from the link registry
+    (``tu_id``, ``key_prefix``); it is no event if the link is not registered, or if it has a
+    signature that does not fit the link's id.
     """
     path = F.col("path")
     short = path.startswith("/t/")
@@ -76,9 +81,22 @@ def normalize_requests(
         .when(path == "/p", "postback")
         .when(path == "/i", "impression")
     )
-    params = urls.query_params(F.col("query"))
-    control = ["d"] if encrypted else ["url", "sig"]
-    rows = requests.withColumn("kind", kind).where("kind is not null")
+    params = F.col("_params")
+    control = ["url", "sig"] if encryption_key is None else ["d"]
+    asked = requests.withColumns({"kind": kind, "_params": urls.query_params(F.col("query"))}).where(
+        "kind is not null"
+    )
+    link_id = F.substring(path, F.lit(4), F.length(path))
+    audited = signed_link_audit(
+        asked.withColumns(
+            {"_signed": F.when(short, link_id).otherwise(params["url"]), "_sig": params["sig"]}
+        ),
+        tenants, global_secret, "_signed", "_sig",
+    )
+    valid = F.col("status") == "valid"
+    vouched = valid if encryption_key is None else crypto.aes_open(params["d"], F.lit(encryption_key)).isNotNull()
+    accepted = F.when(short, valid | F.col("_sig").isNull()).otherwise(vouched)
+    rows = audited.where((F.col("kind") != "click") | F.coalesce(accepted, F.lit(False)))
     plain = rows.where(~short).select(
         *_envelope(
             F.col("kind"),
@@ -91,7 +109,7 @@ def normalize_requests(
     registry = links.select("tu_id", "key_prefix")
     tracked = (
         rows.where(short)
-        .withColumn("tu_id", F.substring(path, F.lit(4), F.length(path)))
+        .withColumn("tu_id", link_id)
         .join(registry, "tu_id")
         .select(
             *_envelope(

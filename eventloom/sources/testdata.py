@@ -142,8 +142,8 @@ def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered links; plain-http destinations were never accepted."""
-    return _table(spark, sf_dir, "pages").where("url like 'https:%'").selectExpr(
+    """Registered links: every page."""
+    return _table(spark, sf_dir, "pages").selectExpr(
         "concat('tu_', page_id) id",
         "concat('tenant_', page_id % 4) tenant_id",
         "url destination",
@@ -178,6 +178,14 @@ def rule_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def link_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks, every tenth of those with a link on one that was never registered."""
+    lost = F.col("tu_id").isNotNull() & (F.col("event_id").cast("long") % 10 == 3)
+    return silver(spark, sf_dir).where("event_type = 'click'").withColumn(
+        "tu_id", F.when(lost, F.concat(F.lit("tu_lost_"), "event_id")).otherwise(F.col("tu_id"))
+    )
+
+
 def webhooks(spark: SparkSession) -> DataFrame:
     return spark.sql(_WEBHOOKS)
 
@@ -218,17 +226,35 @@ def ingest_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An access log made of page visits."""
+    """An access log made of page visits. Clicks by turns of five: signed well, badly, for no
+    known tenant, with the global secret, not at all; some lack their destination."""
     qs = "substring_index(substring_index(url, '#', 1), '?', -1)"
+    ipad, opad = crypto.pad_columns(F.col("hmac_secret"))
+    pads = tenants(spark, sf_dir).select("key_prefix", ipad.alias("i"), opad.alias("o"))
+    message = F.expr("case when page_id % 5 = 0 then url else concat('tu_', page_id) end")
+    own = crypto.hmac_hex(F.col("i"), F.col("o"), message)
+    wrong = crypto.hmac_hex(F.col("i"), F.col("o"), F.concat(message, F.lit("x")))
+    shared = crypto.hmac_hex(*crypto.literal_pads(GLOBAL_SECRET), message)
+    turn, under = F.expr("page_id div 5 % 5"), F.concat("key_prefix", F.lit("_"))
+    sig = (
+        F.when(turn == 0, F.concat(under, own))
+        .when(turn == 1, F.concat(under, wrong))
+        .when(turn == 2, F.concat(F.lit("zzzz_"), own))
+        .when(turn == 3, shared)
+    )
     return (
         _table(spark, sf_dir, "pages")
         .withColumn("qs", F.expr(f"case when contains(url, '?') then {qs} end"))
+        .withColumn("key_prefix", F.expr("concat('t', page_id % 4)"))
+        .join(pads, "key_prefix", "left")
+        .withColumn("signature", sig)
         .selectExpr(
             "cast(page_id as string) request_id",
             "1704067200000 + page_id * 1000 timestamp_ms",
             "element_at(array('/t', concat('/t/tu_', page_id), '/p', '/i', '/health'),"
             " cast(page_id % 5 + 1 as int)) path",
-            "concat_ws('&', qs, case when page_id % 5 = 0 then concat('url=', url_encode(url), '&sig=abc') end,"
+            "concat_ws('&', qs, case when page_id % 5 = 0 and page_id % 11 <> 7 then concat('url=', url_encode(url)) end,"
+            " case when page_id % 5 < 2 then concat('sig=', signature) end,"
             " concat('key_prefix=t', page_id % 4), 'sub1=first', 'sub1=a%20b+c') query",
             "case page_id % 3 when 0 then concat(' 10.1.0.', page_id % 7, ' , 10.9.9.9') when 1 then '' end"
             " x_forwarded_for",

@@ -1,7 +1,7 @@
 """Limiters whose verdict depends on what came before: state per key, forgotten when idle.
 
-Rows of a key are taken Arrow batch by Arrow batch as they arrive and are never gathered, so
-the memory a key needs does not grow with its traffic.
+A verdict depends on the order of a key's rows, so one micro-batch's rows of a key are put in
+order together: the source's batch size (``maxOffsetsPerTrigger``) bounds what a key needs.
 """
 
 from __future__ import annotations

@@ -136,7 +136,9 @@ def test_first_matching_bot_pattern_names_the_reason(spark):
 
 def test_joined_rules_equal_compiled_rules(spark, sf):
     rows = td.silver(spark, sf)
-    rules = quality.active_rules(td.rules(spark), td.tenants(spark, sf))
+    rules = quality.active_rules(td.rules(spark), td.tenants(spark, sf)).withColumn(
+        "value", F.expr("case when operator not in ('is_empty', 'not_empty') then value end")
+    )
     few = quality._apply_compiled(rows, rules.orderBy("rule_order").collect())
     many = quality._apply_joined(rows, rules)
     key = lambda df: sorted((r.event_id, r.drop_reason or "", tuple(r.flags)) for r in df.collect())
