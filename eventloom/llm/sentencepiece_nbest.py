@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ NO_PIECE = "\ue000"
 NORMAL, BYTE, UNIGRAM = 1, 6, 1
 UNKNOWN_PENALTY = 10.0
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+MAYBE_SHIFT = np.uint64(46)
 CHUNK_CHARS = 4_000_000
 
 
@@ -78,12 +80,16 @@ class Words:
         chars[np.delete(place, self.last)] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         room = np.repeat(self.last, lengths + 1) - place
         starts, ends, ids = [], [], []
-        alive, h = place[room > 0], np.full(n, 7, np.uint64)
+        alive = place[room > 0]
+        h = np.full(len(alive), 7, np.uint64)
         for length in range(1, model.longest + 1):
-            h[alive] = _hash_step(h[alive], chars[alive + length - 1])
-            keys, piece = model.prefixes[length - 1]
-            at = np.minimum(np.searchsorted(keys, h[alive]), len(keys) - 1)
-            hit = keys[at] == h[alive]
+            h = _hash_step(h, chars[alive + (length - 1)])
+            keys, piece, maybe = model.prefixes[length - 1]
+            if length > 1:  # most strings that begin no piece go by one look-up
+                some = maybe[h >> MAYBE_SHIFT]
+                alive, h = alive[some], h[some]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
             found = piece[at]
             if length == 1:  # a character that is no piece goes by its bytes
                 found = np.where(hit & (found >= 0), found, model.unknown)
@@ -91,13 +97,14 @@ class Words:
             starts.append(alive[whole])
             ends.append(alive[whole] + length)
             ids.append(found[whole])
-            alive = alive[hit]
-            alive = alive[room[alive] > length]
+            goes_on = hit & (room[alive] > length)
+            alive, h = alive[goes_on], h[goes_on]
             if not len(alive):
                 break
         start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
         depth = end - np.repeat(self.first, lengths + 1)[end]
-        order = np.lexsort((start, end, depth))
+        # By depth, end and start in one sort: keys differ, as an edge is known by its two nodes.
+        order = np.argsort((depth * n + end) * (model.longest + 1) + (start - end + model.longest))
         self.start, self.end, self.id = start[order], end[order], piece[order]
         self.score = model.scores[self.id]
         self.n, self.depth = n, depth[order]
@@ -134,8 +141,9 @@ class Words:
         """Per word, how much its second-best segmentation scores below the best (inf: none)."""
         beta = np.full(self.n, -np.inf)
         beta[self.last] = 0.0
-        height = np.repeat(self.last, self.last - self.first + 1)[self.start] - self.start
-        order = np.lexsort((self.start, height))
+        sizes = self.last - self.first + 1
+        height = np.repeat(self.last, sizes)[self.start] - self.start
+        order = np.argsort((height * self.n + self.start) * (int(height.max(initial=0)) + 1) + self.end - self.start)
         levels = np.flatnonzero(np.diff(height[order], prepend=0))
         for a, b in zip(levels, [*levels[1:], len(order)]):
             edges = order[a:b]
@@ -143,7 +151,7 @@ class Words:
             node = np.flatnonzero(np.diff(self.start[edges], prepend=-1))
             beta[self.start[edges][node]] = np.maximum.reduceat(total, node)
         through = self.alpha[self.start] + self.score + beta[self.end]
-        word = np.searchsorted(self.first, self.start, side="right") - 1
+        word = np.repeat(np.arange(len(self.first)), sizes)[self.start]
         second = np.full(len(self.first), -np.inf)
         off = ~self.on_best
         np.maximum.at(second, word[off], through[off])
@@ -221,7 +229,9 @@ class Model:
         self.prefixes = []
         for table in whole:
             keys = np.array(sorted(table), np.uint64)
-            self.prefixes.append((keys, np.array([table[int(k)] for k in keys], np.int64)))
+            maybe = np.zeros(1 << (64 - int(MAYBE_SHIFT)), bool)
+            maybe[keys >> MAYBE_SHIFT] = True
+            self.prefixes.append((keys, np.array([table[int(k)] for k in keys], np.int64), maybe))
 
     def expand(self, ids: np.ndarray, text: str) -> np.ndarray:
         """Ids with every unknown character replaced by its byte pieces."""
@@ -240,8 +250,8 @@ class Model:
         """Per text its ``n`` best segmentations (score, ids), best first; an empty text has one, empty."""
         marked = [_marked(t) for t in texts]
         split = [WORD.findall(t) for t in marked]
-        index: dict[str, int] = {}
-        places = [np.array([index.setdefault(w, len(index)) for w in words], np.int64) for words in split]
+        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        places = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in split]
         if not index:
             yield from ([(0.0, np.zeros(0, np.int32))] for _ in texts)
             return
