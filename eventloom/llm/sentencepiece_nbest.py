@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -32,13 +33,13 @@ from .common import per_worker
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-# A literal mark in a text is not a space. It stands as a private character, which is no piece,
-# and so goes by its own bytes.
-NO_PIECE = "\ue000"
+# A literal mark in a text is not a space. It stands as a lone surrogate, which no text holds and
+# which is no piece, and so goes by its own bytes.
+NO_PIECE = "\ud800"
 NORMAL, BYTE, UNIGRAM = 1, 6, 1
 UNKNOWN_PENALTY = 10.0
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-MAYBE_SHIFT = np.uint64(46)
+LEAD_SHIFT = np.uint64(46)
 CHUNK_CHARS = 4_000_000
 
 
@@ -68,105 +69,116 @@ def _hash_step(h: np.ndarray, chars: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Lattices of distinct words side by side; nodes are the places between characters."""
+    """Lattices of distinct words side by side, the longest word first.
+
+    Nodes are the places between characters, numbered by depth (characters before them) and then
+    by word. Edges are grouped by the node they end at, the longest first; as an edge is known by
+    its two nodes, each length has at most one per node, and no sort is needed to group them.
+    """
 
     def __init__(self, model: Model, words: list[str]):
+        self.model = model
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        self.first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-        self.last = self.first + lengths
-        n = int(lengths.sum() + len(words))
-        chars = np.zeros(n, np.uint32)
-        place = np.arange(n)
-        chars[np.delete(place, self.last)] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        room = np.repeat(self.last, lengths + 1) - place
-        starts, ends, ids = [], [], []
+        depths = np.arange(int(lengths[0]) + 1)
+        self.width = np.searchsorted(-lengths, -depths, side="right")
+        self.level = np.concatenate([[0], np.cumsum(self.width)])
+        n = int(self.level[-1])
+        sizes = lengths + 1
+        place = np.arange(n)  # word by word, as the characters come
+        depth = place - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        node = self.level[depth] + np.repeat(np.arange(len(words)), sizes)
+        self.last = self.level[lengths] + np.arange(len(words))
+        room = np.repeat(lengths, sizes) - depth
         alive = place[room > 0]
-        h = np.full(len(alive), 7, np.uint64)
-        for length in range(1, model.longest + 1):
-            h = _hash_step(h, chars[alive + (length - 1)])
-            keys, piece, maybe = model.prefixes[length - 1]
-            if length > 1:  # most strings that begin no piece go by one look-up
-                some = maybe[h >> MAYBE_SHIFT]
-                alive, h = alive[some], h[some]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[at] == h
-            found = piece[at]
-            if length == 1:  # a character that is no piece goes by its bytes
-                found = np.where(hit & (found >= 0), found, model.unknown)
-            whole = (found >= 0) & (hit | (length == 1))
-            starts.append(alive[whole])
-            ends.append(alive[whole] + length)
-            ids.append(found[whole])
-            goes_on = hit & (room[alive] > length)
-            alive, h = alive[goes_on], h[goes_on]
-            if not len(alive):
-                break
-        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
-        depth = end - np.repeat(self.first, lengths + 1)[end]
-        # By depth, end and start in one sort: keys differ, as an edge is known by its two nodes.
-        order = np.argsort((depth * n + end) * (model.longest + 1) + (start - end + model.longest))
-        self.start, self.end, self.id = start[order], end[order], piece[order]
+        chars = np.zeros(n, np.uint32)
+        chars[alive] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.char = np.zeros(n, np.uint32)
+        self.char[node] = chars
+        edges = []
+        into = np.zeros(n + 1, np.int64)
+        for length, whole, ids, alive in model.matches(chars, alive, room):
+            begin, end = node[whole], node[whole + length]
+            into[end + 1] += 1
+            edges.append((begin, end, ids))
+        self.bounds = np.cumsum(into)
+        free = self.bounds[:-1].copy()
+        self.start, self.end, self.id = (np.empty(int(self.bounds[-1]), np.int64) for _ in range(3))
+        for begin, end, ids in reversed(edges):
+            at = free[end]
+            self.start[at], self.end[at], self.id[at] = begin, end, ids
+            free[end] = at + 1
         self.score = model.scores[self.id]
-        self.n, self.depth = n, depth[order]
+        self.n = n
         self._forward()
 
+    def _levels(self) -> list[tuple[int, int, int, int]]:
+        """Per depth from 1 on: its first node and the next depth's, its first edge and the next's."""
+        nodes = self.level[1:].tolist()
+        edges = self.bounds[nodes].tolist()
+        return list(zip(nodes, nodes[1:], edges, edges[1:]))
+
     def _forward(self) -> None:
         self.alpha, self.best = np.zeros(self.n), np.full(self.n, -1, np.int64)
-        levels = np.flatnonzero(np.diff(self.depth, prepend=0))
-        for a, b in zip(levels, [*levels[1:], len(self.depth)]):
+        for lo, hi, a, b in self._levels():
             total = self.alpha[self.start[a:b]] + self.score[a:b]
-            node = np.flatnonzero(np.diff(self.end[a:b], prepend=-1))
-            top = np.maximum.reduceat(total, node)
-            self.alpha[self.end[a:b][node]] = top
-            # On a tie the longest last piece: edges of a node come by their start.
-            is_top = total == np.repeat(top, np.diff([*node, b - a]))
-            at = np.flatnonzero(is_top)
-            ends = self.end[a:b][at]
-            new = np.flatnonzero(np.diff(ends, prepend=-1))
-            self.best[ends[new]] = a + at[new]
+            top = np.maximum.reduceat(total, self.bounds[lo:hi] - a)
+            self.alpha[lo:hi] = top
+            # On a tie the longest last piece: of a node's edges the first is assigned last.
+            at = a + np.flatnonzero(total == self.alpha[self.end[a:b]])[::-1]
+            self.best[self.end[at]] = at
         self.on_best = np.zeros(len(self.id), bool)
-        at = self.last.copy()
-        while len(at := at[self.best[at] >= 0]):
+        word, at = np.arange(len(self.last)), self.last
+        n_edges = np.zeros(len(self.last), np.int64)
+        steps = []
+        while len(at):
             edge = self.best[at]
-            self.on_best[edge] = True
+            n_edges[word] += 1
+            steps.append((word, edge))
             at = self.start[edge]
-        path = np.flatnonzero(self.on_best)
-        path = path[np.argsort(self.start[path])]
-        self.path = self.id[path].astype(np.int32)
-        cuts = np.searchsorted(self.start[path], np.append(self.first, self.n))
-        self.path_first, self.path_size = cuts[:-1], np.diff(cuts)
+            on = at >= len(self.last)
+            word, at = word[on], at[on]
+        stop = np.cumsum(n_edges)
+        path = np.empty(int(n_edges.sum()), np.int64)
+        for k, (word, edge) in enumerate(steps, 1):
+            path[stop[word] - k] = edge
+        self.on_best[path] = True
+        self.path, sizes = self.ids_of(path)
+        self.path_size = np.add.reduceat(sizes, stop - n_edges)
+        self.path_first = np.cumsum(self.path_size) - self.path_size
+
+    def ids_of(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a path's edges, an unknown character as its bytes; and how many each edge gives."""
+        ids = self.id[edges].astype(np.int32)
+        sizes = np.ones(len(ids), np.int64)
+        unknown = ids == self.model.unknown
+        if not unknown.any():
+            return ids, sizes
+        chars = self.char[self.start[edges[unknown]]]
+        chars[chars == ord(NO_PIECE)] = ord(SPACE)
+        raw = np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
+        sizes[unknown] += (chars >= 1 << 7).astype(np.int64) + (chars >= 1 << 11) + (chars >= 1 << 16)
+        ids = np.repeat(ids, sizes)
+        ids[ids == self.model.unknown] = self.model.byte_ids[raw]
+        return ids, sizes
 
     @cached_property
     def gap(self) -> np.ndarray:
         """Per word, how much its second-best segmentation scores below the best (inf: none)."""
         beta = np.full(self.n, -np.inf)
         beta[self.last] = 0.0
-        sizes = self.last - self.first + 1
-        height = np.repeat(self.last, sizes)[self.start] - self.start
-        order = np.argsort((height * self.n + self.start) * (int(height.max(initial=0)) + 1) + self.end - self.start)
-        levels = np.flatnonzero(np.diff(height[order], prepend=0))
-        for a, b in zip(levels, [*levels[1:], len(order)]):
-            edges = order[a:b]
-            total = self.score[edges] + beta[self.end[edges]]
-            node = np.flatnonzero(np.diff(self.start[edges], prepend=-1))
-            beta[self.start[edges][node]] = np.maximum.reduceat(total, node)
+        for _, _, a, b in reversed(self._levels()):  # at most one edge of a level leaves a node
+            start = self.start[a:b]
+            beta[start] = np.maximum(beta[start], self.score[a:b] + beta[self.end[a:b]])
         through = self.alpha[self.start] + self.score + beta[self.end]
-        word = np.repeat(np.arange(len(self.first)), sizes)[self.start]
-        second = np.full(len(self.first), -np.inf)
-        off = ~self.on_best
-        np.maximum.at(second, word[off], through[off])
+        through[self.on_best] = -np.inf
+        second = np.full(len(self.last), -np.inf)
+        for (lo, hi, a, b), width in zip(self._levels(), self.width[1:]):
+            top = np.maximum.reduceat(through[a:b], self.bounds[lo:hi] - a)
+            second[:width] = np.maximum(second[:width], top)
         return np.maximum(self.alpha[self.last] - second, 0.0)
 
-    @cached_property
-    def by_end(self) -> np.ndarray:
-        return np.argsort(self.end, kind="stable")
-
-    def edges_into(self, node: int) -> np.ndarray:
-        a, b = np.searchsorted(self.end, [node, node + 1], sorter=self.by_end)
-        return self.by_end[a:b]
-
     def n_best(self, words: list[int], n: int) -> list[tuple[float, list[list[int]]]]:
-        """The ``n`` best segmentations of these words in a row: score, ids per word.
+        """The ``n`` best segmentations of these words in a row: score, edges per word.
 
         A* from the end backward. A state is (word, node); its estimate is the score so far plus
         the Viterbi score of all that is left, which is exact, so states come in order.
@@ -178,23 +190,24 @@ class Words:
         heap = [(-ahead[-1], 0, len(words), -1, 0.0, None)]
         while heap and len(found) < n:
             _, _, left, node, so_far, path = heapq.heappop(heap)
-            if node < 0 or node == self.first[words[left]]:
+            if node < len(self.last):  # the start of a word, or the end of all
                 if left == 0:
                     out: list[list[int]] = [[] for _ in words]
                     while path is not None:
-                        k, piece, path = path
-                        out[k].append(piece)
+                        k, edge, path = path
+                        out[k].append(edge)
                     found.append((so_far, out))
                     continue
                 left -= 1
                 node = int(self.last[words[left]])
             if node not in into:
-                into[node] = [(int(self.start[e]), int(self.id[e]), float(self.score[e])) for e in self.edges_into(node)]
-            for start, piece, score in into[node]:
+                a, b = int(self.bounds[node]), int(self.bounds[node + 1])
+                into[node] = list(zip(range(a, b), self.start[a:b].tolist(), self.score[a:b].tolist()))
+            for edge, start, score in into[node]:
                 count += 1
                 total = so_far + score
                 estimate = total + self.alpha[start] + ahead[left]
-                heapq.heappush(heap, (-estimate, count, left, start, total, (left, piece, path)))
+                heapq.heappush(heap, (-estimate, count, left, start, total, (left, edge, path)))
         return found
 
 
@@ -209,7 +222,6 @@ class Model:
         # An unknown character costs more than any piece.
         self.scores = np.array([*scores, min(scores[i] for i in normal.values()) - UNKNOWN_PENALTY])
         self.longest = max(map(len, normal))
-        self.lengths = np.array([*map(len, pieces), 1])
         self.raw = [p.replace(SPACE, " ").encode("utf-8") for p in pieces]
         for b, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([b])
@@ -226,56 +238,81 @@ class Model:
                 for x in h.tolist():
                     whole[k].setdefault(x, -1)
             whole[length - 1].update(zip(h.tolist(), (normal[p] for p in group)))
+        # First characters by code point; longer prefixes in order of hash, with a table of where
+        # each value of a hash's leading bits begins.
+        self.first_id = np.full(sys.maxunicode + 1, self.unknown, np.int32)
+        self.begins = np.zeros(sys.maxunicode + 1, bool)
+        for p, i in normal.items():
+            self.begins[ord(p[0])] |= len(p) > 1
+            if len(p) == 1:
+                self.first_id[ord(p)] = i
         self.prefixes = []
-        for table in whole:
+        for table in whole[1:]:
             keys = np.array(sorted(table), np.uint64)
-            maybe = np.zeros(1 << (64 - int(MAYBE_SHIFT)), bool)
-            maybe[keys >> MAYBE_SHIFT] = True
-            self.prefixes.append((keys, np.array([table[int(k)] for k in keys], np.int64), maybe))
-
-    def expand(self, ids: np.ndarray, text: str) -> np.ndarray:
-        """Ids with every unknown character replaced by its byte pieces."""
-        at = np.flatnonzero(ids == self.unknown)
-        if not len(at):
-            return ids
-        sizes = self.lengths[ids]
-        starts = (np.cumsum(sizes) - sizes)[at]
-        parts, done = [], 0
-        for k, s in zip(at.tolist(), starts.tolist()):
-            parts += [ids[done:k], self.byte_ids[list(text[s - 1].encode("utf-8"))]]
-            done = k + 1
-        return np.concatenate([*parts, ids[done:]]).astype(np.int32)
+            bits, counts = np.unique(keys >> LEAD_SHIFT, return_counts=True)
+            begin = np.full(1 << (64 - int(LEAD_SHIFT)), -1, np.int32)
+            begin[bits] = np.cumsum(counts) - counts
+            ids = np.array([*(table[int(k)] for k in keys), -1], np.int32)
+            self.prefixes.append((np.append(keys, ~np.uint64(0)), ids, begin, int(counts.max()) - 1))
+
+    def matches(self, chars: np.ndarray, alive: np.ndarray, room: np.ndarray):
+        """Per length: it, the places of ``alive`` where a piece of it starts, the pieces, and
+        the places where a longer one may. A character that is no piece goes by its bytes."""
+        here = chars[alive]
+        yield 1, alive, self.first_id[here], alive
+        goes_on = self.begins[here] & (room[alive] > 1)
+        alive = alive[goes_on]
+        h = _hash_step(np.full(len(alive), 7, np.uint64), here[goes_on])
+        for length, (keys, ids, begin, steps) in enumerate(self.prefixes, 2):
+            if not len(alive):
+                break
+            h = _hash_step(h, chars[alive + (length - 1)])
+            at = begin[h >> LEAD_SHIFT]
+            some = np.flatnonzero(at >= 0)  # most strings that begin no piece go here
+            alive, h, at = alive[some], h[some], at[some]
+            for _ in range(steps):
+                at += keys[at] < h
+            hit = np.flatnonzero(keys[at] == h)
+            alive, h, found = alive[hit], h[hit], ids[at[hit]]
+            whole = found >= 0
+            yield length, alive[whole], found[whole], alive
+            goes_on = room[alive] > length
+            alive, h = alive[goes_on], h[goes_on]
 
     def encode(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
         """Per text its ``n`` best segmentations (score, ids), best first; an empty text has one, empty."""
-        marked = [_marked(t) for t in texts]
-        split = [WORD.findall(t) for t in marked]
-        index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-        places = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in split]
+        split = [WORD.findall(_marked(t)) for t in texts]
+        index = dict.fromkeys(sorted(set(chain.from_iterable(split)), key=len, reverse=True))
         if not index:
             yield from ([(0.0, np.zeros(0, np.int32))] for _ in texts)
             return
         words = Words(self, list(index))
-        best_score = words.alpha[words.last]
-        for text, at in zip(texts, places):
-            sizes = words.path_size[at]
-            offsets = np.cumsum(sizes) - sizes
-            from_ = np.repeat(words.path_first[at] - offsets, sizes) + np.arange(sizes.sum())
-            ids = words.path[from_]
-            total = float(best_score[at].sum())
-            out = [(total, self.expand(ids, text))]
-            if n > 1 and len(at):
-                gaps = words.gap[at]
-                chosen = np.sort(np.lexsort((np.arange(len(at)), gaps))[: n - 1])
-                chosen = chosen[np.isfinite(gaps[chosen])]
+        index.update(zip(index, range(len(index))))
+        places = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64)
+        best_score = words.alpha[words.last][places]
+        gap = words.gap[places] if n > 1 else None
+        sizes = words.path_size[places]
+        stops = np.cumsum(sizes)
+        all_ids = words.path[np.repeat(words.path_first[places] - stops + sizes, sizes) + np.arange(int(stops[-1]))]
+        bounds = np.concatenate([[0], stops])
+        done = 0
+        for text_words in split:
+            a, b = done, done + len(text_words)
+            done = b
+            ids = all_ids[bounds[a] : bounds[b]]
+            total = float(best_score[a:b].sum())
+            out = [(total, ids)]
+            if n > 1 and a < b:
+                chosen = a + np.sort(np.argsort(gap[a:b], kind="stable")[: n - 1])
+                chosen = chosen[np.isfinite(gap[chosen])]
                 if len(chosen):
-                    rest = total - float(best_score[at[chosen]].sum())
-                    for score, parts in words.n_best(at[chosen].tolist(), n)[1:]:
-                        pieces, done = [], 0
-                        for c, part in zip(chosen.tolist(), parts):
-                            pieces += [ids[done : offsets[c]], np.array(part, np.int32)]
-                            done = offsets[c] + sizes[c]
-                        out.append((rest + score, self.expand(np.concatenate([*pieces, ids[done:]]), text)))
+                    rest = total - float(best_score[chosen].sum())
+                    for score, paths in words.n_best(places[chosen].tolist(), n)[1:]:
+                        pieces, at = [], bounds[a]
+                        for c, path in zip(chosen.tolist(), paths):
+                            pieces += [all_ids[at : bounds[c]], words.ids_of(np.array(path))[0]]
+                            at = bounds[c + 1]
+                        out.append((rest + score, np.concatenate([*pieces, all_ids[at : bounds[b]]])))
             yield out
 
     def decode(self, ids) -> str:
@@ -285,7 +322,7 @@ class Model:
 
 
 def _marked(text: str) -> str:
-    """Spaces as marks after a first one: character k of a text is character k + 1 here."""
+    """Spaces as marks, after a first one."""
     return SPACE + text.replace(SPACE, NO_PIECE).replace(" ", SPACE) if text else ""
 
 
