@@ -1,11 +1,11 @@
 """License scan by a positional index of rare words, built-in functions only.
 
 Templates of license notices are indexed word by word: where each word stands in which template.
-The weight of a word is its inverse document frequency over the whole corpus. For each text the
-rarest license words it holds are looked up; postings that agree on the relative position of
-text and template make a candidate; a candidate counts once the template's mandatory key phrase
-stands at its place. All of it happens within a row, so there is no shuffle but the counting of
-at most as many words as the templates hold.
+The weight of a word is its inverse document frequency over the whole corpus. A candidate counts
+once the template's mandatory key phrase stands at its place, so each template is looked up by
+the rarest words of that phrase: postings that agree on the relative position of text and template
+make a candidate, and no template that stands in a text is missed. All of it happens within a row,
+so there is no shuffle but the counting of at most as many words as the templates hold.
 """
 
 from __future__ import annotations
@@ -78,12 +78,12 @@ def _places(words: Column, phrase: str) -> Column:
 
 
 def scan(
-    docs: DataFrame, rare_words: int = 8, min_weight: float = 1.0, min_share: float = 0.5,
+    docs: DataFrame, rare_words: int = 2, min_weight: float = 1.0, min_share: float = 0.5,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: words, base places and labels, all labels, score.
 
-    ``rare_words`` of a text's license words, the rarest, are looked up; of them those weighing
+    Each template is looked up by the ``rare_words`` rarest words of its key phrase; words weighing
     less than ``min_weight`` are too common to tell anything. A verified candidate gives its label
     if ``min_share`` of the template's words stand in place; the score is the largest such share,
     and 1 where a base phrase was found. Null and empty texts have no words, no places, empty
@@ -95,23 +95,23 @@ def scan(
     ranked = [w for w in sorted(weights, key=lambda w: (-weights[w], w)) if weights[w] >= min_weight]
     words = F.col("words")
     base = {label: _places(words, phrase) for phrase, label in BASE.items()}
-    # array_intersect keeps the order of its first argument: rarest first.
-    rare = F.slice(F.array_intersect(_strings(ranked), words), 1, rare_words) if ranked else F.array().cast("array<string>")
+    chosen = [_rarest(key, ranked, rare_words) for _, key, _ in TEMPLATES]
+    some = sorted({w for own in chosen for w in own})
+    none = F.array().cast("array<string>")
+    held = F.array_intersect(_strings(some), words) if some else none
+    # Only the words of templates whose chosen words are all in the text.
+    rare = F.array_distinct(F.flatten(F.array(*[_all_or_none(F.col("held"), own) for own in chosen])))
     first = rows.select(
         "doc_id", "words", F.size(words).cast("long").alias("n_words"),
-        *[places.alias(f"at_{i}") for i, places in enumerate(base.values())], rare.alias("rare"),
-    )
-    postings = {}
-    for t, (_, _, text) in enumerate(TEMPLATES):
-        for p, w in enumerate(text.split()):
-            postings.setdefault(w, []).append((t, p))
+        *[places.alias(f"at_{i}") for i, places in enumerate(base.values())], held.alias("held"),
+    ).withColumn("rare", rare)
     index = F.array(
         *[
-            F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p"))
-            for w in ranked or vocabulary()
-            for t, p in postings[w]
+            F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(_key_at(t) + TEMPLATES[t][1].split().index(w)).alias("p"))
+            for t, own in enumerate(chosen)
+            for w in own
         ]
-    )
+    ).cast("array<struct<w:string,t:int,p:int>>")
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("rare", x["w"]))
     second = first.withColumn("hits", F.when(F.size("rare") > 0, hits))
     aligned = F.sort_array(
@@ -127,7 +127,7 @@ def scan(
     )
     third = second.withColumn("aligned", aligned)
     # A candidate: a template and an offset that enough rare words agree on.
-    least = F.array(*[F.lit(_needed(text, ranked)) for _, _, text in TEMPLATES])
+    least = F.array(*[F.lit(max(1, len(own))) for own in chosen])
     a = F.col("aligned")
 
     def agreed(x: Column, k: Column) -> Column:
@@ -160,9 +160,28 @@ def scan(
     )
 
 
-def _needed(text: str, ranked: list[str]) -> int:
-    """Rare words that must agree: two, or as many as the template has."""
-    return max(1, min(2, len(set(text.split()) & set(ranked))))
+def _rarest(key: str, ranked: list[str], most: int) -> list[str]:
+    """The rarest words of a key phrase."""
+    own = set(key.split())
+    return [w for w in ranked if w in own][:most]
+
+
+def _all_or_none(held: Column, own: list[str]) -> Column:
+    """These words if all of them are held."""
+    none = F.array().cast("array<string>")
+    if not own:
+        return none
+    every = F.lit(True)
+    for w in own:
+        every = every & F.array_contains(held, w)
+    return F.when(every, _strings(own)).otherwise(none)
+
+
+def _key_at(t: int) -> int:
+    """Where the key phrase begins in a template."""
+    _, key, text = TEMPLATES[t]
+    parts, keys = text.split(), key.split()
+    return next(i for i in range(len(parts)) if parts[i : i + len(keys)] == keys)
 
 
 def _share(words: Column, candidate: Column) -> Column:
@@ -170,8 +189,7 @@ def _share(words: Column, candidate: Column) -> Column:
     offset = candidate["o"]
     share = F.lit(0.0)
     for t, (_, key, text) in enumerate(TEMPLATES):
-        parts, keys = text.split(), key.split()
-        at = next(i for i in range(len(parts)) if parts[i : i + len(keys)] == keys)
+        parts, keys, at = text.split(), key.split(), _key_at(t)
         stands = F.lit(True)
         for k, part in enumerate(keys):
             stands = stands & F.coalesce(F.get(words, offset + at + k) == part, F.lit(False))

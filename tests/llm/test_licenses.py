@@ -56,6 +56,35 @@ def test_templates_and_edges(spark):
     assert [r.doc_id for r in nobody] == [None]
 
 
+def whole(text):
+    """Labels and score of every template at every place, by plain Python."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    labels, score = set(filter(None, slow(text)[4].split(","))), float(slow(text)[1] > 0)
+    for label, key, notice in TEMPLATES:
+        parts, keys = notice.split(), key.split()
+        at = next(i for i in range(len(parts)) if parts[i : i + len(keys)] == keys)
+        for i in range(len(words)):
+            if words[i : i + len(keys)] == keys:
+                share = sum(0 <= i - at + p < len(words) and words[i - at + p] == w for p, w in enumerate(parts)) / len(parts)
+                if share >= 0.5:
+                    labels, score = labels | {label}, max(score, share)
+    return labels, score
+
+
+def test_many_notices_and_mixed_words(spark):
+    notices = [text for _, _, text in TEMPLATES]
+    mixed = " ".join(sorted({w for text in notices for w in text.split()}))
+    texts = dict(enumerate(
+        [f"kolo{i} the of bar this is" for i in range(60)]
+        + [" foo ".join(notices)] + [f"{mixed} foo {text} foo {mixed}" for text in notices]
+    ))
+    rows = scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    compare(rows, texts)
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))), r.score) for r in rows}
+    assert got == {i: whole(t) for i, t in texts.items()}
+    assert got[60][0] == {label for label, _, _ in TEMPLATES}
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = op8_license_scan(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
