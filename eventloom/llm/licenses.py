@@ -1,11 +1,12 @@
 """License scan by a positional index of rare words, built-in functions only.
 
 Templates of license notices are indexed word by word: where each word stands in which template.
-The weight of a word is its inverse document frequency over the whole corpus. A candidate counts
-once the template's mandatory key phrase stands at its place, so each template is looked up by
-the rarest words of that phrase: postings that agree on the relative position of text and template
-make a candidate, and no template that stands in a text is missed. All of it happens within a row,
-so there is no shuffle but the counting of at most as many words as the templates hold.
+The weight of a word is its inverse document frequency over the whole corpus; it only orders the
+words, and none is too common to be looked up. A candidate counts once the template's mandatory
+key phrase stands at its place, so each template is looked up by the rarest words of that phrase:
+postings that agree on the relative position of text and template make a candidate, and no template
+that stands in a text is missed. All of it happens within a row, so there is no shuffle but the
+counting of at most as many words as the templates hold.
 """
 
 from __future__ import annotations
@@ -78,27 +79,25 @@ def _places(words: Column, phrase: str) -> Column:
 
 
 def scan(
-    docs: DataFrame, rare_words: int = 2, min_weight: float = 1.0, min_share: float = 0.5,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, rare_words: int = 2, min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: words, base places and labels, all labels, score.
 
-    Each template is looked up by the ``rare_words`` rarest words of its key phrase; words weighing
-    less than ``min_weight`` are too common to tell anything. A verified candidate gives its label
-    if ``min_share`` of the template's words stand in place; the score is the largest such share,
-    and 1 where a base phrase was found. Null and empty texts have no words, no places, empty
-    labels and score 0. Repeated rows give repeated results, a null id stays null, other columns
-    are not read, an empty table gives no rows.
+    Each template is looked up by the ``rare_words`` rarest words of its key phrase (at least one),
+    however common they are. A verified candidate gives its label if ``min_share`` of the
+    template's words stand in place; the score is the largest such share, and 1 where a base phrase
+    was found. Null and empty texts have no words, no places, empty labels and score 0. Repeated
+    rows give repeated results, a null id stays null, other columns are not read, an empty table
+    gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), license_words(F.col(text_col)).alias("words"))
     weights = word_weights(rows)
-    ranked = [w for w in sorted(weights, key=lambda w: (-weights[w], w)) if weights[w] >= min_weight]
+    ranked = sorted(weights, key=lambda w: (-weights[w], w))
     words = F.col("words")
     base = {label: _places(words, phrase) for phrase, label in BASE.items()}
-    chosen = [_rarest(key, ranked, rare_words) for _, key, _ in TEMPLATES]
+    chosen = [_rarest(key, ranked, max(1, rare_words)) for _, key, _ in TEMPLATES]
     some = sorted({w for own in chosen for w in own})
-    none = F.array().cast("array<string>")
-    held = F.array_intersect(_strings(some), words) if some else none
+    held = F.array_intersect(_strings(some), words)
     # Only the words of templates whose chosen words are all in the text.
     rare = F.array_distinct(F.flatten(F.array(*[_all_or_none(F.col("held"), own) for own in chosen])))
     first = rows.select(
@@ -111,7 +110,7 @@ def scan(
             for t, own in enumerate(chosen)
             for w in own
         ]
-    ).cast("array<struct<w:string,t:int,p:int>>")
+    )
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("rare", x["w"]))
     second = first.withColumn("hits", F.when(F.size("rare") > 0, hits))
     aligned = F.sort_array(
@@ -127,7 +126,7 @@ def scan(
     )
     third = second.withColumn("aligned", aligned)
     # A candidate: a template and an offset that enough rare words agree on.
-    least = F.array(*[F.lit(max(1, len(own))) for own in chosen])
+    least = F.array(*[F.lit(len(own)) for own in chosen])
     a = F.col("aligned")
 
     def agreed(x: Column, k: Column) -> Column:
@@ -168,13 +167,10 @@ def _rarest(key: str, ranked: list[str], most: int) -> list[str]:
 
 def _all_or_none(held: Column, own: list[str]) -> Column:
     """These words if all of them are held."""
-    none = F.array().cast("array<string>")
-    if not own:
-        return none
     every = F.lit(True)
     for w in own:
         every = every & F.array_contains(held, w)
-    return F.when(every, _strings(own)).otherwise(none)
+    return F.when(every, _strings(own)).otherwise(F.array().cast("array<string>"))
 
 
 def _key_at(t: int) -> int:

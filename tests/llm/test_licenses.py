@@ -85,6 +85,13 @@ def test_many_notices_and_mixed_words(spark):
     assert got[60][0] == {label for label, _, _ in TEMPLATES}
 
 
+def test_notices_that_stand_everywhere(spark):
+    for label, _, text in (TEMPLATES[0], TEMPLATES[7]):
+        for n in (1, 5):
+            docs = spark.createDataFrame([(i, f"foo {text} bar{i}") for i in range(n)], "doc_id long, text string")
+            assert [(label in r.labels.split(","), r.score) for r in scan(docs).collect()] == [(True, 1.0)] * n
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = op8_license_scan(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
