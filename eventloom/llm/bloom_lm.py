@@ -1,9 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter of word pairs.
 
-Three passes over the texts: word counts, counts of pairs of frequent words, scores. A pair's
-count c is kept as its level 1 + floor(log_b c): the filter holds (pair, 1) .. (pair, level), so
-probing level after level until the first miss gives the count back, rounded down. The filter is
-built in shards by the pair's first word and broadcast to the workers, which probe it in numpy.
+Three passes over the texts: word counts, counts of all pairs of words, scores. A pair's count c is
+kept as its level 1 + floor(log_b c): the filter holds (pair, 1) .. (pair, level), so probing level
+after level until the first miss gives the count back, rounded down. The filter is built in shards
+and broadcast to the workers, which probe it in numpy.
 
 Probability of a word w after v (the end of a text counts as a word, and stands before the first):
 
@@ -12,14 +12,16 @@ Probability of a word w after v (the end of a text counts as a word, and stands
 with c' the count read back from the filter and r(v) exactly the mass that v's discounted pairs
 leave, so that the probabilities of all words after v add up to one (but for filter errors).
 
-Scale. Frequent words (``head`` of them, a bound) travel with the task; the counts of all other
-words are joined by shuffle, as pre-aggregated (row, word, count), and since a rare word's share
-only adds log U(w), nothing else of the text moves. A filter larger than ``max_filter_mb`` is
-probed in several passes, a group of shards each.
+Scale. Frequent words (``head`` of them, a bound) travel with the task, under their rank. Every
+other word goes by a 63-bit hash; its count and r are joined by shuffle, as pre-aggregated (row,
+word, count), which adds log U(w) and, as it stands before the next word, log r(w). Beyond that only
+the pairs that the filter knows and that hold such a word move. A filter larger than
+``max_filter_mb`` is probed in several passes, a group of shards each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -43,6 +45,10 @@ BITS_PER_ENTRY = 11.6
 LEVEL_BASE = math.sqrt(2)
 FLUSH = 200_000
 CHUNK_TOKENS = 1 << 19
+#: Tokens to a shard of the pair counts, which one task merges.
+SHARD_TOKENS = 1 << 24
+#: Stands between rows in a run of word ids.
+BREAK = np.iinfo(np.int64).max
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -107,12 +113,48 @@ def _words(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(LOWER).split()
 
 
+def word_hash(word: bytes) -> int:
+    """A negative number that stands for a word outside of the frequent ones."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) | -(1 << 63)
+
+
+class Ids(dict):
+    """Word to id: the rank of a frequent word, the hash of another, kept in a bounded memory."""
+
+    def __init__(self, head: dict[bytes, int]):
+        super().__init__(head)
+        self.limit = len(self) + FLUSH
+
+    def __missing__(self, word: bytes) -> int:
+        found = word_hash(word)
+        if len(self) < self.limit:
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a pair of ids: both ranks, or a hash."""
+    v, w, rare = v.astype(np.uint64), w.astype(np.uint64), (v < 0) | (w < 0)
+    keys = v << np.uint64(32) | w
+    keys[rare] = _mix(v[rare] * np.uint64(0x9E3779B97F4A7C15) + _mix(w[rare] ^ np.uint64(0xD1B54A32D192ED03)))
+    return keys
+
+
+def pair_shards(keys: np.ndarray, v: np.ndarray, w: np.ndarray, n_shards: int) -> np.ndarray:
+    """Pairs of ranks go by the first, which packs them well; others by their hash."""
+    return (np.where((v < 0) | (w < 0), keys, v.astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
     def flush():
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
+            [pa.array(counts.keys(), pa.binary()), pa.array(map(word_hash, counts), pa.int64()), pa.array(counts.values(), pa.int64())],
+            ["word", "h", "n"],
         )
         counts.clear()
         return batch
@@ -126,34 +168,46 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _count_pairs(head: dict[bytes, int], n_pair: int, n_shards: int):
-    """Per shard of first words, the sorted pairs of a batch and their counts, packed."""
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T.copy().view("<u8").ravel()
+
+
+def _count_pairs(head: dict[bytes, int], n_pair: int | None, n_shards: int):
+    """Per shard, a batch's pairs and their counts, packed: those of ranks, then those with a hash."""
     end = head[END]
 
     def packed(ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seq = np.concatenate(ids)
         v, w = seq[:-1], seq[1:]
-        good = (v >= 0) & (v < n_pair) & (w >= 0) & (w < n_pair)
-        pairs, counts = np.unique(v[good].astype(np.uint64) << np.uint64(32) | w[good].astype(np.uint64), return_counts=True)
-        shard = (pairs >> np.uint64(32)) % np.uint64(n_shards)
+        good = (v != BREAK) & (w != BREAK) & _held(v, w, n_pair)
+        v, w = v[good], w[good]
+        keys, at, counts = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
+        v, w = v[at], w[at]
+        shard, rare = pair_shards(keys, v, w, n_shards), (v < 0) | (w < 0)
         rows = []
         for s in np.unique(shard):
-            own = shard == s
-            steps = np.diff(pairs[own], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-            blob = zlib.compress(steps.tobytes() + counts[own].astype("<u4").tobytes(), 1)
-            rows.append((int(s), blob))
+            own, blobs = shard == s, []
+            often, other = np.flatnonzero(own & ~rare), np.flatnonzero(own & rare)
+            other = other[np.argsort(v[other], kind="stable")]
+            blobs.append(_planes(np.diff(keys[often], prepend=np.uint64(0))) + counts[often].astype("<u4").tobytes())
+            firsts = np.diff(v[other].astype(np.uint64), prepend=np.uint64(0))
+            blobs.append(_planes(firsts) + counts[other].astype("<u4").tobytes() + keys[other].tobytes())
+            rows.append((int(s), *(zlib.compress(blob, 1) for blob in blobs)))
         if rows:
-            shards, blobs = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "pairs"])
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "pairs", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, known = [], 0, Ids(head)
         for batch in batches:
             for text in batch.column(0):
-                words = _words(text.as_py())
                 # The row's end and, before its first word, the end of the row before it.
-                ids = np.fromiter((head.get(w, -1) for w in words), np.int64, len(words))
-                held += [np.array([end]), ids, np.array([end, -1])]
+                ids = known.of(_words(text.as_py()))
+                held += [np.array([end]), ids, np.array([end, BREAK])]
                 size += len(ids) + 3
                 if size > 4_000_000:
                     yield from packed(held)
@@ -164,31 +218,45 @@ def _count_pairs(head: dict[bytes, int], n_pair: int, n_shards: int):
     return run
 
 
-def _merge(head_counts: np.ndarray, min_count: int):
-    """One shard's filter, and what its first words leave to the back-off."""
+def _held(v: np.ndarray, w: np.ndarray, n_pair: int | None) -> np.ndarray:
+    """Which pairs the model holds: all, or those of the first ``n_pair`` words."""
+    return np.ones(len(v), bool) if n_pair is None else (v >= 0) & (v < n_pair) & (w >= 0) & (w < n_pair)
+
+
+def _merge(min_count: int):
+    """One shard's filter, and what its pairs take from their first words."""
+
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray], firsts: list[np.ndarray] | None):
+        key, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        first = key >> np.uint64(32) if firsts is None else np.concatenate(firsts)[at]
+        often = count >= min_count
+        return key[often], level_of(count[often]), first[often].astype(np.int64)
 
     def run(table: pa.Table) -> pa.Table:
         keys, counts = [], []
         for blob in table["pairs"].to_pylist():
             raw = zlib.decompress(blob)
             n = len(raw) // 12
-            steps = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T.copy().view("<u8").ravel()
-            keys.append(np.cumsum(steps, dtype=np.uint64))
+            keys.append(np.cumsum(_unplaned(raw, n, 0), dtype=np.uint64))
             counts.append(np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-        often = count >= min_count
-        key, levels = key[often], level_of(count[often])
-        first = (key >> np.uint64(32)).astype(np.int64)
-        own = np.unique(first)
-        at = np.searchsorted(own, first)
-        taken = np.bincount(at, count_of(levels) - DISCOUNT, len(own)) / head_counts[own]
+        frequent = summed(keys, counts, None)
+        keys, counts, firsts = [], [], []
+        for blob in table["others"].to_pylist():
+            raw = zlib.decompress(blob)
+            n = len(raw) // 20
+            firsts.append(np.cumsum(_unplaned(raw, n, 0), dtype=np.uint64))
+            counts.append(np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
+            keys.append(np.frombuffer(raw, "<u8", n, 12 * n))
+        key, levels, first = (np.concatenate(x) for x in zip(frequent, summed(keys, counts, firsts)))
+        own, at = np.unique(first, return_inverse=True)
+        taken = np.bincount(at, count_of(levels) - DISCOUNT, len(own))
         return pa.table(
             {
                 "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
                 "filter": pa.array([fill(key, levels).tobytes()], pa.binary()),
-                "word": pa.array([own.tolist()], pa.list_(pa.int64())),
-                "rest": pa.array([(1 - taken).tolist()], pa.list_(pa.float64())),
+                "word": pa.array([own], pa.list_(pa.int64())),
+                "taken": pa.array([taken], pa.list_(pa.float64())),
             }
         )
 
@@ -197,73 +265,97 @@ def _merge(head_counts: np.ndarray, min_count: int):
 
 ROW = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "word binary, n long"
+    "word binary, n long, v long, w long, own double, v_count double, v_rest double, w_log_u double"
 )
+ROW_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _rows(size: int, **columns) -> pa.RecordBatch:
+    """Rows of ``ROW``; a column that is not given is null."""
+    fields = [c.split() for c in ROW.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[c], ROW_KINDS[k]) if c in columns else pa.nulls(size, ROW_KINDS[k]) for c, k in fields],
+        [c for c, _ in fields],
+    )
 
 
-def _score(head: dict[bytes, int], log_u: np.ndarray, n_pair: int, n_shards: int, shared, part: int):
-    """Rows of documents (word null) and, in the first part, of their rare words (doc_id null).
+def _score(head: dict[bytes, int], log_u: np.ndarray, n_pair: int | None, n_shards: int, shared, part: int, least: int):
+    """Rows of documents, of their pairs with a rare word that the filter knows (with ``v``) and, in
+    the first part, of their rare words (with ``word``).
 
     The first part adds all that does not need the filter: log U and the back-off's share.
     """
     end = head[END]
 
-    def scored(docs: list[tuple], ids: list[np.ndarray], tools: tuple) -> pa.RecordBatch:
+    def scored(docs: list[tuple], ids: list[np.ndarray], tools: tuple) -> Iterator[pa.RecordBatch]:
         """A chunk of texts: (row, id, held out, rare words) each, and their words' ids."""
         filter_, counts, rest = tools
         n = len(docs)
         doc = np.repeat(np.arange(n), [len(x) - 1 for x in ids])
         v, w = (np.concatenate([x[k : len(x) - 1 + k] for x in ids]) for k in range(2))
-        known, paired = w >= 0, (v >= 0) & (v < n_pair)
+        known, after = w >= 0, v >= 0
         base, total = np.zeros(n), np.zeros(n)
         if part == 0:
             base = np.bincount(doc[known], log_u[w[known]], n)
-            # Every word is U(w), after a frequent word less what its pairs take.
-            total = base + np.bincount(doc[paired], np.log10(rest[v[paired]]), n)
-        both = np.flatnonzero(paired & known & (w < n_pair))
-        level = filter_.levels(v[both].astype(np.uint64) << np.uint64(32) | w[both].astype(np.uint64), v[both] % n_shards)
-        both, level = both[level > 0], level[level > 0]
+            # Every word is U(w), after a word less what its pairs take.
+            total = base + np.bincount(doc[after], np.log10(rest[v[after]]), n)
+        held = np.flatnonzero(_held(v, w, n_pair))
+        keys = pair_keys(v[held], w[held])
+        level = filter_.levels(keys, pair_shards(keys, v[held], w[held], n_shards))
+        # A pair the filter holds has the level of ``min_count``; less is a filter error.
+        held, level = held[level >= least], level[level >= least]
+        inside = known[held] & after[held]
+        both = held[inside]
         back = rest[v[both]] * 10.0 ** log_u[w[both]]
-        own = (count_of(level) - DISCOUNT) / counts[v[both]]
+        own = (count_of(level[inside]) - DISCOUNT) / counts[v[both]]
         total += np.bincount(doc[both], np.log10(np.minimum(1.0, own + back)) - np.log10(back), n)
+        row = np.array([d[0] for d in docs], np.int64)
+        yield _rows(
+            n, row=row, doc_id=[d[1] for d in docs], held_out=[d[2] for d in docs], n_tokens=np.bincount(doc, minlength=n),
+            n_known=np.bincount(doc[known], minlength=n), base_score=base, score=total,
+        )
         rare = [(d[0], x, c) for d in docs for x, c in d[3].items()] if part == 0 else []
-        m = len(rare)
-        columns = [
-            [d[0] for d in docs] + [r[0] for r in rare], [d[1] for d in docs] + [None] * m, [d[2] for d in docs] + [None] * m,
-            np.bincount(doc, minlength=n).tolist() + [None] * m, np.bincount(doc[known], minlength=n).tolist() + [None] * m,
-            base.tolist() + [None] * m, total.tolist() + [None] * m, [None] * n + [r[1] for r in rare], [None] * n + [r[2] for r in rare],
-        ]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in ROW.split(", ")])
+        if rare:
+            yield _rows(len(rare), **dict(zip(("row", "word", "n"), zip(*rare))))
+        some = held[~inside]
+        if len(some):
+            a, b, of = v[some], w[some], row[doc[some]]
+            # A frequent word's numbers come along; its row's number, which is no hash, spreads the join.
+            yield _rows(
+                len(some), row=of, v=np.where(a < 0, a, of), w=np.where(b < 0, b, of), own=count_of(level[~inside]) - DISCOUNT,
+                v_count=pa.array(counts[np.maximum(a, 0)], mask=a < 0), v_rest=pa.array(rest[np.maximum(a, 0)], mask=a < 0),
+                w_log_u=pa.array(log_u[np.maximum(b, 0)], mask=b < 0),
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools, row, docs, held, size = shared.value, TaskContext.get().partitionId() << 40, [], [], 0
+        known = Ids(head)
         for batch in batches:
             for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = _words(text.as_py())
-                ids = np.fromiter((head.get(x, -1) for x in words), np.int64, len(words))
+                ids = known.of(words)
                 rare = Counter(words[i] for i in np.flatnonzero(ids < 0)) if part == 0 else Counter()
                 docs.append((row, doc_id, held_out, rare))
                 held.append(np.concatenate([[end], ids, [end]]))
                 row, size = row + 1, size + len(words) + 1
                 if size >= CHUNK_TOKENS:
-                    yield scored(docs, held, tools)
+                    yield from scored(docs, held, tools)
                     docs, held, size = [], [], 0
         if docs:
-            yield scored(docs, held, tools)
+            yield from scored(docs, held, tools)
 
     return run
 
 
 def score(
-    docs: DataFrame, held_out: Column, head: int = 65_536, pair_head: int = 16_384, min_count: int = 2,
+    docs: DataFrame, held_out: Column, head: int = 65_536, pair_head: int | None = None, min_count: int = 2,
     max_filter_mb: int = 256, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: unigram score and model score; the model learns where not ``held_out``.
 
-    ``head`` most frequent words have their counts with the task, pairs are held of the first
-    ``pair_head`` of them that occurred ``min_count`` times; both are the model's order, not a
-    limit on what is counted or scored. A null or empty text is one token, its end. A null
+    ``head`` most frequent words have their counts with the task. All pairs of words are counted,
+    and held in the filter if they occurred ``min_count`` times; a caller who wants a smaller model
+    can hold it to pairs of the ``pair_head`` most frequent words. A null or empty text is one token, its end. A null
     ``held_out`` counts as false. Repeated rows are learnt and scored as often as they occur; a
     null id stays null, other columns are not read. Without training rows every word is unknown.
     """
@@ -275,7 +367,8 @@ def score(
     )
     train = rows.where("not held_out").select("text")
     counted = written(
-        train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words"
+        train.mapInArrow(_count_words, "word binary, h long, n long")
+        .groupBy("word").agg(F.max("h").alias("h"), F.sum("n").alias("c")), "words",
     )
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     denominator = total + 0.5 * (distinct + 1)
@@ -288,21 +381,31 @@ def score(
     ids = {END: 0} | {bytes(r.word): i for i, r in enumerate(frequent, 1)}
     head_counts = np.array([ends.c if ends else 0, *(r.c for r in frequent)], float)
     log_u = np.log10((head_counts + 0.5) / denominator) if denominator else np.zeros(len(ids))
-    n_pair = min(pair_head, len(ids))
-    n_shards = max(16, math.ceil(total / (1 << 26)))
+    n_pair = None if pair_head is None else min(pair_head, len(ids))
+    n_shards = max(16, math.ceil(total / SHARD_TOKENS))
 
-    pairs = train.mapInArrow(_count_pairs(ids, n_pair, n_shards), "shard int, pairs binary")
+    pairs = train.mapInArrow(_count_pairs(ids, n_pair, n_shards), "shard int, pairs binary, others binary")
     merged = written(
         pairs.groupBy("shard").applyInArrow(
-            _merge(head_counts, min_count), "shard int, filter binary, word array<long>, rest array<double>"
+            _merge(min_count), "shard int, filter binary, word array<long>, taken array<double>"
         ),
         "filters",
     )
+    taken = (
+        merged.select(F.explode(F.arrays_zip("word", "taken")).alias("x"))
+        .groupBy(F.col("x.word").alias("v")).agg(F.sum("x.taken").alias("taken"))
+    )
     rest = np.ones(len(ids))
-    sizes = []
-    for r in merged.select("shard", "word", "rest", F.octet_length("filter").alias("bytes")).collect():
-        rest[np.array(r.word, int)] = r["rest"]
-        sizes.append((r.shard, r["bytes"]))
+    # At most ``head`` rows; what is taken from other words is joined to their counts.
+    for r in taken.where("v >= 0").collect():
+        rest[r.v] = 1 - r.taken / head_counts[r.v]
+    facts = written(
+        counted.join(taken.where("v < 0"), F.col("h") == F.col("v"), "left").select(
+            "word", "h", "c", F.greatest(F.lit(1e-12), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("c")).alias("rest")
+        ),
+        "facts",
+    )
+    sizes = [tuple(r) for r in merged.select("shard", F.octet_length("filter")).collect()]
     rest = np.maximum(rest, 1e-12)
     groups: list[list[int]] = [[]]
     room = max_filter_mb << 20
@@ -315,34 +418,46 @@ def score(
 
     out = None
     for part, group in enumerate(groups):
-        held = {r.shard: bytes(r["filter"]) for r in merged.where(F.col("shard").isin(group)).collect()} if group else {}
+        held = {r.shard: bytes(r["filter"]) for r in merged.select("shard", "filter").where(F.col("shard").isin(group)).toLocalIterator()} if group else {}
         shared = spark.sparkContext.broadcast((Filter(held, n_shards), head_counts, rest))
-        run = _score(ids, log_u, n_pair, n_shards, shared, part)
+        run = _score(ids, log_u, n_pair, n_shards, shared, part, int(level_of(np.array([min_count]))[0]))
         scored = written(rows.mapInArrow(run, ROW), "scored")
         out = scored if out is None else out.union(scored)
     if len(groups) > 1:
-        kept = out.where("word is not null")
-        out = out.where("word is null").groupBy("row").agg(
+        kept = out.where("n_tokens is null")
+        out = out.where("n_tokens is not null").groupBy("row").agg(
             F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
             F.max("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-        ).withColumns({"word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")}).union(kept)
+        ).unionByName(kept, allowMissingColumns=True)
     c = F.coalesce("c", F.lit(0))
-    rare = (
-        out.where("word is not null").select("row", "word", "n").join(counted, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(float(denominator)))).alias("rare_score"),
-        )
+    log_u_of = F.log10((c + 0.5) / F.lit(float(denominator)))
+    words = out.where("word is not null").select("row", "word", "n").join(facts, "word", "left").select(
+        "row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * log_u_of).alias("base"),
+        (F.col("n") * (log_u_of + F.log10(F.coalesce("rest", F.lit(1.0))))).alias("full"),
+    )
+    first = facts.select(F.col("h").alias("v"), F.col("c").alias("v_c"), F.col("rest").alias("v_r"))
+    second = facts.select(F.col("h").alias("w"), log_u_of.alias("w_u"))
+    back = F.coalesce("v_rest", "v_r") * F.pow(F.lit(10.0), F.coalesce("w_log_u", "w_u"))
+    own = F.col("own") / F.coalesce("v_count", "v_c")
+    # A filter error can name a word that was never learnt; it has no numbers and adds nothing.
+    seen = (
+        out.where("v is not null").select("row", "v", "w", "own", "v_count", "v_rest", "w_log_u")
+        .join(first, "v", "left").join(second, "w", "left")
+        .select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.when(own + back > 0, F.log10(F.least(F.lit(1.0), own + back)) - F.log10(back)).alias("full"))
+        .where("full is not null")
+    )
+    rare = words.unionByName(seen).groupBy("row").agg(
+        F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("full").alias("rare_score")
     )
     nothing = F.lit(0.0)
     return (
-        out.where("word is null").drop("word", "n").join(rare, "row", "left")
+        out.where("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+        .join(rare, "row", "left")
         .select(
             "doc_id", "held_out", "n_tokens",
             (F.when(F.lit(total > 0), F.col("n_known")).otherwise(0) + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
             F.lit(int(total)).cast("long").alias("train_tokens"),
-            (F.col("base_score") + F.coalesce("rare_score", nothing)).alias("base_score"),
+            (F.col("base_score") + F.coalesce("rare_base", nothing)).alias("base_score"),
             (F.col("score") + F.coalesce("rare_score", nothing)).alias("score"),
         )
     )

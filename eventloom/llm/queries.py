@@ -42,7 +42,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    return bloom_lm.score(table(spark, sf_dir, "documents"), held_out)
+    return bloom_lm.score(table(spark, sf_dir, "documents"), held_out, min_count=1)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

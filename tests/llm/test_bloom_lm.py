@@ -81,6 +81,47 @@ def test_small_head_and_many_passes(spark, monkeypatch):
     assert {r.n_known for r in score(docs.where("doc_id = 1"), F.lit(True)).collect()} == {0}
 
 
+def test_pairs_of_all_words_are_counted_by_default(spark):
+    """More words than the 16,384 that pairs were once held to, every one in a pair that recurs."""
+    rows = [(i, " ".join(f"p{i}w{k} q{i}w{k}" for k in range(20))) for i in range(1000)] * 2
+    docs = spark.createDataFrame([*rows, *[(i, r[1]) for i, r in enumerate(rows[:3], 5000)]], "doc_id long, text string").repartition(3)
+    got = [r.score - r.base_score for r in score(docs, F.col("doc_id") >= 5000).collect()]
+    assert len(got) == 2003 and min(got) > 40
+
+
+def test_whole_table_with_all_pairs(spark):
+    """75,399 distinct words, pairs of all of them, those seen once too."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = [zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in docs]
+    want = slow([(r.doc_id, r.text) for r in docs], held, pair_head=1 << 40, min_count=1)
+    got = {r.doc_id: r for r in op6_bloom_lm(spark, sf).collect()}
+    assert len(got) == len(docs)
+    errors = []
+    for r, (n, known, total, base, full) in zip(docs, want):
+        g = got[r.doc_id]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (n, known, total) and g.base_score == pytest.approx(base, rel=1e-9)
+        assert g.score >= full - 1e-6
+        errors.append((g.score - full) / -full)
+    # Filter errors only raise a word's probability, and are rare.
+    assert sum(errors) / len(errors) < 0.01
+
+
+def test_pairs_of_rare_words_count(spark):
+    """Pairs beyond the words that travel with the task, and so beyond any pair_head, are the model's."""
+    rows = [(i, f"the a{i % 7} of b{i % 5} x{i % 11} y{i % 11} z{i // 2} the end{i}") for i in range(200)] + [(1000, "new z3")]
+    held = [i % 4 == 1 for i, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: x for (i, _), x in zip(rows, slow(rows, held))}
+    for mb in (256, 0):
+        got = {r.doc_id: r for r in score(docs, F.col("doc_id") % 4 == 1, head=4, max_filter_mb=mb).collect()}
+        for i, (n, known, total, base, full) in want.items():
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+            assert got[i].base_score == pytest.approx(base, rel=1e-9)
+            # A filter error reads a pair's level too high.
+            assert got[i].score >= full - 1e-6 and got[i].score == pytest.approx(full, rel=0.05)
+
+
 def test_probabilities_add_up_to_one(spark):
     rows = [(i, t) for i, t in enumerate(["a b", "a b", "a b c", "b a", "c a b"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
