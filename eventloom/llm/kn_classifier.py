@@ -11,7 +11,7 @@ group holds a bounded number of trigrams however large the corpus and however fr
 the bounded model shard is repeated per salt. A group returns one sum per text. Texts of equal
 content share a key and a perplexity.
 
-A text is kept if its perplexity is at most its language's threshold: a high quantile over
+A text is kept if its perplexity is at most its language's threshold: a high quantile over all
 trusted texts that were not trained on.
 """
 
@@ -291,35 +291,53 @@ def perplexities(
     )
 
 
+def _quotas(counts: dict, most: int) -> dict:
+    """Training rows per language: an equal part of ``most``, but half of what a language has at most."""
+    out, left = {}, most
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x or ""))):
+        out[lang] = min(counts[lang] / 2, left / (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
 def classify(
-    docs: DataFrame, labels: DataFrame, max_trusted: int = 8192, quantile: float = 0.99, slack: float = 3.0,
+    docs: DataFrame, labels: DataFrame, max_trusted: int = 8192, quantile: float = 0.99,
     min_language: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    label_col: str = "quality",
+    label_col: str = "quality", toxic_col: str = "toxic",
 ) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept, k1, k2) of every row.
 
-    At most ``max_trusted`` well labelled documents are used, by hash: half train the model, the
-    other half set the thresholds, ``slack`` times the ``quantile`` of their perplexities per
-    language. A language with fewer than ``min_language`` of them, or null, takes the threshold
+    Trusted are the well labelled documents, less those labelled toxic where there is such a column.
+    About half of ``max_trusted`` of them at most, by hash, train the model: as many of each language,
+    but no more than half of what it has. All others set the thresholds, the ``quantile`` of their
+    perplexities per language. A language with fewer than ``min_language`` of them, or null, takes the threshold
     over all. A null or empty text has no words and is not kept. Without trusted documents there
     is no threshold and every text with a word is kept. Repeated rows are judged alike; a null
     id stays null.
     """
-    good = labels.where(f"`{label_col}` = 1 and `{id_col}` is not null").select(F.col(id_col).alias("label_id"))
-    chosen = good.orderBy(F.xxhash64("label_id"), "label_id").limit(max_trusted)
+    good = labels.where(f"`{label_col}` = 1 and `{id_col}` is not null")
+    if toxic_col in labels.columns:
+        good = good.where(~F.coalesce(F.col(toxic_col) == 1, F.lit(False)))
+    good = good.select(F.col(id_col).alias("label_id")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # At most max_trusted narrow rows: a proven bound.
-    trusted = written(
-        texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-        .select("text", "lang", (F.pmod(F.xxhash64("label_id", F.lit("half")), F.lit(2)) == 0).alias("trains")),
-        "trusted",
+    trusted = texts.join(good, F.col("doc_id") == F.col("label_id"))
+    counts = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect()}
+    share = F.lit(0.0)
+    for lang, quota in _quotas(counts, max_trusted // 2).items():
+        share = F.when(F.col("lang").eqNullSafe(F.lit(lang)), quota / counts[lang]).otherwise(share)
+    draw = F.pmod(F.xxhash64("label_id", F.lit("half")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    trains = written(trusted.where(draw < share).select("text", *text_key(F.col("text"))), "trusted")
+    scores = perplexities(texts, trains.select("text"), text_col="text")
+    # Copies are counted before the join; a copy of a text that was trained on sets no threshold.
+    held = (
+        trusted.select("lang", *text_key(F.col("text"))).groupBy("lang", "k1", "k2").agg(F.count("*").alias("n"))
+        .join(F.broadcast(trains.select("k1", "k2").distinct()), ["k1", "k2"], "left_anti")
     )
-    scores = perplexities(texts, trusted.where("trains").select("text"), text_col="text")
-    rest = trusted.where("not trains").select("lang", *text_key(F.col("text"))).join(scores, ["k1", "k2"])
-    cut = F.percentile("perplexity", quantile).alias("cut")
-    limits = {r.lang: slack * r.cut for r in rest.groupBy("lang").agg(cut, F.count("*").alias("n")).where(F.col("n") >= min_language).collect() if r.lang}
+    rest = written(held.join(scores, ["k1", "k2"]).select("lang", "n", "perplexity"), "held")
+    cut = F.percentile("perplexity", quantile, F.col("n")).alias("cut")
+    limits = {r.lang: r.cut for r in rest.groupBy("lang").agg(cut, F.sum("n").alias("n")).where(F.col("n") >= min_language).collect() if r.lang}
     whole = rest.agg(cut).first().cut
-    threshold = F.lit(slack * whole if whole is not None else math.inf)
+    threshold = F.lit(whole if whole is not None else math.inf)
     for lang, value in limits.items():
         threshold = F.when(F.col("lang") == lang, value).otherwise(threshold)
     keyed = texts.select("doc_id", "lang", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *text_key(F.col("text")))

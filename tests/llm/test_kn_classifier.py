@@ -88,6 +88,36 @@ def test_junk_goes_and_clean_stays(spark):
     assert sum(junk) <= 0.6 * len(junk)
 
 
+def test_threshold_is_the_quantile_of_all_held_out(spark):
+    """A rare language keeps its own threshold beside a large one, and bad rows go."""
+    en = [(i, f"the cat sat on the mat with dog {i % 50} and fish {i % 41}", "en") for i in range(10_000)]
+    xx = [(20_000 + i, f"lo gato come un pez {i % 30} y {i % 29}", "xx") for i in range(150)]
+    bad = [(30_000 + i, " ".join(f"zq{i}w{k} mat" for k in range(8)), "en") for i in range(100)]
+    toxic = [(40_000 + i, "vile " * 12 + str(i), "en") for i in range(100)]
+    docs = spark.createDataFrame(en + xx + bad + toxic, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(
+        [(r[0], 1, 0) for r in en + xx] + [(r[0], 0, 0) for r in bad] + [(r[0], 1, 1) for r in toxic],
+        "doc_id long, quality int, toxic int",
+    )
+    rows = classify(docs, labels).collect()
+    cut = {lang: {r.threshold for r in rows if r.lang == lang} for lang in ("en", "xx")}
+    assert len(cut["en"]) == len(cut["xx"]) == 1 and cut["en"] != cut["xx"]
+    clean = [r.perplexity for r in rows if r.lang == "xx"]
+    assert cut["xx"].pop() <= max(clean)
+    assert not any(r.kept for r in rows if r.doc_id >= 30_000)
+    assert sum(r.kept for r in rows if r.doc_id < 30_000) >= 0.97 * (len(en) + len(xx))
+
+
+def test_bad_rows_are_rejected(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    quality = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    rows = [(r.kept, *quality[r.doc_id]) for r in classify(docs, labels).collect() if r.doc_id in quality and r.n_words >= 10]
+    good, bad = [k for k, q, t in rows if q == 1 and t != 1], [k for k, q, _ in rows if q == 0]
+    print("kept: good", sum(good), len(good), "bad", sum(bad), len(bad), "good but toxic", sum(k for k, q, t in rows if q == 1 and t == 1), sum(q == 1 and t == 1 for _, q, t in rows))
+    assert sum(good) >= 0.98 * len(good)
+
+
 def test_edges(spark):
     rows = [(None, None, "en", 1), (1, "", None, 2), (2, "the cat sat", "en", 3), (2, "the cat sat", "en", 3), (3, "one", "xx", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, k1 int")
