@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, cover_tree, kn_classifier, licenses, packing, quality_rules, secrets, sentencepiece_nbest, simhash, token_scan
+from . import (
+    bloom_lm, cover_tree, divergence, kn_classifier, licenses, mixing, packing, quality_rules, secrets, sentencepiece_nbest,
+    simhash, token_scan, whitening,
+)
 from .common import table
 
 
@@ -68,10 +71,23 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), repeats=3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_quality_classifier, op3_packing, op4_secret_scan, op5_sentencepiece,
-        op6_bloom_lm, op7_token_counts, op8_license_scan, op9_simhash, op10_cover_tree,
+        op6_bloom_lm, op7_token_counts, op8_license_scan, op9_simhash, op10_cover_tree, op11_divergence, op12_whitening,
+        op13_mixing,
     )
 }
