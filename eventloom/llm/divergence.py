@@ -25,8 +25,8 @@ PARTIAL = "lang string, source string, term string, n long, docs long"
 SHARD_ROWS = 1 << 17
 BLOCK = 256
 # Bytes of text split at once, rows of partial counts held before they are merged.
-SLICE_BYTES = 1 << 24
-HOLD_ROWS = 1 << 20
+SLICE_BYTES = 1 << 22
+HOLD_ROWS = 1 << 19
 # Terms whose shares are held as one matrix.
 CHUNK_TERMS = 4096
 
@@ -87,6 +87,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows > HOLD_ROWS:
                 held = [_merged(held)]
                 rows = len(held[0])
+                pa.default_memory_pool().release_unused()
                 if rows > HOLD_ROWS // 2:
                     yield from held[0].to_batches()
                     held, rows = [], 0
