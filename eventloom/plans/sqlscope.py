@@ -1,13 +1,12 @@
 """Ad-hoc SQL limited to one tenant's rows.
 
-The statement runs in a session of its own holding only the views it may read. Spark's
-parser says what a statement is and which relations it names; anything but a query over
-those views is refused before it runs. The row limit is applied to the result, not to text.
+The statement runs in a session of its own holding only the views it may read; its parsed and its
+resolved plan are checked (``sqlguard``), and anything but a query over those views is refused
+before it runs. The row limit is applied to the result, not to text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from eventloom.operators.dedup import dedup_latest
 from eventloom.operators.filters import (
     between_dates, select_events,
 )
+from eventloom.plans.sqlguard import RefusedStatement, guarded
 from eventloom.schema import archive_rows
 from eventloom.session import configure
 
@@ -32,17 +32,6 @@ JSON_FUNCTIONS = {
     "json_contains": ("BOOLEAN", "get_json_object(j, concat(\"$['\", k, \"']\")) IS NOT NULL"),
 }
 
-_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
-_ALIAS = re.compile(r"CTE \[([^\]]*)\]")
-# A relation named by an expression, or a statement given as text, is not in the parsed plan.
-_INDIRECT = re.compile(r"\bidentifier\s*\(|\bexecute\s+immediate\b", re.IGNORECASE)
-_REFLECTION = re.compile(r"\b(try_)?(reflect|java_method)\b", re.IGNORECASE)
-
-
-class RefusedStatement(ValueError):
-    """The statement is not a query over the views it may read."""
-
-
 def register_json_functions(spark: SparkSession) -> None:
     for name, (kind, body) in JSON_FUNCTIONS.items():
         spark.sql(
@@ -64,33 +53,6 @@ def scoped_session(spark: SparkSession, views: dict[str, Loader]) -> SparkSessio
     return own
 
 
-def _check(own: SparkSession, sql: str, allowed: set[str]) -> None:
-    plan = own._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    java_class = own.sparkContext._jvm.java.lang.Class
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    banned = [java_class.forName(logical + c) for c in ("Command", "ParsedStatement")]
-    pending = [plan]
-    while pending:
-        node = pending.pop()
-        if any(c.isInstance(node) for c in banned):
-            raise RefusedStatement("only queries are allowed")
-        children = node.children()
-        pending += [children.apply(i) for i in range(children.size())]
-    tree = plan.treeString()
-    aliases = {a.strip() for group in _ALIAS.findall(tree) for a in group.split(",")}
-    for alias in aliases - allowed:
-        # A CTE's name holds within its WITH only; elsewhere the same name would be the table.
-        if own.catalog.tableExists(alias):
-            raise RefusedStatement(f"name of a relation that may not be read: {alias}")
-    for name in _RELATION.findall(tree):
-        if name.strip() not in allowed | aliases:
-            raise RefusedStatement(f"unknown relation: {name}")
-    if _INDIRECT.search(re.sub(r"/\*.*?\*/|--[^\n]*", " ", sql, flags=re.DOTALL)):
-        raise RefusedStatement("relations must be named")
-    if _REFLECTION.search(sql):
-        raise RefusedStatement("function not allowed")
-
-
 def run_scoped(
     spark: SparkSession, sql: str, views: dict[str, Loader], limit: int | None = None
 ) -> DataFrame:
@@ -98,8 +60,7 @@ def run_scoped(
     if not sql or not sql.strip():
         raise RefusedStatement("sql is required")
     own = scoped_session(spark, views)
-    _check(own, sql, set(views))
-    return first_rows(own.sql(sql), limit)
+    return first_rows(guarded(own, sql, views, {*JSON_FUNCTIONS, "json_length"}), limit)
 
 
 def scoped_sql(

@@ -143,9 +143,49 @@ ESCAPES = [
     "SET spark.sql.runSQLOnFiles=true",
     "SHOW TABLES",
     "SELECT java_method('java.lang.System', 'getenv', 'HOME') FROM scoped",
+    "SELECT '--' AS c, event_id FROM IDENTIFIER('global_temp.secret')",
+    "SELECT '/*' AS c, event_id FROM IDENTIFIER('global_temp.secret') WHERE '*/' <> ''",
+    "SELECT * FROM IDENTIFIER('global_' || 'temp.secret')",
+    "SELECT IDENTIFIER('refl' || 'ect')('java.lang.System', 'getenv', 'HOME')",
+    "SELECT try_reflect('java.lang.System', 'getenv', 'HOME') FROM scoped",
+    "SELECT system.builtin.reflect('java.lang.System', 'getenv', 'HOME') FROM scoped",
+    "SELECT transform(event_id) USING 'cat' AS (x) FROM scoped",
+    "SELECT s.event_id FROM scoped s JOIN LATERAL (SELECT * FROM global_temp.secret g WHERE g.event_id = s.event_id)",
+    "SELECT * FROM scoped WHERE EXISTS (WITH c AS (TABLE owned) SELECT 1 FROM c)",
+    "FROM scoped |> UNION ALL TABLE global_temp.secret",
+    "WITH RECURSIVE c(n) AS (SELECT event_id FROM owned UNION ALL SELECT n FROM c WHERE false) SELECT * FROM c",
+    "SELECT * FROM owned VERSION AS OF 1",
+    "SELECT * FROM python_worker_logs()",
+    "SELECT input_file_name() FROM scoped",
+    "SELECT current_catalog(), version() FROM scoped",
+    "BEGIN SELECT * FROM scoped; END",
+    "CACHE TABLE x AS SELECT * FROM scoped",
+    "SELECT default.json_get_str('{}', 'a') FROM scoped",
     "",
 ]
 
+ALLOWED = [
+    "SELECT * FROM VALUES (1, 'a'), (2, 'b') AS v(n, s)",
+    "SELECT n, sum(n) OVER (ORDER BY n) s FROM range(3) AS r(n)",
+    "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 3) SELECT * FROM c",
+    "SELECT event_type, count(DISTINCT tu_id) FILTER (WHERE tu_id IS NOT NULL) n FROM scoped GROUP BY ALL HAVING count(*) > 0 ORDER BY 1",
+    "SELECT * EXCEPT (params) FROM scoped s WHERE EXISTS (SELECT 1 FROM scoped t WHERE t.event_id = s.event_id)",
+    "SELECT k, v FROM scoped LATERAL VIEW explode(params) e AS k, v",
+    "SELECT * FROM (SELECT event_type, tenant_id FROM scoped) PIVOT (count(*) FOR event_type IN ('click', 'view'))",
+    "SELECT json_get_str('{\"a\": 1}', 'a') x, json_length('[1]') n, filter(array(1, 2), i -> i > 1) f FROM scoped",
+    "FROM scoped |> WHERE event_type = 'click' |> AGGREGATE count(*) n GROUP BY tu_id",
+    "(SELECT event_id FROM scoped EXCEPT SELECT event_id FROM scoped) UNION SELECT params['tu_id'] FROM scoped",
+    "SELECT a.event_id, b.n FROM scoped a, LATERAL (SELECT count(*) n FROM scoped c WHERE c.tu_id = a.tu_id) b",
+    "SELECT '--' c, 'IDENTIFIER(1)' d, date_format(event_time, 'yyyy') y, ceil(1.5) z, lpad('a', 2, 'b') l FROM scoped",
+    "SELECT window(event_time, '1 hour').start h, approx_count_distinct(ip), percentile(timestamp_ms, 0.5) FROM scoped GROUP BY 1",
+]
+
+
+@pytest.mark.parametrize("sql", ALLOWED)
+def test_scoped_sql_runs(spark, sf, sql):
+    got = sqlscope.scoped_sql(spark, sql, lambda s: td.silver(s, sf), td.AS_OF_MS, tenant="t1", hours=168)
+    assert got.count() > 0
+
 
 @pytest.mark.parametrize("sql", ESCAPES)
 def test_scoped_sql_refuses(spark, sf, sql, tmp_path):
