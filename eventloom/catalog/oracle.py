@@ -542,6 +542,23 @@ SELECT vec_id, 't' || (label % 4) tenant_id,
 FROM embeddings WHERE label % 4 = 1 ORDER BY list_distance(embedding::DOUBLE[], (SELECT q FROM q)), vec_id
 LIMIT 10"""
 
+ORACLE["similar_lsh"] = ORACLE["similar_exact"]
+
+ORACLE["similar_index"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), d AS (
+  SELECT q.vec_id query_id, v.vec_id id, list_distance(q.e, v.e) d
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) n FROM d)
+SELECT query_id, id, round(d, 6) distance, n::INT "rank" FROM r WHERE n <= 10"""
+
+# The texts are ASCII here: a character is a byte.
+ORACLE["event_embedding"] = _sql(
+    """SELECT event_id, tenant_id, event_type, timestamp_ms, text, list_transform(v, lambda x: (x / size)::FLOAT) vector
+FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) size
+  FROM (SELECT *, list_transform(range(384), lambda i: sin(ord(text[i % length(text) + 1]) * 0.00784 + i * 0.001)) v
+    FROM (SELECT *, 'event_type:' || event_type || ' ip:' || ip || ' user_agent:' || user_agent
+      || ' params:' || params AS text FROM ev)))""", _EV)
+
 ORACLE["build_links"] = f"""
 WITH l AS (SELECT 't' || (page_id % 4) key_prefix, 'secret-' || (page_id % 4) secret, 'tu_' || page_id tu_id,
   url destination, 'aff+id=a%26b&key_prefix=t' || (page_id % 4) tail FROM pages)

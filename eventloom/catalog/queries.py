@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 from eventloom.functions.columns import canonical_params
 from eventloom.operators import (
     attribution, audit, dedup, filters, links, match, partition, quality, ratelimit, rollup,
-    similar, webhooks,
+    similar, vector_index, webhooks,
 )
 from eventloom.plans import history, reports, sqlscope, stats, tiers
 from eventloom.schema import archive_rows
+from eventloom.session import shared_dir
 from eventloom.sources import ingest
 from eventloom.sources import testdata as td
 
@@ -588,9 +591,23 @@ def similar_exact(spark, sf):
 
 @query
 def similar_lsh(spark, sf):
-    return similar.similar_lsh(
+    found = similar.similar_lsh(
         td.vectors(spark, sf), td.query_vector(spark, sf), "t1", 10, "vec_id"
     )
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def similar_index(spark, sf):
+    """Ten nearest vectors of every hundredth one, through a stored index, none lost."""
+    alone = spark.sparkContext.master.partition("[")[0] == "local"
+    base = f"{shared_dir(spark, tempfile.mkdtemp(prefix='eventloom-') if alone else None)}/vectors-{uuid.uuid4().hex}"
+    rows = td.vectors(spark, sf)
+    index = vector_index.VectorIndex.create(rows, f"{base}/index", 16, "vec_id")
+    index.add(rows, 0, "vec_id")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    found = index.search(asked, 10, nprobe=4, exact=True, scratch=f"{base}/first")
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query

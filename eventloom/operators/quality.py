@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.crypto import CMS_DEPTH, sketch_slots
+from eventloom.operators.skew import ordinal
 
 # User-agent substrings that mark a bot, tried in this order.
 BOT_UA_PATTERNS = (
@@ -33,6 +34,7 @@ RULE_ACTIONS = ("drop", "flag")
 
 IP_RATE_LIMIT = 200
 IP_WINDOW_SECS = 60
+WINDOW_SLICES = 16
 MAX_COMPILED_RULES = 200
 
 
@@ -202,24 +204,34 @@ def _windowed(events: DataFrame, window_secs: int) -> DataFrame:
 
 
 def ip_rate_exact(
-    events: DataFrame, limit: int = IP_RATE_LIMIT, window_secs: int = IP_WINDOW_SECS
+    events: DataFrame, limit: int = IP_RATE_LIMIT, window_secs: int = IP_WINDOW_SECS,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Running count of the IP in its window plus its total in the window before, against
     the limit; 0 switches the check off. Windows are epoch-aligned. Pass only events that
     got through the user-agent tests.
+
+    A window is numbered in slices of its time, so a hot IP spreads over tasks. ``carried`` holds
+    (ip, wid, count) of events that came before, for a table that arrives in batches.
     """
-    rows = _windowed(events, window_secs)
-    order = Window.partitionBy("ip", "wid").orderBy("timestamp_ms", "event_id")
-    running = rows.withColumn("cur_count", F.row_number().over(order).cast("long"))
-    previous = (
-        rows.groupBy("ip", "wid")
-        .agg(F.count("*").alias("prev_count"))
-        .withColumn("wid", F.col("wid") + 1)
-    )
-    counted = running.join(previous, ["ip", "wid"], "left").withColumn(
-        "prev_count", F.coalesce("prev_count", F.lit(0))
-    )
-    return _limited(counted, limit)
+    rows = _windowed(events, window_secs).withColumn("_ip", F.coalesce("ip", F.lit("")))
+    key = ["_ip", "wid"]
+    running = ordinal(rows, key, "timestamp_ms", ["event_id"], "cur_count", max(window_secs * 1000 // WINDOW_SLICES, 1))
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    if carried is not None:
+        earlier = carried.select(F.coalesce("ip", F.lit("")).alias("_ip"), "wid", F.col("count").alias("_n"))
+        counts = counts.unionByName(earlier).groupBy(*key).agg(F.sum("_n").alias("_n"))
+        running = running.join(earlier.withColumnRenamed("_n", "_before"), key, "left").withColumn(
+            "cur_count", F.col("cur_count") + F.coalesce("_before", F.lit(0))
+        ).drop("_before")
+    previous = counts.select("_ip", (F.col("wid") + 1).alias("wid"), F.col("_n").alias("prev_count"))
+    counted = running.join(previous, key, "left").withColumn("prev_count", F.coalesce("prev_count", F.lit(0)))
+    return _limited(counted.drop("_ip"), limit)
+
+
+def ip_window_counts(events: DataFrame, window_secs: int = IP_WINDOW_SECS) -> DataFrame:
+    """(ip, wid, count) of the events, for a later batch to carry on from."""
+    return _windowed(events, window_secs).groupBy("ip", "wid").count()
 
 
 def ip_rate_sketch(

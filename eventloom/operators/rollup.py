@@ -44,9 +44,13 @@ def warm_reconcile(events: DataFrame, date: str) -> DataFrame:
     )
 
 
-def reconcile_day(spark: SparkSession, archive: str, base: str, date: str) -> None:
-    """Replace one day's rollup hours by recomputed ones. Running it again changes nothing."""
-    tiers.write_rollup(warm_reconcile(tiers.cold_scan(spark, archive), date), base)
+def reconcile_day(spark: SparkSession, archive: str, base: str, date: str, upto: int | None = None) -> None:
+    """Replace one day's rollup hours by recomputed ones. Running it again changes nothing.
+
+    ``upto`` is the last batch that is in both tables; counts of later batches stay beside.
+    """
+    rows = tiers.cold_scan(spark, archive, upto)
+    tiers.write_rollup(warm_reconcile(rows, date), base, date, date, upto)
 
 
 def hour_pivot(hourly: DataFrame, types: tuple[str, ...] = PIVOT_TYPES) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Similar events: exact nearest vectors, an inverted-file index, and hashing buckets."""
+"""Similar events: exact nearest vectors, and hashing buckets. ``vector_index`` holds a stored index."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +40,8 @@ def _embed(texts: pa.Array) -> pa.Array:
     kept = np.flatnonzero(sizes)
     places = np.arange(EMBEDDING_DIM)
     letters = np.frombuffer(b"".join(data), dtype=np.uint8)
-    grid = letters[starts[kept, None] + places % sizes[kept, None]].astype(np.float32)
-    v = np.sin(grid * np.float32(BYTE_FACTOR) + places.astype(np.float32) * np.float32(POSITION_FACTOR))
+    grid = letters[starts[kept, None] + places % sizes[kept, None]].astype(np.float64)
+    v = np.sin(grid * BYTE_FACTOR + places * POSITION_FACTOR)
     v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), np.finfo(np.float32).tiny)[:, None]
     ends = np.r_[0, np.cumsum(np.where(sizes > 0, EMBEDDING_DIM, 0))].astype(np.int32)
     return pa.ListArray.from_arrays(
@@ -63,29 +64,10 @@ def vector_rows(events: DataFrame) -> DataFrame:
 
 
 def l2_squared(vector: Column, query: list[float]) -> Column:
-    """Squared distance to a fixed vector, whole Arrow batches at a time.
-
-    A vector of another length has no distance (NULL).
-    """
-    wanted = np.asarray(query, dtype=np.float64)
-
-    @F.arrow_udf("double")
-    def distance(vectors: pa.Array) -> pa.Array:
-        sizes = vectors.value_lengths().fill_null(0).to_numpy()
-        if len(vectors) and (sizes == len(wanted)).all():
-            grid = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(wanted))
-            gap = grid.astype(np.float64) - wanted
-            return pa.array(np.einsum("ij,ij->i", gap, gap))
-        return pa.array(
-            [
-                None if v is None or len(v) != len(wanted)
-                else float(np.sum((np.asarray(v, dtype=np.float64) - wanted) ** 2))
-                for v in vectors.to_pylist()
-            ],
-            type=pa.float64(),
-        )
-
-    return distance(vector)
+    """Squared distance to a fixed vector; one of another length, or with a null, has none (NULL)."""
+    wanted = F.lit([float(x) for x in query])
+    gaps = F.zip_with(vector, wanted, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+    return F.when(F.size(vector) == len(query), F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap))
 
 
 def similar_exact(
@@ -107,69 +89,38 @@ def similar_exact(
 # --- approximate ------------------------------------------------------------------------
 
 
-class InvertedFile:
-    """Vectors written by nearest coarse centre; a search reads the closest cells only."""
-
-    def __init__(self, path: str, centers: list[list[float]]):
-        self.path = path
-        self.centers = np.asarray(centers)
-
-    @classmethod
-    def build(
-        cls, vectors: DataFrame, path: str, cells: int, vector_col: str = "vector", seed: int = 7
-    ) -> InvertedFile:
-        """Centres are trained by distributed k-means; cells become table partitions.
-
-        The rebalance splits a crowded cell over several files and tasks.
-        """
-        features = vectors.withColumn("_features", array_to_vector(vector_col))
-        model = KMeans(k=cells, seed=seed, featuresCol="_features", predictionCol="cell").fit(features)
-        (
-            model.transform(features)
-            .drop("_features")
-            .hint("rebalance", "cell")
-            .write.mode("overwrite")
-            .partitionBy("cell")
-            .parquet(path)
-        )
-        return cls(path, [c.tolist() for c in model.clusterCenters()])
-
-    def search(
-        self, spark: SparkSession, query: list[float], tenant: str | None = None, k: int = TOP_K,
-        nprobe: int = 4, id_col: str = "event_id", vector_col: str = "vector",
-    ) -> DataFrame:
-        gaps = ((self.centers - np.asarray(query)) ** 2).sum(axis=1)
-        nearest = [str(c) for c in np.argsort(gaps)[:nprobe]]
-        probed = spark.read.parquet(self.path).where(F.col("cell").cast("string").isin(nearest))
-        return similar_exact(probed.drop("cell"), query, tenant, k, id_col, vector_col)
-
-
 def similar_lsh(
     vectors: DataFrame, query: list[float], tenant: str | None = None, k: int = TOP_K,
     id_col: str = "event_id", vector_col: str = "vector", bucket: float = 0.5, tables: int = 8,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate nearest vectors: exact distance only for rows that share a random-projection
-    bucket with the query. A row sharing none is not found; the exact search is the check."""
+    """The nearest vectors by random projections, none lost.
+
+    Rows that share a bucket with the query bound the k-th distance. A projection on a unit vector
+    never stretches a distance, so whatever lies within that bound differs in each table by no
+    more buckets than the bound spans; those rows, and no others, are compared exactly. Where
+    fewer than ``k`` rows share a bucket, all are.
+    """
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import Vectors
 
     if tenant is not None:
         vectors = vectors.where(F.col("tenant_id") == tenant)
+    vectors = vectors.where((F.size(vector_col) == len(query)) & F.forall(vector_col, lambda v: v.isNotNull()))
     hasher = BucketedRandomProjectionLSH(
         inputCol="_features", outputCol="_hashes", bucketLength=bucket, numHashTables=tables, seed=seed
     )
     spark = vectors.sparkSession
     features = vectors.withColumn("_features", array_to_vector(vector_col))
-    model = hasher.fit(features)
+    model = hasher.fit(spark.createDataFrame([(Vectors.dense(query),)], ["_features"]))
     probe = spark.createDataFrame([(Vectors.dense(query),)], ["_features"])
     hashes = [float(h[0]) for h in model.transform(probe).head()["_hashes"]]
-    from pyspark.ml.functions import vector_to_array
-
-    near = None
-    for i, h in enumerate(hashes):
-        same = vector_to_array(F.col("_hashes")[i])[0] == h
-        near = same if near is None else near | same
-    return similar_exact(
-        model.transform(features).where(near).drop("_features", "_hashes"),
-        query, None, k, id_col, vector_col,
-    )
+    hashed = model.transform(features)
+    apart = [F.abs(vector_to_array(F.col("_hashes")[i])[0] - h) for i, h in enumerate(hashes)]
+    shared = reduce(lambda a, b: a | b, [gap == 0 for gap in apart])
+    near = similar_exact(hashed.where(shared).drop("_features", "_hashes"), query, None, k, id_col, vector_col)
+    found, bound = near.agg(F.count("*"), F.max("distance")).head()
+    if found < k:
+        return similar_exact(vectors, query, None, k, id_col, vector_col)
+    within = reduce(lambda a, b: a & b, [gap <= bound / bucket + 1 for gap in apart])
+    return similar_exact(hashed.where(within).drop("_features", "_hashes"), query, None, k, id_col, vector_col)

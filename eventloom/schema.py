@@ -83,14 +83,14 @@ def derive_silver(events: DataFrame) -> DataFrame:
     )
 
 
-def archive_rows(silver: DataFrame) -> DataFrame:
-    """The 14 columns of the full-history table: params as JSON text, no NULL link."""
+def archive_rows(silver: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The 14 columns of the full-history table: params as JSON text, no NULL link; then ``extra``."""
     return silver.withColumns(
         {
             "tu_id": F.coalesce("tu_id", F.lit(NO_LINK)),
             "params": canonical_params(F.col("params")),
         }
-    ).select(*ARCHIVE_COLUMNS)
+    ).select(*ARCHIVE_COLUMNS, *extra)
 
 
 def params_from_archive(archive: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from eventloom.schema import ARCHIVE_COLUMNS, archive_rows, params_from_archive
+from eventloom.schema import ARCHIVE_COLUMNS, SILVER_COLUMNS, archive_rows, params_from_archive
+from eventloom.sources import files
+from eventloom.sources.deltas import CountLog
+from eventloom.sources.files import replace_partitions
 
 ARCHIVE_PARTITIONS = ("tenant_id", "date_path", "batch")
 ROLLUP_PARTITIONS = ("tenant_id", "date_path", "hour")
@@ -18,64 +20,63 @@ ROLLUP_KEY = (*ROLLUP_PARTITIONS, "event_type")
 AGGREGATES_PREFIX = "aggregates"
 COMPACTED = "compacted"
 
-ARCHIVE_SCHEMA = T.StructType(
-    [
-        T.StructField(c, T.LongType() if c == "timestamp_ms" else T.StringType())
-        for c in (*ARCHIVE_COLUMNS, "batch")
-    ]
-)
-# `batch` is the last batch counted into the row; -1 in rows computed from the archive.
-ROLLUP_SCHEMA = T.StructType(
-    [
-        T.StructField("event_type", T.StringType()),
-        T.StructField("count", T.LongType()),
-        T.StructField("batch", T.LongType()),
-        *[T.StructField(c, T.StringType()) for c in ROLLUP_PARTITIONS],
-    ]
-)
-
 
 def rollup_path(base: str, tenant: str, date: str, hour: str) -> str:
     """Folder of one rollup hour."""
     return f"{base}/{AGGREGATES_PREFIX}/tenant_id={tenant}/date_path={date}/hour={hour}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+# --- archive ----------------------------------------------------------------------------
 
 
-def replace_partitions(df: DataFrame, path: str, keys: tuple[str, ...]) -> None:
-    """Write ``df``, replacing exactly the partitions it has rows for.
+def _column_types(spark: SparkSession, path: str) -> dict[str, str]:
+    """Type of every column the archive has, the 14 fixed ones first, added ones by name.
 
-    The rebalance hint merges small partitions and splits a hot one over several tasks,
-    which a plain ``repartition`` on the keys would write from a single task.
+    Added columns are listed in a small table beside the archive, so that no reader has to open
+    all files to know them.
     """
-    (
-        df.hint("rebalance", *keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .partitionBy(*keys)
-        .parquet(path)
-    )
-
-
-# --- archive ----------------------------------------------------------------------------
+    types = {c: "bigint" if c == "timestamp_ms" else "string" for c in ARCHIVE_COLUMNS}
+    if files.exists(spark, f"{path}.columns"):
+        listed = spark.read.schema("name string, type string").parquet(f"{path}.columns").distinct()
+        types |= {r["name"]: r["type"] for r in listed.orderBy("name").collect()}
+    return types
 
 
 def write_archive(silver: DataFrame, path: str, batch: str | int) -> None:
-    """Add a batch of events. Writing the same batch again replaces it."""
-    labelled = archive_rows(silver).withColumn("batch", F.lit(str(batch)))
+    """Add a batch of events. Writing the same batch again replaces it.
+
+    Columns that silver rows do not have by rule are added to the archive by name; a column
+    whose type differs from what is stored is refused.
+    """
+    spark = silver.sparkSession
+    extra = {n: t for n, t in silver.dtypes if n not in SILVER_COLUMNS and n != "batch"}
+    known = _column_types(spark, path)
+    for name, kind in extra.items():
+        if known.get(name, kind) != kind:
+            raise ValueError(f"column {name} is {known[name]} in the archive, not {kind}")
+    new = sorted((n, t) for n, t in extra.items() if n not in known)
+    if new:
+        spark.createDataFrame(new, "name string, type string").coalesce(1).write.mode("append").parquet(f"{path}.columns")
+    labelled = archive_rows(silver, tuple(extra)).withColumn("batch", F.lit(str(batch)))
     replace_partitions(labelled, path, ARCHIVE_PARTITIONS)
 
 
-def cold_scan(spark: SparkSession, path: str) -> DataFrame:
+def _archive(spark: SparkSession, path: str) -> DataFrame:
+    types = _column_types(spark, path)
+    schema = ", ".join(f"`{n}` {t}" for n, t in {**types, "batch": "string"}.items())
+    return spark.read.schema(schema).parquet(path).select(*types, "batch")
+
+
+def cold_scan(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
     """Archive rows. Files written before a column existed yield NULL for it.
 
-    Filters on ``tenant_id`` and ``date_path`` prune folders.
+    Filters on ``tenant_id`` and ``date_path`` prune folders. With ``upto``, only rows of batches up
+    to that one and of compacted ones.
     """
-    return spark.read.schema(ARCHIVE_SCHEMA).parquet(path).select(*ARCHIVE_COLUMNS)
+    rows = _archive(spark, path)
+    if upto is not None:
+        rows = rows.where((F.col("batch") == COMPACTED) | (F.col("batch").try_cast("bigint") <= upto))
+    return rows.drop("batch")
 
 
 def cold_events(spark: SparkSession, path: str) -> DataFrame:
@@ -83,16 +84,22 @@ def cold_events(spark: SparkSession, path: str) -> DataFrame:
     return params_from_archive(cold_scan(spark, path))
 
 
-def compact_day(spark: SparkSession, path: str, staging: str, tenant: str, date: str) -> None:
+def compact_day(
+    spark: SparkSession, path: str, staging: str, tenant: str, date: str, upto: int | None = None
+) -> None:
     """Merge the small files of one archive day; its rows stay the same.
 
+    ``upto`` is the last finished batch; later ones are left alone.
+
     The merged files are complete in ``staging`` before anything is replaced. File sizes
     follow from measured bytes: a small day becomes one file, a hot tenant's day several. A
     stop between the last two steps leaves rows twice, which every reader deduplicates, and
     running the job again removes them.
     """
     wanted = (F.col("tenant_id") == tenant) & (F.col("date_path") == date)
-    day = spark.read.schema(ARCHIVE_SCHEMA).parquet(path).where(wanted)
+    day = _archive(spark, path).where(wanted)
+    if upto is not None:
+        day = day.where((F.col("batch") == COMPACTED) | (F.col("batch").try_cast("bigint") <= upto))
     old = [r["batch"] for r in day.select("batch").distinct().collect()]
     merged = day.drop("batch")
     merged.hint("rebalance").write.mode("overwrite").option(
@@ -107,19 +114,30 @@ def compact_day(spark: SparkSession, path: str, staging: str, tenant: str, date:
         .partitionBy(*ARCHIVE_PARTITIONS)
         .parquet(path)
     )
-    jvm = spark.sparkContext._jvm
     for batch in old:
         if batch != COMPACTED:
-            folder = jvm.org.apache.hadoop.fs.Path(
-                f"{path}/tenant_id={tenant}/date_path={date}/batch={batch}"
-            )
-            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(folder, True)
+            files.remove(spark, f"{path}/tenant_id={tenant}/date_path={date}/batch={batch}")
 
 
 # --- rollup -----------------------------------------------------------------------------
 
 
+def rollup_log(base: str) -> CountLog:
+    """The warm tier: hourly counts, a folder per tenant, day and hour."""
+    return CountLog(f"{base}/{AGGREGATES_PREFIX}", tuple((k, "string") for k in ROLLUP_KEY), ROLLUP_PARTITIONS)
+
+
+def _days(tenant: str | None, date_from: str | None, date_to: str | None):
+    wanted = F.lit(True)
+    if tenant is not None:
+        wanted &= F.col("tenant_id") == tenant
+    if date_from is not None:
+        wanted &= F.col("date_path") >= date_from
+    if date_to is not None:
+        wanted &= F.col("date_path") <= date_to
+    return wanted
+
+
 def warm_scan(
     spark: SparkSession,
     base: str,
@@ -130,60 +148,17 @@ def warm_scan(
 ) -> DataFrame:
     """Rollup rows; the filters prune folders.
 
-    An unreadable file is skipped, or fails the read where ``skip_unreadable`` is false: a read
-    whose rows are written back must not lose any.
+    An unreadable file is skipped, or fails the read where ``skip_unreadable`` is false.
     """
-    df = (
-        spark.read.schema(ROLLUP_SCHEMA)
-        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
-        .parquet(f"{base}/{AGGREGATES_PREFIX}")
-    )
-    if tenant is not None:
-        df = df.where(F.col("tenant_id") == tenant)
-    if date_from is not None:
-        df = df.where(F.col("date_path") >= date_from)
-    if date_to is not None:
-        df = df.where(F.col("date_path") <= date_to)
-    return df
-
+    return rollup_log(base).read(spark, _days(tenant, date_from, date_to), skip_unreadable)
 
-def write_rollup(rollup: DataFrame, base: str) -> None:
-    """Store recomputed hours, replacing what was there."""
-    rows = rollup.withColumn("batch", F.lit(-1).cast("long"))
-    replace_partitions(rows, f"{base}/{AGGREGATES_PREFIX}", ROLLUP_PARTITIONS)
 
+def write_rollup(rollup: DataFrame, base: str, date_from: str | None = None, date_to: str | None = None, upto: int | None = None) -> None:
+    """Store recomputed hours of some days in the place of what batches up to ``upto`` (all) counted."""
+    log = rollup_log(base)
+    log.replace(rollup, max(log.newest(rollup.sparkSession), 0) if upto is None else upto, _days(None, date_from, date_to))
 
-def add_to_rollup(spark: SparkSession, counts: DataFrame, base: str, batch: int) -> None:
-    """Add one batch's hourly counts to the stored ones.
 
-    Each stored row remembers the last batch counted into it, so a batch that is delivered
-    again, wholly or after a partial write, changes nothing.
-    """
-    new = counts.withColumn("batch", F.lit(batch).cast("long"))
-    if path_exists(spark, f"{base}/{AGGREGATES_PREFIX}"):
-        hours = counts.select(*ROLLUP_PARTITIONS).distinct()
-        first, last = counts.agg(F.min("date_path"), F.max("date_path")).head()
-        held = warm_scan(spark, base, date_from=first, date_to=last, skip_unreadable=False).join(
-            hours, list(ROLLUP_PARTITIONS), "left_semi"
-        )
-        seen = F.max(F.when(F.col("_old"), F.col("batch")))
-        new = (
-            held.withColumn("_old", F.lit(True))
-            .unionByName(new.withColumn("_old", F.lit(False)))
-            .groupBy(*ROLLUP_KEY)
-            .agg(
-                F.sum(F.when(F.col("_old"), F.col("count"))).alias("before"),
-                F.sum(F.when(~F.col("_old"), F.col("count"))).alias("added"),
-                seen.alias("seen"),
-                F.max("batch").alias("batch"),
-            )
-            .withColumn(
-                "count",
-                F.coalesce("before", F.lit(0))
-                + F.when(F.coalesce("seen", F.lit(-2)) >= batch, 0).otherwise(
-                    F.coalesce("added", F.lit(0))
-                ),
-            )
-            .select(*ROLLUP_KEY, "count", "batch")
-        )
-    replace_partitions(new, f"{base}/{AGGREGATES_PREFIX}", ROLLUP_PARTITIONS)
+def add_to_rollup(counts: DataFrame, base: str, batch: int) -> None:
+    """Add one batch's hourly counts; a batch that is delivered again replaces its own."""
+    rollup_log(base).add(counts, batch)

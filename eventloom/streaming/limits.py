@@ -1,7 +1,9 @@
-"""Limiters whose verdict depends on what came before: state per key, forgotten when idle.
+"""Limiters whose verdict depends on what came before.
 
-A verdict depends on the order of a key's rows, so one micro-batch's rows of a key are put in
-order together: the source's batch size (``maxOffsetsPerTrigger``) bounds what a key needs.
+The IP limiter carries counts from batch to batch in an append-only log. The token bucket keeps
+state per tenant, forgotten when idle; its verdict depends on the order of a tenant's rows, so one
+micro-batch's rows of a tenant are put in order together: the source's batch size
+(``maxOffsetsPerTrigger``) bounds what a tenant needs.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventloom.operators.quality import IP_RATE_LIMIT, IP_WINDOW_SECS
+from eventloom.operators.quality import IP_RATE_LIMIT, IP_WINDOW_SECS, ip_rate_exact, ip_window_counts
 from eventloom.operators.ratelimit import BURST, COST, DEFAULT_RATE
+from eventloom.sources.deltas import CountLog
 from eventloom.streaming.source import with_arrival
 
 IDLE_BUCKET_SECS = 300
@@ -38,63 +40,39 @@ def _arriving(rows: DataFrame) -> DataFrame:
     return rows if "arrival" in rows.columns else with_arrival(rows)
 
 
-def _ip_window(limit: int, window_ms: int):
-    """Counts of one IP in the current and the preceding epoch-aligned window.
-
-    A row of the preceding window that arrives late is counted there; one older stands alone.
-    """
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        wid, current, previous = state.get if state.exists else (-1, 0, 0)
-        for pdf in _in_order(batches):
-            arrival = pdf["arrival"].iloc[-1]
-            cur, prev = [], []
-            refused = pdf["drop_reason"].notna().tolist()
-            for row_wid, skip in zip((pdf["timestamp_ms"] // window_ms).tolist(), refused):
-                if skip:
-                    seen = (0, 0)
-                elif row_wid < wid:
-                    late = row_wid == wid - 1
-                    previous += late
-                    seen = (previous if late else 1, 0)
-                else:
-                    if row_wid > wid:
-                        previous = current if row_wid == wid + 1 else 0
-                        wid, current = row_wid, 0
-                    current += 1
-                    seen = (current, previous)
-                cur.append(seen[0])
-                prev.append(seen[1])
-            out = pdf.assign(cur_count=cur, prev_count=prev)
-            if limit:
-                over = out["cur_count"] + out["prev_count"] > limit
-                out.loc[over, "drop_reason"] = f"ip_rate_limit:{key[0]}"
-            yield out
-        state.update((wid, current, previous))
-        _forget_after(state, arrival, 2 * window_ms)
-
-    return count
+def ip_log(path: str) -> CountLog:
+    """Counts of each (ip, window) so far, in folders of an hour."""
+    return CountLog(path, (("ip", "string"), ("wid", "bigint"), ("slot", "string")), ("slot",))
 
 
 def ip_limit(
-    judged: DataFrame, limit: int = IP_RATE_LIMIT, window_secs: int = IP_WINDOW_SECS
+    judged: DataFrame, path: str, batch: int, limit: int = IP_RATE_LIMIT, window_secs: int = IP_WINDOW_SECS
 ) -> DataFrame:
-    """A stream with its IP verdicts: ``drop_reason`` filled in, ``cur_count``, ``prev_count``.
+    """IP verdicts of one batch: ``drop_reason`` filled in, ``cur_count``, ``prev_count``.
 
-    Rows that have a ``drop_reason`` already pass through uncounted.
+    Counts of earlier batches come from the log at ``path``, to which this batch adds its own. Rows
+    that have a ``drop_reason`` already pass through uncounted. All of it is joins and windows over
+    slices of time, so no IP's rows meet in one task. A row that comes late is counted in its own
+    window. Batches in order of time give what the batch operator gives for the whole.
     """
-    judged = _arriving(judged)
-    counts = [T.StructField(n, T.LongType()) for n in ("cur_count", "prev_count")]
-    return judged.groupBy("ip").applyInPandasWithState(
-        _ip_window(limit, window_secs * 1000),
-        T.StructType([*judged.schema.fields, *counts]),
-        "wid long, current long, previous long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    spark = judged.sparkSession
+    hour = F.expr(f"(wid * {window_secs}) div 3600")
+    counted = judged.where("drop_reason is null")
+    counts = ip_window_counts(counted, window_secs).withColumn("slot", hour.cast("string"))
+    first, last = counts.agg(F.min(hour), F.max(hour)).head()
+    log = ip_log(path)
+    zero = {"cur_count": F.lit(0).cast("long"), "prev_count": F.lit(0).cast("long")}
+    refused = judged.where("drop_reason is not null").withColumns(zero)
+    if first is None:
+        return refused
+    back = -(-window_secs // 3600)
+    near = F.col("slot").cast("bigint").between(first - back, last)
+    carried = log.read(spark, near, but=batch)
+    log.add(counts, batch)
+    judged_now = ip_rate_exact(counted, limit, window_secs, carried)
+    reason = F.when(F.col("limited"), F.concat(F.lit("ip_rate_limit:"), F.col("ip")))
+    columns = [*judged.columns, "cur_count", "prev_count"]
+    return judged_now.withColumn("drop_reason", reason).select(*columns).unionByName(refused.select(*columns))
 
 
 def _bucket(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):

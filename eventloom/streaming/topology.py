@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from eventloom.operators import quality
+from eventloom.functions.columns import DAY_MS
+from eventloom.operators import quality, rollup
+from eventloom.operators.filters import day_of
 from eventloom.schema import SILVER_SCHEMA
-from eventloom.streaming import limits, sinks, source, views
+from eventloom.sources import deltas, files, tiers
+from eventloom.streaming import limits, sinks, source
 
 
 @dataclass(frozen=True)
@@ -101,9 +104,9 @@ def start_filter(
     """Raw log to clean table: decode, drop replays, refuse bots and hot IPs, apply rules."""
     silver = source.dedup(source.silver_stream(log))
     judged = quality.with_builtin_reason(silver)
-    if ip_limit:
-        judged = limits.ip_limit(judged, ip_limit, window_secs).drop("cur_count", "prev_count")
-    sink = sinks.filter_sink(tables.path("clean"), tables.path("dropped"), load_rules)
+    sink = sinks.filter_sink(
+        tables.path("clean"), tables.path("dropped"), load_rules, tables.path("ip_counts"), ip_limit, window_secs
+    )
     return start(counted(judged, "filter"), tables, "filter", sink, pace)
 
 
@@ -114,8 +117,7 @@ def start_quarantine(log: DataFrame, tables: Tables, pace: Pace = Pace()) -> Str
 
 def clean_stream(spark: SparkSession, tables: Tables, files_per_batch: int | None = None) -> DataFrame:
     """The clean table as the input of the jobs after the filter."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables.path("clean"))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    files.make(spark, tables.path("clean"))
     reader = spark.readStream.schema(SILVER_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -133,8 +135,7 @@ def start_hot(clean: DataFrame, tables: Tables, pace: Pace = Pace()) -> Streamin
 
 def start_stats(clean: DataFrame, tables: Tables, pace: Pace = Pace()) -> StreamingQuery:
     """Hourly counts of the clean table, whose replays the filter job has removed."""
-    sink = sinks.stats_sink(tables.path("stats_hourly"))
-    return start(views.stats_hourly(clean), tables, "stats", sink, pace, "update")
+    return start(clean, tables, "stats", sinks.stats_sink(tables.path("stats_hourly")), pace)
 
 
 def start_ledger(events: DataFrame, tables: Tables, pace: Pace = Pace()) -> StreamingQuery:
@@ -148,3 +149,79 @@ def start_webhooks(
 ) -> StreamingQuery:
     sink = sinks.webhook_sink(tables.path("pending"), load_webhooks, load_tenants, load_deliveries)
     return start(source.dedup(clean), tables, "webhooks", sink, pace)
+
+
+def start_external(
+    requests: DataFrame, tables: Tables, load_tokens: Callable, clock_ms: Callable[[], int], pace: Pace = Pace()
+) -> StreamingQuery:
+    """Posted external events, audited by token, straight to the clean table."""
+    sink = sinks.external_sink(tables.path("clean"), tables.path("refused"), load_tokens, clock_ms)
+    return start(requests, tables, "external", sink, pace)
+
+
+def start_recent(clean: DataFrame, tables: Tables, pace: Pace = Pace()) -> StreamingQuery:
+    return start(clean, tables, "recent", sinks.recent_sink(tables.path("recent")), pace)
+
+
+def start_vectors(clean: DataFrame, tables: Tables, pace: Pace = Pace()) -> StreamingQuery:
+    return start(clean, tables, "vectors", sinks.vector_sink(tables.path("vectors")), pace)
+
+
+# --- scheduled upkeep -------------------------------------------------------------------
+
+
+def finished(spark: SparkSession, tables: Tables, job: str) -> int:
+    """The last batch a job has committed, -1 before the first."""
+    done = [int(n) for n in files.names(spark, f"{tables.checkpoint(job)}/commits") if n.isdigit()]
+    return max(done, default=-1)
+
+
+def prune_ledger(spark: SparkSession, ledger: str, as_of_ms: int, days: int = rollup.LEDGER_DAYS) -> str:
+    """Close the ledger's days older than the retention and drop those closed by an earlier run.
+
+    Whole day folders go; counts stay, as they are a log of their own. The day is closed one run
+    before its ids are dropped, so that a batch under way cannot count an event again.
+    """
+    closed = sinks.ledger_horizon(spark, ledger)
+    horizon = max(day_of(as_of_ms - days * DAY_MS), closed)
+    files.make(spark, f"{ledger}.frozen/{horizon}")
+    for folder in files.names(spark, ledger):
+        if folder.startswith("date_path=") and folder.removeprefix("date_path=") < closed:
+            files.remove(spark, f"{ledger}/{folder}")
+    return horizon
+
+
+def fold_counts(spark: SparkSession, log: deltas.CountLog, upto: int) -> None:
+    """Merge finished batches; folders that an earlier fold replaced are removed."""
+    if upto >= 0:
+        log.fold(spark, upto)
+        log.expire(spark, upto - 1)
+
+
+def upkeep(spark: SparkSession, tables: Tables, as_of_ms: int, staging: str) -> None:
+    """What runs once a day beside the jobs; running it again changes no result.
+
+    Counts, keys and recent events of finished batches are merged, the ledger is pruned, the day
+    before is compacted in the archive, and its warm counts are recomputed from the archive.
+    """
+    day = day_of(as_of_ms - DAY_MS)
+    for job, log in (
+        ("stats", sinks.stats_log(tables.path("stats_hourly"))), ("ledger", sinks.stats_log(tables.path("ledger_stats"))),
+        ("filter", limits.ip_log(tables.path("ip_counts"))), ("archive", tiers.rollup_log(tables.base)),
+    ):
+        fold_counts(spark, log, finished(spark, tables, job))
+    hot = finished(spark, tables, "hot")
+    if hot >= 0:
+        deltas.KeyLog(f"{tables.path('hot')}.keys", ("event_id",)).fold(spark, hot)
+    sinks.trim_recent(spark, tables.path("recent"), finished(spark, tables, "recent"))
+    if finished(spark, tables, "ledger") >= 0:
+        prune_ledger(spark, tables.path("ledger"), as_of_ms)
+    archive, upto = tables.path("archive"), finished(spark, tables, "archive")
+    if upto < 0:
+        return
+    for tenant in files.names(spark, archive):
+        held = files.names(spark, f"{archive}/{tenant}/date_path={day}")
+        if tenant.startswith("tenant_id=") and any(h != f"batch={tiers.COMPACTED}" for h in held):
+            name = files.unescaped(spark, tenant.removeprefix("tenant_id="))
+            tiers.compact_day(spark, archive, f"{staging}/{tenant}-{day}", name, day, upto)
+    rollup.reconcile_day(spark, archive, tables.base, day, upto)

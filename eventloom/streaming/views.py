@@ -9,25 +9,6 @@ from eventloom.operators.filters import live_feed
 from eventloom.streaming.source import dedup
 
 LIVE_SECS = 60
-HOT_RETENTION = "8 days"
-
-
-def stats_hourly(silver: DataFrame, lateness: str = HOT_RETENTION) -> DataFrame:
-    """Hourly counts; run in update mode into ``sinks.stats_sink``.
-
-    The state reaches back over the whole hot window, so only events older than the hot
-    tier keeps are left to the archive's counts.
-    """
-    counted = (
-        silver.withWatermark("event_time", lateness)
-        .groupBy("tenant_id", "event_type", F.window("event_time", "1 hour").alias("w"))
-        .count()
-    )
-    start = F.col("w.start")
-    return counted.select(
-        "tenant_id", "event_type", F.unix_seconds(start).alias("hour"), "count",
-        F.date_format(start, "yyyy-MM-dd").alias("date_path"),
-    )
 
 
 def live_counts(silver: DataFrame, lateness_secs: int = LIVE_SECS, slot: str = "1 second") -> DataFrame:

@@ -72,7 +72,7 @@ def test_warm_scan_prunes_and_skips_a_damaged_file(spark, days, tmp_path):
     assert keys(tiers.warm_scan(spark, base), *WARM) == keys(rollup.warm_rollup(days), *WARM)
     hour = next(p for p in (tmp_path / "aggregates" / "tenant_id=t1").rglob("hour=*"))
     assert len(hour.name) == len("hour=07")
-    (hour / "agg_9.parquet").write_bytes(b"not parquet at all")
+    (next(hour.rglob("batch=*")) / "agg_9.parquet").write_bytes(b"not parquet at all")
     one = tiers.warm_scan(spark, base, "t1", "2024-01-14", "2024-01-15")
     want = rollup.warm_rollup(days).where("tenant_id = 't1' and date_path <= '2024-01-15'")
     assert keys(one, *WARM) == keys(want, *WARM)
@@ -82,7 +82,7 @@ def test_warm_scan_prunes_and_skips_a_damaged_file(spark, days, tmp_path):
 def test_reconcile_replaces_a_day(spark, days, tmp_path):
     archive, base = str(tmp_path / "archive"), str(tmp_path)
     tiers.write_archive(days, archive, 1)
-    tiers.add_to_rollup(spark, rollup.warm_rollup(days), base, 1)
+    tiers.add_to_rollup(rollup.warm_rollup(days), base, 1)
     other = rollup.warm_rollup(days).where("date_path <> '2024-01-15'")
     want = rollup.warm_reconcile(days, "2024-01-15").unionByName(other)
     for _ in range(2):
@@ -231,13 +231,32 @@ def test_test_tables_follow_the_silver_rules(spark, sf):
     assert keys(given, *cols, F.to_json("params")) == keys(derived, *cols, F.to_json("params"))
 
 
-def test_adding_to_a_damaged_rollup_fails(spark, tmp_path):
-    from eventloom.sources.tiers import add_to_rollup
-
+def test_a_damaged_rollup_is_not_folded(spark, tmp_path):
     columns = "tenant_id string, date_path string, hour string, event_type string, count long"
     new = spark.createDataFrame([("t1", "2024-01-01", "07", "click", 10)], columns)
-    add_to_rollup(spark, new, str(tmp_path), 1)
-    for part in tmp_path.rglob("*.parquet"):
+    base = str(tmp_path)
+    for batch in (1, 2):
+        tiers.add_to_rollup(new, base, batch)
+    for part in (tmp_path / "aggregates").rglob("batch=1/*.parquet"):
         part.write_bytes(b"no parquet")
+    assert tiers.warm_scan(spark, base).head()["count"] == 10
     with pytest.raises(Exception, match="(?i)parquet|magic|FAILED_READ"):
-        add_to_rollup(spark, new, str(tmp_path), 2)
+        tiers.rollup_log(base).fold(spark, 2)
+
+
+def test_archive_gains_columns_by_name(spark, days, tmp_path):
+    path = str(tmp_path / "archive")
+    tiers.write_archive(days.where("event_type = 'click'"), path, 0)
+    wider = days.where("event_type = 'view'").withColumns({"country": F.lit("FR"), "score": F.lit(1.5)})
+    tiers.write_archive(wider, path, 1)
+    tiers.write_archive(days.where("event_type = 'purchase'").withColumn("score", F.lit(2.5)), path, 2)
+    got = tiers.cold_scan(spark, path)
+    assert got.columns[-2:] == ["country", "score"]
+    assert {tuple(r) for r in got.select("event_type", "country", "score").distinct().collect()} == {
+        ("click", None, None), ("view", "FR", 1.5), ("purchase", None, 2.5)
+    }
+    before = keys(got, "event_id", "country", "score")
+    tiers.compact_day(spark, path, str(tmp_path / "staging"), "t1", "2024-01-15")
+    assert keys(tiers.cold_scan(spark, path), "event_id", "country", "score") == before
+    with pytest.raises(ValueError, match="score"):
+        tiers.write_archive(days.withColumn("score", F.lit("high")), path, 3)

@@ -73,7 +73,13 @@ def test_stream_ip_limit_equals_batch(spark, sf, tmp_path):
         part = rows.where((F.col("timestamp_ms") >= bounds[i]) & (F.col("timestamp_ms") < bounds[i + 1]))
         part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    drain(limits.ip_limit(stream, 4, 43_200), str(tmp_path / "out"), str(tmp_path / "c"))
+    write = sinks.rows_sink(str(tmp_path / "out"))
+
+    def limited(df, batch_id):
+        for _ in range(2):  # a repeated batch does not see its own counts
+            write(limits.ip_limit(df, str(tmp_path / "ips"), batch_id, 4, 43_200), batch_id)
+
+    drain(stream, None, str(tmp_path / "c"), sink=limited)
     got = spark.read.parquet(str(tmp_path / "out")).where("cur_count > 0")
     want = quality.ip_rate_exact(rows.where("drop_reason is null"), 4, 43_200)
     assert keys(got, "event_id", "cur_count", "prev_count", F.col("drop_reason").isNotNull()) == keys(
@@ -95,12 +101,89 @@ def test_stream_token_bucket_equals_batch(spark, sf, tmp_path):
     assert 0 < want.where("not admitted").count() < want.count()
 
 
+HOURLY = ["tenant_id", "event_type", "hour", "count"]
+
+
 def test_stream_stats_hourly_equals_batch(spark, sf, log_dir, tmp_path):
     silver = source.silver_stream(source.file_log(spark, log_dir, 1))
     path = str(tmp_path / "stats")
-    drain(views.stats_hourly(silver), None, str(tmp_path / "c"), "update", sinks.stats_sink(path))
-    cols = ["tenant_id", "event_type", "hour", "count"]
-    assert keys(spark.read.parquet(path), *cols) == keys(rollup.stats_hourly(td.replayed(spark, sf)), *cols)
+    drain(silver, None, str(tmp_path / "c"), sink=sinks.stats_sink(path))
+    assert keys(sinks.stats_log(path).read(spark), *HOURLY) == keys(rollup.stats_hourly(td.replayed(spark, sf)), *HOURLY)
+
+
+@pytest.mark.parametrize("order", [(1, 3, 0, 2), (3, 2, 1, 0), (0, 1, 1, 2, 3, 3)])
+def test_counts_do_not_hang_on_order_or_repeats(spark, sf, log_dir, tmp_path, order):
+    path = str(tmp_path / "stats")
+    sink, log = sinks.stats_sink(path), sinks.stats_log(path)
+    near = "event_hour >= '20'"
+    for i in order:
+        sink(source.silver_of(source.decode(spark.read.text(f"{log_dir}/{i}.json"))).where(near), i)
+    want = keys(rollup.stats_hourly(td.replayed(spark, sf).where(near)), *HOURLY)
+    assert keys(log.read(spark), *HOURLY) == want
+    for upto in (1, 3, 3):
+        topology.fold_counts(spark, log, upto)
+        assert keys(log.read(spark), *HOURLY) == want
+    # A batch that comes after the fold adds to it; one that is repeated does not.
+    late = source.silver_of(source.decode(spark.read.text(f"{log_dir}/0.json"))).limit(5)
+    for _ in range(2):
+        sink(late, 4)
+    assert log.read(spark).agg(F.sum("count")).head()[0] == sum(w[-1] for w in want) + late.count()
+
+
+def test_folding_leaves_what_readers_hold(spark, tmp_path):
+    log = sinks.stats_log(str(tmp_path / "log"))
+    rows = lambda n: spark.createDataFrame([("t", None, 3600, "1970-01-01", n)], "tenant_id string, event_type string, hour long, date_path string, count long")
+    for batch in range(3):
+        log.add(rows(batch + 1), batch)
+    held = log.read(spark)
+    log.fold(spark, 1)
+    assert log.expire(spark, 0) == 0
+    assert [r["count"] for r in held.collect()] == [r["count"] for r in log.read(spark).collect()] == [6]
+    assert log.expire(spark, 1) == 2
+    assert [r["count"] for r in log.read(spark).collect()] == [6] and log.newest(spark) == 2
+    log.replace(rows(0).limit(0), 2, F.col("date_path") == "1970-01-01")
+    assert log.read(spark).count() == 0
+
+
+def test_hot_table_knows_ids_of_any_age(spark, event, tmp_path):
+    hot = str(tmp_path / "hot")
+    day = 86_400_000
+    first = event([{"event_id": f"e{i}", "ts": 100 * day + i} for i in range(20)])
+    again = event([{"event_id": "e3", "ts": 40 * day}, {"event_id": "e4", "ts": 400 * day}, {"event_id": "new", "ts": 40 * day}])
+    for batch, rows in enumerate((first, again)):
+        for _ in range(2):
+            sinks.hot_sink(hot)(rows, batch)
+    want = [*(f"e{i}" for i in range(20)), "new"]
+    assert sorted(r.event_id for r in spark.read.parquet(hot).collect()) == sorted(want)
+    from eventloom.sources.deltas import KeyLog
+
+    index = KeyLog(f"{hot}.keys", ("event_id",))
+    plan = index.unseen(again.limit(1), 9)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket") or "bucket" in plan.split("PartitionFilters:")[1][:200]
+    for _ in range(2):
+        index.fold(spark, 0)
+        assert sorted(r.event_id for r in spark.read.parquet(f"{hot}.keys").collect()) == sorted(want)
+    assert index.unseen(again, 9).count() == 0
+
+
+def test_ledger_is_pruned_by_day_and_counts_stay(spark, event, tmp_path):
+    ledger, stats = str(tmp_path / "ledger"), str(tmp_path / "stats")
+    day = 86_400_000
+    sink = sinks.ledger_sink(ledger, stats)
+    sink(event([{"event_id": f"e{i}", "ts": (1 + i) * day} for i in range(4)]), 0)
+    counts = lambda: sorted((r.hour, r["count"]) for r in sinks.stats_log(stats).read(spark).collect())
+    before = counts()
+    days = []
+    for _ in range(2):
+        assert topology.prune_ledger(spark, ledger, 33 * day) == "1970-01-04"
+        days.append(sorted(p.name for p in (tmp_path / "ledger").iterdir() if p.name.startswith("date")))
+    assert days == [[f"date_path=1970-01-0{k}" for k in (2, 3, 4, 5)], ["date_path=1970-01-04", "date_path=1970-01-05"]]
+    # A replay of a closed day is set aside, one of an open day is known, a new event counts.
+    replay = [{"event_id": "e0", "ts": day}, {"event_id": "e3", "ts": 4 * day}, {"event_id": "x", "ts": 4 * day}]
+    for _ in range(2):
+        sink(event(replay), 1)
+    assert [r.event_id for r in spark.read.parquet(f"{ledger}.late").collect()] == ["e0"]
+    assert counts() == [*before[:3], (before[3][0], 2)]
 
 
 def test_live_counts_drop_late_rows(spark, event, tmp_path):
@@ -190,14 +273,14 @@ def test_sinks_survive_a_repeated_batch(spark, sf, tmp_path, twice):
     base = str(tmp_path / "warm")
     for batch_id, half in enumerate(halves):
         for _ in range(2 if twice else 1):
-            sinks.hot_sink(hot, days=40)(half, batch_id)
+            sinks.hot_sink(hot)(half, batch_id)
             sinks.ledger_sink(ledger, stats)(half, batch_id)
             sinks.archive_sink(archive, base)(half, batch_id)
     unique = dedup.dedup_earliest(rows)
     assert keys(spark.read.parquet(hot), "event_id") == keys(unique, "event_id")
     assert keys(spark.read.parquet(ledger), "event_id") == keys(unique, "event_id")
     cols = ["tenant_id", "event_type", "hour", "count"]
-    assert keys(spark.read.parquet(stats).where("count > 0"), *cols) == keys(rollup.stats_hourly(unique), *cols)
+    assert keys(sinks.stats_log(stats).read(spark), *cols) == keys(rollup.stats_hourly(unique), *cols)
     both = halves[0].unionByName(halves[1])
     assert tiers.cold_scan(spark, archive).count() == both.count()
     warm = ["tenant_id", "event_type", "date_path", "hour", "count"]
@@ -219,6 +302,8 @@ def test_job_counters_and_whole_topology(spark, sf, log_dir, tmp_path):
             topology.start_archive(topology.clean_stream(spark, tables), tables),
             topology.start_hot(topology.clean_stream(spark, tables), tables),
             topology.start_stats(topology.clean_stream(spark, tables), tables),
+            topology.start_recent(topology.clean_stream(spark, tables), tables),
+            topology.start_vectors(topology.clean_stream(spark, tables), tables),
             topology.start_ledger(topology.clean_stream(spark, tables), tables),
             topology.start_webhooks(
                 topology.clean_stream(spark, tables), tables, td.webhooks, lambda s: td.tenants(s, sf)
@@ -242,19 +327,59 @@ def test_job_counters_and_whole_topology(spark, sf, log_dir, tmp_path):
     assert spark.read.parquet(tables.path("quarantine")).count() == 2
     assert keys(spark.read.parquet(tables.path("hot")), "event_id") == keys(clean, "event_id")
     hourly = ["tenant_id", "event_type", "hour", "count"]
-    assert keys(spark.read.parquet(tables.path("stats_hourly")), *hourly) == keys(rollup.stats_hourly(clean), *hourly)
-    assert keys(spark.read.parquet(tables.path("ledger_stats")), *hourly) == keys(rollup.stats_hourly(clean), *hourly)
-    assert keys(tiers.cold_scan(spark, tables.path("archive")), "event_id") == keys(clean, "event_id")
+    def stored():
+        for name in ("stats_hourly", "ledger_stats"):
+            got = sinks.stats_log(tables.path(name)).read(spark)
+            assert keys(got, *hourly) == keys(rollup.stats_hourly(clean), *hourly)
+        assert keys(tiers.cold_scan(spark, tables.path("archive")), "event_id") == keys(clean, "event_id")
+        warm = [*tiers.ROLLUP_KEY, "count"]
+        assert keys(tiers.warm_scan(spark, tables.base), *warm) == keys(rollup.warm_rollup(clean), *warm)
+        recent = sinks.recent_events(spark, tables.path("recent"), 7)
+        assert keys(recent, "event_id") == keys(dedup.recent_per_tenant(clean, 7), "event_id")
+
+    stored()
+    for run in range(2):
+        topology.upkeep(spark, tables, td.AS_OF_MS - 10 * 86_400_000, str(tmp_path / f"staging{run}"))
+    stored()
+    vectors = spark.read.parquet(tables.path("vectors"))
+    assert keys(vectors, "event_id") == keys(clean, "event_id") and len(vectors.head().vector) == 384
     pending = spark.read.parquet(tables.path("pending"))
     queue = webhooks.webhook_queue(clean, td.webhooks(spark), td.tenants(spark, sf))
     assert keys(pending, "webhook_id", "event_id") == keys(queue, "webhook_id", "event_id")
-    # The first user agent reasons are counted before tenant rules run.
+    # User agent reasons are counted before IP and tenant rules run.
     assert counters.totals["filter"]["read"] == dedup.dedup_latest(td.silver(spark, sf)).count()
     assert counters.totals["filter"]["dropped"] == judged.where(
-        "drop_reason = 'empty_user_agent' or drop_reason like 'bot_ua%' or drop_reason like 'ip_rate%'"
+        "drop_reason = 'empty_user_agent' or drop_reason like 'bot_ua%'"
     ).count()
 
 
+def test_external_events_need_a_good_token(spark, tmp_path):
+    tables = topology.Tables(str(tmp_path))
+    inbox = str(tmp_path / "in")
+    now = 1_700_000_000_000
+    tokens = [("pt_good", "t1", False, 0), ("pt_old", "t1", False, 1_600_000_000), ("pt_gone", "t2", True, 0)]
+    registry = spark.createDataFrame(tokens, "token string, key_prefix string, revoked boolean, expires_at long").select(
+        F.sha2("token", 256).alias("token_hash"), "key_prefix", "revoked", "expires_at"
+    )
+    bodies = [(t, json.dumps({"event_type": "order", "params": {"key_prefix": "t9", "n": t}})) for t in ("pt_good", "pt_old", "pt_gone", "pt_no", "x")]
+    rows = spark.createDataFrame(bodies, "token string, body string").selectExpr(
+        "concat('e-', token) request_id", f"{now}L timestamp_ms", "'1.1.1.1' peer_ip", "cast(null as string) x_real_ip",
+        "cast(null as string) x_forwarded_for", "'' user_agent", "cast(null as string) referer",
+        "cast(null as string) accept_language", "'h' host", "token", "body",
+    )
+    rows.coalesce(1).write.parquet(inbox)
+    for _ in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        topology.start_external(stream, tables, lambda s: registry, lambda: now).awaitTermination()
+    clean = topology.clean_stream(spark, tables)
+    assert clean.isStreaming
+    got = spark.read.parquet(tables.path("clean")).collect()
+    assert [(r.tenant_id, r.event_type, r.params["n"], r.request_path) for r in got] == [("t1", "order", "pt_good", "/ingest")]
+    refused = spark.read.parquet(tables.path("refused"))
+    assert keys(refused, "status") == [("expired",), ("malformed",), ("revoked",), ("unknown",)]
+    assert "token" not in refused.columns
+
+
 def test_webhook_signature_matches_python(spark, sf):
     import hashlib
     import hmac
