@@ -9,7 +9,6 @@ from eventloom.functions.columns import HOUR_MS, canonical_params, param
 from eventloom.operators.filters import PAGE_LIMIT, condition, select_events
 
 KEY = ["tenant_id", "on_value"]
-MAX_PAGE_ROWS = 10_000
 
 
 def _recent(events: DataFrame, on: str, as_of_ms: int, hours: int, tenant: str | None) -> DataFrame:
@@ -26,7 +25,7 @@ def match_pairs(
     result: str = "postback",
     on: str = "click_id",
     hours: int = 24,
-    limit: int = PAGE_LIMIT,
+    limit: int | None = PAGE_LIMIT,
     offset: int = 0,
     tenant: str | None = None,
     require_after: bool = False,
@@ -35,6 +34,8 @@ def match_pairs(
 ) -> DataFrame:
     """One page of (trigger, result) pairs, newest trigger first; unmatched triggers stay.
 
+    With ``limit=None`` all pairs from ``offset`` on, joined as a whole.
+
     The join is never built in full. Every trigger gives at least one row, so the page lies
     within its newest ``offset + limit`` triggers; and no trigger needs more than that many
     of its results, which a group limit picks per key in the map tasks. What remains to be
@@ -43,7 +44,7 @@ def match_pairs(
     ``require_after`` pairs only results not older than their trigger; ``first_only`` keeps
     each trigger's earliest result.
     """
-    reach = offset + limit
+    reach = None if limit is None else offset + limit
     recent = _recent(events, on, as_of_ms, hours, tenant)
     triggers = select_events(recent.where(F.col("event_type") == trigger), **trigger_filters)
     results = recent.where(F.col("event_type") == result)
@@ -56,12 +57,9 @@ def match_pairs(
             F.col("user_agent").alias("trigger_user_agent"),
             canonical_params(F.col("params")).alias("trigger_params"),
         )
-        .orderBy(F.desc("trigger_timestamp"), F.desc("trigger_event_id"))
-        .limit(reach)
     )
-    if reach <= MAX_PAGE_ROWS:
-        # A page is a few rows; holding it spares a second scan of the triggers.
-        newest = events.sparkSession.createDataFrame(newest.toArrow(), newest.schema)
+    if reach is not None:
+        newest = newest.orderBy(F.desc("trigger_timestamp"), F.desc("trigger_event_id")).limit(reach)
     keys = newest.select(*KEY).distinct()
     if require_after:
         # Trigger times cut a key's results into spans, each kept up to the page's reach.
@@ -79,17 +77,12 @@ def match_pairs(
         else F.lit(1)
     )
     earliest = Window.partitionBy(*KEY, "_span").orderBy("result_timestamp", "result_event_id")
-    kept = (
-        candidates.withColumn("_span", span)
-        .where("_span > 0")
-        .withColumn("_rn", F.row_number().over(earliest))
-        .where(F.col("_rn") <= (1 if first_only else reach))
-        .select(
-            *KEY,
-            "result_event_id",
-            "result_timestamp",
-            canonical_params(F.col("_params")).alias("result_params"),
-        )
+    kept = candidates.withColumn("_span", span).where("_span > 0")
+    most = 1 if first_only else reach
+    if most is not None:
+        kept = kept.withColumn("_rn", F.row_number().over(earliest)).where(F.col("_rn") <= most)
+    kept = kept.select(
+        *KEY, "result_event_id", "result_timestamp", canonical_params(F.col("_params")).alias("result_params")
     )
     joined = newest.alias("t").join(kept.alias("r"), _pairing(require_after), "left").select(
         "t.*", "r.result_event_id", "r.result_timestamp", "r.result_params"
@@ -103,7 +96,8 @@ def match_pairs(
         F.desc("trigger_timestamp"), F.desc("trigger_event_id"),
         F.asc_nulls_last("result_timestamp"), F.asc_nulls_last("result_event_id"),
     )
-    paged = (ordered.offset(offset) if offset else ordered).limit(reach - offset)
+    paged = ordered.offset(offset) if offset else ordered
+    paged = paged if limit is None else paged.limit(limit)
     return paged.withColumns(
         {
             "time_delta_ms": F.col("result_timestamp") - F.col("trigger_timestamp"),

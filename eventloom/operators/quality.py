@@ -35,7 +35,6 @@ RULE_ACTIONS = ("drop", "flag")
 IP_RATE_LIMIT = 200
 IP_WINDOW_SECS = 60
 WINDOW_SLICES = 16
-MAX_COMPILED_RULES = 200
 
 
 def _first_matches() -> list[str]:
@@ -104,39 +103,6 @@ def _reason(field: Column, operator: Column, value: Column) -> Column:
     return F.concat_ws(":", F.lit("rule"), field, operator, value)
 
 
-def apply_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds ``drop_reason`` (first matching drop rule) and ``flags`` (matching flag rules).
-
-    ``rules`` comes from ``active_rules``. Up to 200 rules become one CASE expression inside
-    the scan stage, with no join at all. More than that are joined to events by tenant.
-    """
-    few = rules.orderBy("rule_order").limit(MAX_COMPILED_RULES + 1).collect()
-    if len(few) <= MAX_COMPILED_RULES:
-        return _apply_compiled(events, few)
-    return _apply_joined(events, rules)
-
-
-def _apply_compiled(events: DataFrame, rules: list) -> DataFrame:
-    drops, flags = [], []
-    for r in rules:
-        key = r["field"].removeprefix("param:")
-        value = F.col("params")[key] if key != r["field"] else F.col(r["field"])
-        test = _value_matches(value, r["operator"], F.lit(r["value"]))
-        if r["tenant_id"] != "*":
-            test = (F.col("tenant_id") == r["tenant_id"]) & test
-        # A rule without a value has none in its reason, as in the joined form.
-        named = [x for x in ("rule", r["field"], r["operator"], r["value"]) if x is not None]
-        hit = F.when(test, F.lit(":".join(named)))
-        (drops if r["action"] == "drop" else flags).append(hit)
-    none = F.lit(None).cast("string")
-    return events.withColumns(
-        {
-            "drop_reason": F.coalesce(*drops, none),
-            "flags": F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>"),
-        }
-    )
-
-
 def _matching(rules: Column) -> Column:
     """The rules of an array column that match the event, in rule order."""
 
@@ -161,11 +127,13 @@ def _matching(rules: Column) -> Column:
     return F.filter(rules, test)
 
 
-def _apply_joined(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules gathered into one array per tenant, joined on the tenant: no row multiplies.
+def apply_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``drop_reason`` (first matching drop rule) and ``flags`` (matching flag rules).
 
-    Rules for all tenants are a one-value subquery. Spark sizes the join side itself; a hot
-    tenant's events are split by the skew join when it is not broadcast.
+    ``rules`` comes from ``active_rules``. Rules are gathered into one array per tenant and joined
+    on the tenant: no row multiplies, and any number of rules takes the same path. Rules for all
+    tenants are a one-value subquery. Spark sizes the join side itself; a hot tenant's events are
+    split by the skew join when it is not broadcast.
     """
     row = F.struct("rule_order", "field", "operator", "value", "action")
     own = (

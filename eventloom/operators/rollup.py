@@ -36,6 +36,25 @@ def warm_rollup(events: DataFrame) -> DataFrame:
     ).count()
 
 
+def unique_rollup(events: DataFrame, value: str = "ip", log2_size: int = 12) -> DataFrame:
+    """Hourly sketches of distinct values, in the layout of the rollup files.
+
+    Sketches of hours, days or tiers merge without the events: see ``unique_counts``.
+    """
+    return events.groupBy("tenant_id", "event_type", "date_path", event_hour().alias("hour")).agg(
+        F.hll_sketch_agg(value, F.lit(log2_size)).alias("sketch")
+    )
+
+
+def unique_counts(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Estimated distinct values per ``keys`` over any union of ``unique_rollup`` rows.
+
+    With 2^12 slots one standard error is about 1.6 % of the count.
+    """
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(*keys).agg(merged.alias("uniques"))
+
+
 def warm_reconcile(events: DataFrame, date: str) -> DataFrame:
     """One day's rollup recomputed from deduplicated history."""
     day = events.where(F.col("date_path") == date)

@@ -78,7 +78,7 @@ class VectorIndex:
         """An empty index whose centres fit ``sample_rows`` rows, chosen by a hash of the id."""
         named = vectors.select(F.xxhash64(id_col).alias("h"), F.col(vector_col).alias("v")).where("v is not null")
         sample = named.orderBy("h").limit(sample_rows).select(array_to_vector("v").alias("features"))
-        model = KMeans(k=cells, seed=seed).fit(sample)
+        model = KMeans(k=cells, seed=seed, initMode="random", maxIter=8).fit(sample)
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         spark = vectors.sparkSession
         spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").option(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,15 @@ WARM_DAYS = 30
 TOP_TYPES, SUMMARY_LIMIT = 50, 100
 
 
+class RangeCut(UserWarning):
+    """A requested range reaches beyond what a tier holds; the answer covers a part of it."""
+
+
 def warm_range(as_of_ms: int, date_from: str | None, date_to: str | None) -> tuple[str, str]:
-    """A requested range cut to the last 30 days, today included."""
+    """A requested range cut to the last 30 days, today included. A cut is warned about."""
     today, earliest = day_of(as_of_ms), day_of(as_of_ms - WARM_DAYS * DAY_MS)
+    if date_from is not None and date_from < earliest or date_to is not None and date_to > today:
+        warnings.warn(RangeCut(f"the warm tier answers for {earliest} to {today} only"), stacklevel=3)
     return max(date_from or earliest, earliest), min(date_to or today, today)
 
 

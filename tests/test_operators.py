@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import attribution, links, match, quality, ratelimit, rollup, skew
+from eventloom.plans import tiers
 from eventloom.sources import ingest
 from eventloom.sources import testdata as td
 
@@ -134,15 +135,25 @@ def test_first_matching_bot_pattern_names_the_reason(spark):
         assert r.drop_reason == want
 
 
-def test_joined_rules_equal_compiled_rules(spark, sf):
+def test_rules_equal_a_plain_loop(spark, sf):
     rows = td.silver(spark, sf)
     rules = quality.active_rules(td.rules(spark), td.tenants(spark, sf)).withColumn(
         "value", F.expr("case when operator not in ('is_empty', 'not_empty') then value end")
     )
-    few = quality._apply_compiled(rows, rules.orderBy("rule_order").collect())
-    many = quality._apply_joined(rows, rules)
-    key = lambda df: sorted((r.event_id, r.drop_reason or "", tuple(r.flags)) for r in df.collect())
-    assert key(few) == key(many)
+    tests = {
+        "contains": lambda v, w: v is not None and w.lower() in v.lower(), "equals": lambda v, w: v is not None and v == w,
+        "starts_with": lambda v, w: v is not None and v.lower().startswith(w.lower()),
+        "is_empty": lambda v, w: not v, "not_empty": lambda v, w: bool(v),
+    }
+    ordered = rules.orderBy("rule_order").collect()
+    for r in quality.apply_rules(rows, rules).collect():
+        hits = {"drop": [], "flag": []}
+        for rule in ordered:
+            name = rule.field.removeprefix("param:")
+            value = r.params.get(name) if name != rule.field else r[name]
+            if rule.tenant_id in ("*", r.tenant_id) and tests[rule.operator](value, rule.value):
+                hits[rule.action].append(":".join(x for x in ("rule", rule.field, rule.operator, rule.value) if x is not None))
+        assert (r.drop_reason, list(r.flags)) == (next(iter(hits["drop"]), None), hits["flag"])
 
 
 def test_many_rules_take_the_join(spark, sf):
@@ -248,3 +259,29 @@ def test_rotation_keeps_the_latest_destination(spark):
     changes = spark.createDataFrame([("a", "d2", 20), ("a", "d1", 10), ("zz", "d9", 5)], "id string, destination string, updated_at long")
     got = {r.id: r.destination for r in links.current_links(registry, changes).collect()}
     assert got == {"a": "d2", "b": "d0"}
+
+
+def test_unique_sketches_merge_across_hours_and_tables(spark, sf):
+    rows = td.silver(spark, sf).withColumn("ip", F.concat_ws(".", "ip", "event_id"))
+    older, newer = rows.where("event_hour < '12'"), rows.where("event_hour >= '06'")
+    both = rollup.unique_rollup(older).unionByName(rollup.unique_rollup(newer))
+    got = {r.tenant_id: r.uniques for r in rollup.unique_counts(both, "tenant_id").collect()}
+    want = {r.tenant_id: r.n for r in rows.groupBy("tenant_id").agg(F.countDistinct("ip").alias("n")).collect()}
+    assert set(got) == set(want) and all(abs(got[t] - n) <= 0.05 * n for t, n in want.items())
+    assert rollup.unique_counts(both).head()[0] == pytest.approx(sum(want.values()), rel=0.05)
+
+
+def test_all_pairs_equal_a_deep_page(spark, sf):
+    rows = td.silver(spark, sf)
+    ask = {"as_of_ms": td.AS_OF_MS, "trigger": "click", "result": "purchase", "on": "click_id", "hours": 168}
+    for more in ({}, {"require_after": True}, {"first_only": True}):
+        whole = match.match_pairs(rows, limit=None, **ask, **more)
+        page = match.match_pairs(rows, limit=100_000, **ask, **more)
+        assert [tuple(r) for r in whole.collect()] == [tuple(r) for r in page.collect()]
+        assert whole.count() > 0
+
+
+def test_a_cut_range_is_warned_about(spark, sf):
+    warm = rollup.warm_rollup(td.silver(spark, sf))
+    with pytest.warns(tiers.RangeCut):
+        tiers.warm_stats(warm, td.AS_OF_MS, date_from="2020-01-01")
