@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.crypto import CMS_DEPTH, sketch_slots
-from eventloom.operators.skew import ordinal
 
 # User-agent substrings that mark a bot, tried in this order.
 BOT_UA_PATTERNS = (
@@ -182,19 +181,32 @@ def ip_rate_exact(
     A window is numbered in slices of its time, so a hot IP spreads over tasks. ``carried`` holds
     (ip, wid, count) of events that came before, for a table that arrives in batches.
     """
-    rows = _windowed(events, window_secs).withColumn("_ip", F.coalesce("ip", F.lit("")))
-    key = ["_ip", "wid"]
-    running = ordinal(rows, key, "timestamp_ms", ["event_id"], "cur_count", max(window_secs * 1000 // WINDOW_SLICES, 1))
+    slice_ms = max(window_secs * 1000 // WINDOW_SLICES, 1)
+    rows = _windowed(events, window_secs).withColumns(
+        {"_ip": F.coalesce("ip", F.lit("")), "_slice": F.expr(f"timestamp_ms div {slice_ms}")}
+    )
+    key = ["_ip", "wid", "_slice"]
     counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
     if carried is not None:
-        earlier = carried.select(F.coalesce("ip", F.lit("")).alias("_ip"), "wid", F.col("count").alias("_n"))
-        counts = counts.unionByName(earlier).groupBy(*key).agg(F.sum("_n").alias("_n"))
-        running = running.join(earlier.withColumnRenamed("_n", "_before"), key, "left").withColumn(
-            "cur_count", F.col("cur_count") + F.coalesce("_before", F.lit(0))
-        ).drop("_before")
-    previous = counts.select("_ip", (F.col("wid") + 1).alias("wid"), F.col("_n").alias("prev_count"))
-    counted = running.join(previous, key, "left").withColumn("prev_count", F.coalesce("prev_count", F.lit(0)))
-    return _limited(counted.drop("_ip"), limit)
+        # What came before stands ahead of all slices of its window.
+        earlier = F.lit(None).cast("long").alias("_slice")
+        counts = counts.unionByName(
+            carried.select(F.coalesce("ip", F.lit("")).alias("_ip"), "wid", earlier, F.col("count").alias("_n"))
+        )
+    inside = Window.partitionBy("_ip", "wid").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("_ip").orderBy("wid").rangeBetween(-1, -1)
+    none = F.lit(0).cast("long")
+    slices = counts.withColumn("prev_count", F.coalesce(F.sum("_n").over(back), none)).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(inside), none)
+    )
+    order = Window.partitionBy(*key).orderBy("timestamp_ms", "event_id")
+    counted = (
+        rows.withColumn("_pos", F.row_number().over(order))
+        .join(slices.drop("_n"), key)
+        .withColumn("cur_count", F.col("_before") + F.col("_pos"))
+        .select(*events.columns, "wid", "cur_count", "prev_count")
+    )
+    return _limited(counted, limit)
 
 
 def ip_window_counts(events: DataFrame, window_secs: int = IP_WINDOW_SECS) -> DataFrame:

@@ -8,7 +8,7 @@ was checked is what runs: the rows come from the parsed plan, the text is not re
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -56,23 +56,22 @@ TABLE_FUNCTIONS = {
 OWN_FUNCTION = ANALYSIS + "SQLScalarFunction"
 REFUSED_GROUPS = {"misc_funcs", "", None}
 
-_names: set[str] = set()
-
 
 class RefusedStatement(ValueError):
     """The statement is not a query over the views it may read."""
 
 
-def _function_names(own: SparkSession) -> set[str]:
-    """Built-in functions by their group: none that reflects, reads files or tells of the session."""
-    if not _names:
-        registry = own._jsparkSession.sessionState().functionRegistry()
-        for name in _each(registry.listFunction()):
-            info = registry.lookupFunction(name)
-            plain = info.isDefined() and info.get().getClassName().startswith(EXPRESSIONS)
-            if plain and info.get().getGroup() not in REFUSED_GROUPS or name.funcName() in HARMLESS:
-                _names.add(name.funcName().lower())
-    return _names
+def _plain_function(own: SparkSession, name: str) -> bool:
+    """Whether a built-in function may be used, by its group: none that reflects, reads files or
+    tells of the session."""
+    if name in HARMLESS:
+        return True
+    identifier = own.sparkContext._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    info = own._jsparkSession.sessionState().functionRegistry().lookupFunction(identifier)
+    if not info.isDefined():
+        return False
+    found = info.get()
+    return found.getClassName().startswith(EXPRESSIONS) and found.getGroup() not in REFUSED_GROUPS
 
 
 def _each(items) -> Iterator:
@@ -87,8 +86,8 @@ def _kind(node) -> str:
 class _Walk:
     """Every node and expression of a plan, those of subqueries and common tables included."""
 
-    def __init__(self, own: SparkSession, views: Iterable[str], functions: set[str]):
-        self.views, self.functions = {v.lower() for v in views}, functions
+    def __init__(self, own: SparkSession, views: Iterable[str], functions: Iterable[str] = ()):
+        self.own, self.views, self.functions = own, {v.lower() for v in views}, {f.lower() for f in functions}
         java_class = own.sparkContext._jvm.java.lang.Class
         self.plan_expression = java_class.forName(EXPRESSIONS + "PlanExpression")
         self.query_plan = java_class.forName("org.apache.spark.sql.catalyst.plans.QueryPlan")
@@ -122,23 +121,26 @@ class _Parsed(_Walk):
         if kind not in SHAPING | OWN_ROWS | UNRESOLVED_NODES:
             raise RefusedStatement(f"only queries are allowed, not {kind.rpartition('.')[2]}")
         if kind.endswith("UnresolvedTableValuedFunction"):
-            self.known(list(_each(node.name())), TABLE_FUNCTIONS)
+            self.known(list(_each(node.name())), TABLE_FUNCTIONS.__contains__)
         return False
 
     def expression(self, expression) -> None:
         kind = _kind(expression)
         if kind.endswith(".UnresolvedFunction"):
-            self.known(list(_each(expression.nameParts())), self.functions)
+            self.known(list(_each(expression.nameParts())), self.function)
         elif kind.endswith(".UnresolvedGenerator"):
             name = expression.name()
-            self.known([name.funcName(), *([name.database().get()] if name.database().isDefined() else [])], self.functions)
+            self.known([name.funcName(), *([name.database().get()] if name.database().isDefined() else [])], self.function)
         elif kind not in UNRESOLVED_EXPRESSIONS and (
             not kind.startswith(EXPRESSIONS) or kind.startswith(EXPRESSIONS + "objects.") or "Reflect" in kind
         ):
             raise RefusedStatement(f"expression not allowed: {kind.rpartition('.')[2]}")
 
-    def known(self, parts: list[str], names: set[str]) -> None:
-        if len(parts) != 1 or parts[0].lower() not in names:
+    def function(self, name: str) -> bool:
+        return name in self.functions or _plain_function(self.own, name)
+
+    def known(self, parts: list[str], allowed: Callable[[str], bool]) -> None:
+        if len(parts) != 1 or not allowed(parts[0].lower()):
             raise RefusedStatement(f"function not allowed: {'.'.join(parts)}")
 
 
@@ -167,7 +169,7 @@ def guarded(own: SparkSession, sql: str, views: Iterable[str], functions: Iterab
     """
     views = list(views)
     parsed = own._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    _Parsed(own, views, _function_names(own) | set(functions)).run(parsed)
+    _Parsed(own, views, functions).run(parsed)
     dataset = own.sparkContext._jvm.org.apache.spark.sql.classic.Dataset
     try:
         rows = dataset.ofRows(own._jsparkSession, parsed)
@@ -175,5 +177,5 @@ def guarded(own: SparkSession, sql: str, views: Iterable[str], functions: Iterab
         if "NOT_FOUND" in (e.getCondition() or ""):
             raise RefusedStatement(f"unknown relation: {e.getMessageParameters()}") from None
         raise
-    _Resolved(own, views, set()).run(rows.queryExecution().analyzed())
+    _Resolved(own, views).run(rows.queryExecution().analyzed())
     return DataFrame(rows, own)
