@@ -49,20 +49,23 @@ def slow(rows, held, pair_head=None, min_count=2):
 
 
 def test_whole_table(spark):
+    """75,399 distinct words, pairs of all of them, those seen once too."""
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     held = [zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in docs]
-    want = {r.doc_id: (h, *w) for r, h, w in zip(docs, held, slow([(r.doc_id, r.text) for r in docs], held))}
-    rows = op6_bloom_lm(spark, sf).collect()
-    assert len(rows) == len(docs)
-    gain = 0
-    for r in rows:
-        h, n, known, total, base, full = want[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9)
-        # Filter errors only raise a word's probability, and are rare.
-        assert r.score >= full - 1e-6 and r.score == pytest.approx(full, rel=0.02)
-        gain += (r.score - r.base_score) if h else 0
+    want = slow([(r.doc_id, r.text) for r in docs], held, pair_head=1 << 40, min_count=1)
+    got = {r.doc_id: r for r in op6_bloom_lm(spark, sf).collect()}
+    assert len(got) == len(docs)
+    errors, gain = [], 0
+    for r, (n, known, total, base, full) in zip(docs, want):
+        g = got[r.doc_id]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (n, known, total)
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and g.base_score == pytest.approx(base, rel=1e-9)
+        assert g.score >= full - 1e-6
+        errors.append((g.score - full) / -full)
+        gain += (g.score - g.base_score) if g.held_out else 0
+    # Filter errors only raise a word's probability, and are rare.
+    assert sum(errors) / len(errors) < 0.01
     assert gain > 0
 
 
@@ -89,24 +92,6 @@ def test_pairs_of_all_words_are_counted_by_default(spark):
     assert len(got) == 2003 and min(got) > 40
 
 
-def test_whole_table_with_all_pairs(spark):
-    """75,399 distinct words, pairs of all of them, those seen once too."""
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    held = [zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in docs]
-    want = slow([(r.doc_id, r.text) for r in docs], held, pair_head=1 << 40, min_count=1)
-    got = {r.doc_id: r for r in op6_bloom_lm(spark, sf).collect()}
-    assert len(got) == len(docs)
-    errors = []
-    for r, (n, known, total, base, full) in zip(docs, want):
-        g = got[r.doc_id]
-        assert (g.n_tokens, g.n_known, g.train_tokens) == (n, known, total) and g.base_score == pytest.approx(base, rel=1e-9)
-        assert g.score >= full - 1e-6
-        errors.append((g.score - full) / -full)
-    # Filter errors only raise a word's probability, and are rare.
-    assert sum(errors) / len(errors) < 0.01
-
-
 def test_pairs_of_rare_words_count(spark):
     """Pairs beyond the words that travel with the task, and so beyond any pair_head, are the model's."""
     rows = [(i, f"the a{i % 7} of b{i % 5} x{i % 11} y{i % 11} z{i // 2} the end{i}") for i in range(200)] + [(1000, "new z3")]
