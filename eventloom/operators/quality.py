@@ -172,21 +172,24 @@ def _windowed(events: DataFrame, window_secs: int) -> DataFrame:
 
 def ip_rate_exact(
     events: DataFrame, limit: int = IP_RATE_LIMIT, window_secs: int = IP_WINDOW_SECS,
-    carried: DataFrame | None = None,
+    carried: DataFrame | None = None, eligible: Column | None = None,
 ) -> DataFrame:
     """Running count of the IP in its window plus its total in the window before, against
-    the limit; 0 switches the check off. Windows are epoch-aligned. Pass only events that
-    got through the user-agent tests.
+    the limit; 0 switches the check off. Windows are epoch-aligned. Only ``eligible`` events
+    (all, without it) are counted and limited; the others pass with counts of 0.
 
     A window is numbered in slices of its time, so a hot IP spreads over tasks. ``carried`` holds
     (ip, wid, count) of events that came before, for a table that arrives in batches.
     """
     slice_ms = max(window_secs * 1000 // WINDOW_SLICES, 1)
     rows = _windowed(events, window_secs).withColumns(
-        {"_ip": F.coalesce("ip", F.lit("")), "_slice": F.expr(f"timestamp_ms div {slice_ms}")}
+        {
+            "_ip": F.coalesce("ip", F.lit("")), "_slice": F.expr(f"timestamp_ms div {slice_ms}"),
+            "_in": F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)),
+        }
     )
     key = ["_ip", "wid", "_slice"]
-    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    counts = rows.where("_in").groupBy(*key).agg(F.count("*").alias("_n"))
     if carried is not None:
         # What came before stands ahead of all slices of its window.
         earlier = F.lit(None).cast("long").alias("_slice")
@@ -199,13 +202,12 @@ def ip_rate_exact(
     slices = counts.withColumn("prev_count", F.coalesce(F.sum("_n").over(back), none)).withColumn(
         "_before", F.coalesce(F.sum("_n").over(inside), none)
     )
-    order = Window.partitionBy(*key).orderBy("timestamp_ms", "event_id")
-    counted = (
-        rows.withColumn("_pos", F.row_number().over(order))
-        .join(slices.drop("_n"), key)
-        .withColumn("cur_count", F.col("_before") + F.col("_pos"))
-        .select(*events.columns, "wid", "cur_count", "prev_count")
-    )
+    order = Window.partitionBy(*key).orderBy("timestamp_ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_pos", F.sum(F.col("_in").cast("long")).over(order)).join(slices.drop("_n"), key, "left")
+    ours = lambda count: F.when(F.col("_in"), count).otherwise(none)
+    counted = placed.withColumns(
+        {"cur_count": ours(F.col("_before") + F.col("_pos")), "prev_count": ours(F.col("prev_count"))}
+    ).select(*events.columns, "wid", "cur_count", "prev_count")
     return _limited(counted, limit)
 
 
@@ -295,17 +297,15 @@ def quality_filter(
     else:
         judged = apply_rules(events, rules)
     judged = with_builtin_reason(judged.withColumnRenamed("drop_reason", "_rule"))
-    refused = judged.where("drop_reason is not null")
-    rate = ip_rate_sketch if sketch else ip_rate_exact
-    counted = rate(judged.where("drop_reason is null"), ip_limit, window_secs)
-    rest = counted.withColumn(
-        "drop_reason",
-        F.when(F.col("limited"), F.concat(F.lit("ip_rate_limit:"), F.col("ip"))).otherwise(
-            F.col("_rule")
-        ),
-    )
+    limited = F.when(F.col("limited"), F.concat(F.lit("ip_rate_limit:"), F.col("ip")))
+    reason = F.coalesce("drop_reason", limited, "_rule")
     columns = [*events.columns, "drop_reason", "flags"]
-    return refused.select(*columns).unionByName(rest.select(*columns))
+    if not sketch:
+        counted = ip_rate_exact(judged, ip_limit, window_secs, eligible=F.col("drop_reason").isNull())
+        return counted.withColumn("drop_reason", reason).select(*columns)
+    refused = judged.where("drop_reason is not null")
+    counted = ip_rate_sketch(judged.where("drop_reason is null"), ip_limit, window_secs)
+    return refused.select(*columns).unionByName(counted.withColumn("drop_reason", reason).select(*columns))
 
 
 def drop_reasons(judged: DataFrame, top: int = 5) -> DataFrame:

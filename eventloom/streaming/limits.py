@@ -57,22 +57,18 @@ def ip_limit(
     """
     spark = judged.sparkSession
     hour = F.expr(f"(wid * {window_secs}) div 3600")
-    counted = judged.where("drop_reason is null")
-    counts = ip_window_counts(counted, window_secs).withColumn("slot", hour.cast("string"))
+    passed = F.col("drop_reason").isNull()
+    counts = ip_window_counts(judged.where(passed), window_secs).withColumn("slot", hour.cast("string"))
     first, last = counts.agg(F.min(hour), F.max(hour)).head()
     log = ip_log(path)
-    zero = {"cur_count": F.lit(0).cast("long"), "prev_count": F.lit(0).cast("long")}
-    refused = judged.where("drop_reason is not null").withColumns(zero)
-    if first is None:
-        return refused
-    back = -(-window_secs // 3600)
-    near = F.col("slot").cast("bigint").between(first - back, last)
-    carried = log.read(spark, near, but=batch)
-    log.add(counts, batch)
-    judged_now = ip_rate_exact(counted, limit, window_secs, carried)
-    reason = F.when(F.col("limited"), F.concat(F.lit("ip_rate_limit:"), F.col("ip")))
-    columns = [*judged.columns, "cur_count", "prev_count"]
-    return judged_now.withColumn("drop_reason", reason).select(*columns).unionByName(refused.select(*columns))
+    carried = None
+    if first is not None:
+        back = -(-window_secs // 3600)
+        carried = log.read(spark, F.col("slot").cast("bigint").between(first - back, last), but=batch)
+        log.add(counts, batch)
+    counted = ip_rate_exact(judged, limit, window_secs, carried, passed)
+    reason = F.coalesce("drop_reason", F.when(F.col("limited"), F.concat(F.lit("ip_rate_limit:"), F.col("ip"))))
+    return counted.withColumn("drop_reason", reason).select(*judged.columns, "cur_count", "prev_count")
 
 
 def _bucket(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
