@@ -1,10 +1,14 @@
 """Find secrets in texts, also inside nested encodings: a worklist of decoded layers.
 
 The raw text is the first layer. Every layer is scanned, then each decoder rewrites all its
-regions (URL escapes, Unicode escapes, base64, base64 of zlib or gzip data) and the result joins
-the worklist unless the same text was seen before. The list runs dry at the fixpoint. Every
-layer carries, for each of its characters, the span of the original text it came from, so a
-find in any layer is reported where it stands in the original.
+regions (URL escapes, Unicode escapes, base64 on one line or wrapped) and the result joins the
+worklist unless the same text was seen before. What a region decodes to stays bytes while it is zlib
+or gzip data, however often it was compressed; then it is read as UTF-8, bad bytes replaced. The
+list runs dry at the fixpoint. Every layer carries, for each of its characters, the span of the
+original text it came from, so a find in any layer is reported where it stands in the original.
+
+Compressed data is unfolded as a stream. Content longer than ``PART`` characters is scanned in parts
+that overlap by ``OVERLAP``, each a layer of its own that is decoded further like any other.
 
 Texts without a hint of a secret or of an encoding cost a few substring searches. Rows are
 independent: no shuffle, memory is one Arrow batch plus the layers of one text.
@@ -18,6 +22,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,16 @@ UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Shortest run of word characters that base64 or a long hex run can hide in.
 LONG_WORD = 16
-#: Bytes one compressed region may unfold to; a bomb beyond it is left as it is.
-MAX_UNFOLDED = 1 << 26
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}\r?\n(?:[ \t]*[A-Za-z0-9+/_-]{16,}\r?\n)*[ \t]*[A-Za-z0-9+/_-]{1,}={0,2}"
+)
+BREAKS = re.compile(r"[/+_-]+")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Bytes of unfolded content that are scanned as one layer, and that two neighbouring parts share.
+PART, OVERLAP = 1 << 22, 1 << 16
+CHUNK = 1 << 16
+#: Content with more undecodable characters than one in so many is no text.
+BAD_SHARE = 8
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -56,39 +69,121 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+class Parts:
+    """Content too long for one layer: overlapping parts, unfolded as they are asked for."""
+
+    def __init__(self, chunks: Iterator[bytes], held: bytes):
+        self.chunks, self.held = chunks, held
+
+    def __iter__(self) -> Iterator[str]:
+        held = self.held
+        for chunk in self.chunks:
+            held += chunk
+            if len(held) >= PART:
+                yield held.decode("utf-8", "replace")
+                held = held[-OVERLAP:]
+        yield held.decode("utf-8", "replace")
 
 
-def _unfold(raw: bytes) -> bytes | None:
-    """The content of zlib or gzip data, or None."""
+def _compressed(raw: bytes, whole: bool = True) -> bool:
+    """Whether bytes are zlib or gzip data: they start and decode like it, up to its end if they
+    are ``whole``. Text may start like it, which does not suffice."""
     if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
+        return False
+    out = zlib.decompressobj(wbits=47)
+    try:
+        got = bool(out.decompress(raw, CHUNK))
+        while not out.eof and out.unconsumed_tail:
+            out.decompress(out.unconsumed_tail, CHUNK)
+    except zlib.error:
+        return False
+    return out.eof or got and not whole
+
+
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Content of one zlib or gzip stream; it ends where the data ends or breaks."""
+    out = zlib.decompressobj(wbits=47)
     try:
-        out = zlib.decompressobj(wbits=47)
-        content = out.decompress(raw, MAX_UNFOLDED)
-        return content if out.eof else None
+        for chunk in chunks:
+            while chunk:
+                content = out.decompress(chunk, CHUNK)
+                if content:
+                    yield content
+                if out.eof:
+                    return
+                chunk = out.unconsumed_tail
     except zlib.error:
+        return
+
+
+def _unfolded(raw: bytes) -> Iterator[bytes] | None:
+    """What lies under all layers of compression, as a stream; None if there is none."""
+    chunks: Iterator[bytes] = iter(())
+    first, whole, depth = raw, True, 0
+    while _compressed(first, whole):
+        chunks, first, depth = _inflate(chain([first], chunks)), b"", depth + 1
+        for chunk in chunks:
+            first += chunk
+            if len(first) >= CHUNK:
+                break
+        whole = len(first) < CHUNK
+    return chain([first], chunks) if depth else None
+
+
+def _content(raw: bytes) -> str | Parts | None:
+    """The text that bytes hold, or None for what is no text."""
+    if not raw:
         return None
+    chunks = _unfolded(raw)
+    if chunks is None:
+        text = raw.decode("utf-8", "replace")
+        return text if text.count("\ufffd") * BAD_SHARE <= len(text) else None
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        if len(held) >= PART:
+            return Parts(chunks, held)
+    return held.decode("utf-8", "replace") or None
+
+
+# What a region decodes to: text and, for each character, begin and end of its source in the region.
+Decoded = tuple[str, np.ndarray, np.ndarray]
+
 
+def _steps(text: str, at) -> Decoded:
+    """``at`` holds each character's place in the region, and the region's size."""
+    at = np.asarray(at, dtype=np.int64)
+    return text, at[:-1], np.maximum(at[1:], at[:-1] + 1)
 
-def _url(run: str) -> tuple[str, list[int]] | None:
-    """Decoded text and, for each character, the source characters before it; last is the end."""
+
+def _whole(text: str, size: int) -> Decoded:
+    """Content that is known to come from the region as a whole only."""
+    return text, np.zeros(len(text), np.int64), np.full(len(text), size)
+
+
+def _between(run: str, start: int, end: int, inner: Decoded) -> Decoded:
+    """Content of a stretch of the region, the characters around it as they are."""
+    text, begin, stop = inner
+    own = np.arange(len(run), dtype=np.int64)
+    return (
+        run[:start] + text + run[end:], np.concatenate([own[:start], begin + start, own[end:]]),
+        np.concatenate([own[:start] + 1, np.minimum(stop + start, end), own[end:] + 1]),
+    )
+
+
+def _url(run: str) -> Decoded | Parts:
     raw = bytes.fromhex(run.replace("%", ""))
+    if _compressed(raw) and (content := _content(raw)) is not None:
+        return content if isinstance(content, Parts) else _whole(content, len(run))
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         text = raw.decode("latin-1")
-        return text, [3 * i for i in range(len(raw) + 1)]
-    ends = np.cumsum([0, *(3 * len(c.encode("utf-8")) for c in text)])
-    return text, ends.tolist()
+        return _steps(text, [3 * i for i in range(len(raw) + 1)])
+    return _steps(text, np.cumsum([0, *(3 * len(c.encode("utf-8")) for c in text)]))
 
 
-def _unicode(run: str) -> tuple[str, list[int]] | None:
+def _unicode(run: str) -> Decoded:
     units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
     chars, at, k = [], [0], 0
     while k < len(units):
@@ -96,34 +191,80 @@ def _unicode(run: str) -> tuple[str, list[int]] | None:
         if pair:
             chars.append(chr(0x10000 + ((units[k] - 0xD800) << 10) + units[k + 1] - 0xDC00))
         else:
-            chars.append(chr(units[k]) if not 0xD800 <= units[k] < 0xE000 else "�")
+            chars.append(chr(units[k]) if not 0xD800 <= units[k] < 0xE000 else "\ufffd")
         k += 2 if pair else 1
         at.append(6 * k)
-    return "".join(chars), at
+    return _steps("".join(chars), at)
 
 
-def _base64(run: str) -> tuple[str, list[int]] | None:
+def _base64_bytes(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    content = _unfold(raw)
-    if content is not None:
-        text = _readable(content)
-        return None if text is None else (text, [0] * len(text) + [len(run)])
-    text = _readable(raw)
-    if text is None:
+
+
+def _promising(head: str) -> bool:
+    """Whether the first bytes of a run look like text or compressed data, so that long binary
+    content is not decoded once more for every mark in it."""
+    raw = _base64_bytes(head[: len(head) // 4 * 4]) or b""
+    return raw[:1] in (b"\x1f", b"\x78") or raw.decode("utf-8", "replace").count("\ufffd") <= 2
+
+
+def _base64(run: str) -> Decoded | Parts | None:
+    """A run, or what of it follows a path or a joining mark, such as the payload after `data/`."""
+    for start in (0, *(m.end() for m in BREAKS.finditer(run))):
+        size = len(run) - start
+        if size < LONG_WORD:
+            return None
+        if start and not _promising(run[start : start + 32]):
+            continue
+        raw = _base64_bytes(run[start:])
+        content = None if raw is None else _content(raw)
+        if isinstance(content, Parts):
+            return content
+        if content is None:
+            continue
+        if _compressed(raw) or "\ufffd" in content:
+            inner = _whole(content, size)
+        else:
+            at = np.cumsum([0, *(len(c.encode("utf-8")) for c in content)]) * 4 // 3
+            at[-1] = size
+            inner = _steps(content, at)
+        return _between(run, start, len(run), inner) if start else inner
+    return None
+
+
+def _block(run: str) -> list[re.Match]:
+    """The lines of wrapped base64: all of one width, then one that may be shorter."""
+    lines = list(LINE.finditer(run))
+    width = len(lines[1 if len(lines) > 2 else 0][0])
+    for k, line in enumerate(lines):
+        if k and len(line[0]) != width:
+            lines = lines[: k + (len(line[0]) < width)]
+            break
+    # A short word in lower case begins the text that follows.
+    last = lines[-1][0]
+    return lines[:-1] if len(last) < LONG_WORD and last.isalpha() and last.islower() else lines
+
+
+def _wrapped(run: str) -> Decoded | Parts | None:
+    """Base64 over several lines."""
+    lines = _block(run)
+    if len(lines) < 2:
         return None
-    at = np.cumsum([0, *(len(c.encode("utf-8")) for c in text)])
-    source = (at * 4 // 3).tolist()
-    source[-1] = len(run)
-    return text, source
+    raw = _base64_bytes("".join(line[0] for line in lines))
+    content = None if raw is None else _content(raw)
+    if content is None or isinstance(content, Parts):
+        return content
+    end = lines[-1].end()
+    return _between(run, 0, end, _whole(content, end))
 
 
-DECODERS = (("%", URL, _url), ("\\u", UNICODE, _unicode), ("", BASE64, _base64))
+DECODERS = (("%", URL, _url), ("\\u", UNICODE, _unicode), ("\n", WRAPPED, _wrapped), ("", BASE64, _base64))
 
 
 class Layer:
@@ -138,52 +279,60 @@ class Layer:
     def span(self, start: int, end: int) -> tuple[int, int]:
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
-    def decoded(self, mark: str, pattern: re.Pattern, decode) -> Layer | None:
-        """This layer with every region of one encoding replaced by its content."""
+    def decoded(self, mark: str, pattern: re.Pattern, decode) -> tuple[Layer | None, list[Iterator[Layer]]]:
+        """This layer with every region of one encoding replaced by its content, and the layers of
+        regions whose content is too long to stand in its place."""
+        apart: list[Iterator[Layer]] = []
         if mark not in self.text:
-            return None
+            return None, apart
         texts, starts, ends, done = [], [], [], 0
         for m in pattern.finditer(self.text):
             got = decode(m[0])
             if got is None:
                 continue
-            content, at = got
+            if isinstance(got, Parts):
+                apart.append(_apart(got, *self.span(m.start(), m.end())))
+                continue
+            content, begin, end = got
             texts += [self.text[done : m.start()], content]
-            starts += [self.starts[done : m.start()]]
-            ends += [self.ends[done : m.start()]]
-            if at[0] == at[-2 if len(at) > 1 else 0] and len(content) > 1:  # known as a whole only
-                a, b = self.span(m.start(), m.end())
-                starts.append(np.full(len(content), a))
-                ends.append(np.full(len(content), b))
-            else:
-                lo = m.start() + np.array(at[:-1])
-                hi = m.start() + np.maximum(np.array(at[1:]), np.array(at[:-1]) + 1) - 1
-                starts.append(self.starts[lo])
-                ends.append(self.ends[np.minimum(hi, m.end() - 1)])
+            starts += [self.starts[done : m.start()], self.starts[m.start() + begin]]
+            ends += [self.ends[done : m.start()], self.ends[m.start() + end - 1]]
             done = m.end()
         if not done:
-            return None
+            return None, apart
         texts.append(self.text[done:])
         starts.append(self.starts[done:])
         ends.append(self.ends[done:])
-        return Layer("".join(texts), np.concatenate(starts), np.concatenate(ends))
+        return Layer("".join(texts), np.concatenate(starts), np.concatenate(ends)), apart
+
+
+def _apart(parts: Parts, start: int, end: int) -> Iterator[Layer]:
+    for text in parts:
+        size = len(text)
+        yield Layer(text, np.full(size, start), np.full(size, end))
 
 
 def all_spans(text: str) -> tuple[set[tuple[int, str, int]], int]:
     """Spans over all layers, and the number of layers scanned."""
     at = np.arange(len(text), dtype=np.int64)
     first = Layer(text, at, at + 1)
-    work, seen, found = [first], {first.digest()}, set()
+    found: set[tuple[int, str, int]] = set()
+    work: list[Iterator[Layer]] = [iter([first])]
+    seen = {first.digest()}
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         for start, kind, end in base_spans(layer.text):
             a, b = (start, end) if layer is first else layer.span(start, end)
             found.add((a, kind, b))
         for decoder in DECODERS:
-            after = layer.decoded(*decoder)
+            after, apart = layer.decoded(*decoder)
+            work += apart
             if after is not None and (key := after.digest()) not in seen:
                 seen.add(key)
-                work.append(after)
+                work.append(iter([after]))
     return found, len(seen)
 
 

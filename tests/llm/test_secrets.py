@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
 import pytest
 
+from eventloom.llm import secrets
 from eventloom.llm.queries import op4_secret_scan
 from eventloom.llm.secrets import redact, scan, scan_text
 
@@ -56,6 +59,11 @@ def b64(s):
     return base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
 
 
+def wrap(raw, width=76):
+    whole = b64(raw)
+    return "\r\n".join(whole[k : k + width] for k in range(0, len(whole), width))
+
+
 def uni(s):
     return "".join(f"\\u{ord(c):04x}" for c in s)
 
@@ -69,6 +77,16 @@ def uni(s):
         lambda s: url(b64(uni(s))),
         lambda s: b64(zlib.compress(b64(url(s)).encode())),
         lambda s: urllib.parse.quote(b64(b64(s))),
+        lambda s: b64("no-break\u00a0space \u3000 \ufeff \x0c " + s),
+        lambda s: b64(b"bad \xff byte, " + s.encode()),
+        lambda s: b64(gzip.compress(zlib.compress(s.encode()))),
+        lambda s: b64(gzip.compress(gzip.compress(zlib.compress(s.encode())))),
+        lambda s: "".join(f"%{x:02x}" for x in gzip.compress(s.encode())),
+        lambda s: "data/" + b64(s),
+        lambda s: "x/data/" + b64(gzip.compress(s.encode())),
+        lambda s: wrap(gzip.compress((s + " ".join(map(str, range(400)))).encode())),
+        lambda s: wrap(("filler " * 40 + s + " filler" * 9).encode(), 64),
+        lambda s: b64(gzip.compress(b"\x00\x01\xfe\xff" * 50 + s.encode())),
     ],
 )
 def test_secret_under_layers_maps_to_its_span(hide):
@@ -85,6 +103,26 @@ def test_partly_escaped_value_is_mapped_exactly():
     assert scan_text(text.encode())[1] == [(2, "assign", 16)]
 
 
+def test_long_content_is_scanned_in_parts(monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 512)
+    filler = "plain words, " * 4000
+    hidden = b64(gzip.compress((filler + SECRET + " " + filler + url(b64(SECRET.replace("hunter", "fisher"))) + filler).encode()))
+    text = f"é before {hidden} after"
+    assert scan_text(text.encode())[1] == [(9, "assign", 9 + len(hidden))]
+    for at in range(4000, 4200, 7):
+        cut = b64(gzip.compress(("x " * (at // 2) + SECRET + " y" * 4000).encode()))
+        assert scan_text(f"é before {cut} after".encode())[1] == [(9, "assign", 9 + len(cut))]
+
+
+def test_redaction_reaches_compressed_and_wrapped_layers(spark):
+    hidden = [b64(gzip.compress(gzip.compress(SECRET.encode()))), wrap(("filler " * 40 + SECRET).encode()), "data/" + b64(SECRET)]
+    docs = spark.createDataFrame([(i, f"kept before {h}\nkept after") for i, h in enumerate(hidden)], "doc_id long, text string")
+    for r in redact(docs).collect():
+        assert r.text.startswith("kept before ") and r.text.endswith("\nkept after") and "[SECRET]" in r.text
+        assert hidden[r.doc_id] not in r.text
+
+
 def test_fixpoint_ends():
     for text in ("%25" * 50, b64(b64(b64("plain words here and there"))), "%2525252525"):
         assert scan_text(text.encode())[2] < 60
@@ -104,6 +142,14 @@ def test_edges(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_long_binary_content_takes_no_square_time():
+    noise = b64(random.Random(4).randbytes(2_000_000))
+    text = f"x {noise} y {b64(SECRET)}"
+    started = time.monotonic()
+    assert [s[1] for s in scan_text(text.encode())[1]] == ["assign"]
+    assert time.monotonic() - started < 60
+
+
 def test_very_long_text():
     text = "word " * 200_000 + SECRET
     base, spans, _ = scan_text(text.encode())
