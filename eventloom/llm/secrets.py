@@ -85,10 +85,15 @@ class Parts:
         yield held.decode("utf-8", "replace")
 
 
+def _marked(raw: bytes) -> bool:
+    """Whether bytes begin with the mark of gzip or zlib."""
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0
+
+
 def _compressed(raw: bytes, whole: bool = True) -> bool:
     """Whether bytes are zlib or gzip data: they start and decode like it, up to its end if they
     are ``whole``. Text may start like it, which does not suffice."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0):
+    if not _marked(raw):
         return False
     out = zlib.decompressobj(wbits=47)
     try:
@@ -211,7 +216,7 @@ def _promising(head: str) -> bool:
     """Whether the first bytes of a run look like text or compressed data, so that long binary
     content is not decoded once more for every mark in it."""
     raw = _base64_bytes(head[: len(head) // 4 * 4]) or b""
-    return raw[:1] in (b"\x1f", b"\x78") or raw.decode("utf-8", "replace").count("\ufffd") <= 2
+    return _marked(raw) or raw.decode("utf-8", "replace").count("\ufffd") <= 2
 
 
 def _base64(run: str) -> Decoded | Parts | None:
