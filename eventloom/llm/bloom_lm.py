@@ -13,10 +13,13 @@ with c' the count read back from the filter and r(v) exactly the mass that v's d
 leave, so that the probabilities of all words after v add up to one (but for filter errors).
 
 Scale. Frequent words (``head`` of them, a bound) travel with the task, under their rank. Every
-other word goes by a 63-bit hash; its count and r are joined by shuffle, as pre-aggregated (row,
-word, count), which adds log U(w) and, as it stands before the next word, log r(w). Beyond that only
-the pairs that the filter knows and that hold such a word move. A filter larger than
-``max_filter_mb`` is probed in several passes, a group of shards each.
+other word goes by a 63-bit hash. The filter holds its count and its r(v) c(v) too, each as
+exponent levels and ten bits below the leading one, so probes alone score a known pair of any words
+(numbers above 2047 are read back rounded down, by 0.1 % at most). The exact counts of such words,
+which the unigram score needs, are joined by shuffle as pre-aggregated (row, word, count); that adds
+log U(w) and, as it stands before the next word, log r(w). A filter larger than ``max_filter_mb``
+is probed in several passes, a group of shards each. A pair lies in the shard of its rare word (the
+first, if both are); only of two rare words that lie in different passes does a row move.
 """
 
 from __future__ import annotations
@@ -43,10 +46,15 @@ DISCOUNT = 0.5
 HASHES = 8
 BITS_PER_ENTRY = 11.6
 LEVEL_BASE = math.sqrt(2)
+#: A word's numbers are read with few errors: one probe in a million.
+WORD_HASHES = 20
+MANTISSA = 10
 FLUSH = 200_000
 CHUNK_TOKENS = 1 << 19
 #: Tokens to a shard of the pair counts, which one task merges.
 SHARD_TOKENS = 1 << 24
+#: The part of a word's hash that deals it to a shard.
+HASH_PART = (1 << 62) - 1
 #: Stands between rows in a run of word ids.
 BREAK = np.iinfo(np.int64).max
 
@@ -68,7 +76,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hashes(pairs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    one = _mix(pairs + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    one = _mix(pairs + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     return one, _mix(one ^ np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -83,6 +91,38 @@ def fill(pairs: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.append(np.packbits(bits), np.frombuffer(int(size).to_bytes(8, "little"), np.uint8))
 
 
+def _marks(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """What stands for a positive number in the filter: its exponent's levels, and set bits below."""
+    top = np.frexp(x.astype(float))[1].astype(np.int64)
+    for level in range(1, int(top.max(initial=0)) + 1):
+        yield level, top >= level
+    for j in range(MANTISSA):
+        shift = top - 2 - j
+        yield 64 + j, (shift >= 0) & (x >> np.maximum(shift, 0) & 1 == 1)
+
+
+def share_keys(words: np.ndarray) -> np.ndarray:
+    return _mix(words ^ np.uint64(0xA24BAED4963EE407))
+
+
+def fill_words(words: np.ndarray, counts: np.ndarray, left: np.ndarray, certain: int) -> np.ndarray:
+    """Filter of one shard's words as bytes: counts, and what is left of words seen twice or more.
+
+    What is left of a word seen once is ``certain`` and is not held.
+    """
+    often = counts > 1
+    kinds = [(words, counts), (share_keys(words[often]), left[often])]
+    entries = sum(int(mask.sum()) for _, x in kinds for _, mask in _marks(x))
+    size = np.uint64(max(64, math.ceil(entries * WORD_HASHES / math.log(2))))
+    bits = np.zeros(int(size), bool)
+    for keys, x in kinds:
+        for mark, mask in _marks(x):
+            one, step = _hashes(keys[mask], mark)
+            for k in range(WORD_HASHES):
+                bits[(one + np.uint64(k) * step) % size] = True
+    return np.append(np.packbits(bits), np.frombuffer(int(size).to_bytes(8, "little"), np.uint8))
+
+
 class Filter:
     """Shards side by side; ``first`` and ``size`` in bits, size 0 where a shard is not held."""
 
@@ -95,19 +135,43 @@ class Filter:
             at += 8 * len(parts[-1])
         self.bits = np.concatenate(parts) if parts else np.zeros(1, np.uint8)
 
-    def levels(self, pairs: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    @classmethod
+    def over(cls, first: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Filter:
+        """A filter of arrays, which travel to workers that lack this module."""
+        out = cls.__new__(cls)
+        out.first, out.size, out.bits = first, size, bits
+        return out
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.first, self.size, self.bits
+
+    def _hits(self, keys: np.ndarray, shard: np.ndarray, at: np.ndarray, level: int, hashes: int) -> np.ndarray:
+        """Those of ``at`` that the filter holds at a level."""
+        one, step = _hashes(keys[at], level)
+        first, size = self.first[shard[at]], self.size[shard[at]]
+        for k in range(hashes):
+            bit = first + (one + np.uint64(k) * step) % size
+            hit = self.bits[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1 == 1
+            at, one, step, first, size = at[hit], one[hit], step[hit], first[hit], size[hit]
+        return at
+
+    def levels(self, pairs: np.ndarray, shard: np.ndarray, hashes: int = HASHES) -> np.ndarray:
         out, at, level = np.zeros(len(pairs), np.int64), np.flatnonzero(self.size[shard]), 0
-        while len(at):
+        while len(at) and level < 63:
             level += 1
-            one, step = _hashes(pairs[at], level)
-            first, size = self.first[shard[at]], self.size[shard[at]]
-            for k in range(HASHES):
-                bit = first + (one + np.uint64(k) * step) % size
-                hit = self.bits[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1 == 1
-                at, one, step, first, size = at[hit], one[hit], step[hit], first[hit], size[hit]
+            at = self._hits(pairs, shard, at, level, hashes)
             out[at] = level
         return out
 
+    def numbers(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Numbers as ``_marks`` wrote them; 0 for a key that is not held."""
+        top = self.levels(keys, shard, WORD_HASHES)
+        out = np.where(top > 0, 1 << np.maximum(top - 1, 0), 0)
+        for j in range(MANTISSA):
+            at = self._hits(keys, shard, np.flatnonzero(top >= j + 2), 64 + j, WORD_HASHES)
+            out[at] |= 1 << (top[at] - 2 - j)
+        return out
+
 
 def _words(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(LOWER).split()
@@ -143,9 +207,14 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return keys
 
 
+def word_shards(h: np.ndarray, n_shards: int) -> np.ndarray:
+    return (h & HASH_PART) % n_shards
+
+
 def pair_shards(keys: np.ndarray, v: np.ndarray, w: np.ndarray, n_shards: int) -> np.ndarray:
-    """Pairs of ranks go by the first, which packs them well; others by their hash."""
-    return (np.where((v < 0) | (w < 0), keys, v.astype(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
+    """A rare word's pairs lie with it; pairs of ranks are dealt in short runs, whatever their first."""
+    runs = (_mix(keys >> np.uint64(8)) % np.uint64(n_shards)).astype(np.int64)
+    return np.where(v < 0, word_shards(v, n_shards), np.where(w < 0, word_shards(w, n_shards), runs))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +332,29 @@ def _merge(min_count: int):
     return run
 
 
+def _merge_words(certain: int):
+    """The filter of one shard's rare words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, c, left = (table[x].combine_chunks().to_numpy(zero_copy_only=False) for x in ("h", "c", "left"))
+        blob = fill_words(h.astype(np.uint64), c, left, certain).tobytes()
+        return pa.table({"shard": table["shard"][:1], "filter": pa.array([blob], pa.binary())})
+
+    return run
+
+
 ROW = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "word binary, n long, v long, w long, own double, v_count double, v_rest double, w_log_u double"
+    "word binary, n long, w long, own double, v_rest double"
 )
 ROW_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
 
 
+def certain_of(min_count: int) -> int:
+    """Twice what the pairs of a word seen once leave of it."""
+    return 1 if min_count <= 1 else 2
+
+
 def _rows(size: int, **columns) -> pa.RecordBatch:
     """Rows of ``ROW``; a column that is not given is null."""
     fields = [c.split() for c in ROW.split(", ")]
@@ -279,17 +364,32 @@ def _rows(size: int, **columns) -> pa.RecordBatch:
     )
 
 
-def _score(head: dict[bytes, int], log_u: np.ndarray, n_pair: int | None, n_shards: int, shared, part: int, least: int):
-    """Rows of documents, of their pairs with a rare word that the filter knows (with ``v``) and, in
-    the first part, of their rare words (with ``word``).
+def _score(
+    head: dict[bytes, int], log_u: np.ndarray, n_pair: int | None, n_shards: int, shared, part: int, group: list[int],
+    min_count: int, denominator: float,
+):
+    """Rows of documents, in the first part of their rare words (with ``word``) and, where there are
+    several parts, of known pairs whose second word is read in another one (with ``w``).
 
     The first part adds all that does not need the filter: log U and the back-off's share.
     """
     end = head[END]
+    least, certain = int(level_of(np.array([min_count]))[0]), certain_of(min_count)
+
+    def numbers_of(words: Filter, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and shares of rare words; a count of 0 for those the filter does not know."""
+        own, back = np.unique(h, return_inverse=True)
+        shard = word_shards(own, n_shards)
+        count = words.numbers(own.astype(np.uint64), shard)
+        left = np.full(len(own), certain)
+        often = np.flatnonzero(count > 1)
+        left[often] = words.numbers(share_keys(own[often].astype(np.uint64)), shard[often])
+        rest = np.clip(left / 2 / np.maximum(count, 1), 1e-12, 1)
+        return count[back], rest[back]
 
     def scored(docs: list[tuple], ids: list[np.ndarray], tools: tuple) -> Iterator[pa.RecordBatch]:
         """A chunk of texts: (row, id, held out, rare words) each, and their words' ids."""
-        filter_, counts, rest = tools
+        pairs, words, counts, rest = tools
         n = len(docs)
         doc = np.repeat(np.arange(n), [len(x) - 1 for x in ids])
         v, w = (np.concatenate([x[k : len(x) - 1 + k] for x in ids]) for k in range(2))
@@ -301,34 +401,39 @@ def _score(head: dict[bytes, int], log_u: np.ndarray, n_pair: int | None, n_shar
             total = base + np.bincount(doc[after], np.log10(rest[v[after]]), n)
         held = np.flatnonzero(_held(v, w, n_pair))
         keys = pair_keys(v[held], w[held])
-        level = filter_.levels(keys, pair_shards(keys, v[held], w[held], n_shards))
+        level = pairs.levels(keys, pair_shards(keys, v[held], w[held], n_shards))
         # A pair the filter holds has the level of ``min_count``; less is a filter error.
         held, level = held[level >= least], level[level >= least]
-        inside = known[held] & after[held]
-        both = held[inside]
-        back = rest[v[both]] * 10.0 ** log_u[w[both]]
-        own = (count_of(level[inside]) - DISCOUNT) / counts[v[both]]
-        total += np.bincount(doc[both], np.log10(np.minimum(1.0, own + back)) - np.log10(back), n)
+        a, b = v[held], w[held]
+        v_count, v_rest = counts[np.maximum(a, 0)], rest[np.maximum(a, 0)]
+        v_count[a < 0], v_rest[a < 0] = numbers_of(words, a[a < 0])
+        here = b >= 0
+        here[~here] = np.isin(word_shards(b[~here], n_shards), group)
+        w_u, rare = 10.0 ** log_u[np.maximum(b, 0)], here & (b < 0)
+        w_count, _ = numbers_of(words, b[rare])
+        w_u[rare] = np.where(w_count > 0, (w_count + 0.5) / (denominator or 1), 0)
+        # A filter error can name a word that was never learnt; it has no numbers and adds nothing.
+        good = (v_count > 0) & (w_u > 0)
+        own = (count_of(level) - DISCOUNT) / np.maximum(v_count, 1)
+        at = np.flatnonzero(good & here)
+        back = v_rest[at] * w_u[at]
+        total += np.bincount(doc[held[at]], np.log10(np.minimum(1.0, own[at] + back)) - np.log10(back), n)
         row = np.array([d[0] for d in docs], np.int64)
         yield _rows(
             n, row=row, doc_id=[d[1] for d in docs], held_out=[d[2] for d in docs], n_tokens=np.bincount(doc, minlength=n),
             n_known=np.bincount(doc[known], minlength=n), base_score=base, score=total,
         )
-        rare = [(d[0], x, c) for d in docs for x, c in d[3].items()] if part == 0 else []
-        if rare:
-            yield _rows(len(rare), **dict(zip(("row", "word", "n"), zip(*rare))))
-        some = held[~inside]
-        if len(some):
-            a, b, of = v[some], w[some], row[doc[some]]
-            # A frequent word's numbers come along; its row's number, which is no hash, spreads the join.
-            yield _rows(
-                len(some), row=of, v=np.where(a < 0, a, of), w=np.where(b < 0, b, of), own=count_of(level[~inside]) - DISCOUNT,
-                v_count=pa.array(counts[np.maximum(a, 0)], mask=a < 0), v_rest=pa.array(rest[np.maximum(a, 0)], mask=a < 0),
-                w_log_u=pa.array(log_u[np.maximum(b, 0)], mask=b < 0),
-            )
+        rare_words = [(d[0], x, c) for d in docs for x, c in d[3].items()] if part == 0 else []
+        if rare_words:
+            yield _rows(len(rare_words), **dict(zip(("row", "word", "n"), zip(*rare_words))))
+        at = np.flatnonzero(good & ~here)
+        if len(at):
+            yield _rows(len(at), row=row[doc[held[at]]], w=b[at], own=own[at], v_rest=v_rest[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools, row, docs, held, size = shared.value, TaskContext.get().partitionId() << 40, [], [], 0
+        pairs, words, counts, rest = shared.value
+        tools = Filter.over(*pairs), Filter.over(*words), counts, rest
+        row, docs, held, size = TaskContext.get().partitionId() << 40, [], [], 0
         known = Ids(head)
         for batch in batches:
             for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -399,28 +504,48 @@ def score(
     # At most ``head`` rows; what is taken from other words is joined to their counts.
     for r in taken.where("v >= 0").collect():
         rest[r.v] = 1 - r.taken / head_counts[r.v]
+    rest = np.maximum(rest, 1e-12)
     facts = written(
         counted.join(taken.where("v < 0"), F.col("h") == F.col("v"), "left").select(
-            "word", "h", "c", F.greatest(F.lit(1e-12), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("c")).alias("rest")
+            "word", "h", "c", F.greatest(F.lit(1e-12), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("c")).alias("rest"),
+            # A whole number: pairs take a count less one half.
+            F.greatest(F.lit(1), F.round(2 * (F.col("c") - F.coalesce("taken", F.lit(0.0))))).cast("long").alias("left"),
         ),
         "facts",
     )
-    sizes = [tuple(r) for r in merged.select("shard", F.octet_length("filter")).collect()]
-    rest = np.maximum(rest, 1e-12)
+    travels = F.col("word") == F.lit(END)
+    if frequent:
+        last = frequent[-1]
+        travels |= (F.octet_length("word") <= LONGEST_HEAD_WORD) & (
+            (F.col("c") > last.c) | (F.col("c") == last.c) & (F.col("word") <= F.lit(bytes(last.word)))
+        )
+    rare_filters = written(
+        facts.where(~travels)
+        .select((F.col("h").bitwiseAND(F.lit(HASH_PART)) % n_shards).cast("int").alias("shard"), "h", "c", "left")
+        .groupBy("shard").applyInArrow(_merge_words(certain_of(min_count)), "shard int, filter binary"),
+        "word-filters",
+    )
+    sizes: dict[int, int] = {}
+    for shard, size in merged.select("shard", F.octet_length("filter")).union(rare_filters.select("shard", F.octet_length("filter"))).collect():
+        sizes[shard] = sizes.get(shard, 0) + size
     groups: list[list[int]] = [[]]
     room = max_filter_mb << 20
-    for shard, size in sorted(sizes):
+    for shard, size in sorted(sizes.items()):
         if size > room and groups[-1]:
             groups.append([])
             room = max_filter_mb << 20
         groups[-1].append(shard)
         room -= size
 
+    def filter_of(shards: DataFrame, group: list[int]) -> tuple:
+        held = shards.select("shard", "filter").where(F.col("shard").isin(group)).toLocalIterator() if group else ()
+        return Filter({r.shard: bytes(r["filter"]) for r in held}, n_shards).arrays()
+
     out = None
     for part, group in enumerate(groups):
-        held = {r.shard: bytes(r["filter"]) for r in merged.select("shard", "filter").where(F.col("shard").isin(group)).toLocalIterator()} if group else {}
-        shared = spark.sparkContext.broadcast((Filter(held, n_shards), head_counts, rest))
-        run = _score(ids, log_u, n_pair, n_shards, shared, part, int(level_of(np.array([min_count]))[0]))
+        tools = filter_of(merged, group), filter_of(rare_filters, group), head_counts, rest
+        shared = spark.sparkContext.broadcast(tools)
+        run = _score(ids, log_u, n_pair, n_shards, shared, part, group, min_count, denominator)
         scored = written(rows.mapInArrow(run, ROW), "scored")
         out = scored if out is None else out.union(scored)
     if len(groups) > 1:
@@ -435,18 +560,14 @@ def score(
         "row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * log_u_of).alias("base"),
         (F.col("n") * (log_u_of + F.log10(F.coalesce("rest", F.lit(1.0))))).alias("full"),
     )
-    first = facts.select(F.col("h").alias("v"), F.col("c").alias("v_c"), F.col("rest").alias("v_r"))
-    second = facts.select(F.col("h").alias("w"), log_u_of.alias("w_u"))
-    back = F.coalesce("v_rest", "v_r") * F.pow(F.lit(10.0), F.coalesce("w_log_u", "w_u"))
-    own = F.col("own") / F.coalesce("v_count", "v_c")
-    # A filter error can name a word that was never learnt; it has no numbers and adds nothing.
-    seen = (
-        out.where("v is not null").select("row", "v", "w", "own", "v_count", "v_rest", "w_log_u")
-        .join(first, "v", "left").join(second, "w", "left")
-        .select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.when(own + back > 0, F.log10(F.least(F.lit(1.0), own + back)) - F.log10(back)).alias("full"))
-        .where("full is not null")
-    )
-    rare = words.unionByName(seen).groupBy("row").agg(
+    if len(groups) > 1:
+        back = F.col("v_rest") * F.pow(F.lit(10.0), "w_u")
+        words = words.unionByName(
+            out.where("w is not null").select("row", "w", "own", "v_rest")
+            .join(facts.select(F.col("h").alias("w"), log_u_of.alias("w_u")), "w")
+            .select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.log10(F.least(F.lit(1.0), F.col("own") + back)) - F.log10(back)).alias("full"))
+        )
+    rare = words.groupBy("row").agg(
         F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("full").alias("rare_score")
     )
     nothing = F.lit(0.0)

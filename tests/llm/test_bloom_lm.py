@@ -130,3 +130,30 @@ def test_filter_reads_levels_back():
     assert (held.levels(others, np.full(20_000, 3)) > 0).mean() < 0.01
     assert not held.levels(others, np.full(20_000, 2)).any()
     assert bloom_lm.HASHES == 8
+
+
+def test_filter_reads_numbers_of_words_back():
+    """Exact up to 2047, then ten bits below the leading one; what a word seen once leaves is not held."""
+    rng = np.random.default_rng(6)
+    words = np.unique(rng.integers(0, 1 << 62, 20_000).astype(np.uint64))
+    counts = rng.zipf(1.4, len(words)).clip(1, 10**9)
+    left = np.maximum(1, (2 * counts * rng.random(len(words))).astype(np.int64))
+    held = Filter({1: bloom_lm.fill_words(words, counts, left, 1).tobytes()}, 2)
+    shard = np.ones(len(words), np.int64)
+    for got, want in ((held.numbers(words, shard), counts), (held.numbers(bloom_lm.share_keys(words), shard)[counts > 1], left[counts > 1])):
+        small = want < 2048
+        assert (got[small] != want[small]).sum() <= 3
+        assert (got <= want).mean() > 0.999 and (got >= want * (1 - 2**-10) - 1).mean() > 0.999
+    others = rng.integers(1 << 62, 1 << 63, 20_000).astype(np.uint64)
+    assert (held.numbers(others, shard) > 0).sum() <= 3
+    assert not held.numbers(words, shard * 0).any()
+
+
+def test_pairs_of_ranks_spread_over_shards():
+    """Pairs of one frequent first word do not meet in one shard; a rare word's lie with it."""
+    v, w = np.zeros(50_000, np.int64), np.arange(50_000)
+    shard = bloom_lm.pair_shards(bloom_lm.pair_keys(v, w), v, w, 16)
+    assert np.bincount(shard, minlength=16).max() < 50_000 / 16 * 2
+    rare = np.full(50_000, bloom_lm.word_hash(b"rare"))
+    for a, b in ((rare, w), (w, rare)):
+        assert set(bloom_lm.pair_shards(bloom_lm.pair_keys(a, b), a, b, 16)) == set(bloom_lm.word_shards(rare[:1], 16))
