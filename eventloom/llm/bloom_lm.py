@@ -24,7 +24,6 @@ first, if both are); only of two rare words that lie in different passes does a
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 from collections import Counter
@@ -32,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +43,13 @@ from .simhash import LOWER
 END = b" "
 LONGEST_HEAD_WORD = 64
 DISCOUNT = 0.5
+#: Bits of an entry, four to each 64-bit block it lies in.
 HASHES = 8
-BITS_PER_ENTRY = 11.6
+BITS_PER_ENTRY = 12.5
 LEVEL_BASE = math.sqrt(2)
-#: A word's numbers are read with few errors: one probe in a million.
+#: A word's numbers are read with few errors: a few probes in a million.
 WORD_HASHES = 20
+WORD_BITS_PER_ENTRY = 30
 MANTISSA = 10
 FLUSH = 200_000
 CHUNK_TOKENS = 1 << 19
@@ -80,15 +82,32 @@ def _hashes(pairs: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return one, _mix(one ^ np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
+def _places(one: np.ndarray, step: np.ndarray, k: int, size) -> tuple[np.ndarray, np.ndarray]:
+    """An entry's k-th block among ``size``, by the upper half of a hash, and the hash, whose lower
+    24 bits name four bits there."""
+    x = one + np.uint64(k) * step
+    return (x >> np.uint64(32)) * size >> np.uint64(32), x
+
+
+def _filled(entries: list[tuple[np.ndarray, int]], bits_per_entry: float, hashes: int) -> np.ndarray:
+    """Filter of keys with their levels, as bytes; the last eight tell the number of blocks."""
+    size = max(1, math.ceil(sum(len(keys) for keys, _ in entries) * bits_per_entry / 64))
+    if size >> 32:
+        raise ValueError("a shard of the filter holds at most 2^32 blocks")
+    bits = np.zeros(64 * size, bool)
+    for keys, level in entries:
+        one, step = _hashes(keys, level)
+        for k in range(hashes // 4):
+            block, x = _places(one, step, k, np.uint64(size))
+            for b in range(4):
+                bits[block << np.uint64(6) | x >> np.uint64(6 * b) & np.uint64(63)] = True
+    return np.append(np.packbits(bits, bitorder="little"), np.frombuffer(size.to_bytes(8, "little"), np.uint8))
+
+
 def fill(pairs: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Filter of one shard as bytes."""
-    size = np.uint64(max(64, math.ceil(levels.sum() * BITS_PER_ENTRY)))
-    bits = np.zeros(int(size), bool)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        one, step = _hashes(pairs[levels >= level], level)
-        for k in range(HASHES):
-            bits[(one + np.uint64(k) * step) % size] = True
-    return np.append(np.packbits(bits), np.frombuffer(int(size).to_bytes(8, "little"), np.uint8))
+    entries = [(pairs[levels >= level], level) for level in range(1, int(levels.max(initial=0)) + 1)]
+    return _filled(entries, BITS_PER_ENTRY, HASHES)
 
 
 def _marks(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -112,46 +131,42 @@ def fill_words(words: np.ndarray, counts: np.ndarray, left: np.ndarray, certain:
     """
     often = counts > 1
     kinds = [(words, counts), (share_keys(words[often]), left[often])]
-    entries = sum(int(mask.sum()) for _, x in kinds for _, mask in _marks(x))
-    size = np.uint64(max(64, math.ceil(entries * WORD_HASHES / math.log(2))))
-    bits = np.zeros(int(size), bool)
-    for keys, x in kinds:
-        for mark, mask in _marks(x):
-            one, step = _hashes(keys[mask], mark)
-            for k in range(WORD_HASHES):
-                bits[(one + np.uint64(k) * step) % size] = True
-    return np.append(np.packbits(bits), np.frombuffer(int(size).to_bytes(8, "little"), np.uint8))
+    return _filled([(keys[mask], mark) for keys, x in kinds for mark, mask in _marks(x)], WORD_BITS_PER_ENTRY, WORD_HASHES)
 
 
 class Filter:
-    """Shards side by side; ``first`` and ``size`` in bits, size 0 where a shard is not held."""
+    """Shards side by side; ``first`` and ``size`` in blocks, size 0 where a shard is not held."""
 
     def __init__(self, shards: dict[int, bytes], n_shards: int):
         self.first, self.size = np.zeros(n_shards, np.uint64), np.zeros(n_shards, np.uint64)
         parts, at = [], 0
         for shard, blob in sorted(shards.items()):
-            self.first[shard], self.size[shard] = at, int.from_bytes(blob[-8:], "little")
-            parts.append(np.frombuffer(blob, np.uint8, len(blob) - 8))
-            at += 8 * len(parts[-1])
-        self.bits = np.concatenate(parts) if parts else np.zeros(1, np.uint8)
+            parts.append(np.frombuffer(blob, "<u8", len(blob) // 8 - 1))
+            self.first[shard], self.size[shard] = at, len(parts[-1])
+            at += len(parts[-1])
+        self.blocks = np.concatenate(parts) if parts else np.zeros(1, np.uint64)
 
     @classmethod
-    def over(cls, first: np.ndarray, size: np.ndarray, bits: np.ndarray) -> Filter:
+    def over(cls, first: np.ndarray, size: np.ndarray, blocks: np.ndarray) -> Filter:
         """A filter of arrays, which travel to workers that lack this module."""
         out = cls.__new__(cls)
-        out.first, out.size, out.bits = first, size, bits
+        out.first, out.size, out.blocks = first, size, blocks
         return out
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.first, self.size, self.bits
+        return self.first, self.size, self.blocks
 
     def _hits(self, keys: np.ndarray, shard: np.ndarray, at: np.ndarray, level: int, hashes: int) -> np.ndarray:
         """Those of ``at`` that the filter holds at a level."""
         one, step = _hashes(keys[at], level)
         first, size = self.first[shard[at]], self.size[shard[at]]
-        for k in range(hashes):
-            bit = first + (one + np.uint64(k) * step) % size
-            hit = self.bits[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1 == 1
+        for k in range(hashes // 4):
+            block, x = _places(one, step, k, size)
+            found = self.blocks[first + block]
+            hit = found >> (x & np.uint64(63))
+            for b in range(1, 4):
+                hit &= found >> (x >> np.uint64(6 * b) & np.uint64(63))
+            hit = hit & np.uint64(1) == 1
             at, one, step, first, size = at[hit], one[hit], step[hit], first[hit], size[hit]
         return at
 
@@ -178,8 +193,12 @@ def _words(raw: bytes | None) -> list[bytes]:
 
 
 def word_hash(word: bytes) -> int:
-    """A negative number that stands for a word outside of the frequent ones."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) | -(1 << 63)
+    """A negative number that stands for a word outside of the frequent ones, as ``hashed`` has it."""
+    return (xxhash.xxh64_intdigest(word, 42) & (1 << 63) - 1) - (1 << 63)
+
+
+def hashed(word: str) -> Column:
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
 
 
 class Ids(dict):
@@ -222,8 +241,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(map(word_hash, counts), pa.int64()), pa.array(counts.values(), pa.int64())],
-            ["word", "h", "n"],
+            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
         )
         counts.clear()
         return batch
@@ -345,9 +363,9 @@ def _merge_words(certain: int):
 
 ROW = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-    "word binary, n long, w long, own double, v_rest double"
+    "h long, n long, w long, own double, v_rest double"
 )
-ROW_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+ROW_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
 def certain_of(min_count: int) -> int:
@@ -368,7 +386,7 @@ def _score(
     head: dict[bytes, int], log_u: np.ndarray, n_pair: int | None, n_shards: int, shared, part: int, group: list[int],
     min_count: int, denominator: float,
 ):
-    """Rows of documents, in the first part of their rare words (with ``word``) and, where there are
+    """Rows of documents, in the first part of their rare words (with ``h``) and, where there are
     several parts, of known pairs whose second word is read in another one (with ``w``).
 
     The first part adds all that does not need the filter: log U and the back-off's share.
@@ -388,7 +406,7 @@ def _score(
         return count[back], rest[back]
 
     def scored(docs: list[tuple], ids: list[np.ndarray], tools: tuple) -> Iterator[pa.RecordBatch]:
-        """A chunk of texts: (row, id, held out, rare words) each, and their words' ids."""
+        """A chunk of texts: (row, id, held out) each, and their words' ids."""
         pairs, words, counts, rest = tools
         n = len(docs)
         doc = np.repeat(np.arange(n), [len(x) - 1 for x in ids])
@@ -423,9 +441,12 @@ def _score(
             n, row=row, doc_id=[d[1] for d in docs], held_out=[d[2] for d in docs], n_tokens=np.bincount(doc, minlength=n),
             n_known=np.bincount(doc[known], minlength=n), base_score=base, score=total,
         )
-        rare_words = [(d[0], x, c) for d in docs for x, c in d[3].items()] if part == 0 else []
-        if rare_words:
-            yield _rows(len(rare_words), **dict(zip(("row", "word", "n"), zip(*rare_words))))
+        if part == 0 and not known.all():
+            of, h = doc[~known], w[~known]
+            order = np.lexsort((h, of))
+            of, h = of[order], h[order]
+            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])))
+            yield _rows(len(first), row=row[of[first]], h=h[first], n=np.diff(first, append=len(h)))
         at = np.flatnonzero(good & ~here)
         if len(at):
             yield _rows(len(at), row=row[doc[held[at]]], w=b[at], own=own[at], v_rest=v_rest[at])
@@ -439,8 +460,7 @@ def _score(
             for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = _words(text.as_py())
                 ids = known.of(words)
-                rare = Counter(words[i] for i in np.flatnonzero(ids < 0)) if part == 0 else Counter()
-                docs.append((row, doc_id, held_out, rare))
+                docs.append((row, doc_id, held_out))
                 held.append(np.concatenate([[end], ids, [end]]))
                 row, size = row + 1, size + len(words) + 1
                 if size >= CHUNK_TOKENS:
@@ -472,8 +492,7 @@ def score(
     )
     train = rows.where("not held_out").select("text")
     counted = written(
-        train.mapInArrow(_count_words, "word binary, h long, n long")
-        .groupBy("word").agg(F.max("h").alias("h"), F.sum("n").alias("c")), "words",
+        train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words",
     )
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     denominator = total + 0.5 * (distinct + 1)
@@ -505,23 +524,24 @@ def score(
     for r in taken.where("v >= 0").collect():
         rest[r.v] = 1 - r.taken / head_counts[r.v]
     rest = np.maximum(rest, 1e-12)
-    facts = written(
-        counted.join(taken.where("v < 0"), F.col("h") == F.col("v"), "left").select(
-            "word", "h", "c", F.greatest(F.lit(1e-12), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("c")).alias("rest"),
-            # A whole number: pairs take a count less one half.
-            F.greatest(F.lit(1), F.round(2 * (F.col("c") - F.coalesce("taken", F.lit(0.0))))).cast("long").alias("left"),
-        ),
-        "facts",
-    )
     travels = F.col("word") == F.lit(END)
     if frequent:
         last = frequent[-1]
         travels |= (F.octet_length("word") <= LONGEST_HEAD_WORD) & (
             (F.col("c") > last.c) | (F.col("c") == last.c) & (F.col("word") <= F.lit(bytes(last.word)))
         )
+    # Words of one hash, should there be any, count as one.
+    facts = written(
+        counted.where(~travels).groupBy(hashed("word").alias("h")).agg(F.sum("c").alias("c"))
+        .join(taken.where("v < 0"), F.col("h") == F.col("v"), "left").select(
+            "h", "c", F.greatest(F.lit(1e-12), 1 - F.coalesce("taken", F.lit(0.0)) / F.col("c")).alias("rest"),
+            # A whole number: pairs take a count less one half.
+            F.greatest(F.lit(1), F.round(2 * (F.col("c") - F.coalesce("taken", F.lit(0.0))))).cast("long").alias("left"),
+        ),
+        "facts",
+    )
     rare_filters = written(
-        facts.where(~travels)
-        .select((F.col("h").bitwiseAND(F.lit(HASH_PART)) % n_shards).cast("int").alias("shard"), "h", "c", "left")
+        facts.select((F.col("h").bitwiseAND(F.lit(HASH_PART)) % n_shards).cast("int").alias("shard"), "h", "c", "left")
         .groupBy("shard").applyInArrow(_merge_words(certain_of(min_count)), "shard int, filter binary"),
         "word-filters",
     )
@@ -556,7 +576,7 @@ def score(
         ).unionByName(kept, allowMissingColumns=True)
     c = F.coalesce("c", F.lit(0))
     log_u_of = F.log10((c + 0.5) / F.lit(float(denominator)))
-    words = out.where("word is not null").select("row", "word", "n").join(facts, "word", "left").select(
+    words = out.where("h is not null").select("row", "h", "n").join(facts, "h", "left").select(
         "row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * log_u_of).alias("base"),
         (F.col("n") * (log_u_of + F.log10(F.coalesce("rest", F.lit(1.0))))).alias("full"),
     )
