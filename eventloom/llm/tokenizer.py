@@ -77,7 +77,10 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        parts = CUT.split(text)
+        parts = text.split(" ")
+        # Every space is a cut, unless white space stands beside one.
+        if "" in parts or list(map(str.strip, parts)) != parts:
+            parts = CUT.split(text)
         first = self._part(parts[0])
         return first + b"".join(map(self.memory.__getitem__, parts[1:])) if len(parts) > 1 else first
 
