@@ -340,7 +340,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
 
 
 def _worker_model(spec: tuple) -> Model:
-    return per_worker(f"pieces:{len(spec[0])}:{hash(spec[0][-1])}", lambda: Model(*spec))
+    return per_worker(f"pieces:{hash(tuple(map(tuple, spec)))}", lambda: Model(*spec))
 
 
 ENCODED = "doc_id long, score double, ids array<int>, others array<struct<score:double,ids:array<int>>>"
