@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -69,3 +70,49 @@ def test_packed(stages):
     exact = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     exact.encode_special_tokens = True
     check(stages[5].collect(), {r.doc_id: r.text for r in stages[4].collect()}, exact)
+
+
+def _folder(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_edge_rows_and_clashing_columns(spark, tmp_path):
+    """Rows without text go at the first stage, a repeated row stays once, extra columns stay to the last stage."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    good = [r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()]
+    long_text = " ".join(f"word{k} of{k % 97} a{k % 1009} very{k % 31} long{k % 53} text" for k in range(30_000))
+    odd = spark.createDataFrame(
+        [(90_000, None, None, None, None), (90_001, "", "", "", 0), (90_002, " \n\t ", "en", None, 4),
+         (90_003, long_text, None, None, None), (None, "too few words here", "en", "web", 18)],
+        base.schema,
+    )
+    again = base.where(base.doc_id == good[0])
+    docs = base.unionByName(odd).unionByName(again)
+    extra = ["kept", "n_words", "score", "fingerprint", "component_id", "h", "row", "quality", "rank"]
+    for k, name in enumerate(extra):
+        docs = docs.withColumn(name, F.lit(k))
+    sf = _folder(spark, tmp_path, docs.repartition(3), labels.withColumn("text", F.lit("x")).withColumn("lang", F.lit(None).cast("string")))
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, written(stage(spark, now, sf), "edge")
+        assert now.columns == docs.columns, name
+        rows = now.collect()
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in before.collect()}
+        assert not {90_000, 90_001, 90_002, None} & {r.doc_id for r in rows}
+        assert all(r[c] == k for r in rows for k, c in enumerate(extra))
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids))
+    tokens = {}
+    for r in corpus_pipeline.pack_sequences(spark, now, sf).collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+        assert tokens[r.doc_id] <= r.doc_tokens
+    assert set(tokens) == set(ids)
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0)
+    assert corpus_pipeline.run(spark, _folder(spark, tmp_path, docs, labels)).count() == 0
