@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each a table that the next one reads."""
+"""From raw documents to packed sequences: five stages, each a table that the next one reads.
+
+Null, empty and blank texts have fewer than ten words, so the first stage rejects them, null ids or
+not. Of repeated rows, as of near copies, one stays after the third stage. Texts are taken whole,
+however long. Null languages and sources are values like any other. Extra columns stay up to the last
+stage, whatever their names; packing returns its own. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
