@@ -291,13 +291,23 @@ def perplexities(
     )
 
 
-def _quotas(counts: dict, most: int) -> dict:
-    """Training rows per language: an equal part of ``most``, but half of what a language has at most."""
-    out, left = {}, most
-    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x or ""))):
-        out[lang] = min(counts[lang] / 2, left / (len(counts) - i))
-        left -= out[lang]
-    return out
+def _level(counts: DataFrame, most: int) -> float:
+    """Training rows a language has at most, so that with half of what smaller ones have there are ``most``.
+
+    Only how many languages have each count reaches the driver. Counts that differ add up to the
+    trusted rows, so there are fewer of them than the root of twice those rows.
+    """
+    left, level = float(most), float(most)
+    sizes = sorted((r["count"], r.langs) for r in counts.groupBy("count").agg(F.count("*").alias("langs")).collect())
+    langs = sum(n for _, n in sizes)
+    for count, n in sizes:
+        level = left / langs
+        if count / 2 > level:
+            break
+        left, langs = left - n * count / 2, langs - n
+    else:
+        level = float(most)
+    return level
 
 
 def classify(
@@ -320,28 +330,38 @@ def classify(
         good = good.where(~F.coalesce(F.col(toxic_col) == 1, F.lit(False)))
     good = good.select(F.col(id_col).alias("label_id")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    trusted = texts.join(good, F.col("doc_id") == F.col("label_id"))
-    counts = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, quota in _quotas(counts, max_trusted // 2).items():
-        share = F.when(F.col("lang").eqNullSafe(F.lit(lang)), quota / counts[lang]).otherwise(share)
+    # Texts stay where they are: what is joined by id or language has their keys only.
+    keyed = written(
+        texts.select("doc_id", "lang", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *text_key(F.col("text"))),
+        "keyed",
+    )
+    trusted = written(keyed.join(good, F.col("doc_id") == F.col("label_id")).select("label_id", "lang", "k1", "k2"), "trusted-keys")
+    counts = written(trusted.groupBy("lang").count(), "languages")
+    share = F.least(F.lit(0.5), F.lit(_level(counts, max_trusted // 2)) / F.col("count"))
+    shares = counts.select(F.col("lang").alias("own_lang"), share.alias("share"))
     draw = F.pmod(F.xxhash64("label_id", F.lit("half")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    trains = written(trusted.where(draw < share).select("text", *text_key(F.col("text"))), "trusted")
-    scores = perplexities(texts, trains.select("text"), text_col="text")
+    drawn = written(
+        trusted.join(shares, F.col("lang").eqNullSafe(F.col("own_lang"))).where(draw < F.col("share"))
+        .select("label_id", "own_lang", "k1", "k2").distinct(),
+        "drawn",
+    )
+    same = (F.col("doc_id") == F.col("label_id")) & F.col("lang").eqNullSafe(F.col("own_lang"))
+    picked = F.broadcast(drawn.select("label_id", "own_lang").distinct())
+    trains = written(texts.join(picked, same, "left_semi").select("text"), "trusted")
+    scores = perplexities(texts, trains, text_col="text")
     # Copies are counted before the join; a copy of a text that was trained on sets no threshold.
     held = (
-        trusted.select("lang", *text_key(F.col("text"))).groupBy("lang", "k1", "k2").agg(F.count("*").alias("n"))
-        .join(F.broadcast(trains.select("k1", "k2").distinct()), ["k1", "k2"], "left_anti")
+        trusted.groupBy("lang", "k1", "k2").agg(F.count("*").alias("n"))
+        .join(drawn.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
     )
     rest = written(held.join(scores, ["k1", "k2"]).select("lang", "n", "perplexity"), "held")
     cut = F.percentile("perplexity", quantile, F.col("n")).alias("cut")
-    limits = {r.lang: r.cut for r in rest.groupBy("lang").agg(cut, F.sum("n").alias("n")).where(F.col("n") >= min_language).collect() if r.lang}
+    own = rest.where("lang is not null").groupBy("lang").agg(cut, F.sum("n").alias("n")).where(F.col("n") >= min_language)
+    limits = written(own.select(F.col("lang").alias("own_lang"), "cut"), "thresholds")
     whole = rest.agg(cut).first().cut
-    threshold = F.lit(whole if whole is not None else math.inf)
-    for lang, value in limits.items():
-        threshold = F.when(F.col("lang") == lang, value).otherwise(threshold)
-    keyed = texts.select("doc_id", "lang", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), *text_key(F.col("text")))
-    judged = keyed.join(scores, ["k1", "k2"], "left").withColumn("threshold", threshold)
+    judged = keyed.join(scores, ["k1", "k2"], "left").join(limits, F.col("lang") == F.col("own_lang"), "left").withColumn(
+        "threshold", F.coalesce("cut", F.lit(whole if whole is not None else math.inf))
+    )
     return judged.select(
         "doc_id", "lang", "n_words", "perplexity", "threshold",
         ((F.col("n_words") > 0) & (F.col("perplexity") <= F.col("threshold"))).alias("kept"), "k1", "k2",
