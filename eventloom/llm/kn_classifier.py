@@ -33,6 +33,7 @@ EDGE, LARGE, DIGIT, SIGN, OTHER = range(5)
 FIRST_WORD = 5
 SUB = 4
 CHUNK_TOKENS = 1 << 20
+ID_BITS = 21
 UPPER = re.compile(r"[A-Z].*[A-Z]")
 PLAIN = re.compile(r"[^\W\d_]+['-]?[^\W\d_]*[.,;:]?")
 
@@ -58,7 +59,7 @@ class Vocabulary(dict):
     def ids(self, raw: bytes | None) -> np.ndarray:
         words = (raw or b"").split()
         text = [w.decode("utf-8") for w in words] if words else []
-        return np.fromiter(map(self.__getitem__, text), np.uint16, len(text))
+        return np.fromiter(map(self.__getitem__, text), np.int32, len(text))
 
 
 def shard_of(first: np.ndarray, middle: np.ndarray, shards: int) -> np.ndarray:
@@ -106,17 +107,23 @@ def _contexts(counts: DataFrame, keys: list[str], column: str, d: list[float]) -
     )
 
 
-def train(trusted: DataFrame, max_words: int = 30_000, min_count: int = 2) -> tuple[list[str], np.ndarray, DataFrame]:
+def train(trusted: DataFrame, min_count: int = 2) -> tuple[list[str], np.ndarray, DataFrame]:
     """Vocabulary, unigram probabilities by id, and model rows (kind, first, middle, key, value).
 
-    ``trusted`` has the column ``text``. Kind 0: discounted trigram share; 1: mass a context of
-    two frees; 2: probability of a seen pair; 3: mass a context of one frees.
+    ``trusted`` has the column ``text``; it is the bounded training sample, and nothing else bounds
+    the model. A word of ``min_count`` occurrences there, and of 64 letters at most, has an id of its
+    own; the others share their shape's, which is how the model learns of words it has not seen.
+    Samples with more words than ids of 21 bits are refused, not cut.
+
+    Kind 0: discounted trigram share; 1: mass a context of two frees; 2: probability of a seen
+    pair; 3: mass a context of one frees.
     """
     counted = trusted.select(F.explode(words_of(F.col("text"))).alias("w")).groupBy("w").count()
-    words = [
-        r.w for r in counted.where((F.col("count") >= min_count) & (F.length("w") <= 64))
-        .orderBy(F.desc("count"), "w").limit(max_words).collect()
-    ]
+    own = counted.where((F.col("count") >= min_count) & (F.length("w") <= 64))
+    most = (1 << ID_BITS) - FIRST_WORD
+    words = [r.w for r in own.orderBy(F.desc("count"), "w").limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"the training sample has over {most} words; draw fewer rows")
     size = FIRST_WORD + len(words)
     tri = written(
         trusted.select(F.col("text").cast("binary")).mapInArrow(_trigrams(words), "w1 int, w2 int, w3 int")
@@ -126,20 +133,19 @@ def train(trusted: DataFrame, max_words: int = 30_000, min_count: int = 2) -> tu
     pairs = written(tri.groupBy("w2", "w3").agg(F.count("*").alias("c")), "pairs")
     ends = pairs.groupBy("w3").agg(F.count("*").alias("c"))
     d3, d2, d1 = _discounts(tri, "c"), _discounts(pairs, "c"), _discounts(ends, "c")
-    # One number per word of the bounded vocabulary.
-    p1 = np.zeros(size)
-    free, total = 0.0, 0
-    for r in ends.collect():
-        d = d1[min(r.c, 3) - 1]
-        p1[r.w3], free, total = r.c - d, free + d, total + r.c
+    # One number per word of the sample's vocabulary.
+    p1, last = np.zeros(size), ends.toArrow()
+    w, c = (last[x].to_numpy() for x in ("w3", "c"))
+    off = np.array(d1)[np.minimum(c, 3) - 1]
+    p1[w], free, total = c - off, off.sum(), c.sum()
     p1 = (p1 + free / size) / total if total else np.full(size, 1 / size)
 
     on_pair = _contexts(tri, ["w1", "w2"], "c", d3)
     on_one = _contexts(pairs, ["w2"], "c", d2)
-    key3 = F.expr("shiftleft(cast(w1 as long), 32) + shiftleft(cast(w2 as long), 16) + w3")
-    key12 = F.expr("shiftleft(cast(w1 as long), 16) + w2")
-    key23 = F.expr("shiftleft(cast(w2 as long), 16) + w3")
-    lower = trusted.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(p1)], "w3 int, p1 double")
+    key3 = F.expr(f"shiftleft(cast(w1 as long), {2 * ID_BITS}) + shiftleft(cast(w2 as long), {ID_BITS}) + w3")
+    key12 = F.expr(f"shiftleft(cast(w1 as long), {ID_BITS}) + w2")
+    key23 = F.expr(f"shiftleft(cast(w2 as long), {ID_BITS}) + w3")
+    lower = trusted.sparkSession.createDataFrame(pa.table({"w3": np.arange(size, dtype=np.int32), "p1": p1}))
     shares = tri.join(on_pair, ["w1", "w2"]).select(
         F.lit(0).alias("kind"), F.col("w1").alias("first"), F.col("w2").alias("middle"), key3.alias("key"),
         ((F.col("c") - _discount("c", d3)) / F.col("total")).alias("value"),
@@ -194,13 +200,14 @@ BLOCK = "shard int, salt int, keys binary, block binary"
 def _requests(words: list[str], shards: int, salts: int):
     def packed(keys, ids, squeeze, salt):
         doc = np.repeat(np.arange(len(ids)), [len(x) + 1 for x in ids])
-        seqs = [np.concatenate([[EDGE, EDGE], x, [EDGE]]).astype(np.uint16) for x in ids]
+        seqs = [np.concatenate([[EDGE, EDGE], x, [EDGE]]).astype("<u4") for x in ids]
         w1, w2, w3 = (np.concatenate([s[k : len(s) - 2 + k] for s in seqs]) for k in range(3))
         shard = shard_of(w1, w2, shards)
         for s in np.unique(shard):
             own = np.flatnonzero(shard == s)
             docs, n = np.unique(doc[own], return_counts=True)
-            planes = np.stack([w1[own], w2[own], w3[own]]).astype("<u2").view(np.uint8).reshape(3, -1, 2).transpose(0, 2, 1)
+            # Three bytes an id, plane by plane; frequent words have low ids, so the third is mostly zero.
+            planes = np.stack([w1[own], w2[own], w3[own]]).view(np.uint8).reshape(3, -1, 4)[:, :, :3].transpose(0, 2, 1)
             block = squeeze.compress(n.astype("<u4").tobytes() + planes.tobytes())
             yield int(s), salt, keys[docs].tobytes(), block
 
@@ -237,11 +244,11 @@ def log_probability(tables: list[bytes], p1: np.ndarray, w1: np.ndarray, w2: np.
     """log10 P(w3 | w1 w2) from one shard's tables."""
     t = [np.frombuffer(x, "<f8" if i % 2 else "<i8") for i, x in enumerate(tables)]
     w1, w2, w3 = (w.astype(np.int64) for w in (w1, w2, w3))
-    pair = _find(t[4], t[5], (w2 << 16) + w3)
+    pair = _find(t[4], t[5], (w2 << ID_BITS) + w3)
     unseen = np.isnan(pair)
     pair[unseen] = _find(t[6], t[7], w2[unseen], 1.0) * p1[w3[unseen]]
-    share = _find(t[0], t[1], (w1 << 32) + (w2 << 16) + w3, 0.0)
-    return np.log10(share + _find(t[2], t[3], (w1 << 16) + w2, 1.0) * pair)
+    share = _find(t[0], t[1], (w1 << 2 * ID_BITS) + (w2 << ID_BITS) + w3, 0.0)
+    return np.log10(share + _find(t[2], t[3], (w1 << ID_BITS) + w2, 1.0) * pair)
 
 
 SUMS = "k1 long, k2 long, log_p double, n long"
@@ -256,8 +263,8 @@ def _answer(p1: np.ndarray):
             own = np.frombuffer(key.as_py(), "<i8").reshape(-1, 2)
             raw = unpack.decompress(block.as_py())
             n = np.frombuffer(raw, "<u4", len(own)).astype(np.int64)
-            planes = np.frombuffer(raw, np.uint8, offset=4 * len(own)).reshape(3, 2, -1)
-            w = planes.transpose(0, 2, 1).copy().view("<u2")[:, :, 0]
+            low, mid, high = np.frombuffer(raw, np.uint8, offset=4 * len(own)).reshape(3, 3, -1).transpose(1, 0, 2).astype(np.int64)
+            w = low + (mid << 8) + (high << 16)
             keys.append(own)
             sums.append(np.add.reduceat(log_probability(tables, p1, *w), np.cumsum(n) - n))
             counts.append(n)
@@ -268,11 +275,10 @@ def _answer(p1: np.ndarray):
 
 
 def perplexities(
-    docs: DataFrame, trusted: DataFrame, shards: int = 8, group_tokens: int = 1 << 22, max_words: int = 30_000,
-    text_col: str = "text",
+    docs: DataFrame, trusted: DataFrame, shards: int = 8, group_tokens: int = 1 << 22, text_col: str = "text",
 ) -> DataFrame:
     """(k1, k2, perplexity, n_tokens) for every distinct text; ``trusted`` has the column ``text``."""
-    words, p1, model = train(trusted, max_words)
+    words, p1, model = train(trusted)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     salts = max(1, math.ceil(size / 6 / shards / group_tokens))
     held = written(

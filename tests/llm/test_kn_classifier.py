@@ -38,9 +38,10 @@ def slow_model(vocabulary, texts):
     for (b, _), c in pair.items():
         following[b].append(c)
     total = sum(one.values())
+    freed = sum(take(d1, c) for c in one.values())
 
     def p1(w):
-        return ((one[w] - take(d1, one[w]) if one[w] else 0) + sum(take(d1, c) for c in one.values()) / size) / total
+        return ((one[w] - take(d1, one[w]) if one[w] else 0) + freed / size) / total
 
     def p2(b, w):
         if b not in following:
@@ -76,6 +77,24 @@ def test_perplexity_equals_the_formulas(spark):
         assert got[key] == pytest.approx(10 ** (-sum(logs) / len(logs)), rel=1e-9)
 
 
+def test_no_word_of_the_sample_is_left_out(spark):
+    """More words than 16 bits count: each has its own id, and late ones are scored by the formulas."""
+    texts = [" ".join(f"v{i + k}q" for k in range(100)) for i in range(0, 70_000, 100)] * 2
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
+    words, p1, _ = train(trusted)
+    assert len(words) == 70_000 and len(p1) > 1 << 16
+    vocabulary = Vocabulary(words)
+    p3, _ = slow_model(Vocabulary(words), texts)
+    late = [words[-1], words[66_000], words[5]]
+    asked = [" ".join(late), texts[-1], f"{late[0]} {late[0]}", f"{texts[3]} {late[1]}"]
+    docs = spark.createDataFrame([(t,) for t in asked], "text string")
+    got = {(r.k1, r.k2): r.perplexity for r in perplexities(docs, trusted).collect()}
+    for t, key in zip(asked, [tuple(r) for r in docs.select(*text_key(F.col("text"))).collect()]):
+        s = [EDGE, EDGE, *vocabulary.ids(t.encode()).tolist(), EDGE]
+        logs = [math.log10(p3(*s[i : i + 3])) for i in range(len(s) - 2)]
+        assert got[key] == pytest.approx(10 ** (-sum(logs) / len(logs)), rel=1e-9)
+
+
 def test_junk_goes_and_clean_stays(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
