@@ -24,16 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spare_name, words_of, written
 
 EDGE, LARGE, DIGIT, SIGN, OTHER = range(5)
 FIRST_WORD = 5
-SUB = 4
+SUB = 2
 CHUNK_TOKENS = 1 << 20
 ID_BITS = 21
+ID = (1 << ID_BITS) - 1
 UPPER = re.compile(r"[A-Z].*[A-Z]")
 PLAIN = re.compile(r"[^\W\d_]+['-]?[^\W\d_]*[.,;:]?")
 
@@ -81,8 +82,9 @@ def _trigrams(words: list[str]):
             for text in batch.column(0):
                 seq = np.concatenate([[EDGE, EDGE], vocabulary.ids(text.as_py()), [EDGE]]).astype(np.int32)
                 found.append(np.stack([seq[:-2], seq[1:-1], seq[2:]]))
-            w = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in w], ["w1", "w2", "w3"])
+            w = (np.concatenate(found, axis=1) if found else np.zeros((3, 0))).astype(np.int64)
+            t, c = np.unique((w[0] << 2 * ID_BITS) + (w[1] << ID_BITS) + w[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], ["t", "c"])
 
     return run
 
@@ -100,13 +102,29 @@ def _discount(column: str, d: list[float]) -> Column:
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def _contexts(counts: DataFrame, keys: list[str], column: str, d: list[float]) -> DataFrame:
-    """Per context its total and the mass its discounts free for the lower order."""
-    return counts.groupBy(*keys).agg(
-        F.sum(column).alias("total"), (F.sum(_discount(column, d)) / F.sum(column)).alias("free")
+def _in_context(counts: DataFrame, d: list[float]) -> DataFrame:
+    """Each sequence with its context (all but the last word), the context's total, the mass that
+    its discounts free for the lower order, and the context's first sequence. One shuffle."""
+    context = Window.partitionBy("before")
+    rows = counts.select("t", "c", F.shiftright("t", ID_BITS).alias("before"))
+    return rows.select(
+        "t", "before", ((F.col("c") - _discount("c", d)) / F.sum("c").over(context)).alias("share"),
+        (F.sum(_discount("c", d)).over(context) / F.sum("c").over(context)).alias("free"),
+        F.min("t").over(context).alias("head"),
     )
 
 
+def _rows(found: DataFrame, kind: int, first: Column, middle: Column, value: Column) -> DataFrame:
+    """A model row of each sequence, and of each context once."""
+
+    def row(k: int, key: str, v: Column) -> Column:
+        return F.struct(F.lit(k).alias("kind"), first.alias("first"), middle.alias("middle"), F.col(key).alias("key"), v.alias("value"))
+
+    own, context = row(kind, "t", value), row(kind + 1, "before", F.col("free"))
+    both = F.when(F.col("t") == F.col("head"), F.array(own, context)).otherwise(F.array(own))
+    return found.select(F.inline(both))
+
+
 def train(trusted: DataFrame, min_count: int = 2) -> tuple[list[str], np.ndarray, DataFrame]:
     """Vocabulary, unigram probabilities by id, and model rows (kind, first, middle, key, value).
 
@@ -126,12 +144,14 @@ def train(trusted: DataFrame, min_count: int = 2) -> tuple[list[str], np.ndarray
         raise ValueError(f"the training sample has over {most} words; draw fewer rows")
     size = FIRST_WORD + len(words)
     tri = written(
-        trusted.select(F.col("text").cast("binary")).mapInArrow(_trigrams(words), "w1 int, w2 int, w3 int")
-        .groupBy("w1", "w2", "w3").agg(F.count("*").alias("c")),
+        trusted.select(F.col("text").cast("binary")).mapInArrow(_trigrams(words), "t long, c long")
+        .groupBy("t").agg(F.sum("c").alias("c")),
         "trigrams",
     )
-    pairs = written(tri.groupBy("w2", "w3").agg(F.count("*").alias("c")), "pairs")
-    ends = pairs.groupBy("w3").agg(F.count("*").alias("c"))
+    pair = F.col("t").bitwiseAND(F.lit((1 << 2 * ID_BITS) - 1))
+    pairs = written(tri.groupBy(pair.alias("t")).agg(F.count("*").alias("c")), "pairs")
+    last_word = F.col("t").bitwiseAND(F.lit(ID)).cast("int")
+    ends = pairs.groupBy(last_word.alias("w3")).agg(F.count("*").alias("c"))
     d3, d2, d1 = _discounts(tri, "c"), _discounts(pairs, "c"), _discounts(ends, "c")
     # One number per word of the sample's vocabulary.
     p1, last = np.zeros(size), ends.toArrow()
@@ -140,40 +160,19 @@ def train(trusted: DataFrame, min_count: int = 2) -> tuple[list[str], np.ndarray
     p1[w], free, total = c - off, off.sum(), c.sum()
     p1 = (p1 + free / size) / total if total else np.full(size, 1 / size)
 
-    on_pair = _contexts(tri, ["w1", "w2"], "c", d3)
-    on_one = _contexts(pairs, ["w2"], "c", d2)
-    key3 = F.expr(f"shiftleft(cast(w1 as long), {2 * ID_BITS}) + shiftleft(cast(w2 as long), {ID_BITS}) + w3")
-    key12 = F.expr(f"shiftleft(cast(w1 as long), {ID_BITS}) + w2")
-    key23 = F.expr(f"shiftleft(cast(w2 as long), {ID_BITS}) + w3")
     lower = trusted.sparkSession.createDataFrame(pa.table({"w3": np.arange(size, dtype=np.int32), "p1": p1}))
-    shares = tri.join(on_pair, ["w1", "w2"]).select(
-        F.lit(0).alias("kind"), F.col("w1").alias("first"), F.col("w2").alias("middle"), key3.alias("key"),
-        ((F.col("c") - _discount("c", d3)) / F.col("total")).alias("value"),
-    )
-    freed = on_pair.select(F.lit(1).alias("kind"), F.col("w1").alias("first"), F.col("w2").alias("middle"), key12.alias("key"), F.col("free").alias("value"))
+    of_two = _in_context(tri, d3)
+    before = F.col("before")
+    threes = _rows(of_two, 0, F.shiftright("before", ID_BITS).cast("int"), before.bitwiseAND(F.lit(ID)).cast("int"), F.col("share"))
     # What hangs on the middle word alone goes to each of the shards that word is spread over.
-    subs = F.explode(F.sequence(F.lit(0), F.lit(SUB - 1))).alias("first")
-    seen = pairs.join(on_one, "w2").join(lower, "w3").select(
-        F.lit(2).alias("kind"), subs, F.col("w2").alias("middle"), key23.alias("key"),
-        ((F.col("c") - _discount("c", d2)) / F.col("total") + F.col("free") * F.col("p1")).alias("value"),
-    )
-    backs = on_one.select(F.lit(3).alias("kind"), subs, F.col("w2").alias("middle"), F.col("w2").cast("long").alias("key"), F.col("free").alias("value"))
-    return words, p1, shares.unionByName(freed).unionByName(seen).unionByName(backs)
+    of_one = _in_context(pairs, d2).withColumn("w3", last_word).join(lower, "w3")
+    twos = _rows(of_one, 2, F.lit(-1), before.cast("int"), F.col("share") + F.col("free") * F.col("p1"))
+    return words, p1, threes.unionByName(twos)
 
 
 MODEL = "shard int, tables array<binary>"
 
 
-def _shards(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "middle")]
-            shard = shard_of(*w, shards).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch.column(c) for c in ("kind", "key", "value"))], ["shard", "kind", "key", "value"])
-
-    return run
-
-
 def _squeezed(column: np.ndarray) -> bytes:
     """Eight-byte numbers by byte planes, compressed: a shard's tables go to each of its salts."""
     return zstandard.ZstdCompressor(level=3).compress(column.view(np.uint8).reshape(-1, 8).T.tobytes())
@@ -184,16 +183,51 @@ def _unsqueezed(block: bytes) -> bytes:
     return planes.reshape(8, -1).T.tobytes()
 
 
-def _tables(table: pa.Table) -> pa.Table:
-    """A shard's rows as sorted keys, by their differences, and values of each kind."""
-    kind, key, value = (table[c].to_numpy() for c in ("kind", "key", "value"))
+def _packed(kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """Of each kind the sorted keys, by their differences, and their values."""
     out = []
     for k in range(4):
         keys, at = np.unique(key[kind == k], return_index=True)
         out += [_squeezed(np.diff(keys, prepend=0).astype("<i8")), _squeezed(value[kind == k][at].astype("<f8"))]
+    return out
+
+
+def _unpacked(tables: list[bytes]) -> list[np.ndarray]:
+    """Keys and values of each kind in turn."""
+    got = [np.frombuffer(_unsqueezed(x), "<f8" if i % 2 else "<i8") for i, x in enumerate(tables)]
+    return [x if i % 2 else np.cumsum(x) for i, x in enumerate(got)]
+
+
+def _tables(table: pa.Table) -> pa.Table:
+    """A shard's packed tables as one."""
+    parts = [_unpacked(x.as_py()) for x in table["tables"]]
+    kind = np.concatenate([np.repeat(np.arange(4), [len(x) for x in p[::2]]) for p in parts])
+    key, value = (np.concatenate([np.concatenate(p[i::2]) for p in parts]) for i in (0, 1))
+    out = _packed(kind, key, value)
     return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "tables": pa.array([out], pa.list_(pa.binary()))})
 
 
+def _shards(shards: int):
+    """Rows as packed tables per shard, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, first, middle, key, value = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "first", "middle", "key", "value")
+            )
+            to, tables = [], []
+            for sub in range(SUB):
+                own = np.flatnonzero((first < 0) | (first % SUB == sub))
+                shard = shard_of(np.full(len(own), sub), middle[own], shards)
+                for s in np.unique(shard):
+                    at = own[shard == s]
+                    to.append(s)
+                    tables.append(_packed(kind[at], key[at], value[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(tables, pa.list_(pa.binary()))], ["shard", "tables"])
+
+    return run
+
+
 BLOCK = "shard int, salt int, keys binary, block binary"
 
 
@@ -240,9 +274,9 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: f
     return out
 
 
-def log_probability(tables: list[bytes], p1: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
+def log_probability(tables: list[np.ndarray], p1: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
     """log10 P(w3 | w1 w2) from one shard's tables."""
-    t = [np.frombuffer(x, "<f8" if i % 2 else "<i8") for i, x in enumerate(tables)]
+    t = tables
     w1, w2, w3 = (w.astype(np.int64) for w in (w1, w2, w3))
     pair = _find(t[4], t[5], (w2 << ID_BITS) + w3)
     unseen = np.isnan(pair)
@@ -256,8 +290,7 @@ SUMS = "k1 long, k2 long, log_p double, n long"
 
 def _answer(p1: np.ndarray):
     def run(requests: pa.Table, model: pa.Table) -> pa.Table:
-        tables = [_unsqueezed(x) for x in model["tables"][0].as_py()] if len(model) else [b""] * 8
-        tables[::2] = [np.cumsum(np.frombuffer(x, "<i8")).tobytes() for x in tables[::2]]
+        tables = _unpacked(model["tables"][0].as_py()) if len(model) else [np.zeros(0)] * 8
         unpack, keys, sums, counts = zstandard.ZstdDecompressor(), [], [], []
         for key, block in zip(requests["keys"], requests["block"]):
             own = np.frombuffer(key.as_py(), "<i8").reshape(-1, 2)
@@ -275,14 +308,14 @@ def _answer(p1: np.ndarray):
 
 
 def perplexities(
-    docs: DataFrame, trusted: DataFrame, shards: int = 8, group_tokens: int = 1 << 22, text_col: str = "text",
+    docs: DataFrame, trusted: DataFrame, shards: int = 8, group_tokens: int = 1 << 23, text_col: str = "text",
 ) -> DataFrame:
     """(k1, k2, perplexity, n_tokens) for every distinct text; ``trusted`` has the column ``text``."""
     words, p1, model = train(trusted)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     salts = max(1, math.ceil(size / 6 / shards / group_tokens))
     held = written(
-        model.mapInArrow(_shards(shards), "shard int, kind int, key long, value double")
+        model.mapInArrow(_shards(shards), MODEL)
         .groupBy("shard").applyInArrow(_tables, MODEL),
         "model",
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
