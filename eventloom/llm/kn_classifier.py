@@ -5,8 +5,9 @@ joins of counts: trigram counts with their contexts, continuation counts of pair
 They are sharded by the middle word of a trigram, so that all that one position needs (trigram,
 context, pair, back-off) lies in one shard; a frequent middle word is spread over the first.
 
-Scoring is a join of the texts' trigrams with those shards. A task packs its texts' trigrams into
-one compressed block per shard, with the texts' keys. Blocks of a shard are dealt over salts, so a
+Scoring is a join of the texts' trigrams with those shards. A Bloom filter of the model's pairs spares
+it the trigrams of which the model knows no pair: their probability follows from two numbers per
+word. A task packs its texts' other trigrams into one compressed block per shard, with the texts' keys. Blocks of a shard are dealt over salts, so a
 group holds a bounded number of trigrams however large the corpus and however frequent a word;
 the bounded model shard is repeated per salt. A group returns one sum per text. Texts of equal
 content share a key and a perplexity.
@@ -228,25 +229,122 @@ def _shards(shards: int):
     return run
 
 
-BLOCK = "shard int, salt int, keys binary, block binary"
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id plus one, less its leading one."""
+    return (np.frexp(ids + 1.0)[1] - 1).astype(np.uint8)
 
 
-def _requests(words: list[str], shards: int, salts: int):
+def _rests(ids: np.ndarray, widths: np.ndarray) -> bytes:
+    """What the widths leave open, by width: whole low bytes, then the other bits."""
+    out = []
+    for k in range(1, ID_BITS + 1):
+        rest = (ids[widths == k] + 1 - (1 << k)).astype("<u4")
+        out += [rest.view(np.uint8).reshape(-1, 4)[:, b].tobytes() for b in range(k // 8)]
+        high = (rest >> k // 8 * 8).astype(np.uint8)
+        out.append(np.packbits(high[:, None] >> np.arange(k % 8, dtype=np.uint8) & 1).tobytes())
+    return b"".join(out)
+
+
+def _ids(raw: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of these widths from what ``_rests`` wrote, and the bytes after it."""
+    out = np.zeros(len(widths), np.int64)
+    for k in range(1, ID_BITS + 1):
+        at = np.flatnonzero(widths == k)
+        n, rest = len(at), np.zeros(len(at), np.int64)
+        for b in range(k // 8):
+            rest += raw[:n].astype(np.int64) << 8 * b
+            raw = raw[n:]
+        bits = np.unpackbits(raw[: -(-n * (k % 8) // 8)])[: n * (k % 8)].reshape(n, k % 8)
+        rest += (bits.astype(np.int64) << np.arange(k % 8)).sum(axis=1) << k // 8 * 8
+        raw = raw[-(-n * (k % 8) // 8) :]
+        out[at] = rest + (1 << k) - 1
+    return out, raw
+
+
+def pack_trigrams(doc: np.ndarray, w: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Trigrams (three rows of ids) of ascending documents, each document's in an order of our own.
+
+    Ids fall with a word's frequency, so widths hold nearly all there is to compress; sorted within
+    a document they take little. A document's sum does not depend on the order of its trigrams.
+    """
+    widths = np.stack([_widths(x) for x in w])
+    order = np.argsort((doc << 10) + (widths[1].astype(np.int64) << 5) + widths[0], kind="stable")
+    w, widths = w[:, order], widths[:, order]
+    n = np.unique(doc, return_counts=True)[1].astype("<u4")
+    head = squeeze.compress(np.array([len(n)], "<u4").tobytes() + n.tobytes() + widths.tobytes())
+    return len(head).to_bytes(4, "little") + head + b"".join(_rests(x, k) for x, k in zip(w, widths))
+
+
+def unpack_trigrams(block: bytes, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams per document, and the trigrams."""
+    size = int.from_bytes(block[:4], "little")
+    head = unpack.decompress(block[4 : 4 + size])
+    docs = int(np.frombuffer(head, "<u4", 1)[0])
+    n = np.frombuffer(head, "<u4", docs, 4).astype(np.int64)
+    widths = np.frombuffer(head, np.uint8, offset=4 + 4 * docs).reshape(3, -1)
+    raw, w = np.frombuffer(block, np.uint8, offset=4 + size), []
+    for k in widths:
+        ids, raw = _ids(raw, k)
+        w.append(ids)
+    return n, np.stack(w)
+
+
+class Known:
+    """What a task knows of the model by itself: a Bloom filter of its pairs, and per word its
+    probability and the mass it frees. Both are bounded by the training sample."""
+
+    def __init__(self, pairs: np.ndarray, back: np.ndarray, p1: np.ndarray):
+        self.back, self.p1 = back, p1
+        self.shift = 61 - max(10, (2 * len(pairs)).bit_length())
+        self.bits = np.zeros(1 << 61 - self.shift, np.uint8)
+        for at in self._places(pairs):
+            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def _places(self, keys: np.ndarray) -> list[np.ndarray]:
+        mixed = [keys.astype(np.uint64) * np.uint64(m) >> np.uint64(self.shift) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        return [x.astype(np.int64) for x in mixed]
+
+    def has(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        one, two = (self.bits[at >> 3] >> (at & 7) & 1 for at in self._places((first.astype(np.int64) << ID_BITS) + second))
+        return (one & two).astype(bool)
+
+    def alone(self, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
+        """log10 P(w3 | w1 w2) where neither w1 w2 nor w2 w3 is a pair of the model."""
+        return np.log10(self.back[w2] * self.p1[w3])
+
+
+def _known(model: DataFrame, p1: np.ndarray) -> Known:
+    pairs, back = [np.zeros(0, np.int64)], np.ones(len(p1))
+    for row in model.select(*[F.get("tables", F.lit(i)).alias(f"t{i}") for i in (4, 6, 7)]).collect():
+        keys, words, freed = (_unsqueezed(x) for x in row)
+        pairs.append(np.cumsum(np.frombuffer(keys, "<i8")))
+        back[np.cumsum(np.frombuffer(words, "<i8"))] = np.frombuffer(freed, "<f8")
+    return Known(np.unique(np.concatenate(pairs)), back, p1)
+
+
+BLOCK = "shard int, salt int, keys binary, block binary, local binary"
+
+
+def _requests(words: list[str], known: Known, shards: int, salts: int):
     def packed(keys, ids, squeeze, salt):
         doc = np.repeat(np.arange(len(ids)), [len(x) + 1 for x in ids])
         seqs = [np.concatenate([[EDGE, EDGE], x, [EDGE]]).astype("<u4") for x in ids]
         w1, w2, w3 = (np.concatenate([s[k : len(s) - 2 + k] for s in seqs]) for k in range(3))
-        shard = shard_of(w1, w2, shards)
+        # A trigram without a pair of the model is answered here; a text's first one always goes, with that sum.
+        start = (w1 == EDGE) & (w2 == EDGE)
+        goes = start | known.has(w1, w2) | known.has(w2, w3)
+        stays = ~goes
+        sums = np.bincount(doc[stays], known.alone(w2[stays], w3[stays]), len(ids))
+        local = sums.astype("<f8").tobytes() + np.bincount(doc[stays], minlength=len(ids)).astype("<u4").tobytes()
+        doc, w = doc[goes], np.stack([x[goes] for x in (w1, w2, w3)])
+        shard, first = shard_of(w[0], w[1], shards), shard_of(np.array([EDGE]), np.array([EDGE]), shards)[0]
         for s in np.unique(shard):
             own = np.flatnonzero(shard == s)
-            docs, n = np.unique(doc[own], return_counts=True)
-            # Three bytes an id, plane by plane; frequent words have low ids, so the third is mostly zero.
-            planes = np.stack([w1[own], w2[own], w3[own]]).view(np.uint8).reshape(3, -1, 4)[:, :, :3].transpose(0, 2, 1)
-            block = squeeze.compress(n.astype("<u4").tobytes() + planes.tobytes())
-            yield int(s), salt, keys[docs].tobytes(), block
+            block = pack_trigrams(doc[own], w[:, own], squeeze)
+            yield int(s), salt, keys[np.unique(doc[own])].tobytes(), block, local if s == first else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, squeeze = Vocabulary(words), zstandard.ZstdCompressor(level=1)
+        vocabulary, squeeze = Vocabulary(words), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")], axis=1)
             held, first, size = [], 0, 0
@@ -257,8 +355,8 @@ def _requests(words: list[str], shards: int, salts: int):
                     # Which salt a chunk goes to follows from its texts alone.
                     salt = int(keys[first, 0] % salts)
                     rows = list(zip(*packed(keys[first : i + 1], held, squeeze, salt)))
-                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["shard", "salt", "keys", "block"])
+                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["shard", "salt", "keys", "block", "local"])
                     held, first, size = [], i + 1, 0
 
     return run
@@ -292,14 +390,15 @@ def _answer(p1: np.ndarray):
     def run(requests: pa.Table, model: pa.Table) -> pa.Table:
         tables = _unpacked(model["tables"][0].as_py()) if len(model) else [np.zeros(0)] * 8
         unpack, keys, sums, counts = zstandard.ZstdDecompressor(), [], [], []
-        for key, block in zip(requests["keys"], requests["block"]):
+        for key, block, local in zip(requests["keys"], requests["block"], requests["local"]):
             own = np.frombuffer(key.as_py(), "<i8").reshape(-1, 2)
-            raw = unpack.decompress(block.as_py())
-            n = np.frombuffer(raw, "<u4", len(own)).astype(np.int64)
-            low, mid, high = np.frombuffer(raw, np.uint8, offset=4 * len(own)).reshape(3, 3, -1).transpose(1, 0, 2).astype(np.int64)
-            w = low + (mid << 8) + (high << 16)
+            n, w = unpack_trigrams(block.as_py(), unpack)
             keys.append(own)
-            sums.append(np.add.reduceat(log_probability(tables, p1, *w), np.cumsum(n) - n))
+            total = np.add.reduceat(log_probability(tables, p1, *w), np.cumsum(n) - n)
+            if len(local.as_py()):
+                total += np.frombuffer(local.as_py(), "<f8", len(n))
+                n += np.frombuffer(local.as_py(), "<u4", len(n), 8 * len(n))
+            sums.append(total)
             counts.append(n)
         k = np.concatenate(keys) if keys else np.zeros((0, 2), np.int64)
         return pa.table({"k1": k[:, 0], "k2": k[:, 1], "log_p": np.concatenate(sums or [np.zeros(0)]), "n": np.concatenate(counts or [np.zeros(0, np.int64)])})
@@ -308,19 +407,16 @@ def _answer(p1: np.ndarray):
 
 
 def perplexities(
-    docs: DataFrame, trusted: DataFrame, shards: int = 8, group_tokens: int = 1 << 23, text_col: str = "text",
+    docs: DataFrame, trusted: DataFrame, shards: int = 4, group_tokens: int = 1 << 24, text_col: str = "text",
 ) -> DataFrame:
     """(k1, k2, perplexity, n_tokens) for every distinct text; ``trusted`` has the column ``text``."""
     words, p1, model = train(trusted)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     salts = max(1, math.ceil(size / 6 / shards / group_tokens))
-    held = written(
-        model.mapInArrow(_shards(shards), MODEL)
-        .groupBy("shard").applyInArrow(_tables, MODEL),
-        "model",
-    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    packed = written(model.mapInArrow(_shards(shards), MODEL).groupBy("shard").applyInArrow(_tables, MODEL), "model")
+    held = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     asked = docs.select(F.col(text_col).cast("binary").alias("text"), *text_key(F.col(text_col))).mapInArrow(
-        _requests(words, shards, salts), BLOCK
+        _requests(words, _known(packed, p1), shards, salts), BLOCK
     )
     answered = asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(_answer(p1), SUMS)
     sums = answered.groupBy("k1", "k2").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from eventloom.llm.kn_classifier import EDGE, Vocabulary, classify, keep, perplexities, text_key, train
+from eventloom.llm.kn_classifier import EDGE, Vocabulary, classify, keep, pack_trigrams, perplexities, text_key, train, unpack_trigrams
 
 TRUSTED = ["the cat sat on the mat", "the cat ate the fish", "a dog sat on the cat", "the dog ate a fish today", "a cat and a dog"] * 3 + [
     "the fish sat", "on the mat a dog sat", "the cat sat on a dog",
@@ -77,6 +79,19 @@ def test_perplexity_equals_the_formulas(spark):
         assert got[key] == pytest.approx(10 ** (-sum(logs) / len(logs)), rel=1e-9)
 
 
+def test_packed_trigrams_come_back():
+    """Each document's trigrams, in any order; smallest and largest ids, one document and many."""
+    rng = np.random.default_rng(3)
+    for size, docs in ((1, 1), (7, 7), (1000, 1), (50_000, 300)):
+        doc = np.sort(rng.integers(0, docs, size)) * 3
+        w = (2.0 ** rng.uniform(0, 21, (3, size))).astype(np.uint32) - 1
+        w[:, 0] = (0, (1 << 21) - 1, 255)
+        n, got = unpack_trigrams(pack_trigrams(doc, w, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())
+        own = np.unique(doc, return_counts=True)
+        assert n.tolist() == own[1].tolist()
+        assert sorted(zip(doc.tolist(), *w.tolist())) == sorted(zip(np.repeat(own[0], n).tolist(), *got.tolist()))
+
+
 def test_no_word_of_the_sample_is_left_out(spark):
     """More words than 16 bits count: each has its own id, and late ones are scored by the formulas."""
     texts = [" ".join(f"v{i + k}q" for k in range(100)) for i in range(0, 70_000, 100)] * 2
