@@ -41,11 +41,12 @@ def webhook_queue(events: DataFrame, webhooks: DataFrame, tenants: DataFrame) ->
         value.isNotNull()
         & (F.col("filter_param_value").isNull() | (value == F.col("filter_param_value")))
     )
-    # Tenants without a subscription leave before the duplicates are ranked.
+    # Tenants without a subscription leave before the duplicates are ranked. Subscriptions, a short
+    # list, travel to the events: dealt by tenant, all events of one tenant would be one task's.
     wanted = events.where(F.col("tenant_id") != GLOBAL_TENANT).join(
-        subs.select("tenant_id"), "tenant_id", "left_semi"
+        F.broadcast(subs.select("tenant_id")), "tenant_id", "left_semi"
     )
-    return dedup_latest(wanted).join(subs, "tenant_id").where(wants_type & wants_param)
+    return dedup_latest(wanted).join(F.broadcast(subs), "tenant_id").where(wants_type & wants_param)
 
 
 def with_signature(queue: DataFrame, webhooks: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from __spark_entry__ import queries
-from eventloom.operators import dedup, filters, match, rollup
+from eventloom.operators import dedup, filters, match, rollup, similar, webhooks
 from eventloom.plans.history import history_stats
 from eventloom.sources import testdata as td
 
@@ -73,6 +75,16 @@ def test_match_page_sends_few_results_through_the_shuffle(stored):
     assert len([line for line in text.splitlines() if "FileScan" in line]) == 3
 
 
+def test_no_task_gets_all_events_of_a_tenant(spark, stored, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(webhooks.webhook_queue(stored, td.webhooks(spark), td.tenants(spark, sf)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("BroadcastHashJoin [tenant_id") == 2
+    assert not re.search(r"SortMergeJoin \[tenant_id#\d+\], \[tenant_id#", text)
+
+
 def test_match_summary_is_one_pass(stored):
     assert len(scans(match.match_summary(stored, td.AS_OF_MS, result="purchase"))) == 1
 
