@@ -31,22 +31,28 @@ def event_text(params: Column | None = None) -> Column:
     )
 
 
+#: Texts embedded at once: a worker's memory hangs on this and not on the Arrow batch.
+EMBEDDED_AT_ONCE = 512
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def _embed(texts: pa.Array) -> pa.Array:
-    """A whole Arrow batch at once: a matrix of each text's bytes, repeated to 384 places."""
+    """A matrix of each text's bytes, repeated to 384 places, a slice of the Arrow batch at a time."""
     data = [t.encode() if t else b"" for t in texts.to_pylist()]
     sizes = np.fromiter((len(d) for d in data), dtype=np.int64, count=len(data))
     starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(data) else sizes
     kept = np.flatnonzero(sizes)
     places = np.arange(EMBEDDING_DIM)
     letters = np.frombuffer(b"".join(data), dtype=np.uint8)
-    grid = letters[starts[kept, None] + places % sizes[kept, None]].astype(np.float64)
-    v = np.sin(grid * BYTE_FACTOR + places * POSITION_FACTOR)
-    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), np.finfo(np.float32).tiny)[:, None]
+    vectors = np.empty((len(kept), EMBEDDING_DIM), np.float32)
+    for at in range(0, len(kept), EMBEDDED_AT_ONCE):
+        some = kept[at : at + EMBEDDED_AT_ONCE]
+        grid = letters[starts[some, None] + places % sizes[some, None]].astype(np.float64)
+        v = np.sin(grid * BYTE_FACTOR + places * POSITION_FACTOR)
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), np.finfo(np.float32).tiny)[:, None]
+        vectors[at : at + len(some)] = v
     ends = np.r_[0, np.cumsum(np.where(sizes > 0, EMBEDDING_DIM, 0))].astype(np.int32)
-    return pa.ListArray.from_arrays(
-        pa.array(ends), pa.array(v.astype(np.float32).ravel()), mask=pa.array(sizes == 0)
-    )
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()), mask=pa.array(sizes == 0))
 
 
 def embedding(text: Column) -> Column:
@@ -58,8 +64,9 @@ def vector_rows(events: DataFrame) -> DataFrame:
     """Events as rows of the vector table; events with an empty text have no vector."""
     return (
         events.select("event_id", "tenant_id", "event_type", "timestamp_ms", event_text().alias("text"))
+        # Only an empty text has no vector; asked of the vector, each text would be embedded twice.
+        .where("text <> ''")
         .withColumn("vector", embedding(F.col("text")))
-        .where("vector is not null")
     )
 
 

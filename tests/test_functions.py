@@ -119,6 +119,20 @@ def test_embedding_equals_formula(spark):
         assert np.allclose(got[t], v / np.linalg.norm(v), atol=1e-5)
 
 
+def test_each_text_is_embedded_once(event):
+    import numpy as np
+
+    rows = event([{"event_id": str(i), "ts": i, "ip": f"10.0.0.{i % 9}", "params": {"n": "x" * (i % 70)}} for i in range(1200)])
+    df = similar.vector_rows(rows.coalesce(1))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.event_id: r for r in df.collect()}
+    assert len(got) == 1200
+    for i in (0, 511, 512, 1199):
+        data = got[str(i)].text.encode()
+        v = np.array([np.sin(data[j % len(data)] * 0.00784 + j * 0.001) for j in range(384)])
+        assert np.allclose(got[str(i)].vector, v / np.linalg.norm(v), atol=1e-6)
+
+
 def test_similar_search(spark, sf):
     vectors, query = td.vectors(spark, sf), td.query_vector(spark, sf)
     exact = [r.vec_id for r in similar.similar_exact(vectors, query, None, 10, "vec_id").collect()]
