@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 from .simhash import LOWER
 
 #: The end of a text. Words hold no white space, so no word is equal to it.
@@ -53,8 +53,8 @@ WORD_BITS_PER_ENTRY = 30
 MANTISSA = 10
 FLUSH = 200_000
 CHUNK_TOKENS = 1 << 19
-#: Tokens to a shard of the pair counts, which one task merges.
-SHARD_TOKENS = 1 << 24
+#: Tokens to a shard of the pair counts, which one task merges in memory.
+SHARD_TOKENS = 1 << 20
 #: The part of a word's hash that deals it to a shard.
 HASH_PART = (1 << 62) - 1
 #: Stands between rows in a run of word ids.
@@ -269,16 +269,19 @@ def _count_pairs(head: dict[bytes, int], n_pair: int | None, n_shards: int):
 
     def packed(ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         seq = np.concatenate(ids)
+        ids.clear()
         v, w = seq[:-1], seq[1:]
         good = (v != BREAK) & (w != BREAK) & _held(v, w, n_pair)
         v, w = v[good], w[good]
+        del seq, good
         keys, at, counts = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
         v, w = v[at], w[at]
         shard, rare = pair_shards(keys, v, w, n_shards), (v < 0) | (w < 0)
+        order = np.argsort(shard, kind="stable")
+        found, begins = np.unique(shard[order], return_index=True)
         rows = []
-        for s in np.unique(shard):
-            own, blobs = shard == s, []
-            often, other = np.flatnonzero(own & ~rare), np.flatnonzero(own & rare)
+        for s, own in zip(found, np.split(order, begins[1:])):
+            often, other, blobs = own[~rare[own]], own[rare[own]], []
             other = other[np.argsort(v[other], kind="stable")]
             blobs.append(_planes(np.diff(keys[often], prepend=np.uint64(0))) + counts[often].astype("<u4").tobytes())
             firsts = np.diff(v[other].astype(np.uint64), prepend=np.uint64(0))
@@ -301,6 +304,8 @@ def _count_pairs(head: dict[bytes, int], n_pair: int | None, n_shards: int):
                     held, size = [], 0
         if held:
             yield from packed(held)
+        del known
+        give_back()
 
     return run
 
@@ -315,29 +320,32 @@ def _merge(min_count: int):
 
     def summed(keys: list[np.ndarray], counts: list[np.ndarray], firsts: list[np.ndarray] | None):
         key, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        keys.clear()
         count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        counts.clear()
         first = key >> np.uint64(32) if firsts is None else np.concatenate(firsts)[at]
         often = count >= min_count
         return key[often], level_of(count[often]), first[often].astype(np.int64)
 
     def run(table: pa.Table) -> pa.Table:
         keys, counts = [], []
-        for blob in table["pairs"].to_pylist():
-            raw = zlib.decompress(blob)
+        for blob in table["pairs"]:
+            raw = zlib.decompress(blob.as_py())
             n = len(raw) // 12
             keys.append(np.cumsum(_unplaned(raw, n, 0), dtype=np.uint64))
-            counts.append(np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
+            counts.append(np.frombuffer(raw, "<u4", n, 8 * n))
         frequent = summed(keys, counts, None)
         keys, counts, firsts = [], [], []
-        for blob in table["others"].to_pylist():
-            raw = zlib.decompress(blob)
+        for blob in table["others"]:
+            raw = zlib.decompress(blob.as_py())
             n = len(raw) // 20
             firsts.append(np.cumsum(_unplaned(raw, n, 0), dtype=np.uint64))
-            counts.append(np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
+            counts.append(np.frombuffer(raw, "<u4", n, 8 * n))
             keys.append(np.frombuffer(raw, "<u8", n, 12 * n))
         key, levels, first = (np.concatenate(x) for x in zip(frequent, summed(keys, counts, firsts)))
         own, at = np.unique(first, return_inverse=True)
         taken = np.bincount(at, count_of(levels) - DISCOUNT, len(own))
+        give_back()
         return pa.table(
             {
                 "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
@@ -468,6 +476,8 @@ def _score(
                     docs, held, size = [], [], 0
         if docs:
             yield from scored(docs, held, tools)
+        del known, tools, pairs, words
+        give_back()
 
     return run
 

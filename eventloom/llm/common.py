@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,15 @@ def per_worker(key: str, build: Callable):
     return store[key]
 
 
+def give_back() -> None:
+    """Hands what this Python worker has freed back to the system. A worker lives from task to task,
+    and an executor holds what its workers keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text, by built-in functions; null and empty give none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

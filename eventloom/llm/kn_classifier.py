@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spare_name, words_of, written
+from .common import give_back, spare_name, words_of, written
 
 EDGE, LARGE, DIGIT, SIGN, OTHER = range(5)
 FIRST_WORD = 5
@@ -77,6 +77,8 @@ def text_key(text: Column) -> list[Column]:
 
 def _trigrams(words: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Whatever stages before this one left to the worker.
+        give_back()
         vocabulary = Vocabulary(words)
         for batch in batches:
             found = []
@@ -86,6 +88,8 @@ def _trigrams(words: list[str]):
             w = (np.concatenate(found, axis=1) if found else np.zeros((3, 0))).astype(np.int64)
             t, c = np.unique((w[0] << 2 * ID_BITS) + (w[1] << ID_BITS) + w[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c)], ["t", "c"])
+        del vocabulary
+        give_back()
 
     return run
 
@@ -358,6 +362,8 @@ def _requests(words: list[str], known: Known, shards: int, salts: int):
                     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["shard", "salt", "keys", "block", "local"])
                     held, first, size = [], i + 1, 0
+        del vocabulary
+        give_back()
 
     return run
 
@@ -401,6 +407,8 @@ def _answer(p1: np.ndarray):
             sums.append(total)
             counts.append(n)
         k = np.concatenate(keys) if keys else np.zeros((0, 2), np.int64)
+        del tables
+        give_back()
         return pa.table({"k1": k[:, 0], "k2": k[:, 1], "log_p": np.concatenate(sums or [np.zeros(0)]), "n": np.concatenate(counts or [np.zeros(0, np.int64)])})
 
     return run

@@ -157,3 +157,25 @@ def test_pairs_of_ranks_spread_over_shards():
     rare = np.full(50_000, bloom_lm.word_hash(b"rare"))
     for a, b in ((rare, w), (w, rare)):
         assert set(bloom_lm.pair_shards(bloom_lm.pair_keys(a, b), a, b, 16)) == set(bloom_lm.word_shards(rare[:1], 16))
+
+
+def test_a_shard_is_merged_in_little_memory():
+    """As many different pairs as a shard has tokens, half of them twice."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = bloom_lm.SHARD_TOKENS
+    rng = np.random.default_rng(1)
+    keys, firsts = rng.integers(0, 1 << 63, n).astype("<u8"), np.sort(rng.integers(-(1 << 63), 0, n)).astype("<u8")
+    counts = (1 + np.arange(n) % 2).astype("<u4")
+    blob = zlib.compress(bloom_lm._planes(np.diff(firsts, prepend=np.uint64(0))) + counts.tobytes() + keys.tobytes(), 1)
+    table = pa.table({"shard": pa.array([3], pa.int32()), "pairs": [zlib.compress(b"")], "others": [blob]})
+    tracemalloc.start()
+    try:
+        merged = bloom_lm._merge(2)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 250e6
+    assert sum(map(len, merged["word"].to_pylist())) > 0.49 * n
