@@ -10,6 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from eventloom.llm import common, kn_classifier
 from eventloom.llm.kn_classifier import EDGE, Vocabulary, classify, keep, pack_trigrams, perplexities, text_key, train, unpack_trigrams
 
 TRUSTED = ["the cat sat on the mat", "the cat ate the fish", "a dog sat on the cat", "the dog ate a fish today", "a cat and a dog"] * 3 + [
@@ -161,3 +162,22 @@ def test_edges(spark):
         assert got.columns == docs.columns
         assert sorted(r.doc_id for r in got.collect()) == [2, 2, 3]
     assert classify(docs.limit(0), labels).count() == 0
+
+
+def test_tasks_give_their_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    given = []
+    monkeypatch.setattr(kn_classifier, "give_back", lambda: given.append(common.give_back()))
+    blocks = [np.ones(1000) for _ in range(20_000)]
+    after = np.ones(1000)
+    del blocks
+    before = resident()
+    texts = pa.RecordBatch.from_arrays([pa.array([b"a b a", None], pa.binary())], ["text"])
+    (rows,) = kn_classifier._trigrams(["a"])(iter([texts]))
+    assert rows.num_rows > 0 and len(given) == 2 and after.sum() == 1000
+    assert resident() < before - 80e6
