@@ -52,6 +52,11 @@ def per_worker(key: str, build: Callable):
     return store[key]
 
 
+def forget() -> None:
+    """Drops what ``per_worker`` kept for the operators before this one, whose tasks are over."""
+    sys.modules.pop("_eventloom_worker", None)
+
+
 def give_back() -> None:
     """Hands what this Python worker has freed back to the system. A worker lives from task to task,
     and an executor holds what its workers keep."""

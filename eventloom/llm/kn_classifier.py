@@ -28,12 +28,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, spare_name, words_of, written
+from .common import forget, give_back, spare_name, words_of, written
 
 EDGE, LARGE, DIGIT, SIGN, OTHER = range(5)
 FIRST_WORD = 5
 SUB = 2
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 18
 ID_BITS = 21
 ID = (1 << ID_BITS) - 1
 UPPER = re.compile(r"[A-Z].*[A-Z]")
@@ -78,6 +78,7 @@ def text_key(text: Column) -> list[Column]:
 def _trigrams(words: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Whatever stages before this one left to the worker.
+        forget()
         give_back()
         vocabulary = Vocabulary(words)
         for batch in batches:
@@ -216,6 +217,7 @@ def _shards(shards: int):
     """Rows as packed tables per shard, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             kind, first, middle, key, value = (
                 batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "first", "middle", "key", "value")
@@ -348,6 +350,7 @@ def _requests(words: list[str], known: Known, shards: int, salts: int):
             yield int(s), salt, keys[np.unique(doc[own])].tobytes(), block, local if s == first else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         vocabulary, squeeze = Vocabulary(words), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")], axis=1)
@@ -394,6 +397,7 @@ SUMS = "k1 long, k2 long, log_p double, n long"
 
 def _answer(p1: np.ndarray):
     def run(requests: pa.Table, model: pa.Table) -> pa.Table:
+        forget()
         tables = _unpacked(model["tables"][0].as_py()) if len(model) else [np.zeros(0)] * 8
         unpack, keys, sums, counts = zstandard.ZstdDecompressor(), [], [], []
         for key, block, local in zip(requests["keys"], requests["block"], requests["local"]):

@@ -181,3 +181,46 @@ def test_tasks_give_their_memory_back(monkeypatch):
     (rows,) = kn_classifier._trigrams(["a"])(iter([texts]))
     assert rows.num_rows > 0 and len(given) == 2 and after.sum() == 1000
     assert resident() < before - 80e6
+
+
+def _steps():
+    known = kn_classifier.Known(np.zeros(0, np.int64), np.ones(7), np.full(7, 0.1))
+    return known, [kn_classifier._trigrams(["a", "b"]), kn_classifier._shards(4), kn_classifier._requests(["a", "b"], known, 4, 1)]
+
+
+def test_workers_forget_what_earlier_operators_kept():
+    import pyarrow as pa
+
+    def kept_after(step):
+        common.per_worker("of another operator", list).append(1)
+        step()
+        return common.per_worker("of another operator", list)
+
+    requests = pa.table({c: pa.array([], pa.binary()) for c in ("keys", "block", "local")})
+    model = pa.table({"tables": pa.array([], pa.list_(pa.binary()))})
+    for run in _steps()[1]:
+        assert kept_after(lambda run=run: list(run(iter([])))) == []
+    assert kept_after(lambda: kn_classifier._answer(np.ones(7))(requests, model)) == []
+
+
+def test_trigrams_are_packed_in_little_memory():
+    """A batch of over a million words, whose texts are packed some at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = 2400
+    keys = np.arange(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a b c " * 150] * texts, pa.binary()), pa.array(keys), pa.array(keys)], ["text", "k1", "k2"])
+    run = _steps()[1][2]
+    tracemalloc.start()
+    try:
+        blocks = [(row["keys"], row["block"]) for out in run(iter([batch])) for row in out.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    unpack = zstandard.ZstdDecompressor()
+    # Nothing of the text is known to the model, so each text sends its first trigram alone.
+    assert sorted(k for own, _ in blocks for k in np.frombuffer(own, "<i8")[::2]) == list(range(texts))
+    assert sum(unpack_trigrams(b, unpack)[1].shape[1] for _, b in blocks) == texts
+    assert peak < 60e6
