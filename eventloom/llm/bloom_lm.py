@@ -188,6 +188,39 @@ class Filter:
         return out
 
 
+class RareWords:
+    """Counts of words outside of the frequent ones, and the shares their pairs leave, from the filter.
+
+    What was read is kept, in a bounded memory. A word that the filter does not know counts 0.
+    """
+
+    def __init__(self, words: Filter, n_shards: int, certain: int):
+        self.words, self.n_shards, self.certain = words, n_shards, certain
+        self._keep(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _keep(self, h: np.ndarray, count: np.ndarray, rest: np.ndarray) -> None:
+        order = np.argsort(h)
+        self.h, self.count, self.rest = h[order], count[order], rest[order]
+
+    def _read(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shard = word_shards(h, self.n_shards)
+        count = self.words.numbers(h.astype(np.uint64), shard)
+        left = np.full(len(h), self.certain)
+        often = np.flatnonzero(count > 1)
+        left[often] = self.words.numbers(share_keys(h[often].astype(np.uint64)), shard[often])
+        return h, count, np.clip(left / 2 / np.maximum(count, 1), 1e-12, 1)
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, back = np.unique(h, return_inverse=True)
+        new = own[~np.isin(own, self.h)]
+        if len(self.h) + len(new) > FLUSH:
+            self._keep(*self._read(own))
+        elif len(new):
+            self._keep(*map(np.concatenate, zip((self.h, self.count, self.rest), self._read(new))))
+        at = np.searchsorted(self.h, own)[back]
+        return self.count[at], self.rest[at]
+
+
 def _words(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(LOWER).split()
 
@@ -400,18 +433,7 @@ def _score(
     The first part adds all that does not need the filter: log U and the back-off's share.
     """
     end = head[END]
-    least, certain = int(level_of(np.array([min_count]))[0]), certain_of(min_count)
-
-    def numbers_of(words: Filter, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and shares of rare words; a count of 0 for those the filter does not know."""
-        own, back = np.unique(h, return_inverse=True)
-        shard = word_shards(own, n_shards)
-        count = words.numbers(own.astype(np.uint64), shard)
-        left = np.full(len(own), certain)
-        often = np.flatnonzero(count > 1)
-        left[often] = words.numbers(share_keys(own[often].astype(np.uint64)), shard[often])
-        rest = np.clip(left / 2 / np.maximum(count, 1), 1e-12, 1)
-        return count[back], rest[back]
+    least = int(level_of(np.array([min_count]))[0])
 
     def scored(docs: list[tuple], ids: list[np.ndarray], tools: tuple) -> Iterator[pa.RecordBatch]:
         """A chunk of texts: (row, id, held out) each, and their words' ids."""
@@ -424,26 +446,32 @@ def _score(
         if part == 0:
             base = np.bincount(doc[known], log_u[w[known]], n)
             # Every word is U(w), after a word less what its pairs take.
-            total = base + np.bincount(doc[after], np.log10(rest[v[after]]), n)
+            total = base + np.bincount(doc[after], np.log10(rest)[v[after]], n)
         held = np.flatnonzero(_held(v, w, n_pair))
-        keys = pair_keys(v[held], w[held])
-        level = pairs.levels(keys, pair_shards(keys, v[held], w[held], n_shards))
+        # Each different pair is read once, however often it stands in the chunk.
+        keys, pair = np.unique(pair_keys(v[held], w[held]), return_inverse=True)
+        at = np.empty(len(keys), np.int64)
+        at[pair] = held
+        a, b = v[at], w[at]
+        level = pairs.levels(keys, pair_shards(keys, a, b, n_shards))
         # A pair the filter holds has the level of ``min_count``; less is a filter error.
-        held, level = held[level >= least], level[level >= least]
-        a, b = v[held], w[held]
+        read = np.flatnonzero(level >= least)
+        a, b, level = a[read], b[read], level[read]
         v_count, v_rest = counts[np.maximum(a, 0)], rest[np.maximum(a, 0)]
-        v_count[a < 0], v_rest[a < 0] = numbers_of(words, a[a < 0])
         here = b >= 0
         here[~here] = np.isin(word_shards(b[~here], n_shards), group)
         w_u, rare = 10.0 ** log_u[np.maximum(b, 0)], here & (b < 0)
-        w_count, _ = numbers_of(words, b[rare])
+        count, left = words.of(np.concatenate([a[a < 0], b[rare]]))
+        firsts = len(count) - rare.sum()
+        v_count[a < 0], v_rest[a < 0], w_count = count[:firsts], left[:firsts], count[firsts:]
         w_u[rare] = np.where(w_count > 0, (w_count + 0.5) / (denominator or 1), 0)
         # A filter error can name a word that was never learnt; it has no numbers and adds nothing.
         good = (v_count > 0) & (w_u > 0)
         own = (count_of(level) - DISCOUNT) / np.maximum(v_count, 1)
         at = np.flatnonzero(good & here)
-        back = v_rest[at] * w_u[at]
-        total += np.bincount(doc[held[at]], np.log10(np.minimum(1.0, own[at] + back)) - np.log10(back), n)
+        back, gain = v_rest[at] * w_u[at], np.zeros(len(keys))
+        gain[read[at]] = np.log10(np.minimum(1.0, own[at] + back)) - np.log10(back)
+        total += np.bincount(doc[held], gain[pair], n)
         row = np.array([d[0] for d in docs], np.int64)
         yield _rows(
             n, row=row, doc_id=[d[1] for d in docs], held_out=[d[2] for d in docs], n_tokens=np.bincount(doc, minlength=n),
@@ -455,13 +483,17 @@ def _score(
             of, h = of[order], h[order]
             first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])))
             yield _rows(len(first), row=row[of[first]], h=h[first], n=np.diff(first, append=len(h)))
-        at = np.flatnonzero(good & ~here)
+        at, away = np.flatnonzero(good & ~here), np.full(len(keys), -1)
         if len(at):
-            yield _rows(len(at), row=row[doc[held[at]]], w=b[at], own=own[at], v_rest=v_rest[at])
+            away[read[at]] = at
+            at = away[pair]
+            stands = np.flatnonzero(at >= 0)
+            at = at[stands]
+            yield _rows(len(at), row=row[doc[held[stands]]], w=b[at], own=own[at], v_rest=v_rest[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, words, counts, rest = shared.value
-        tools = Filter.over(*pairs), Filter.over(*words), counts, rest
+        tools = Filter.over(*pairs), RareWords(Filter.over(*words), n_shards, certain_of(min_count)), counts, rest
         row, docs, held, size = TaskContext.get().partitionId() << 40, [], [], 0
         known = Ids(head)
         for batch in batches:

@@ -179,3 +179,57 @@ def test_a_shard_is_merged_in_little_memory():
         tracemalloc.stop()
     assert peak < 250e6
     assert sum(map(len, merged["word"].to_pylist())) > 0.49 * n
+
+
+def test_a_pair_is_read_once_a_chunk(monkeypatch):
+    """However often a pair stands in a chunk's texts, the filter is asked for it once."""
+    import pyarrow as pa
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    asked = []
+    levels = Filter.levels
+
+    def counted(self, keys, shard, hashes=bloom_lm.HASHES):
+        if hashes == bloom_lm.HASHES:
+            asked.append(len(keys))
+        return levels(self, keys, shard, hashes)
+
+    monkeypatch.setattr(bloom_lm.TaskContext, "get", Task)
+    monkeypatch.setattr(Filter, "levels", counted)
+    ids = {bloom_lm.END: 0, b"a": 1, b"b": 2}
+    v, w = np.array([0, 1, 2, 2]), np.array([1, 2, 1, 0])
+    keys = bloom_lm.pair_keys(v, w)
+    held, no_words = Filter({0: fill(keys, np.full(4, 3)).tobytes()}, 1), Filter({}, 1)
+
+    class Shared:
+        value = held.arrays(), no_words.arrays(), np.full(3, 9.0), np.full(3, 0.5)
+
+    run = bloom_lm._score(ids, np.full(3, -1.0), None, 1, Shared, 0, [0], 2, 30.0)
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([False, False]), pa.array([b"a b " * 50, b"a b"])], ["doc_id", "held_out", "text"])
+    (got,) = run(iter([rows]))
+    assert asked == [4]
+    known = math.log10((2 - DISCOUNT) / 9 + 0.05)
+    assert got["n_tokens"].to_pylist() == [101, 3]
+    assert got["score"].to_pylist() == pytest.approx([101 * known, 3 * known])
+
+
+def test_rare_words_are_read_once(monkeypatch):
+    """What was read is kept while there is room, and read again after; the numbers are the filter's."""
+    words = np.array([bloom_lm.word_hash(b"w%d" % i) for i in range(60)])
+    counts, left = np.arange(60) + 1, np.arange(60) + 1
+    blob = bloom_lm.fill_words(words.astype(np.uint64), counts, left, 2).tobytes()
+    asked = []
+    read = bloom_lm.RareWords._read
+    monkeypatch.setattr(bloom_lm.RareWords, "_read", lambda self, h: asked.append(len(h)) or read(self, h))
+    monkeypatch.setattr(bloom_lm, "FLUSH", 50)
+    rare = bloom_lm.RareWords(Filter({0: blob}, 1), 1, 2)
+    for part, new in ((slice(0, 0), []), (slice(0, 20), [20]), (slice(10, 40), [20]), (slice(0, 40), []), (slice(30, 60), [30]), (slice(0, 60), [60])):
+        asked.clear()
+        count, rest = rare.of(np.repeat(words[part], 2)[::-1])
+        assert asked == new
+        assert count.tolist() == np.repeat(counts[part], 2)[::-1].tolist()
+        assert rest.tolist() == [1.0 if c == 1 else 0.5 for c in count]
+    assert rare.of(np.array([bloom_lm.word_hash(b"unknown")]))[0].tolist() == [0]
