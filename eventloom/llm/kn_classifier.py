@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, give_back, spare_name, words_of, written
+from .common import forget, give_back, small_batches, spare_name, words_of, written
 
 EDGE, LARGE, DIGIT, SIGN, OTHER = range(5)
 FIRST_WORD = 5
@@ -231,6 +231,7 @@ def _shards(shards: int):
                     to.append(s)
                     tables.append(_packed(kind[at], key[at], value[at]))
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(tables, pa.list_(pa.binary()))], ["shard", "tables"])
+        give_back()
 
     return run
 
@@ -422,6 +423,7 @@ def perplexities(
     docs: DataFrame, trusted: DataFrame, shards: int = 4, group_tokens: int = 1 << 24, text_col: str = "text",
 ) -> DataFrame:
     """(k1, k2, perplexity, n_tokens) for every distinct text; ``trusted`` has the column ``text``."""
+    small_batches(docs.sparkSession)
     words, p1, model = train(trusted)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     salts = max(1, math.ceil(size / 6 / shards / group_tokens))

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
 from .tokenizer import load_spec, worker_bpe
 
 PIECES = (
@@ -115,20 +116,8 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
 
-def pack(
-    docs: DataFrame, tokenizer_path: str, width: int = 1024, end_id: int = 0, max_open: int = 512,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """One row per piece: where its ids stand in the document and in the packed sequence.
-
-    A null or empty text is its end id alone. Repeated rows are packed as often as they occur;
-    a null ``doc_id`` stays null. Other columns are not read. An empty table gives no rows.
-    ``sequence_length`` is the padded length: every sequence here is full or a power of two.
-    """
-    if width & (width - 1):
-        raise ValueError("the width must be a power of two")
-    spec = load_spec(tokenizer_path)
-    end = np.array([end_id], "<u2").tobytes()
+def _pieces(spec: str, width: int, end: bytes, max_open: int):
+    """Pieces of one task's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec)
@@ -141,7 +130,24 @@ def pack(
                     yield packer.take()
         packer.drain()
         yield packer.take()
+        del packer
+        give_back()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
+    return run
 
 
+def pack(
+    docs: DataFrame, tokenizer_path: str, width: int = 1024, end_id: int = 0, max_open: int = 512,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row per piece: where its ids stand in the document and in the packed sequence.
+
+    A null or empty text is its end id alone. Repeated rows are packed as often as they occur;
+    a null ``doc_id`` stays null. Other columns are not read. An empty table gives no rows.
+    ``sequence_length`` is the padded length: every sequence here is full or a power of two.
+    """
+    if width & (width - 1):
+        raise ValueError("the width must be a power of two")
+    small_batches(docs.sparkSession)
+    run = _pieces(load_spec(tokenizer_path), width, np.array([end_id], "<u2").tobytes(), max_open)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)

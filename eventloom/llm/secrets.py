@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 # The kinds in their stated order, and their patterns.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -394,7 +396,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             names = [c.split()[0] for c in SCANNED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, SCANNED)
 
 
@@ -414,6 +418,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
     @F.pandas_udf("string")
     def clean(texts):
-        return texts.map(lambda t: None if t is None else redacted(t.encode("utf-8"), mark))
+        clear = texts.map(lambda t: None if t is None else redacted(t.encode("utf-8"), mark))
+        give_back()
+        return clear
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(text_col, clean(F.col(text_col)))

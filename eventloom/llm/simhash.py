@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spare_name, written
+from .common import give_back, small_batches, spare_name, written
 from .components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -56,7 +56,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
         for batch in batches:
             fps = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        give_back()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
@@ -117,6 +119,8 @@ def _bucket_links(bits: int):
         columns = tuple(np.concatenate(c) for c in zip(*held))
         if len(columns[0]):
             yield links(columns, True)[0]
+        del held, columns
+        give_back()
 
     return run
 
@@ -166,8 +170,11 @@ def _marked(docs: DataFrame, text_col: str, shingle: int, name: str) -> DataFram
 
     @F.pandas_udf("long")
     def mark(texts):
-        return texts.map(lambda t: fingerprint(t or b"", shingle)).astype("int64")
+        found = texts.map(lambda t: fingerprint(t or b"", shingle)).astype("int64")
+        give_back()
+        return found
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, mark(F.col(text_col).cast("binary")))
 
 
