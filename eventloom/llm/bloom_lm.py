@@ -26,18 +26,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, written
-from .simhash import LOWER
 
 #: The end of a text. Words hold no white space, so no word is equal to it.
 END = b" "
@@ -52,13 +51,14 @@ WORD_HASHES = 20
 WORD_BITS_PER_ENTRY = 30
 MANTISSA = 10
 FLUSH = 200_000
-CHUNK_TOKENS = 1 << 19
+#: Bytes of text that are split into words at a time; a longer text is one chunk.
+CHUNK_BYTES = 4 << 20
+#: Keys that the filter looks up at a time.
+RUN = 1 << 15
 #: Tokens to a shard of the pair counts, which one task merges in memory.
 SHARD_TOKENS = 1 << 20
 #: The part of a word's hash that deals it to a shard.
 HASH_PART = (1 << 62) - 1
-#: Stands between rows in a run of word ids.
-BREAK = np.iinfo(np.int64).max
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -156,35 +156,62 @@ class Filter:
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.first, self.size, self.blocks
 
-    def _hits(self, keys: np.ndarray, shard: np.ndarray, at: np.ndarray, level: int, hashes: int) -> np.ndarray:
-        """Those of ``at`` that the filter holds at a level."""
-        one, step = _hashes(keys[at], level)
-        first, size = self.first[shard[at]], self.size[shard[at]]
+    def _runs(self, keys: np.ndarray, shard: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Keys that may be held: where they stand, the key, its shard's first block and size. Shard by
+        shard, a short run at a time, so that blocks and what is worked out of keys stay in the cache."""
+        at = np.flatnonzero(self.size[shard])
+        at = at[by_shard(shard[at], len(self.size))]
+        for k in range(0, len(at), RUN):
+            own = at[k : k + RUN]
+            yield own, keys[own], self.first[shard[own]], self.size[shard[own]]
+
+    def _hits(self, keys: np.ndarray, first: np.ndarray, size: np.ndarray, level: int, hashes: int) -> np.ndarray:
+        """Where the keys stand that the filter holds at a level."""
+        one, step = _hashes(keys, level)
+        at = None
         for k in range(hashes // 4):
             block, x = _places(one, step, k, size)
-            found = self.blocks[first + block]
+            block += first
+            # Signed places are gathered faster.
+            found = self.blocks.take(block.view(np.int64))
             hit = found >> (x & np.uint64(63))
             for b in range(1, 4):
                 hit &= found >> (x >> np.uint64(6 * b) & np.uint64(63))
-            hit = hit & np.uint64(1) == 1
-            at, one, step, first, size = at[hit], one[hit], step[hit], first[hit], size[hit]
+            hit &= np.uint64(1)
+            hit = np.flatnonzero(hit == 1)
+            at = hit if at is None else at.take(hit)
+            if len(hit) < len(one):
+                one, step, first, size = (y.take(hit) for y in (one, step, first, size))
         return at
 
-    def levels(self, pairs: np.ndarray, shard: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-        out, at, level = np.zeros(len(pairs), np.int64), np.flatnonzero(self.size[shard]), 0
+    def _top(self, keys: np.ndarray, first: np.ndarray, size: np.ndarray, hashes: int) -> np.ndarray:
+        """The levels of one run."""
+        out, at, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
         while len(at) and level < 63:
             level += 1
-            at = self._hits(pairs, shard, at, level, hashes)
+            hit = self._hits(keys, first, size, level, hashes)
+            if len(hit) < len(at):
+                at, keys, first, size = (y.take(hit) for y in (at, keys, first, size))
             out[at] = level
         return out
 
+    def levels(self, pairs: np.ndarray, shard: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+        out = np.zeros(len(pairs), np.int64)
+        for own, keys, first, size in self._runs(pairs, shard):
+            out[own] = self._top(keys, first, size, hashes)
+        return out
+
     def numbers(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Numbers as ``_marks`` wrote them; 0 for a key that is not held."""
-        top = self.levels(keys, shard, WORD_HASHES)
-        out = np.where(top > 0, 1 << np.maximum(top - 1, 0), 0)
-        for j in range(MANTISSA):
-            at = self._hits(keys, shard, np.flatnonzero(top >= j + 2), 64 + j, WORD_HASHES)
-            out[at] |= 1 << (top[at] - 2 - j)
+        out = np.zeros(len(keys), np.int64)
+        for own, key, first, size in self._runs(keys, shard):
+            top = self._top(key, first, size, WORD_HASHES)
+            x = np.where(top > 0, 1 << np.maximum(top - 1, 0), 0)
+            for j in range(MANTISSA):
+                at = np.flatnonzero(top >= j + 2)
+                at = at[self._hits(key[at], first[at], size[at], 64 + j, WORD_HASHES)]
+                x[at] |= 1 << (top[at] - 2 - j)
+            out[own] = x
         return out
 
 
@@ -221,8 +248,47 @@ class RareWords:
         return self.count[at], self.rest[at]
 
 
-def _words(raw: bytes | None) -> list[bytes]:
-    return (raw or b"").translate(LOWER).split()
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows with at most ``most`` bytes of text in the last column, or a single row, at a
+    time. A row counts as 16 bytes more, so that empty texts fill a chunk too."""
+    held, room = [], most
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0)
+        used, at = np.append(0, np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 16)), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(used, used[at] + room, "right")) - 1
+            if to <= at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                room -= used[to] - used[at]
+                at = to
+            if at < batch.num_rows or room <= 0:
+                yield pa.concat_batches(held)
+                held, room = [], most
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words of texts, with A-Z in lower case; for each token its number among them, the
+    count of words for a text's end; and where, among the tokens, each text's end stands."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+    words = lists.flatten()
+    found = words.dictionary_encode()
+    codes, sizes = found.indices.to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # White space at either end of a text, or a text without a word, leaves an empty string.
+    empty = pc.index(found.dictionary, pa.scalar("")).as_py()
+    if empty >= 0:
+        none = codes == empty
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[none], minlength=len(sizes))
+        codes = codes[~none]
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.full(len(codes) + len(ends), len(found.dictionary), np.int64)
+    stands = np.ones(len(out), bool)
+    stands[ends] = False
+    out[stands] = codes
+    return found.dictionary.view(pa.binary()), out, ends
 
 
 def word_hash(word: bytes) -> int:
@@ -234,21 +300,25 @@ def hashed(word: str) -> Column:
     return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
 
 
-class Ids(dict):
-    """Word to id: the rank of a frequent word, the hash of another, kept in a bounded memory."""
+class Ids:
+    """Word to id: the rank of a frequent word, the hash of another."""
 
     def __init__(self, head: dict[bytes, int]):
-        super().__init__(head)
-        self.limit = len(self) + FLUSH
-
-    def __missing__(self, word: bytes) -> int:
-        found = word_hash(word)
-        if len(self) < self.limit:
-            self[word] = found
-        return found
+        self.head, self.end = pa.array(head, pa.binary()), head[END]
+        self.ranks = np.fromiter(head.values(), np.int64, len(head))
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(words, value_set=self.head)
+        rare = at.is_null().to_numpy(zero_copy_only=False)
+        out = self.ranks[at.fill_null(0).to_numpy()]
+        out[rare] = np.fromiter(map(word_hash, words.filter(pa.array(rare)).to_pylist()), np.int64, at.null_count)
+        return out
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different ids of texts' tokens, ascending; for each token its number among them; the ends."""
+        words, codes, ends = _split(texts)
+        ids, back = np.unique(np.append(self.of(words), self.end), return_inverse=True)
+        return ids, back[codes], ends
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -259,6 +329,18 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return keys
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``x``, and where in it another value begins."""
+    order = np.argsort(x)
+    own = x[order]
+    return order, np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+
+
+def by_shard(shard: np.ndarray, n_shards: int) -> np.ndarray:
+    """An order of rows by shard, stable; numbers of 16 bits are not compared but dealt."""
+    return np.argsort(shard.astype(np.uint16) if n_shards <= 1 << 16 else shard, kind="stable")
+
+
 def word_shards(h: np.ndarray, n_shards: int) -> np.ndarray:
     return (h & HASH_PART) % n_shards
 
@@ -270,22 +352,14 @@ def pair_shards(keys: np.ndarray, v: np.ndarray, w: np.ndarray, n_shards: int) -
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def flush():
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
-        )
-        counts.clear()
-        return batch
-
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(_words(text.as_py()))
-            counts[END] += 1
-            if len(counts) > FLUSH:
-                yield flush()
-    yield flush()
+    for chunk in _chunks(batches, 2 * CHUNK_BYTES):
+        words, codes, _ = _split(chunk.column(0))
+        counts = np.bincount(codes, minlength=len(words) + 1)
+        own = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        # An empty string is no word.
+        used = pa.array(counts > 0)
+        yield pa.RecordBatch.from_arrays([own.filter(used), pa.array(counts).filter(used)], ["word", "n"])
+    give_back()
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -301,21 +375,25 @@ def _count_pairs(head: dict[bytes, int], n_pair: int | None, n_shards: int):
     end = head[END]
 
     def packed(ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        seq = np.concatenate(ids)
+        """Ids of texts one after the other; a text's end stands before its first word as well."""
+        w = np.concatenate(ids)
         ids.clear()
-        v, w = seq[:-1], seq[1:]
-        good = (v != BREAK) & (w != BREAK) & _held(v, w, n_pair)
-        v, w = v[good], w[good]
-        del seq, good
-        keys, at, counts = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
-        v, w = v[at], w[at]
+        v = np.append(end, w[:-1])
+        if n_pair is not None:
+            good = _held(v, w, n_pair)
+            v, w = v[good], w[good]
+        keys = pair_keys(v, w)
+        order, begins = distinct(keys)
+        at, counts = order[begins], np.diff(begins, append=len(order))
+        keys, v, w = keys[at], v[at], w[at]
+        del order, begins, at
         shard, rare = pair_shards(keys, v, w, n_shards), (v < 0) | (w < 0)
-        order = np.argsort(shard, kind="stable")
+        order = by_shard(shard, n_shards)
         found, begins = np.unique(shard[order], return_index=True)
         rows = []
         for s, own in zip(found, np.split(order, begins[1:])):
             often, other, blobs = own[~rare[own]], own[rare[own]], []
-            other = other[np.argsort(v[other], kind="stable")]
+            other = other[np.argsort(v[other])]
             blobs.append(_planes(np.diff(keys[often], prepend=np.uint64(0))) + counts[often].astype("<u4").tobytes())
             firsts = np.diff(v[other].astype(np.uint64), prepend=np.uint64(0))
             blobs.append(_planes(firsts) + counts[other].astype("<u4").tobytes() + keys[other].tobytes())
@@ -326,15 +404,13 @@ def _count_pairs(head: dict[bytes, int], n_pair: int | None, n_shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, known = [], 0, Ids(head)
-        for batch in batches:
-            for text in batch.column(0):
-                # The row's end and, before its first word, the end of the row before it.
-                ids = known.of(_words(text.as_py()))
-                held += [np.array([end]), ids, np.array([end, BREAK])]
-                size += len(ids) + 3
-                if size > 4_000_000:
-                    yield from packed(held)
-                    held, size = [], 0
+        for chunk in _chunks(batches, CHUNK_BYTES):
+            ids, codes, _ = known.tokens(chunk.column(0))
+            held.append(ids[codes])
+            size += len(codes)
+            if size > 4_000_000:
+                yield from packed(held)
+                held, size = [], 0
         if held:
             yield from packed(held)
         del known
@@ -352,10 +428,15 @@ def _merge(min_count: int):
     """One shard's filter, and what its pairs take from their first words."""
 
     def summed(keys: list[np.ndarray], counts: list[np.ndarray], firsts: list[np.ndarray] | None):
-        key, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        key = np.concatenate(keys)
         keys.clear()
-        count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        order, begins = distinct(key)
+        count = np.concatenate(counts).astype(np.int64)[order]
         counts.clear()
+        count = np.add.reduceat(count, begins) if len(begins) else count
+        at = order[begins]
+        del order, begins
+        key = key[at]
         first = key >> np.uint64(32) if firsts is None else np.concatenate(firsts)[at]
         often = count >= min_count
         return key[often], level_of(count[often]), first[often].astype(np.int64)
@@ -417,8 +498,9 @@ def certain_of(min_count: int) -> int:
 def _rows(size: int, **columns) -> pa.RecordBatch:
     """Rows of ``ROW``; a column that is not given is null."""
     fields = [c.split() for c in ROW.split(", ")]
+    columns = {c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in columns.items()}
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[c], ROW_KINDS[k]) if c in columns else pa.nulls(size, ROW_KINDS[k]) for c, k in fields],
+        [columns[c].cast(ROW_KINDS[k]) if c in columns else pa.nulls(size, ROW_KINDS[k]) for c, k in fields],
         [c for c, _ in fields],
     )
 
@@ -432,15 +514,17 @@ def _score(
 
     The first part adds all that does not need the filter: log U and the back-off's share.
     """
-    end = head[END]
     least = int(level_of(np.array([min_count]))[0])
 
-    def scored(docs: list[tuple], ids: list[np.ndarray], tools: tuple) -> Iterator[pa.RecordBatch]:
-        """A chunk of texts: (row, id, held out) each, and their words' ids."""
+    def scored(first: int, chunk: pa.RecordBatch, numbers: Ids, tools: tuple) -> Iterator[pa.RecordBatch]:
+        """A chunk of texts, whose rows are numbered from ``first``."""
         pairs, words, counts, rest = tools
-        n = len(docs)
-        doc = np.repeat(np.arange(n), [len(x) - 1 for x in ids])
-        v, w = (np.concatenate([x[k : len(x) - 1 + k] for x in ids]) for k in range(2))
+        ids, w_code, ends = numbers.tokens(chunk.column(2))
+        n, lengths = chunk.num_rows, np.diff(ends, prepend=-1)
+        doc = np.repeat(np.arange(n), lengths)
+        # A text's end stands before its first word.
+        v_code = np.append(w_code[-1], w_code[:-1])
+        v, w = ids[v_code], ids[w_code]
         known, after = w >= 0, v >= 0
         base, total = np.zeros(n), np.zeros(n)
         if part == 0:
@@ -449,10 +533,11 @@ def _score(
             total = base + np.bincount(doc[after], np.log10(rest)[v[after]], n)
         held = np.flatnonzero(_held(v, w, n_pair))
         # Each different pair is read once, however often it stands in the chunk.
-        keys, pair = np.unique(pair_keys(v[held], w[held]), return_inverse=True)
-        at = np.empty(len(keys), np.int64)
+        different, pair = np.unique(v_code[held] * len(ids) + w_code[held], return_inverse=True)
+        at = np.empty(len(different), np.int64)
         at[pair] = held
         a, b = v[at], w[at]
+        keys = pair_keys(a, b)
         level = pairs.levels(keys, pair_shards(keys, a, b, n_shards))
         # A pair the filter holds has the level of ``min_count``; less is a filter error.
         read = np.flatnonzero(level >= least)
@@ -472,17 +557,14 @@ def _score(
         back, gain = v_rest[at] * w_u[at], np.zeros(len(keys))
         gain[read[at]] = np.log10(np.minimum(1.0, own[at] + back)) - np.log10(back)
         total += np.bincount(doc[held], gain[pair], n)
-        row = np.array([d[0] for d in docs], np.int64)
+        row = first + np.arange(n)
         yield _rows(
-            n, row=row, doc_id=[d[1] for d in docs], held_out=[d[2] for d in docs], n_tokens=np.bincount(doc, minlength=n),
+            n, row=row, doc_id=chunk.column(0), held_out=chunk.column(1), n_tokens=lengths,
             n_known=np.bincount(doc[known], minlength=n), base_score=base, score=total,
         )
         if part == 0 and not known.all():
-            of, h = doc[~known], w[~known]
-            order = np.lexsort((h, of))
-            of, h = of[order], h[order]
-            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])))
-            yield _rows(len(first), row=row[of[first]], h=h[first], n=np.diff(first, append=len(h)))
+            at, times = np.unique(doc[~known] * len(ids) + w_code[~known], return_counts=True)
+            yield _rows(len(at), row=row[at // len(ids)], h=ids[at % len(ids)], n=times)
         at, away = np.flatnonzero(good & ~here), np.full(len(keys), -1)
         if len(at):
             away[read[at]] = at
@@ -494,20 +576,10 @@ def _score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, words, counts, rest = shared.value
         tools = Filter.over(*pairs), RareWords(Filter.over(*words), n_shards, certain_of(min_count)), counts, rest
-        row, docs, held, size = TaskContext.get().partitionId() << 40, [], [], 0
-        known = Ids(head)
-        for batch in batches:
-            for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = _words(text.as_py())
-                ids = known.of(words)
-                docs.append((row, doc_id, held_out))
-                held.append(np.concatenate([[end], ids, [end]]))
-                row, size = row + 1, size + len(words) + 1
-                if size >= CHUNK_TOKENS:
-                    yield from scored(docs, held, tools)
-                    docs, held, size = [], [], 0
-        if docs:
-            yield from scored(docs, held, tools)
+        row, known = TaskContext.get().partitionId() << 40, Ids(head)
+        for chunk in _chunks(batches, CHUNK_BYTES):
+            yield from scored(row, chunk, known, tools)
+            row += chunk.num_rows
         del known, tools, pairs, words
         give_back()
 

@@ -233,3 +233,77 @@ def test_rare_words_are_read_once(monkeypatch):
         assert count.tolist() == np.repeat(counts[part], 2)[::-1].tolist()
         assert rest.tolist() == [1.0 if c == 1 else 0.5 for c in count]
     assert rare.of(np.array([bloom_lm.word_hash(b"unknown")]))[0].tolist() == [0]
+
+
+ODD_TEXTS = [
+    b"  A b\x0b\x0cc\xff\xfe B\x1c\x1e\x85 e \n", b"", b"x", None, b" ", "\u0130K \u00e9\u2028\u00a0Z\u00c9".encode(), b"a\x00b a\x00b a", b"\t\r\n", b"q" * 300,
+]
+
+
+def test_words_are_split_as_the_rule_says():
+    """Bytes that are no UTF-8, white space beyond the rule's, and texts without a word too; also of a slice."""
+    import pyarrow as pa
+
+    rule = [[*(t or b"").translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split(), None] for t in ODD_TEXTS]
+    for kind in (pa.binary(), pa.large_binary()):
+        for part in (slice(0, 9), slice(2, 7), slice(1, 2), slice(4, 5)):
+            texts = pa.array(ODD_TEXTS, kind)[part]
+            words, codes, ends = bloom_lm._split(texts)
+            words = [*words.to_pylist(), None]
+            got = [words[c] for c in codes]
+            assert got == [w for t in rule[part] for w in t]
+            assert [got[e] for e in ends] == [None] * len(texts) and np.diff(ends, prepend=-1).tolist() == [len(t) for t in rule[part]]
+    texts = pa.RecordBatch.from_arrays([pa.array(ODD_TEXTS, pa.binary())], ["text"])
+    counts = Counter()
+    for batch in bloom_lm._count_words(iter([texts, texts[:0], texts])):
+        counts.update(dict(zip(batch["word"].to_pylist(), batch["n"].to_pylist())))
+    assert counts == Counter([w or bloom_lm.END for t in rule for w in t] * 2)
+    assert not list(bloom_lm._count_words(iter([texts[:0]])))
+
+
+def test_chunks_hold_every_row_once():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([None if i % 7 == 0 else b"w " * (i * i % 50) for i in range(200)], pa.binary())], ["i", "text"])
+    cost = [len(t or b"") + 16 for t in rows["text"].to_pylist()]
+    batches = [rows[:3], rows[3:3], rows[3:90], rows[90:91], rows[91:]]
+    for most in (1, 40, 100, 1000, 1 << 20):
+        chunks = [c["i"].to_pylist() for c in bloom_lm._chunks(iter(batches), most)]
+        assert [i for c in chunks for i in c] == list(range(200)) and all(chunks)
+        assert all(len(c) == 1 or sum(cost[i] for i in c) <= most for c in chunks)
+        # No two that lie side by side would fit in one.
+        assert all(sum(cost[i] for i in a) + cost[b[0]] > most for a, b in zip(chunks, chunks[1:]))
+
+
+def test_a_word_is_hashed_once_a_chunk(monkeypatch):
+    """However often a rare word stands in a chunk's texts; nothing is kept for it from chunk to chunk."""
+    import pyarrow as pa
+
+    asked, hash_of = [], bloom_lm.word_hash
+    monkeypatch.setattr(bloom_lm, "FLUSH", 0)
+    monkeypatch.setattr(bloom_lm, "word_hash", lambda word: asked.append(word) or hash_of(word))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"the rare Rare other " * 50] * 3, pa.binary())], ["text"])
+    rows = list(bloom_lm._count_pairs({bloom_lm.END: 0, b"the": 1}, None, 1)(iter([batch])))
+    # The empty string at a text's end has a number too.
+    assert sorted(filter(None, asked)) == [b"other", b"rare"]
+    often, others = (zlib.decompress(rows[0][c][0].as_py()) for c in ("pairs", "others"))
+    assert np.frombuffer(often, "<u4", 1, 8).tolist() == [3]
+    n = len(others) // 20
+    assert sorted(np.frombuffer(others, "<u4", n, 8 * n).tolist()) == [3, 147, 150, 150, 150]
+
+
+def test_runs_of_keys_give_the_same(monkeypatch):
+    """Keys of many shards, in any order, more than are looked up at a time."""
+    rng = np.random.default_rng(7)
+    keys, counts = rng.integers(0, 1 << 62, 3000).astype(np.uint64), rng.zipf(1.5, 3000).clip(1, 10**6)
+    shard, levels = rng.integers(0, 4, 3000), level_of(counts)
+    held = Filter({s: fill(keys[shard == s], levels[shard == s]).tobytes() for s in (0, 1, 3)}, 5)
+    want = np.zeros(3000, np.int64)
+    for s in (0, 1, 3):
+        want[shard == s] = Filter({s: fill(keys[shard == s], levels[shard == s]).tobytes()}, 5).levels(keys[shard == s], shard[shard == s])
+    assert (want >= np.where(shard == 2, 0, levels)).all() and not want[shard == 2].any()
+    looked, hits = [], Filter._hits
+    monkeypatch.setattr(Filter, "_hits", lambda self, keys, *a: looked.append(len(keys)) or hits(self, keys, *a))
+    monkeypatch.setattr(bloom_lm, "RUN", 100)
+    assert (held.levels(keys, shard) == want).all()
+    assert max(looked) == 100
