@@ -35,11 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, executors may be lost."""
+def written(df: DataFrame, label: str, **options) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there, executors may be lost.
+    ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,19 @@
 """All pairs of vectors within a cosine threshold: cover trees and their dual traversal.
 
 On unit vectors, cosine >= c is Euclidean distance <= t = sqrt(2 - 2c), so the triangle
-inequality prunes. The top of the tree is a bounded set of centres; each vector belongs to the
-nearest one, in blocks of bounded size. Every block builds its own nested levels with halving
-radii, once. Two blocks meet only where a vector of one can reach the covering ball of the
-other, and then their trees are walked together: a pair of nodes is dropped when the distance of
-its centres exceeds both covering radii plus t. What survives is checked by the exact cosine.
+inequality prunes. The top of the tree is a bounded set of centres; vectors with the same two
+nearest ones lie together, in blocks of bounded size, and a page holds a few blocks. Every block
+builds its own nested levels with halving radii, once. Two pages, and then two of their blocks,
+meet only where their ranges of distance to every centre come within t of each other, and then
+the blocks' trees are walked together: a pair of nodes is dropped when the distance of its centres
+exceeds both covering radii plus t. What survives is checked by the exact cosine.
 
-Equal vectors are collapsed first. A meeting yields each vector's number of links and a spanning
+A vector is moved once, to its page. Pages are stored, and tasks that pair them read them from
+there, so disk grows with the vectors and not with the meetings, however little is pruned.
+
+Equal vectors are collapsed on the way. Meetings yield each vector's number of links and a spanning
 forest, not the pairs. Vectors that fit no ball better than another (random directions) prune
-little; then every block meets every other, in bounded pieces.
+little; then every block meets every other, by products of matrices over a few directions first.
 """
 
 from __future__ import annotations
@@ -22,12 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, small_batches, written
 from .components import components
 
 #: Radii of the nested levels below a block's root; unit vectors lie within 2 of each other.
 LEVELS = (1.0, 0.5, 0.25)
+#: A node of fewer vectors is opened: each of them is a node of its own.
+LEAST = 16
+#: Directions of the first bound on a cosine; with the length of the rest, one column more.
+DIRECTIONS = 15
+#: Bytes of a page's vectors and of a stored file of pages; pages there are at least, where blocks
+#: suffice; rows collapsed at once on the way to a page.
+PAGE_BYTES, FILE_BYTES, LEAST_PAGES, BUFFER_ROWS = 2 << 20, 16 << 20, 32, 1 << 15
 SLACK = 1e-9
+#: Rows of a product of matrices.
+TILE = 128
+#: By how much bounds out of 32-bit numbers are loosened.
+ROUGH = 1e-5
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -43,46 +58,65 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def build(x: np.ndarray) -> np.ndarray:
     """Cover tree of a block: for each vector its centre's index at every level (one row each).
 
-    Level k's centres lie more than its radius apart within their parent, every vector is within
-    that radius of its centre, and a centre is its own centre on all deeper levels.
+    Every vector is within a level's radius of its centre, within its parent, and a centre is its
+    own centre on all deeper levels. Vectors that no ball of ``LEAST`` or more takes are nodes of
+    their own, on that level and all deeper ones.
     """
-    path = np.zeros((len(x), len(LEVELS)), np.int32)
+    path = np.repeat(np.arange(len(x), dtype=np.int32)[:, None], len(LEVELS), axis=1)
     gap = distances(x, x)
     groups = [np.arange(len(x))]
     for k, radius in enumerate(LEVELS):
         below = []
         for group in groups:
-            left = group
-            while len(left):
-                near = gap[left[0], left] <= radius
-                near[0] = True
-                path[left[near], k] = left[0]
-                below.append(left[near])
-                left = left[~near]
+            inside = (gap[np.ix_(group, group)] if k else gap) <= radius
+            np.fill_diagonal(inside, True)
+            free, enough = np.ones(len(group), bool), inside.sum(axis=1) >= LEAST
+            free[0] = enough[0] or not k
+            for at in np.flatnonzero(enough):
+                near = inside[at] & free
+                if free[at] and near.sum() >= LEAST:
+                    free[near] = False
+                    path[group[near], k] = group[at]
+                    # The centre comes first, and on the next level it is one again, or alone.
+                    below.append(np.concatenate([group[[at]], group[near & (np.arange(len(group)) != at)]]))
         groups = below
     return path
 
 
 class Tree:
-    """A block's nodes level by level: centre, covering radius, range of its vectors."""
+    """A block's nodes level by level: centre, covering radius, range of its vectors.
+
+    ``x`` and ``path`` are in the tree's order, where a node's vectors stand together.
+    """
 
-    def __init__(self, x: np.ndarray, path: np.ndarray):
-        order = np.lexsort(path.T[::-1])
-        self.order, self.x, path = order, x[order], path[order]
+    def __init__(self, x: np.ndarray, path: np.ndarray, directions: np.ndarray):
+        self.x, self.short = x, x.astype(np.float32)
+        # More than a product of two of these may be off.
+        self.band = 1e-7 * (x.shape[1] + 16)
         # On each level, where in this order the nodes begin.
         changed = np.zeros(len(x), bool)
         self.begin, self.cover, self.centre = [], [], []
-        place = np.empty(len(x), np.int64)
-        place[order] = np.arange(len(x))
         for k in range(path.shape[1]):
             changed[1:] |= path[1:, k] != path[:-1, k]
             begin = np.concatenate([[0], np.flatnonzero(changed[1:]) + 1])
-            centre = self.x[place[path[begin, k]]]
-            node = np.cumsum(np.isin(np.arange(len(x)), begin)) - 1
-            away = np.sqrt(np.maximum(0.0, 2 - 2 * (self.x * centre[node]).sum(axis=1)))
+            size = np.diff(begin, append=len(x))
+            cover = np.zeros(len(begin))
+            for node in np.flatnonzero(size > 1):
+                own = self.x[begin[node] : begin[node] + size[node]]
+                gap = 2 - 2 * (own @ self.x[path[begin[node], k]])
+                cover[node] = math.sqrt(max(0.0, gap.max())) + SLACK
             self.begin.append(np.append(begin, len(x)))
-            self.cover.append(np.maximum.reduceat(away, begin))
-            self.centre.append(centre)
+            self.cover.append(cover)
+            self.centre.append(path[begin, k])
+        size = np.diff(self.begin[0])
+        self.points, self.balls = self.begin[0][:-1][size == 1], np.flatnonzero(size > 1)
+        # A cosine is at most the product over the directions plus that of what is left of both.
+        low = self.x[self.points] @ directions
+        turn = np.argsort(low[:, 0], kind="stable")
+        self.points, low = self.points[turn], low[turn]
+        rest = np.sqrt(np.maximum(0, 1 - (low * low).sum(axis=1)) + ROUGH / 10)
+        self.low = np.zeros((-(-len(low) // 8) * 8, low.shape[1] + 1), np.float32)
+        self.low[: len(low)] = np.column_stack([low, rest])
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """For each node of ``level`` the range of its nodes on the next one."""
@@ -98,164 +132,351 @@ def _product(a_lo, a_hi, b_lo, b_hi) -> tuple[np.ndarray, np.ndarray]:
     return a_lo[which] + k // nb[which], b_lo[which] + k % nb[which]
 
 
-def meet(a: Tree, b: Tree, t: float, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (index in a's block, index in b's block) with at least ``cosine``; p < q if same."""
-    reach = a.cover[0][:, None] + b.cover[0][None] + t + SLACK
-    p, q = np.nonzero(distances(a.centre[0], b.centre[0]) <= reach)
-    for k in range(1, len(LEVELS)):
+def _parts(size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indices of ``size``, cut where the sum has grown by ``most``."""
+    return np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1)
+
+
+def _within(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, cosine: float, dots: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs have the cosine: by 32-bit numbers where their error leaves no doubt, else exactly."""
+    hit = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 15):
+        s = slice(at, at + (1 << 15))
+        d = np.einsum("ij,ij->i", a.short[i[s]], b.short[j[s]]) if dots is None else dots[s]
+        hit[s] = d >= cosine + a.band
+        doubt = at + np.flatnonzero((d >= cosine - a.band) & ~hit[s])
+        hit[doubt] = np.einsum("ij,ij->i", a.x[i[doubt]], b.x[j[doubt]]) >= cosine
+    return hit
+
+
+def _over(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x and y whose product is ``least`` or more, and the product."""
+    g = (x @ y.T).ravel()
+    over = g >= least
+    if len(y) % 8:
+        found = np.flatnonzero(over)
+    else:  # few are: eight at a time
+        some = np.flatnonzero(over.view(np.uint64))
+        which, bit = np.nonzero(over.reshape(-1, 8)[some])
+        found = some[which] * 8 + bit
+    return *np.divmod(found, max(1, len(y))), g[found]
+
+
+def _points(a: Tree, b: Tree, t: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs among the vectors that are nodes of their own, which stand in order of the first direction."""
+    x, y = a.short[a.points], b.short[b.points]
+    for at in range(0, len(x), TILE):
+        end, dots = min(at + TILE, len(x)), None
+        lo, hi = np.searchsorted(b.low[: len(y), 0], [a.low[at, 0] - t - ROUGH, a.low[end - 1, 0] + t + ROUGH])
+        lo, hi = max(lo, at if same else 0) // 8 * 8, -(-hi // 8) * 8
+        i, j, _ = _over(a.low[at:end], b.low[lo:hi], cosine - ROUGH)
+        if len(i) * 32 > (end - at) * (hi - lo):  # the bound says little: all of the tile
+            i, j, dots = _over(x[at:end], y[lo:hi], cosine - a.band)
+        i, j = at + i, lo + j
+        real = (j > i) & (j < len(y)) if same else j < len(y)
+        i, j, dots = a.points[i[real]], b.points[j[real]], None if dots is None else dots[real]
+        hit = _within(a, b, i, j, cosine, dots)
+        yield i[hit], j[hit]
+
+
+def _balls(a: Tree, b: Tree, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaf nodes within reach of each other, at least one of them below a ball."""
+    if not len(a.balls) + len(b.balls):
+        return (np.zeros(0, int),) * 2
+
+    def near(k: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        reach = np.minimum(2.0, a.cover[k][p] + b.cover[k][q] + t + SLACK)
+        return a.short[a.centre[k][p]], b.short[b.centre[k][q]], 1 - reach * reach / 2 - a.band - ROUGH
+
+    found = []
+    for left, right in ((a.balls, np.arange(len(b.cover[0]))), (np.setdiff1d(np.arange(len(a.cover[0])), a.balls), b.balls)):
+        for at in range(0, len(left) if len(right) else 0, 256):
+            x, y, least = near(0, left[at : at + 256, None], right[None])
+            p, q = np.nonzero(x[:, 0] @ y[0].T >= least)
+            found.append((left[at + p], right[q]))
         if same:
-            p, q = p[p <= q], q[p <= q]
-        (a_lo, a_hi), (b_lo, b_hi) = a.children(k - 1), b.children(k - 1)
-        p, q = _product(a_lo[p], a_hi[p], b_lo[q], b_hi[q])
-        gap = np.concatenate(
-            [
-                np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", a.centre[k][p[i : i + 65536]], b.centre[k][q[i : i + 65536]])))
-                for i in range(0, len(p), 65536)
-            ]
-            or [np.zeros(0)]
-        )
-        near = gap <= a.cover[k][p] + b.cover[k][q] + t + SLACK
-        p, q = p[near], q[near]
+            break
+    p, q = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
     if same:
-        p, q = p[p <= q], q[p <= q]
-    found_p, found_q = [], []
-    # Leaf against leaf: each pair of leaf nodes is a small matrix; whole rows of pairs at a time.
-    size = (np.diff(a.begin[-1])[p]) * (np.diff(b.begin[-1])[q])
-    for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(np.cumsum(size) // (1 << 18))) + 1):
-        i, j = _product(a.begin[-1][p[part]], a.begin[-1][p[part] + 1], b.begin[-1][q[part]], b.begin[-1][q[part] + 1])
+        # Of two balls both orders were asked.
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        p, q = np.divmod(np.unique(p * len(a.cover[0]) + q), len(a.cover[0]))
+    for k in range(1, len(LEVELS)):
+        (a_lo, a_hi), (b_lo, b_hi) = a.children(k - 1), b.children(k - 1)
+        kept = []
+        for part in _parts((a_hi - a_lo)[p] * (b_hi - b_lo)[q], 1 << 15):
+            i, j = _product(a_lo[p[part]], a_hi[p[part]], b_lo[q[part]], b_hi[q[part]])
+            if same:
+                i, j = i[i <= j], j[i <= j]
+            for at in range(0, len(i), 1 << 15):
+                s = slice(at, at + (1 << 15))
+                x, y, least = near(k, i[s], j[s])
+                ok = np.einsum("ij,ij->i", x, y) >= least
+                kept.append((i[s][ok], j[s][ok]))
+        p, q = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, int),) * 2
+    return p, q
+
+
+def meet(a: Tree, b: Tree, t: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index in a, index in b) with at least ``cosine``, in parts; each once if same."""
+    yield from _points(a, b, t, cosine, same)
+    p, q = _balls(a, b, t, same)
+    at, to = a.begin[-1], b.begin[-1]
+    size = np.diff(at)[p] * np.diff(to)[q]
+    large = size >= 1024
+    # Leaf against leaf: large ones by a product of matrices, whole rows of small ones at a time.
+    for m, n in zip(p[large], q[large], strict=True):
+        for k in range(at[m], at[m + 1], TILE):
+            i, j, dots = _over(a.short[k : min(k + TILE, at[m + 1])], b.short[to[n] : to[n + 1]], cosine - a.band)
+            i, j = k + i, to[n] + j
+            if same:
+                i, j, dots = i[i < j], j[i < j], dots[i < j]
+            hit = _within(a, b, i, j, cosine, dots)
+            yield i[hit], j[hit]
+    p, q = p[~large], q[~large]
+    for part in _parts(size[~large], 1 << 17):
+        i, j = _product(at[p[part]], at[p[part] + 1], to[q[part]], to[q[part] + 1])
         if same:
             i, j = i[i < j], j[i < j]
-        hit = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= cosine
-        found_p.append(a.order[i[hit]])
-        found_q.append(b.order[j[hit]])
-    return np.concatenate(found_p), np.concatenate(found_q)
-
-
-def _labels(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Least index reachable over the pairs."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, p, label[q])
-        np.minimum.at(new, q, label[p])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _centres(nodes: DataFrame, count: int, sample: int) -> np.ndarray:
-    """``count`` centres, farthest first, out of a bounded sample taken by hash."""
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").collect()
-    x = unit(np.array([r.v for r in rows], float))
+        hit = _within(a, b, i, j, cosine)
+        yield i[hit], j[hit]
+
+
+def _labels(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Least index reachable over the pairs and those before, whose labels are given."""
+    label = label.copy()
+    while len(p):
+        one, two = label[p], label[q]
+        open_ = one != two
+        p, q, one, two = p[open_], q[open_], one[open_], two[open_]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _centres(rows: DataFrame, count: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` centres, farthest first, out of a bounded sample taken by hash; the directions in
+    which the sample varies most."""
+    some = rows.orderBy(F.xxhash64("k1", "vec_id"), "k1", "vec_id").limit(sample).select("v").collect()
+    x = unit(np.array([r.v for r in some], float))
     picked, gap = [0], distances(x[:1], x)[0]
-    while len(picked) < min(count, len(x)):
+    while len(picked) < min(count, len(x)) and gap.max() > SLACK:
         picked.append(int(gap.argmax()))
         gap = np.minimum(gap, distances(x[picked[-1:]], x)[0])
-    return x[picked]
+    off = x - x.mean(axis=0)
+    return x[picked], np.linalg.eigh(off.T @ off)[1][:, ::-1][:, :DIRECTIONS]
 
 
-def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
+def _vectors(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     values = batch.column(name)
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
+def _slots(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Which centre is nearest, and which one next."""
+    gap = distances(unit(x.astype(float)), centres)
+    cell, at = gap.argmin(axis=1), np.arange(len(x))
+    gap[at, cell] = np.inf
+    return cell * len(centres) + (gap.argmin(axis=1) if len(centres) > 1 else 0)
+
+
+def _collapse(table: pa.Table) -> pa.Table:
+    """One row for each different vector: how often it comes, the least id."""
+    at = table.append_column("at", pa.array(np.arange(len(table))))
+    found = at.group_by(["k1", "k2"], use_threads=False).aggregate([("copies", "sum"), ("first", "min"), ("at", "min")])
+    one = table.take(found["at_min"])
+    for name, of in (("copies", "copies_sum"), ("first", "first_min")):
+        one = one.set_column(one.schema.get_field_index(name), name, found[of])
+    return one
 
 
-def _with_cells(centres: np.ndarray):
+def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task, collapsed some at a time: a vector that comes often is sent seldom."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= BUFFER_ROWS or size >= FILE_BYTES:
+            yield _collapse(pa.Table.from_batches(held))
+            held, rows, size = [], 0, 0
+    if rows:
+        yield _collapse(pa.Table.from_batches(held))
+
+
+def _count(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(_vectors(batch, "v").astype(float))
-            gap = distances(x, centres)
-            cell = gap.argmin(axis=1)
-            away = gap[np.arange(len(x)), cell]
-            v = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(away), batch.column("node"), batch.column("copies"), v],
-                ["cell", "away", "node", "copies", "v"],
-            )
+        total = np.zeros(len(centres) ** 2, np.int64)
+        for table in _buffered(batches):
+            total += np.bincount(_slots(_vectors(table, "v"), centres), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["slot", "rows"])
 
     return run
 
 
-def _grow(table: pa.Table) -> pa.Table:
-    """One block: its vectors with their path through the block's cover tree."""
-    table = table.combine_chunks().sort_by("node")
-    x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-    path = build(x)
-    paths = pa.ListArray.from_arrays(np.arange(0, path.size + 1, path.shape[1], dtype=np.int32), path.ravel())
-    return table.append_column("path", paths)
+def _deal(counts: np.ndarray, page_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each slot its first page and its number of pages; the number of all pages."""
+    first, many = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    page, held = 0, 0
+    for slot, n in enumerate(counts.tolist()):
+        if held and held + n > page_rows:
+            page, held = page + 1, 0
+        first[slot], many[slot] = page, max(1, math.ceil(n / page_rows))
+        if n > page_rows:
+            page, n = page + many[slot], 0
+        held += n
+    return first, many, int(page) + 1
+
 
+PLACED = "page long, slot long, k1 long, k2 long, copies long, first long, v {kind}"
 
-def _send(centres: np.ndarray, cover: np.ndarray, blocks: np.ndarray, t: float):
-    """Each vector to every meeting of its block with a block that it can reach."""
-    first = np.concatenate([[0], np.cumsum(blocks)])
+
+def _place(centres: np.ndarray, first: np.ndarray, many: np.ndarray):
+    """Each vector with its page; equal ones get the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x = _vectors(part, "v")
-                cell = part.column("cell").to_numpy(zero_copy_only=False)
-                own = first[cell] + part.column("block").to_numpy(zero_copy_only=False)
-                reach = distances(x, centres) <= cover + t + SLACK
-                reach[np.arange(len(x)), cell] = True
-                row, to = np.nonzero(np.repeat(reach, blocks, axis=1))
-                sent = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.minimum(own[row], to)), pa.array(np.maximum(own[row], to)),
-                        pa.array(own[row]), *(sent.column(c) for c in ("node", "copies", "path", "v")),
-                    ],
-                    ["one", "two", "own", "node", "copies", "path", "v"],
-                )
+        for table in _buffered(batches):
+            slot = _slots(_vectors(table, "v"), centres)
+            page = first[slot] + table["k2"].to_numpy() % many[slot]
+            table = table.add_column(0, "slot", pa.array(slot)).add_column(0, "page", pa.array(page))
+            yield from table.combine_chunks().to_batches(max_chunksize=1 << 13)
 
     return run
 
 
-SENT = "one long, two long, own long, node long, copies long, path array<int>, v array<double>"
+PAGE = (
+    "page long, v binary, path binary, sizes array<int>, lo array<double>, hi array<double>, near array<double>, "
+    "k1 array<long>, k2 array<long>, copies array<long>, first array<long>"
+)
 
 
-def _meet(cosine: float, t: float):
+def _grow(centres: np.ndarray, block_rows: int):
+    """One page: its vectors block by block, in the order of the block's cover tree, with their path
+    through it; the ranges of distance to every centre."""
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("node")
-        own, one, two = table["own"].to_numpy(), table["one"][0].as_py(), table["two"][0].as_py()
-        x = table["v"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        path = table["path"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
-        sides = [np.flatnonzero(own == k) for k in dict.fromkeys((one, two))]
-        none = pa.table({"node": pa.array([], pa.int64()), "peer": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        if any(len(s) == 0 for s in sides):
-            return none
-        trees = [_tree(x[s], path[s]) for s in sides]
-        p, q = meet(trees[0], trees[-1], t, cosine, one == two)
-        p, q = sides[0][p], sides[-1][q]
-        if not len(p):
-            return none
-        links = np.zeros(len(node), np.int64)
-        np.add.at(links, p, copies[q])
-        np.add.at(links, q, copies[p])
-        label = _labels(len(node), p, q)
-        some = np.flatnonzero(links)
-        return pa.table({"node": node[some], "peer": node[label[some]], "links": links[some]})
+        table = _collapse(table.combine_chunks()).sort_by([("slot", "ascending"), ("k1", "ascending"), ("k2", "ascending")])
+        x = unit(_vectors(table, "v").astype(float))
+        away = distances(x, centres)
+        order, paths, sizes, near = [], [], [], []
+        for at in range(0, len(x), block_rows):
+            own = x[at : at + block_rows]
+            path = build(own)
+            turn = np.lexsort(path.T[::-1])
+            place = np.empty(len(own), np.int32)
+            place[turn] = np.arange(len(own))
+            order.append(at + turn)
+            paths.append(place[path[turn]])
+            sizes.append(len(own))
+            near.append([away[at : at + block_rows].min(axis=0), away[at : at + block_rows].max(axis=0)])
+        near = np.array(near)
+        table = table.take(np.concatenate(order)).combine_chunks()
+        page = {
+            "page": table["page"][0].as_py(), "v": _vectors(table, "v").tobytes(), "path": np.concatenate(paths).tobytes(),
+            "sizes": sizes, "lo": near[:, 0].min(axis=0), "hi": near[:, 1].max(axis=0), "near": near.ravel(),
+        }
+        kinds = {"page": pa.int64(), "v": pa.binary(), "path": pa.binary(), "sizes": pa.list_(pa.int32())}
+        made = {k: pa.array([v], kinds.get(k, pa.list_(pa.float64()))) for k, v in page.items()}
+        for name in ("k1", "k2", "copies", "first"):
+            made[name] = pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table[name].combine_chunks())
+        return pa.table(made)
 
     return run
 
 
-def _tree(x: np.ndarray, path: np.ndarray) -> Tree:
-    """A tree over some of a block's vectors: a centre that stayed away is replaced by a member."""
-    levels = []
-    for k in range(path.shape[1]):
-        _, at, back = np.unique(path[:, : k + 1], axis=0, return_index=True, return_inverse=True)
-        levels.append(at[back.ravel()])
-    return Tree(x, np.column_stack(levels).astype(np.int64))
+class _Page:
+    """A stored page, ready to meet others."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int, side: str, kind: str, directions: np.ndarray, cells: int):
+        def numbers(name: str) -> np.ndarray:
+            return batch.column(f"{side}_{name}")[at].values.to_numpy()
+
+        def packed(name: str, dtype: str) -> np.ndarray:
+            return np.frombuffer(batch.column(f"{side}_{name}")[at].as_buffer(), dtype)
+
+        self.copies, sizes = numbers("copies"), numbers("sizes")
+        x = unit(packed("v", kind).reshape(len(self.copies), -1).astype(float))
+        path = packed("path", "i4").reshape(len(x), -1)
+        self.node = (batch.column(f"{side}_page")[at].as_py() << 32) + np.arange(len(x))
+        self.begin = np.cumsum(sizes) - sizes
+        self.near = numbers("near").reshape(len(sizes), 2, cells)
+        self.trees = [Tree(x[b : b + n], path[b : b + n], directions) for b, n in zip(self.begin, sizes, strict=True)]
+
+
+def _near(one: _Page, two: _Page, cosine: float, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in two pages; in one page, each pair once."""
+    for m, (a, (a_lo, a_hi)) in enumerate(zip(one.trees, one.near, strict=True)):
+        for n, (b, (b_lo, b_hi)) in enumerate(zip(two.trees, two.near, strict=True)):
+            if one is two and n < m or max((a_lo - b_hi).max(), (b_lo - a_hi).max()) > t + ROUGH:
+                continue
+            for p, q in meet(a, b, t, cosine, one is two and m == n):
+                yield one.begin[m] + p, two.begin[n] + q
+
+
+def _met(one: _Page, two: _Page, cosine: float, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What two pages link: each linked node, the least one it is connected with, its links."""
+    both = (one,) if one is two else (one, two)
+    node, copies = (np.concatenate([getattr(x, name) for x in both]) for name in ("node", "copies"))
+    label, total, held, size = np.arange(len(node)), np.zeros(len(node)), [], 0
+
+    def add() -> None:
+        nonlocal label, total
+        p, q = (np.concatenate(c) for c in zip(*held, strict=True))
+        q = q + len(node) - len(two.node)
+        total += np.bincount(p, copies[q], len(node)) + np.bincount(q, copies[p], len(node))
+        label = _labels(label, p, q)
+
+    for pair in _near(one, two, cosine, t):
+        held.append(pair)
+        size += len(pair[0])
+        if size > 1 << 18:
+            add()
+            held, size = [], 0
+    if size:
+        add()
+    some = np.flatnonzero(total)
+    return node[some], node[label[some]], total[some].astype(np.int64)
+
+
+def _fold(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node once: the least one it is connected with, and its links."""
+    node, peer, links = (np.concatenate(c) for c in zip(*parts, strict=True))
+    names, at = np.unique(np.concatenate([node, peer]), return_inverse=True)
+    total = np.zeros(len(names), np.int64)
+    np.add.at(total, at[: len(node)], links)
+    return names, names[_labels(np.arange(len(names)), at[: len(node)], at[len(node) :])], total
+
+
+def _meet(cosine: float, t: float, kind: str, directions: np.ndarray, cells: int):
+    """Pairs of pages to what a task has found in all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, most, left, at = [], 0, 1 << 19, None, None
+        for batch in batches:
+            for i, (first, second) in enumerate(zip(batch.column("one_page").to_pylist(), batch.column("two_page").to_pylist(), strict=True)):
+                if first != at:
+                    left, at = _Page(batch, i, "one", kind, directions, cells), first
+                right = left if second == first else _Page(batch, i, "two", kind, directions, cells)
+                found.append(_met(left, right, cosine, t))
+                held += len(found[-1][0])
+                if held > most:
+                    found = [_fold(found)]
+                    held = len(found[0][0])
+                    most = max(1 << 19, 2 * held)
+        give_back()
+        if held:
+            node, peer, links = _fold(found)
+            for k in range(0, len(node), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in (node, peer, links)], ["node", "peer", "links"])
+
+    return run
 
 
 def links(
     vectors: DataFrame, cosine: float = 0.95, block_rows: int = 2048, max_cells: int = 64, sample: int = 4096,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    id_col: str = "vec_id", vector_col: str = "embedding", page_bytes: int = PAGE_BYTES,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -265,9 +486,12 @@ def links(
     component takes the least id that is not null, and it is kept only where no id is there at
     all. Repeated rows are vectors of their own. Other columns are not read.
 
-    ``sample`` bounds the vectors from which centres are taken; every vector is compared.
+    ``sample`` bounds the vectors from which centres are taken; every vector is compared. Equal
+    vectors are told by 128-bit hashes. ``page_bytes`` bounds the blocks that are stored together.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    small_batches(vectors.sparkSession)
+    kind = "float" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     fine = F.coalesce(
         (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
@@ -275,49 +499,69 @@ def links(
         F.lit(False),
     )
     # Adding zero makes the two zeros one.
-    rows = rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))))
-    nodes = written(
-        rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
-        .withColumn("node", F.monotonically_increasing_id()),
-        "vectors",
-    )
+    rows = rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0).cast(kind))))
+    keyed = rows.where("v is not null").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     t = math.sqrt(2 - 2 * cosine)
-    met = None
-    for r in nodes.groupBy(F.size("v").alias("n")).count().collect():
-        own = _meetings(nodes.where(F.size("v") == r["n"]), r["count"], cosine, t, block_rows, max_cells, sample)
-        met = own if met is None else met.union(own)
-    if met is None:
-        met = nodes.select("node", F.col("node").alias("peer"), F.col("copies").alias("links")).limit(0)
-    met = written(met, "met")
-    degree = met.groupBy("node").agg(F.sum("links").alias("others"))
-    roots = components(met.select("node", "peer")).withColumnRenamed("node", "member")
-    known = (
-        nodes.join(degree, "node", "left")
-        .join(roots, F.col("node") == F.col("member"), "left")
-        .select("v", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "root").select("v", "n_links", "component_id")
-    linked = rows.where("v is not null").join(known, "v").select("vec_id", "n_links", "component_id")
+    pages, met, begin = None, None, 0
+    for r in sorted(keyed.groupBy(F.size("v").alias("n")).count().collect()):
+        own, there, begin = _pages(keyed.where(F.size("v") == r["n"]), r["n"], r["count"], kind, block_rows, max_cells, sample, page_bytes, begin)
+        found = own.transform(_meetings, cosine, t, kind, *there)
+        own = own.select("page", "k1", "k2", "copies", "first")
+        pages, met = (own, found) if met is None else (pages.union(own), met.union(found))
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    if met is not None:
+        alone = alone.union(_judged(keyed.select("vec_id", "k1", "k2"), pages, written(met, "met")))
+    return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _meetings(
-    nodes: DataFrame, count: int, cosine: float, t: float, block_rows: int, max_cells: int, sample: int
-) -> DataFrame:
-    centres = _centres(nodes, max(1, min(max_cells, math.ceil(count / block_rows))), sample)
-    placed = nodes.select("node", "copies", "v").mapInArrow(
-        _with_cells(centres), "cell int, away double, node long, copies long, v array<double>"
+def _judged(keyed: DataFrame, pages: DataFrame, met: DataFrame) -> DataFrame:
+    each = F.posexplode(F.arrays_zip("k1", "k2", "copies", "first")).alias("at", "x")
+    nodes = pages.select("page", each).select((F.shiftleft("page", 32) + F.col("at")).alias("node"), "x.*")
+    degree = met.groupBy("node").agg(F.sum("links").alias("others"))
+    roots = components(met.select("node", "peer")).withColumnRenamed("node", "member")
+    # Few vectors have links; only these are joined with their components.
+    linked = degree.join(roots, F.col("node") == F.col("member")).select("node", "others", "root")
+    least = linked.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "root").select("node", "others", "least", F.lit(True).alias("linked"))
+    known = nodes.join(linked, "node", "left").select(
+        "k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"),
     )
-    placed = written(placed, "cells")
-    sizes = {r.cell: (r.rows, r.away) for r in placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("away").alias("away")).collect()}
-    blocks = np.array([math.ceil(sizes.get(c, (0, 0))[0] / block_rows) for c in range(len(centres))])
-    cover = np.array([sizes.get(c, (0, -10.0))[1] for c in range(len(centres))])
-    of_cell = F.element_at(F.array(*[F.lit(max(1, int(b))) for b in blocks]), F.col("cell") + 1)
-    blocked = placed.drop("away").withColumn("block", F.pmod(F.xxhash64("node"), of_cell).cast("int"))
-    grown = blocked.groupBy("cell", "block").applyInArrow(
-        _grow, "cell int, node long, copies long, v array<double>, block int, path array<int>"
+    # One row for each vector, should rounding ever have put equal ones on two pages.
+    known = known.groupBy("k1", "k2").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    return keyed.join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+
+
+def _pages(
+    rows: DataFrame, n: int, count: int, kind: str, block_rows: int, max_cells: int, sample: int, page_bytes: int, begin: int
+) -> tuple[DataFrame, tuple[np.ndarray, int], int]:
+    """The stored pages of vectors of one length; directions and number of centres; the next page's number."""
+    centres, directions = _centres(rows, max(1, min(max_cells, math.ceil(count / block_rows))), sample)
+    block_bytes = block_rows * n * (4 if kind == "float" else 8)
+    blocks = max(1, min(page_bytes // block_bytes, count // (block_rows * LEAST_PAGES)))
+    sent = rows.select("k1", "k2", F.lit(1).cast("long").alias("copies"), F.col("vec_id").alias("first"), "v")
+    counts = np.zeros(len(centres) ** 2, np.int64)
+    for r in sent.mapInArrow(_count(centres), "slot long, rows long").groupBy("slot").agg(F.sum("rows").alias("rows")).collect():
+        counts[r["slot"]] = r["rows"]
+    first, many, pages = _deal(counts, block_rows * blocks)
+    placed = sent.mapInArrow(_place(centres, begin + first, many), PLACED.format(kind=f"array<{kind}>"))
+    grown = placed.groupBy("page").applyInArrow(_grow(centres, block_rows), PAGE)
+    stored = written(grown, "pages", maxRecordsPerFile=max(1, FILE_BYTES // (block_bytes * blocks)))
+    return stored, (directions, len(centres)), begin + pages
+
+
+def _meetings(pages: DataFrame, cosine: float, t: float, kind: str, directions: np.ndarray, cells: int) -> DataFrame:
+    """What each task finds in the pairs of pages that can reach each other.
+
+    Pages are paired without a key, a pair in one order only; tasks read both sides from the stored
+    table, and nothing is moved or sent.
+    """
+    one, two = (
+        pages.select(*(F.col(c).alias(f"{side}_{c}") for c in ("page", "v", "path", "sizes", "lo", "hi", "near", "copies")))
+        for side in ("one", "two")
     )
-    sent = grown.mapInArrow(_send(centres, cover, blocks, t), SENT)
-    return sent.groupBy("one", "two").applyInArrow(_meet(cosine, t), "node long, peer long, links long")
+    a, b = F.col("one_page"), F.col("two_page")
+    near = lambda x, y: F.forall(F.zip_with(f"{x}_lo", f"{y}_hi", lambda lo, hi: lo - hi <= t + ROUGH), lambda ok: ok)
+    turn = (a == b) | ((a != b) & ((a < b) == ((a + b) % 2 == 0)))
+    pairs = one.join(two, turn & near("one", "two") & near("two", "one")).drop("one_lo", "one_hi", "two_lo", "two_hi")
+    return pairs.mapInArrow(_meet(cosine, t, "f4" if kind == "float" else "f8", directions, cells), "node long, peer long, links long")

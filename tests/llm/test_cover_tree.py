@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 
-from eventloom.llm.cover_tree import LEVELS, build, distances, links, unit
+from eventloom.llm import cover_tree
+from eventloom.llm.cover_tree import LEVELS, Tree, _deal, _judged, build, distances, links, meet, unit
 from eventloom.llm.queries import op10_cover_tree
 
 
@@ -78,3 +79,64 @@ def test_levels_nest_and_cover():
         assert (path[centres, k] == centres).all()
         if k:
             assert np.isin(np.unique(path[:, k - 1]), centres).all()
+
+
+def test_meetings_move_no_vectors(spark, monkeypatch):
+    """Random directions meet everywhere; before, each vector was sent to every meeting."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    plans, written = {}, cover_tree.written
+
+    def spied(df, label, **more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label, **more)
+
+    monkeypatch.setattr(cover_tree, "written", spied)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        compare(links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=16, cosine=0.8).collect(), rows, cosine=0.8)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plans["met"]
+
+
+def test_pages_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(5, 12))
+    rows = [(i % 290, (centres[i % 5] + rng.normal(size=12) * 0.2).astype("f4").tolist()) for i in range(300)]
+    rows += [(None, rows[3][1])] * 40 + [(400 + i, rng.normal(size=3).astype("f4").tolist()) for i in range(50)]
+    for kind, size in (("float", 1), ("double", 4000)):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5)
+        compare(links(df, block_rows=24, page_bytes=size).collect(), rows)
+
+
+def test_trees_meet_in_the_pairs_of_all(spark):
+    rng = np.random.default_rng(8)
+    for size, spread, cosine in ((64, 1.0, 0.95), (64, 0.03, 0.95), (8, 0.3, 0.8), (2, 0.2, 0.99), (20, 0.1, -0.2)):
+        centres = rng.normal(size=(7, size))
+        trees = []
+        for n in (350, 260):
+            x = unit(centres[rng.integers(0, 7, n)] + rng.normal(size=(n, size)) * spread)
+            path = build(x)
+            turn = np.lexsort(path.T[::-1])
+            trees.append(Tree(x[turn], np.argsort(turn)[path[turn]], np.eye(size, 15)))
+        for a, b in ((trees[0], trees[1]), (trees[0], trees[0])):
+            near = np.einsum("id,jd->ij", a.x, b.x) >= cosine
+            want = np.argwhere(np.triu(near, 1) if a is b else near).tolist()
+            got = [sorted(pair) if a is b else list(pair) for p, q in meet(a, b, math.sqrt(2 - 2 * cosine), cosine, a is b) for pair in zip(p.tolist(), q.tolist(), strict=True)]
+            assert sorted(got) == want
+
+
+def test_slots_are_dealt_to_pages():
+    first, many, pages = _deal(np.array([0, 5, 4, 30, 2, 0, 9, 10]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 5, 6] and many.tolist() == [1, 1, 1, 3, 1, 1, 1, 1] and pages == 7
+
+
+def test_equal_vectors_on_two_pages_count_once(spark):
+    pages = spark.createDataFrame(
+        [(0, [1], [2], [2], [5]), (1, [1], [2], [1], [3])],
+        "page long, k1 array<long>, k2 array<long>, copies array<long>, first array<long>",
+    )
+    met = spark.createDataFrame([(0, 0, 1), (1 << 32, 0, 2)], "node long, peer long, links long")
+    keyed = spark.createDataFrame([(i, 1, 2) for i in (5, 6, 3)], "vec_id long, k1 long, k2 long")
+    assert sorted(map(tuple, _judged(keyed, pages, met).collect())) == [(i, 2, 3) for i in (3, 5, 6)]
