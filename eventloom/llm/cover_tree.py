@@ -39,8 +39,8 @@ DIRECTIONS = 15
 #: suffice; rows collapsed at once on the way to a page.
 PAGE_BYTES, FILE_BYTES, LEAST_PAGES, BUFFER_ROWS = 2 << 20, 16 << 20, 32, 1 << 15
 SLACK = 1e-9
-#: Rows of a product of matrices.
-TILE = 128
+#: Rows of both sides of a product of matrices.
+TILE, WIDE = 128, 256
 #: By how much bounds out of 32-bit numbers are loosened.
 ROUGH = 1e-5
 
@@ -115,8 +115,10 @@ class Tree:
         turn = np.argsort(low[:, 0], kind="stable")
         self.points, low = self.points[turn], low[turn]
         rest = np.sqrt(np.maximum(0, 1 - (low * low).sum(axis=1)) + ROUGH / 10)
-        self.low = np.zeros((-(-len(low) // 8) * 8, low.shape[1] + 1), np.float32)
+        self.low = np.zeros((-(-len(low) // WIDE) * WIDE, low.shape[1] + 1), np.float32)
         self.low[: len(low)] = np.column_stack([low, rest])
+        # Memory that is new for every product would cost more than the product.
+        self.room = [np.empty((len(self.low) // WIDE, TILE, WIDE), kind) for kind in (np.float32, bool)]
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """For each node of ``level`` the range of its nodes on the next one."""
@@ -152,30 +154,42 @@ def _within(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, cosine: float, dots:
 def _over(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of x and y whose product is ``least`` or more, and the product."""
     g = (x @ y.T).ravel()
-    over = g >= least
-    if len(y) % 8:
-        found = np.flatnonzero(over)
-    else:  # few are: eight at a time
-        some = np.flatnonzero(over.view(np.uint64))
-        which, bit = np.nonzero(over.reshape(-1, 8)[some])
-        found = some[which] * 8 + bit
+    found = np.flatnonzero(g >= least)
     return *np.divmod(found, max(1, len(y))), g[found]
 
 
 def _points(a: Tree, b: Tree, t: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs among the vectors that are nodes of their own, which stand in order of the first direction."""
-    x, y = a.short[a.points], b.short[b.points]
+    x, y, kept = a.short[a.points], b.short[b.points], []
+    pieces, (bound, over) = b.low.reshape(-1, WIDE, b.low.shape[1]).transpose(0, 2, 1), b.room
     for at in range(0, len(x), TILE):
-        end, dots = min(at + TILE, len(x)), None
+        end = min(at + TILE, len(x))
         lo, hi = np.searchsorted(b.low[: len(y), 0], [a.low[at, 0] - t - ROUGH, a.low[end - 1, 0] + t + ROUGH])
-        lo, hi = max(lo, at if same else 0) // 8 * 8, -(-hi // 8) * 8
-        i, j, _ = _over(a.low[at:end], b.low[lo:hi], cosine - ROUGH)
-        if len(i) * 32 > (end - at) * (hi - lo):  # the bound says little: all of the tile
-            i, j, dots = _over(x[at:end], y[lo:hi], cosine - a.band)
-        i, j = at + i, lo + j
+        lo, hi = max(lo, at if same else 0) // WIDE, -(-hi // WIDE)
+        if lo >= hi:
+            continue
+        np.matmul(a.low[at:end], pieces[lo:hi], out=bound[: hi - lo, : end - at])
+        some = np.greater_equal(bound[: hi - lo, : end - at], cosine - ROUGH, out=over[: hi - lo, : end - at])
+        # Few are: eight at a time.
+        words = np.flatnonzero(some.ravel().view(np.uint64))
+        which, bit = np.nonzero(some.reshape(-1, 8)[words])
+        dense = len(which) * 32 > some.size
+        if dense:  # the bound says little: all of the tile
+            i, j, dots = _over(x[at:end], y[lo * WIDE : hi * WIDE], cosine - a.band)
+        else:
+            piece, i, j = np.unravel_index(words[which] * 8 + bit, some.shape)
+            j += piece * WIDE
+        i, j = at + i, lo * WIDE + j
         real = (j > i) & (j < len(y)) if same else j < len(y)
-        i, j, dots = a.points[i[real]], b.points[j[real]], None if dots is None else dots[real]
-        hit = _within(a, b, i, j, cosine, dots)
+        i, j = a.points[i[real]], b.points[j[real]]
+        if dense:
+            hit = _within(a, b, i, j, cosine, dots[real])
+            yield i[hit], j[hit]
+        else:
+            kept.append((i, j))
+    if kept:
+        i, j = (np.concatenate(c) for c in zip(*kept, strict=True))
+        hit = _within(a, b, i, j, cosine)
         yield i[hit], j[hit]
 
 
@@ -305,13 +319,12 @@ def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield _collapse(pa.Table.from_batches(held))
 
 
-def _count(centres: np.ndarray):
+def _slotted(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(centres) ** 2, np.int64)
-        for table in _buffered(batches):
-            total += np.bincount(_slots(_vectors(table, "v"), centres), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["slot", "rows"])
+        for batch in batches:
+            if batch.num_rows:
+                slot = _slots(_vectors(batch, "v"), centres)
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), batch.column("k1")], ["slot", "k1"])
 
     return run
 
@@ -361,8 +374,8 @@ def _grow(centres: np.ndarray, block_rows: int):
         x = unit(_vectors(table, "v").astype(float))
         away = distances(x, centres)
         order, paths, sizes, near = [], [], [], []
-        for at in range(0, len(x), block_rows):
-            own = x[at : at + block_rows]
+        cuts = np.arange(0, len(x), math.ceil(len(x) / math.ceil(len(x) / block_rows)))
+        for at, own, far in zip(cuts, np.split(x, cuts[1:]), np.split(away, cuts[1:]), strict=True):
             path = build(own)
             turn = np.lexsort(path.T[::-1])
             place = np.empty(len(own), np.int32)
@@ -370,7 +383,7 @@ def _grow(centres: np.ndarray, block_rows: int):
             order.append(at + turn)
             paths.append(place[path[turn]])
             sizes.append(len(own))
-            near.append([away[at : at + block_rows].min(axis=0), away[at : at + block_rows].max(axis=0)])
+            near.append([far.min(axis=0), far.max(axis=0)])
         near = np.array(near)
         table = table.take(np.concatenate(order)).combine_chunks()
         page = {
@@ -503,8 +516,8 @@ def links(
     keyed = rows.where("v is not null").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     t = math.sqrt(2 - 2 * cosine)
     pages, met, begin = None, None, 0
-    for r in sorted(keyed.groupBy(F.size("v").alias("n")).count().collect()):
-        own, there, begin = _pages(keyed.where(F.size("v") == r["n"]), r["n"], r["count"], kind, block_rows, max_cells, sample, page_bytes, begin)
+    for r in sorted(keyed.groupBy(F.size("v").alias("n")).agg(F.approx_count_distinct("k1").alias("vectors")).collect()):
+        own, there, begin = _pages(keyed.where(F.size("v") == r["n"]), r["n"], r["vectors"], kind, block_rows, max_cells, sample, page_bytes, begin)
         found = own.transform(_meetings, cosine, t, kind, *there)
         own = own.select("page", "k1", "k2", "copies", "first")
         pages, met = (own, found) if met is None else (pages.union(own), met.union(found))
@@ -541,8 +554,10 @@ def _pages(
     blocks = max(1, min(page_bytes // block_bytes, count // (block_rows * LEAST_PAGES)))
     sent = rows.select("k1", "k2", F.lit(1).cast("long").alias("copies"), F.col("vec_id").alias("first"), "v")
     counts = np.zeros(len(centres) ** 2, np.int64)
-    for r in sent.mapInArrow(_count(centres), "slot long, rows long").groupBy("slot").agg(F.sum("rows").alias("rows")).collect():
-        counts[r["slot"]] = r["rows"]
+    # About how many different vectors; repeated rows need no room.
+    slotted = rows.select("k1", "v").mapInArrow(_slotted(centres), "slot long, k1 long")
+    for r in slotted.groupBy("slot").agg(F.approx_count_distinct("k1").alias("vectors")).collect():
+        counts[r["slot"]] = r["vectors"]
     first, many, pages = _deal(counts, block_rows * blocks)
     placed = sent.mapInArrow(_place(centres, begin + first, many), PLACED.format(kind=f"array<{kind}>"))
     grown = placed.groupBy("page").applyInArrow(_grow(centres, block_rows), PAGE)

@@ -140,3 +140,13 @@ def test_equal_vectors_on_two_pages_count_once(spark):
     met = spark.createDataFrame([(0, 0, 1), (1 << 32, 0, 2)], "node long, peer long, links long")
     keyed = spark.createDataFrame([(i, 1, 2) for i in (5, 6, 3)], "vec_id long, k1 long, k2 long")
     assert sorted(map(tuple, _judged(keyed, pages, met).collect())) == [(i, 2, 3) for i in (3, 5, 6)]
+
+
+def test_repeated_rows_need_no_pages(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    some = rng.normal(size=(20, 5)).tolist()
+    rows = [(i, some[i % 20]) for i in range(400)]
+    stored, written = {}, cover_tree.written
+    monkeypatch.setattr(cover_tree, "written", lambda df, label, **more: stored.setdefault(label, written(df, label, **more)))
+    compare(links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=8, page_bytes=1).collect(), rows)
+    assert stored["pages"].count() < 10
